@@ -138,7 +138,8 @@ CTES: dict[str, str] = {
     "notifications": """SELECT o.o_orderkey AS id, o.o_orderkey AS complaint_id, o.o_custkey AS citizen_id,
         'sms' AS channel, 'Complaint registered: ' || c.complaint_no AS message, 'sent' AS status,
         c.created_at AS sent_at
-        FROM orders o JOIN complaints c ON c.id = o.o_orderkey""",
+        FROM orders o JOIN complaints c ON c.id = o.o_orderkey
+        WHERE c.created_at >= TIMESTAMP '1998-01-01 00:00:00'""",
     "filing_requests": f"""SELECT o.o_orderkey AS request_id, o.o_custkey AS caller_id,
         CASE WHEN o.o_orderkey % 67 = 0 THEN NULL ELSE CAST((o.o_orderkey + o.o_custkey) % 9 + 1 AS INTEGER) END
             AS department_id,

@@ -44,7 +44,9 @@ def global_rank(df: DataFrame, bucket: Column, order: list[Column], name: str =
     offsets = counts.select(F.col("_bucket").alias("_ob"),
                             (F.sum("_n").over(running) - F.col("_n")).alias("_offset"))
     local = Window.partitionBy("_bucket").orderBy(*order)
-    return (b.join(offsets, F.col("_bucket").eqNullSafe(F.col("_ob")), "inner")
+    # Left join on a grouped (hence unique) key: lossless here, and Catalyst
+    # drops the whole offsets branch when the rank column is not used.
+    return (b.join(offsets, F.col("_bucket").eqNullSafe(F.col("_ob")), "left")
              .drop("_ob")
              .withColumn(name, (F.col("_offset") + F.row_number().over(local) + start_col - F.lit(1))
                          .cast("long"))

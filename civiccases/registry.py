@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from civiccases.operators import lookups, reports
+from civiccases.operators import intake, lifecycle, lookups, quality, reports, votes
 from civiccases.sources import adapter
 from civiccases.sources.model import TABLES, seed_departments
 
@@ -46,6 +46,41 @@ def _upvote_pairs(spark, sf_dir):
     return lookups.upvote_status(m, adapter.vote_requests(spark, sf_dir))
 
 
+def _filing(spark, sf_dir):
+    m = _model(spark, sf_dir)
+    return m, intake.file_complaints(m, adapter.filing_requests(spark, sf_dir),
+                                     adapter.upload_requests(spark, sf_dir))
+
+
+def _checked_filings(spark, sf_dir):
+    m = _model(spark, sf_dir)
+    return intake._checked(m, adapter.filing_requests(spark, sf_dir), adapter.upload_requests(spark, sf_dir))
+
+
+def _status(spark, sf_dir):
+    m = _model(spark, sf_dir)
+    return m, lifecycle.apply_status_updates(m, adapter.status_updates(spark, sf_dir))
+
+
+def _votes(spark, sf_dir):
+    m = _model(spark, sf_dir)
+    return m, votes.apply_upvotes(m, adapter.vote_requests(spark, sf_dir))
+
+
+def _notifications(spark, sf_dir):
+    m = _model(spark, sf_dir)
+    filings = intake.file_complaints(m, adapter.filing_requests(spark, sf_dir), adapter.upload_requests(spark, sf_dir))
+    status = lifecycle.apply_status_updates(m, adapter.status_updates(spark, sf_dir))
+    events = lifecycle.notification_events(m, filings=filings, status=status, escalation=True)
+    return lifecycle.compose_messages(m, events)
+
+
+def _purge(spark, sf_dir):
+    m = _model(spark, sf_dir)
+    rejected = m.complaints.filter(F.col("status") == "rejected").select("id")
+    return quality.cascade_purge(m, rejected)
+
+
 def _bundle(spark, sf_dir):
     m = _model(spark, sf_dir)
     return reports.bundle_long(reports.dashboard_bundle(m))
@@ -85,4 +120,43 @@ QUERIES: dict[str, Query] = {
     "cm_by_department": _with_model(reports.cm_by_department),
     "sla_performance": _with_model(reports.sla_performance),
     "dashboard_bundle": _bundle,
+    # intake
+    "intake_validate": lambda spark, sf_dir: intake.intake_validate(
+        adapter.filing_requests(spark, sf_dir)).select("request_id", "reason"),
+    "resolve_reference": lambda spark, sf_dir: intake.resolve_reference(
+        _model(spark, sf_dir), adapter.filing_requests(spark, sf_dir)).select(
+            "request_id", "district_code", "sla_days", "ref_reason"),
+    "assign_complaint_no": lambda spark, sf_dir: _filing(spark, sf_dir)[1].complaints.select(
+        F.col("id").alias("request_id"), "complaint_no"),
+    "sla_deadline": lambda spark, sf_dir: _filing(spark, sf_dir)[1].complaints.select(
+        "id", "created_at", "sla_deadline"),
+    "hash_identity": lambda spark, sf_dir: _filing(spark, sf_dir)[1].citizen_updates,
+    "anonymise": lambda spark, sf_dir: _filing(spark, sf_dir)[1].complaints.select(
+        "id", "citizen_id", "is_anonymous"),
+    "defaults_and_visibility": lambda spark, sf_dir: _filing(spark, sf_dir)[1].complaints.select(
+        "id", "priority", "source", "latitude", "longitude", "address", "is_public"),
+    "attachment_classify": lambda spark, sf_dir: intake.attachment_classify(adapter.upload_requests(spark, sf_dir)),
+    "initial_timeline": lambda spark, sf_dir: _filing(spark, sf_dir)[1].timeline,
+    "file_complaints": lambda spark, sf_dir: _filing(spark, sf_dir)[1].complaints.drop("description"),
+    "filing_rejects": lambda spark, sf_dir: _filing(spark, sf_dir)[1].rejects,
+    "filing_outbox": lambda spark, sf_dir: _filing(spark, sf_dir)[1].outbox,
+    "filing_attachments": lambda spark, sf_dir: _filing(spark, sf_dir)[1].attachments,
+    "register_citizens": lambda spark, sf_dir: intake.register_citizens(
+        _model(spark, sf_dir), adapter.registration_requests(spark, sf_dir)),
+    # lifecycle
+    "overdue_flag": _with_model(lifecycle.overdue_flag),
+    "apply_status_updates": lambda spark, sf_dir: _status(spark, sf_dir)[1].changed,
+    "status_update_rejects": lambda spark, sf_dir: _status(spark, sf_dir)[1].rejects,
+    "status_change_log": lambda spark, sf_dir: _status(spark, sf_dir)[1].timeline.filter(
+        F.col("origin") == "trigger"),
+    "escalate_overdue": _with_model(lambda m: lifecycle.escalate_overdue(m).changed),
+    "escalation_messages": _with_model(lambda m: lifecycle.escalate_overdue(m).messages),
+    "apply_upvotes": lambda spark, sf_dir: _votes(spark, sf_dir)[1].counts,
+    "upvote_rejects": lambda spark, sf_dir: _votes(spark, sf_dir)[1].rejects,
+    "community_escalation": lambda spark, sf_dir: votes.community_escalation(*_votes(spark, sf_dir)),
+    "compose_notifications": _notifications,
+    "last_seen": lambda spark, sf_dir: lifecycle.last_seen(_model(spark, sf_dir), adapter.logins(spark, sf_dir)),
+    # quality
+    "constraint_audit": _with_model(quality.constraint_audit),
+    "cascade_purge": _purge,
 }

@@ -11,6 +11,7 @@ from dataclasses import dataclass, field
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # --------------------------------------------------------------------------
@@ -174,9 +175,14 @@ class Model:
 
 def seed_departments(spark: SparkSession) -> DataFrame:
     """SRC-02: the ten default departments (id = seed row order)."""
-    rows = [(i + 1, name, name_te, code, sla, None, True)
-            for i, (name, name_te, code, sla) in enumerate(SEED_DEPARTMENTS)]
-    return spark.createDataFrame(rows, SCHEMAS["departments"])
+    # A VALUES relation (LocalRelation): planned as a local table scan, no
+    # Python-side RDD, and small enough for Catalyst to fold into joins.
+    def q(text: str) -> str:
+        return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    rows = ", ".join(f"({i + 1}, {q(name)}, {q(name_te)}, {q(code)}, {sla}, CAST(NULL AS STRING), TRUE)"
+                     for i, (name, name_te, code, sla) in enumerate(SEED_DEPARTMENTS))
+    df = spark.sql(f"SELECT * FROM VALUES {rows} AS t(id, name, name_te, code, sla_days, email, is_active)")
+    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in SCHEMAS["departments"]])
 
 
 def message_templates(spark: SparkSession) -> DataFrame:
