@@ -12,8 +12,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from civiccases.operators import intake, lifecycle, lookups, quality, reports, votes
+from civiccases.operators import intake, lifecycle, lookups, quality, reports, timing, votes
 from civiccases.sources import adapter
+from civiccases.streaming import streams
 from civiccases.sources.model import TABLES, seed_departments
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -81,6 +82,68 @@ def _purge(spark, sf_dir):
     return quality.cascade_purge(m, rejected)
 
 
+def _stream_rate(spark, sf_dir):
+    root = streams.run_dir(spark, "rate-limits")
+    src, schema = streams.staged(spark, adapter.client_requests(spark, sf_dir), "ts", root)
+    return streams.rate_limit_stream(spark, src, schema, timing.TEST_RATE_LIMITS, root)
+
+
+def _stream_codes(spark, sf_dir):
+    root = streams.run_dir(spark, "codes")
+    src, schema = streams.staged(spark, adapter.code_events(spark, sf_dir), "ts", root)
+    return streams.code_verification_stream(spark, src, schema, root, adapter.TEST_CODE_TTL_SECONDS)
+
+
+def _stream_rolling(spark, sf_dir):
+    root = streams.run_dir(spark, "rolling")
+    m = _model(spark, sf_dir)
+    src, schema = streams.staged(spark, m.complaints.select("id", "created_at"), "created_at", root)
+    return streams.rolling_activity_stream(spark, src, schema, root)
+
+
+def _stream_votes(spark, sf_dir):
+    root = streams.run_dir(spark, "votes")
+    m = _model(spark, sf_dir)
+    src, schema = streams.staged(spark, adapter.vote_requests(spark, sf_dir), "ts", root)
+    return streams.upvote_stream(spark, m, src, schema, root)
+
+
+def _stream_vote_counts(spark, sf_dir):
+    v = _stream_votes(spark, sf_dir)
+    return (v.filter(F.col("reason").isNull()).groupBy("complaint_id")
+             .agg(F.count(F.lit(1)).alias("new_votes"), F.max("upvote_count").alias("upvote_count")))
+
+
+def _stream_vote_crossings(spark, sf_dir):
+    return _stream_votes(spark, sf_dir).filter(F.col("crossed")).select("complaint_id", "vote_id", "upvote_count")
+
+
+def _stream_vote_rejects(spark, sf_dir):
+    return _stream_votes(spark, sf_dir).filter(F.col("reason").isNotNull()).select("vote_id", "reason")
+
+
+def _stream_intake(spark, sf_dir):
+    root = streams.run_dir(spark, "intake")
+    m = _model(spark, sf_dir)
+    src, schema = streams.staged(spark, adapter.filing_requests(spark, sf_dir), "ts", root)
+    out = streams.intake_stream(spark, m, src, schema, adapter.upload_requests(spark, sf_dir), root)
+    return out.drop("description")
+
+
+def _stream_status(spark, sf_dir):
+    root = streams.run_dir(spark, "status")
+    m = _model(spark, sf_dir)
+    src, schema = streams.staged(spark, adapter.status_updates(spark, sf_dir), "ts", root)
+    return streams.status_stream(spark, m, src, schema, root)
+
+
+def _stream_escalation(spark, sf_dir):
+    from datetime import timedelta
+    root = streams.run_dir(spark, "escalation")
+    m = _model(spark, sf_dir)
+    return streams.escalation_schedule(spark, m, [m.as_of, m.as_of + timedelta(hours=1)], root)
+
+
 def _bundle(spark, sf_dir):
     m = _model(spark, sf_dir)
     return reports.bundle_long(reports.dashboard_bundle(m))
@@ -159,4 +222,23 @@ QUERIES: dict[str, Query] = {
     # quality
     "constraint_audit": _with_model(quality.constraint_audit),
     "cascade_purge": _purge,
+    # time rules (batch twins of the streams)
+    "rate_limit_verdicts": lambda spark, sf_dir: timing.rate_limit_verdicts(
+        adapter.client_requests(spark, sf_dir), timing.TEST_RATE_LIMITS),
+    "rate_limit_violators": lambda spark, sf_dir: timing.rate_limit_violators(
+        adapter.client_requests(spark, sf_dir), timing.TEST_RATE_LIMITS),
+    "code_verification": lambda spark, sf_dir: timing.code_verification(
+        adapter.code_events(spark, sf_dir), adapter.TEST_CODE_TTL_SECONDS),
+    "rolling_activity_7d": _with_model(timing.rolling_activity),
+    "rolling_activity_24h": _with_model(lambda m: timing.rolling_activity(m, "24 hours", "1 hour")),
+    # streams (each runs to completion with availableNow and returns its committed output)
+    "stream_rate_limit_violators": _stream_rate,
+    "stream_code_verification": _stream_codes,
+    "stream_rolling_activity_7d": _stream_rolling,
+    "stream_upvote_counts": _stream_vote_counts,
+    "stream_community_escalation": _stream_vote_crossings,
+    "stream_upvote_rejects": _stream_vote_rejects,
+    "stream_intake": _stream_intake,
+    "stream_status_changes": _stream_status,
+    "stream_escalation": _stream_escalation,
 }
