@@ -46,7 +46,9 @@ def live_overdue(prefix: str = "", as_of: str = AS_OF) -> str:
 
 
 CTES: dict[str, str] = {
-    "departments": f"""SELECT * FROM (VALUES {_DEPT_ROWS})
+    "departments": f"""SELECT id, name, name_te, code, sla_days, email, id <> 9 AS is_active FROM (VALUES {_DEPT_ROWS})
+        AS t(id, name, name_te, code, sla_days, email, is_active)""",
+    "seed_departments": f"""SELECT * FROM (VALUES {_DEPT_ROWS})
         AS t(id, name, name_te, code, sla_days, email, is_active)""",
     "districts": """SELECT CAST(n_nationkey AS INTEGER) AS id, n_name AS name, CAST(NULL AS VARCHAR) AS name_te,
         printf('D%02d', n_nationkey) AS code FROM nation""",

@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from civiccases.operators import intake, lifecycle, lookups, quality, reports, timing, votes
 from civiccases.sources import adapter
 from civiccases.streaming import streams
-from civiccases.sources.model import TABLES, seed_departments
+from civiccases.sources import sinks
+from civiccases.sources.model import TABLES, load_model, seed_departments
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -144,6 +145,28 @@ def _stream_escalation(spark, sf_dir):
     return streams.escalation_schedule(spark, m, [m.as_of, m.as_of + timedelta(hours=1)], root)
 
 
+def _snapshot_round_trip(spark, sf_dir):
+    """SNK-01 + SRC-01: write the snapshot, load it back typed, count every table."""
+    m = _model(spark, sf_dir)
+    out = sinks.write_snapshot(m, streams.run_dir(spark, "snapshot"))
+    back = load_model(spark, out, m.as_of)
+    parts = [getattr(back, t).agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(t).alias("table_name"), "n_rows")
+             for t in TABLES]
+    res = parts[0]
+    for p in parts[1:]:
+        res = res.unionByName(p)
+    return res
+
+
+def _outbox_replay(spark, sf_dir):
+    """SNK-02: the filing outbox appended as batch 0, then batch 0 replayed: no duplicates."""
+    m, res = _filing(spark, sf_dir)
+    path = streams.run_dir(spark, "outbox")
+    sinks.append_outbox(res.outbox, path, batch_id=0)
+    sinks.append_outbox(res.outbox, path, batch_id=0)
+    return spark.read.parquet(path).drop("batch_id")
+
+
 def _bundle(spark, sf_dir):
     m = _model(spark, sf_dir)
     return reports.bundle_long(reports.dashboard_bundle(m))
@@ -153,6 +176,8 @@ QUERIES: dict[str, Query] = {
     # sources
     "load_model": load_model_counts,
     "seed_departments": lambda spark, sf_dir: seed_departments(spark),
+    "write_snapshot": _snapshot_round_trip,
+    "append_outbox": _outbox_replay,
     # lookups
     "districts_list": _with_model(lookups.districts_list),
     "mandals_by_district": _with_model(lookups.mandals_by_district),

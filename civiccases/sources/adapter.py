@@ -24,6 +24,7 @@ VOTE_CUTOFF = datetime(2024, 1, 16, 0, 0, 0)       # votes before: stored; after
 UPLOAD_BASE = datetime(2001, 7, 1, 0, 0, 0)
 REGISTRATION_BASE = datetime(2001, 8, 1, 0, 0, 0)
 OUTBOX_START = datetime(1998, 1, 1, 0, 0, 0)
+INACTIVE_DEPARTMENT = 9
 SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 DISTRICT_MOD = 24            # district 24 stays empty
 DESCRIPTION_DOCS = 200       # descriptions come from documents 0..199
@@ -93,6 +94,11 @@ def officers(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("timestamp_ntz").alias("last_login"))
 
 
+def departments(spark: SparkSession) -> DataFrame:
+    """The seed departments, with department 9 switched off (exercises the active-only reports)."""
+    return seed_departments(spark).withColumn("is_active", F.col("id") != F.lit(INACTIVE_DEPARTMENT))
+
+
 def _existing_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First stored vote per (complaint, voter): click/view events before the cutoff."""
     e = _read(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type")
@@ -264,7 +270,7 @@ def notifications(spark: SparkSession, sf_dir: str, comps: DataFrame | None = No
 def load_testdata_model(spark: SparkSession, sf_dir: str, as_of: datetime = AS_OF) -> Model:
     dists = districts(spark, sf_dir)
     comps = complaints(spark, sf_dir, as_of, dists)
-    return Model(districts=dists, mandals=mandals(spark, sf_dir), departments=seed_departments(spark),
+    return Model(districts=dists, mandals=mandals(spark, sf_dir), departments=departments(spark),
                  citizens=citizens(spark, sf_dir), officers=officers(spark, sf_dir), complaints=comps,
                  attachments=attachments(spark, sf_dir), timeline=timeline(spark, sf_dir),
                  notifications=notifications(spark, sf_dir, comps), upvotes=upvotes(spark, sf_dir),

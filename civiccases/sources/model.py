@@ -200,5 +200,6 @@ def load_model(spark: SparkSession, model_dir: str, as_of: datetime) -> Model:
     Schemas are always given, never inferred; officers' password hashes are
     not part of the schema, so they are never read.
     """
-    frames = {name: spark.read.schema(SCHEMAS[name]).parquet(f"{model_dir}/{name}") for name in TABLES}
+    frames = {name: spark.read.parquet(f"{model_dir}/{name}").select(
+        *[F.col(f.name).cast(f.dataType).alias(f.name) for f in SCHEMAS[name]]) for name in TABLES}
     return Model(**frames, as_of=as_of)
