@@ -4,8 +4,9 @@ The audit checks, as data, every constraint the reference's DDL declares
 (keys, NOT NULL, foreign keys, enums, VARCHAR lengths) plus the open domains
 given in its comments and the anonymity leak of decision D15.  Each table is
 scanned once for all of its row-local rules (one aggregate of conditional
-counts); uniqueness is a group-by on the key, and each foreign key one
-``left_anti`` join of the non-NULL child keys against the parent keys.
+counts); all uniqueness rules share one group-by on (table, column, key),
+and all foreign keys one ``left_anti`` join of the tagged non-NULL child keys
+against the tagged parent keys.
 """
 
 from __future__ import annotations
@@ -112,21 +113,46 @@ def _table_checks(name: str, df: DataFrame) -> DataFrame:
                       F.col("n_violations").cast("long").alias("n_violations"))
 
 
-def _unique_check(name: str, df: DataFrame, cols: list[str]) -> DataFrame:
-    dup = (df.filter(F.expr(" AND ".join(f"{c} IS NOT NULL" for c in cols)))
-             .groupBy(*cols).count().filter(F.col("count") > 1))
-    return dup.agg(F.count(F.lit(1)).cast("long").alias("n_violations")).select(
-        F.lit(name).alias("table_name"), F.lit("unique").alias("rule"),
-        F.lit(",".join(cols)).alias("column_name"), "n_violations")
-
-
-def _fk_check(m: Model, child: str, col: str, parent: str) -> DataFrame:
-    keys = getattr(m, parent).select(F.col("id").cast("long").alias("_pk")).distinct()
-    orphans = (getattr(m, child).select(F.col(col).cast("long").alias("_fk")).filter(F.col("_fk").isNotNull())
-               .join(keys, F.col("_fk") == F.col("_pk"), "left_anti"))
-    return orphans.agg(F.count(F.lit(1)).cast("long").alias("n_violations")).select(
-        F.lit(child).alias("table_name"), F.lit(f"foreign_key:{parent}").alias("rule"),
-        F.lit(col).alias("column_name"), "n_violations")
+def _unique_checks(m: Model) -> DataFrame:
+    """All UNIQUE rules in one shuffle: (table, column, key) grouped, keys seen twice counted."""
+    keys = None
+    for table, key_sets in UNIQUE.items():
+        for cols in key_sets:
+            k = F.concat_ws("\u0001", *[F.col(c).cast("string") for c in cols])
+            part = (getattr(m, table).filter(F.expr(" AND ".join(f"{c} IS NOT NULL" for c in cols)))
+                    .select(F.lit(table).alias("table_name"), F.lit(",".join(cols)).alias("column_name"),
+                            k.alias("_key")))
+            keys = part if keys is None else keys.unionByName(part)
+    dups = (keys.groupBy("table_name", "column_name", "_key").count().filter(F.col("count") > 1)
+                .groupBy("table_name", "column_name").agg(F.count(F.lit(1)).alias("_n")))
+    rules = m.complaints.sparkSession.createDataFrame(
+        [(t, ",".join(c)) for t, ks in UNIQUE.items() for c in ks], "table_name string, column_name string")
+    return (rules.join(dups, ["table_name", "column_name"], "left")
+                 .select("table_name", F.lit("unique").alias("rule"), "column_name",
+                         F.coalesce(F.col("_n"), F.lit(0)).cast("long").alias("n_violations")))
+
+
+def _fk_checks(m: Model) -> DataFrame:
+    """All foreign keys in one anti join: child keys tagged with their parent vs all parent keys."""
+    children = None
+    for child, col, parent in FOREIGN_KEYS:
+        part = (getattr(m, child).filter(F.col(col).isNotNull())
+                .select(F.lit(child).alias("table_name"), F.lit(col).alias("column_name"),
+                        F.lit(parent).alias("_parent"), F.col(col).cast("long").alias("_fk")))
+        children = part if children is None else children.unionByName(part)
+    parents = None
+    for parent in sorted({p for _, _, p in FOREIGN_KEYS}):
+        part = getattr(m, parent).select(F.lit(parent).alias("_pp"), F.col("id").cast("long").alias("_pk"))
+        parents = part if parents is None else parents.unionByName(part)
+    parents = parents.distinct()
+    orphans = (children.join(parents, (F.col("_parent") == F.col("_pp")) & (F.col("_fk") == F.col("_pk")),
+                             "left_anti")
+               .groupBy("table_name", "column_name", "_parent").agg(F.count(F.lit(1)).alias("_n")))
+    rules = m.complaints.sparkSession.createDataFrame(
+        FOREIGN_KEYS, "table_name string, column_name string, _parent string")
+    return (rules.join(orphans, ["table_name", "column_name", "_parent"], "left")
+                 .select("table_name", F.concat(F.lit("foreign_key:"), F.col("_parent")).alias("rule"),
+                         "column_name", F.coalesce(F.col("_n"), F.lit(0)).cast("long").alias("n_violations")))
 
 
 def _anonymity_leak(m: Model) -> DataFrame:
@@ -142,9 +168,7 @@ def _anonymity_leak(m: Model) -> DataFrame:
 def constraint_audit(m: Model, only_violations: bool = False) -> DataFrame:
     """One row per rule: (table_name, rule, column_name, n_violations)."""
     parts = [_table_checks(name, getattr(m, name)) for name in NOT_NULL]
-    parts += [_unique_check(name, getattr(m, name), cols) for name, keys in UNIQUE.items() for cols in keys]
-    parts += [_fk_check(m, child, col, parent) for child, col, parent in FOREIGN_KEYS]
-    parts.append(_anonymity_leak(m))
+    parts += [_unique_checks(m), _fk_checks(m), _anonymity_leak(m)]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

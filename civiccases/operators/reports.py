@@ -188,7 +188,12 @@ def dashboard_bundle(m: Model, cube: DataFrame | None = None) -> dict[str, DataF
     """Public (3) + CM (6) dashboards from one snapshot and one scan of complaints."""
     from civiccases.operators import lookups
 
-    cube = cube if cube is not None else dashboard_cube(m).cache()
+    # Each section prunes the cube to different measures, so their plans
+    # differ and exchange reuse cannot share the scan: the cube (at most
+    # |districts| x |departments| rows) is persisted so complaints are read
+    # once for all nine outputs.  Lost blocks are recomputed from lineage.
+    # Call ``release_bundle`` when the outputs have been consumed.
+    cube = cube if cube is not None else dashboard_cube(m).persist()
     by_d = cube.groupBy("district_id").agg(*[F.sum(n).alias(n) for n in BUNDLE_MEASURES])
     by_dep = cube.groupBy("department_id").agg(*[F.sum(n).alias(n) for n in BUNDLE_MEASURES])
     tot = cube.agg(*[F.sum(n).alias(n) for n in BUNDLE_MEASURES])
@@ -204,9 +209,16 @@ def dashboard_bundle(m: Model, cube: DataFrame | None = None) -> dict[str, DataF
         "sla_performance": sla_performance(m, by_dep),
         "recent_activity": lookups.recent_activity(m),
         "top_issues": lookups.top_issues(m),
+        "_cube": cube,
     }
 
 
+def release_bundle(bundle: dict[str, DataFrame]) -> None:
+    cube = bundle.get("_cube")
+    if cube is not None and cube.is_cached:
+        cube.unpersist()
+
+
 def bundle_long(bundle: dict[str, DataFrame]) -> DataFrame:
     """Flatten the aggregate sections into (section, key, metric, value) rows for checking."""
     specs = {

@@ -169,7 +169,7 @@ def _outbox_replay(spark, sf_dir):
 
 def _bundle(spark, sf_dir):
     m = _model(spark, sf_dir)
-    return reports.bundle_long(reports.dashboard_bundle(m))
+    return reports.bundle_long(reports.dashboard_bundle(m))   # cube stays cached for the driver's collect
 
 
 QUERIES: dict[str, Query] = {
