@@ -121,3 +121,21 @@ def identity_hash(value: Column | str, salt: str = "") -> Column:
     v = col_of(value)
     return F.when(is_blank(v), F.lit(None).cast("string")).otherwise(
         F.sha2(F.concat(F.lit(salt), v), 256))
+
+
+def literal_table(spark, rows: list[tuple], schema: str):
+    """A small constant table built JVM-side (inline of literal structs), no Python-backed RDD.
+
+    ``schema`` is a DDL string such as ``"event string, lang string"``.
+    """
+    from pyspark.sql import types as T
+
+    st = T._parse_datatype_string(schema)
+    if not isinstance(st, T.StructType):
+        st = T.StructType([T.StructField("value", st)])
+    structs = [F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(row, st.fields)])
+               for row in rows]
+    if not structs:
+        return spark.createDataFrame([], st)
+    return spark.range(1).select(F.inline(F.array(*structs))).select(
+        *[F.col(f.name).cast(f.dataType) for f in st.fields])

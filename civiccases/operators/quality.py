@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from civiccases.functions.expr import literal_table
 from civiccases.sources.model import PRIORITIES, STATUSES, Model
 
 # Open domains from the DDL comments, and VARCHAR bounds.
@@ -125,8 +126,9 @@ def _unique_checks(m: Model) -> DataFrame:
             keys = part if keys is None else keys.unionByName(part)
     dups = (keys.groupBy("table_name", "column_name", "_key").count().filter(F.col("count") > 1)
                 .groupBy("table_name", "column_name").agg(F.count(F.lit(1)).alias("_n")))
-    rules = m.complaints.sparkSession.createDataFrame(
-        [(t, ",".join(c)) for t, ks in UNIQUE.items() for c in ks], "table_name string, column_name string")
+    rules = literal_table(m.complaints.sparkSession,
+                          [(t, ",".join(c)) for t, ks in UNIQUE.items() for c in ks],
+                          "table_name string, column_name string")
     return (rules.join(dups, ["table_name", "column_name"], "left")
                  .select("table_name", F.lit("unique").alias("rule"), "column_name",
                          F.coalesce(F.col("_n"), F.lit(0)).cast("long").alias("n_violations")))
@@ -148,8 +150,8 @@ def _fk_checks(m: Model) -> DataFrame:
     orphans = (children.join(parents, (F.col("_parent") == F.col("_pp")) & (F.col("_fk") == F.col("_pk")),
                              "left_anti")
                .groupBy("table_name", "column_name", "_parent").agg(F.count(F.lit(1)).alias("_n")))
-    rules = m.complaints.sparkSession.createDataFrame(
-        FOREIGN_KEYS, "table_name string, column_name string, _parent string")
+    rules = literal_table(m.complaints.sparkSession, FOREIGN_KEYS,
+                          "table_name string, column_name string, _parent string")
     return (rules.join(orphans, ["table_name", "column_name", "_parent"], "left")
                  .select("table_name", F.concat(F.lit("foreign_key:"), F.col("_parent")).alias("rule"),
                          "column_name", F.coalesce(F.col("_n"), F.lit(0)).cast("long").alias("n_violations")))

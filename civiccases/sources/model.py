@@ -186,12 +186,14 @@ def seed_departments(spark: SparkSession) -> DataFrame:
 
 
 def message_templates(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(MESSAGE_TEMPLATES, "event string, lang string, template string")
+    from civiccases.functions.expr import literal_table
+    return literal_table(spark, MESSAGE_TEMPLATES, "event string, lang string, template string")
 
 
 def rate_limits(spark: SparkSession, limits=None) -> DataFrame:
-    return spark.createDataFrame(limits or RATE_LIMITS,
-                                 "limiter string, window_seconds long, max_requests long, routes string")
+    from civiccases.functions.expr import literal_table
+    return literal_table(spark, limits or RATE_LIMITS,
+                         "limiter string, window_seconds long, max_requests long, routes string")
 
 
 def load_model(spark: SparkSession, model_dir: str, as_of: datetime) -> Model:
