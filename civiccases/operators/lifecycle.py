@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from civiccases.functions.expr import overdue_at, ts_lit
 from civiccases.operators.intake import first_reason
+from civiccases.plans.sequences import bucketed_lag
 from civiccases.sources.model import (ESCALATION_EXCLUDED, ESCALATION_NOTE, SETTABLE_STATUSES, Model,
                                       message_templates)
 
@@ -95,10 +96,9 @@ def status_change_log(m: Model, updates_ok: DataFrame) -> DataFrame:
     base = m.complaints.select(F.col("id").alias("_cid"), F.col("status").alias("_base_status"),
                                F.col("assigned_to").alias("_assigned"))
     u = updates_ok.join(base, F.col("complaint_id") == F.col("_cid"), "inner")
-    w = Window.partitionBy("complaint_id").orderBy("ts", "update_id")
-    prev = F.lag("status", 1).over(w)
-    first = F.row_number().over(w) == 1
-    u = u.withColumn("_prev", F.when(first, F.col("_base_status")).otherwise(prev))
+    # lag per complaint, split by day so a complaint with a huge history is not one task
+    u = bucketed_lag(u, "complaint_id", F.date_trunc("day", "ts"), ["ts", "update_id"], "status", "_prev",
+                     F.col("_base_status"))
     return (u.filter(~F.col("status").eqNullSafe(F.col("_prev")))
              .select("complaint_id", "status", F.lit(None).cast("string").alias("note"),
                      F.col("_assigned").alias("updated_by"), F.col("ts").alias("created_at"), "update_id",

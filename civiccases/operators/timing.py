@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from civiccases.functions.expr import plus_seconds, ts_lit
+from civiccases.plans.sequences import bucketed_running_count
 from civiccases.sources.model import CODE_TTL_SECONDS, PHONE_LENGTH, RATE_LIMITS, Model
 
 EPOCH = "1970-01-01 00:00:00"
@@ -93,9 +94,9 @@ def code_verification(events: DataFrame, ttl_seconds: int = CODE_TTL_SECONDS) ->
     send.  Epochs are a running count of sends per phone.
     """
     ev = events.withColumn("_valid_send", (F.col("kind") == "send") & (F.length("phone") == PHONE_LENGTH))
-    w = Window.partitionBy("phone").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding,
-                                                                          Window.currentRow)
-    ev = ev.withColumn("epoch", F.sum(F.col("_valid_send").cast("int")).over(w))
+    # running count of sends per phone, split by day so a flooded phone is not one task
+    ev = bucketed_running_count(ev, "phone", F.date_trunc("day", "ts"), ["ts", "event_id"],
+                                F.col("_valid_send"), "epoch")
     sends = ev.filter("_valid_send").select(F.col("phone").alias("_sp"), F.col("epoch").alias("_se"),
                                             F.col("code").alias("_scode"),
                                             plus_seconds("ts", ttl_seconds).alias("_expires"))
