@@ -267,3 +267,18 @@ QUERIES: dict[str, Query] = {
     "stream_status_changes": _stream_status,
     "stream_escalation": _stream_escalation,
 }
+
+
+def _in_utc(fn: Query) -> Query:
+    """Fixture timestamps are timestamp_ntz; elapsed-time and window arithmetic on them
+    goes through the session zone, so every registered query runs with the zone pinned
+    to UTC (no DST gaps inside the fixture's day counts)."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        return fn(spark, sf_dir)
+    run.__name__ = getattr(fn, "__name__", "query")
+    return run
+
+
+QUERIES = {name: _in_utc(fn) for name, fn in QUERIES.items()}
+
