@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from civiccases.functions.expr import overdue_at, priority_ordinal
+from civiccases.plans.ranking import asc_key, day_number, desc_key
 from civiccases.sources.model import Model
 
 # Dimensions whose size does not grow with the data: districts and mandals are
@@ -51,3 +52,12 @@ def queue_order() -> list[Column]:
     """Officer queue: overdue DESC (NULLs first, as PostgreSQL), priority by enum DESC, created ASC, id."""
     return [F.col("is_overdue").desc_nulls_first(), priority_ordinal("priority").desc_nulls_first(),
             F.col("created_at").asc_nulls_last(), F.col("id").asc()]
+
+
+def queue_bucket() -> Column:
+    """Order-preserving coarse prefix of ``queue_order`` (for deep pages): overdue, priority, day."""
+    overdue = (F.when(F.col("is_overdue").isNull(), F.lit(0)).when(F.col("is_overdue"), F.lit(1))
+                .otherwise(F.lit(2)))
+    return F.struct(overdue.alias("o"), desc_key(priority_ordinal("priority")).alias("p"),
+                    asc_key(day_number(F.col("created_at"))).alias("d"))
+

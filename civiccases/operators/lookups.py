@@ -11,8 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from civiccases.operators.common import live_overdue, queue_order, with_names
-from civiccases.plans.ranking import page
+from civiccases.operators.common import live_overdue, queue_bucket, queue_order, with_names
+from civiccases.plans.ranking import DEEP_PAGE_ROWS, day_number, desc_key, page
 from civiccases.sources.model import PAGE_SIZE, RECENT_K, TOP_ISSUES_K, Model
 
 
@@ -117,9 +117,10 @@ QUEUE_COLUMNS = ["id", "complaint_no", "title", "status", "priority", "created_a
 
 def officer_queue(m: Model, role: str = "officer", dept: int | None = None, status: str | None = None,
                   priority: str | None = None, district_id: int | None = None, page_no: int = 1,
-                  page_size: int = PAGE_SIZE) -> DataFrame:
+                  page_size: int = PAGE_SIZE, deep_threshold: int = DEEP_PAGE_ROWS) -> DataFrame:
     """One page of the work queue; the page is cut before the citizen/officer joins."""
-    rows = page(_queue_rows(m, role, dept, status, priority, district_id), queue_order(), page_no, page_size)
+    rows = page(_queue_rows(m, role, dept, status, priority, district_id), queue_order(), page_no, page_size,
+                bucket=queue_bucket(), deep_threshold=deep_threshold)
     out = _queue_people(m, rows)
     return out.select(*QUEUE_COLUMNS, F.col("assigned_to_name").alias("assigned_to")).orderBy(*queue_order())
 
@@ -221,15 +222,21 @@ def feed_order() -> list[Column]:
     return [F.col("upvote_count").desc_nulls_first(), F.col("created_at").desc_nulls_first(), F.col("id").asc()]
 
 
+def feed_bucket() -> Column:
+    """Order-preserving coarse prefix of ``feed_order``: votes (desc, NULL first), then day (desc)."""
+    return F.struct(desc_key(F.col("upvote_count")).alias("u"),
+                    desc_key(day_number(F.col("created_at"))).alias("d"))
+
+
 def public_feed(m: Model, district_id: int | None = None, department_id: int | None = None,
-                page_no: int = 1, page_size: int = PAGE_SIZE) -> DataFrame:
+                page_no: int = 1, page_size: int = PAGE_SIZE, deep_threshold: int = DEEP_PAGE_ROWS) -> DataFrame:
     cond = F.col("is_public") & ~F.col("status").isin("rejected")
     if district_id is not None:
         cond = cond & (F.col("district_id") == district_id)
     if department_id is not None:
         cond = cond & (F.col("department_id") == department_id)
     c = with_names(m.complaints.filter(cond), m, district_code=True, dept_code=True)
-    rows = page(c, feed_order(), page_no, page_size)
+    rows = page(c, feed_order(), page_no, page_size, bucket=feed_bucket(), deep_threshold=deep_threshold)
     rows = with_names(rows.withColumn("is_overdue", live_overdue(m)), m, district=False, department=False,
                       mandal=True)
     return (rows.orderBy(*feed_order())

@@ -53,16 +53,43 @@ def global_rank(df: DataFrame, bucket: Column, order: list[Column], name: str =
              .drop("_bucket", "_offset"))
 
 
-def page(df: DataFrame, order: list[Column], page_no: int, page_size: int) -> DataFrame:
+DEEP_PAGE_ROWS = 10_000
+
+
+def page(df: DataFrame, order: list[Column], page_no: int, page_size: int, bucket: Column | None = None,
+         deep_threshold: int = DEEP_PAGE_ROWS) -> DataFrame:
     """LIMIT page_size OFFSET (page_no - 1) * page_size under a total order.
 
-    Page 1 plans as TakeOrderedAndProject (a per-task top-k, then a merge of
-    k rows per task).  Later pages keep the same shape with k = offset + size
-    and drop the first ``offset`` rows; very deep pages should use
-    ``global_rank`` and a range filter instead.
+    Shallow pages plan as TakeOrderedAndProject: a per-task top-k of
+    offset + size rows, merged in one task - cheap while that is small.
+    Past ``deep_threshold`` rows (and given an order-preserving ``bucket``)
+    the page is cut from the two-level global rank instead, so no task holds
+    more than one bucket's rows however deep the page is.
     """
     if page_no < 1:
         raise ValueError("page must be >= 1")
     offset = (page_no - 1) * page_size
+    if bucket is not None and offset + page_size > deep_threshold:
+        ranked = global_rank(df, bucket, order, "_pos")
+        return ranked.filter((F.col("_pos") > offset) & (F.col("_pos") <= offset + page_size)).drop("_pos")
     top = df.orderBy(*order).limit(offset + page_size)
     return top.offset(offset) if offset else top
+
+
+LONG_MIN = -(2 ** 63)
+LONG_MAX = 2 ** 63 - 1
+
+
+def desc_key(c: Column, nulls_first: bool = True) -> Column:
+    """An ascending sort key equal to ordering ``c`` descending (NULL first or last)."""
+    return F.coalesce(-c.cast("long"), F.lit(LONG_MIN if nulls_first else LONG_MAX))
+
+
+def asc_key(c: Column, nulls_first: bool = False) -> Column:
+    return F.coalesce(c.cast("long"), F.lit(LONG_MIN if nulls_first else LONG_MAX))
+
+
+def day_number(ts: Column) -> Column:
+    """Whole days since the epoch (timestamp_ntz), an order-preserving coarsening of ``ts``."""
+    return F.floor(F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts)
+                   / F.lit(86400))

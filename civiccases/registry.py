@@ -194,6 +194,10 @@ QUERIES: dict[str, Query] = {
     "case_file": _with_model(lookups.case_file_summary),
     "public_feed": _with_model(lookups.public_feed),
     "public_feed_page2": _with_model(lambda m: lookups.public_feed(m, district_id=3, page_no=2)),
+    # deep pages through the two-level rank (threshold 0 forces that path at fixture size)
+    "public_feed_deep_page": _with_model(lambda m: lookups.public_feed(m, page_no=150, deep_threshold=0)),
+    "officer_queue_deep_page": _with_model(
+        lambda m: lookups.officer_queue(m, role="admin", page_no=400, deep_threshold=0)),
     "recent_activity": _with_model(lookups.recent_activity),
     "top_issues": _with_model(lookups.top_issues),
     "upvote_status": _upvote_pairs,
