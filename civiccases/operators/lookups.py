@@ -50,8 +50,25 @@ def mandals_by_district(m: Model, district_id: int | None = None) -> DataFrame:
 
 
 def active_departments(m: Model) -> DataFrame:
-    return (m.departments.filter(F.col("is_active"))
-             .select("id", "name", "name_te", "code", "sla_days").orderBy("name", "id"))
+    """Active departments by name, with the number of active officers serving each.
+
+    The staff count is a partial aggregate over the officers table (one row
+    per department and map task), joined to the bounded department list.
+    """
+    staff = (m.officers.filter(F.col("is_active")).groupBy(F.col("department_id").alias("_dep"))
+             .agg(F.count(F.lit(1)).alias("_n")))
+    deps = m.departments.filter(F.col("is_active")).select("id", "name", "name_te", "code", "sla_days")
+    return (deps.join(staff, F.col("id") == F.col("_dep"), "left")
+                .select("id", "name", "name_te", "code", "sla_days",
+                        F.coalesce(F.col("_n"), F.lit(0)).cast("long").alias("active_officers"))
+                .orderBy("name", "id"))
+
+
+def seed_usage(m: Model, seed: DataFrame) -> DataFrame:
+    """SRC-02 check against the data: every seed department with the complaints filed to it."""
+    per = m.complaints.groupBy(F.col("department_id").alias("_dep")).agg(F.count(F.lit(1)).alias("_n"))
+    return (F.broadcast(seed).join(per, F.col("id") == F.col("_dep"), "left")
+             .select(*seed.columns, F.coalesce(F.col("_n"), F.lit(0)).cast("long").alias("n_complaints")))
 
 
 # ------------------------------------------------------------------ Q-04 / Q-05

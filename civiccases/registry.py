@@ -175,7 +175,7 @@ def _bundle(spark, sf_dir):
 QUERIES: dict[str, Query] = {
     # sources
     "load_model": load_model_counts,
-    "seed_departments": lambda spark, sf_dir: seed_departments(spark),
+    "seed_departments": lambda spark, sf_dir: lookups.seed_usage(_model(spark, sf_dir), seed_departments(spark)),
     "write_snapshot": _snapshot_round_trip,
     "append_outbox": _outbox_replay,
     # lookups
