@@ -87,6 +87,19 @@ def hash_identity(accepted: DataFrame, salt: str = "") -> DataFrame:
     return latest.select(F.col("caller_id").alias("citizen_id"), identity_hash("_aadhaar", salt).alias("aadhaar_hash"))
 
 
+def apply_identity(m: Model, updates: DataFrame) -> DataFrame:
+    """The next citizens snapshot: each updated citizen's ``aadhaar_hash`` replaced (J-05).
+
+    ``updates`` holds at most one row per citizen (``hash_identity`` keeps the
+    latest), so the left join cannot multiply citizens.
+    """
+    u = updates.select(F.col("citizen_id").alias("_cid"), F.col("aadhaar_hash").alias("_hash"))
+    return (m.citizens.join(u, F.col("id") == F.col("_cid"), "left")
+                      .withColumn("aadhaar_hash", F.when(F.col("_cid").isNotNull(), F.col("_hash"))
+                                  .otherwise(F.col("aadhaar_hash")))
+                      .drop("_cid", "_hash"))
+
+
 def anonymise(requests: DataFrame) -> DataFrame:
     anonymous = F.coalesce(F.col("is_anonymous") == F.lit("true"), F.lit(False))
     return (requests.withColumn("citizen_id", F.when(anonymous, F.lit(None).cast("long"))

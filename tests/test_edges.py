@@ -286,3 +286,14 @@ def test_anonymous_filing_and_messages(spark):
     assert len(msgs) == 1 and "AP-2024-D01-00001" in msgs[0]["message"]
     assert res.outbox.first()["citizen_id"] == 5
     assert res.citizen_updates.first()["aadhaar_hash"] is not None
+
+
+def test_identity_hash_updates_citizen(spark):
+    import hashlib
+    m = make_model(spark, citizens=[dict(id=5, name="a", phone="9000000005"), dict(id=6, name="b", phone="9000000006")])
+    req = spark.createDataFrame([(1, 5, "111122223333", D(2024, 1, 1)), (2, 5, "444455556666", D(2024, 1, 2)),
+                                 (3, 6, "", D(2024, 1, 1))],
+                                "request_id long, caller_id long, aadhaar string, ts timestamp_ntz")
+    upd = intake.hash_identity(req)
+    got = {r["id"]: r["aadhaar_hash"] for r in intake.apply_identity(m, upd).collect()}
+    assert got == {5: hashlib.sha256(b"444455556666").hexdigest(), 6: None}
