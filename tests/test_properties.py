@@ -108,3 +108,19 @@ def test_scan_prunes_columns(model):
     df = reports.public_totals(model)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "o_totalprice" not in plan and "text" not in plan.split("documents")[0]
+
+
+def test_rate_limit_first_k_is_pruned(spark):
+    from civiccases.operators import timing
+    v = timing.rate_limit_verdicts(adapter.client_requests(spark, SF), timing.TEST_RATE_LIMITS)
+    v.collect()
+    assert "WindowGroupLimit" in _plan(v)
+
+
+def test_deep_page_has_no_single_task_window_over_rows(model):
+    df = lookups.public_feed(model, page_no=40, deep_threshold=0)
+    df.collect()
+    lines = _plan(df).splitlines()
+    for i, line in enumerate(lines):
+        if "SinglePartition" in line and "Exchange" in line:
+            assert "HashAggregate" in lines[i + 1], "\n".join(lines)
