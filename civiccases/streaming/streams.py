@@ -68,6 +68,15 @@ def read_stream(spark: SparkSession, path: str, schema, files_per_trigger: int =
                  .parquet(path))
 
 
+ROCKSDB_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def use_rocksdb_state(spark: SparkSession) -> None:
+    """transformWithState needs the RocksDB state store (several column families per key);
+    the default HDFS-backed provider refuses it.  Session-level, set before the query starts."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB_PROVIDER)
+
+
 def _await(query) -> None:
     query.awaitTermination()
     if query.exception() is not None:
@@ -131,6 +140,7 @@ def rolling_activity_stream(spark: SparkSession, source: str, schema, root: str,
 # ------------------------------------------------------------------ R-05
 
 def code_verification_stream(spark: SparkSession, source: str, schema, root: str, ttl_seconds: int) -> DataFrame:
+    use_rocksdb_state(spark)
     s = read_stream(spark, source, schema).withColumn("ts", F.col("ts").cast("timestamp"))
     verdicts = (s.groupBy("phone")
                  .transformWithStateInPandas(statefulProcessor=CodeVerifier(ttl_seconds),
@@ -147,6 +157,7 @@ def code_verification_stream(spark: SparkSession, source: str, schema, root: str
 def upvote_stream(spark: SparkSession, m: Model, source: str, schema, root: str,
                   threshold: int = COMMUNITY_THRESHOLD) -> DataFrame:
     """Per vote: reason (NULL = counted), count after it, whether it crossed the threshold."""
+    use_rocksdb_state(spark)
     nums = m.complaints.select(F.col("id").alias("complaint_id"), F.col("complaint_no").alias("_no"))
     s = (read_stream(spark, source, schema).withColumn("ts", F.col("ts").cast("timestamp"))
          .join(nums, F.col("complaint_no") == F.col("_no"), "left")           # stream-static join
