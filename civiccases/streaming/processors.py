@@ -62,29 +62,41 @@ class CodeVerifier(StatefulProcessor):
 class VoteCounter(StatefulProcessor):
     """Per complaint: voters for ever (MapState, no TTL), count and priority (ValueState).
 
-    Initial state: the stored votes and the snapshot's count and priority.
-    A vote that takes a 'normal' complaint to >= threshold raises it to
-    'high' once (``crossed``).
+    Initial state holds only the stored voters; the stored count and the
+    priority arrive on each vote row (stream-static join) and seed the
+    ValueState the first time a complaint is seen.  A vote that takes a
+    'normal' complaint to >= threshold raises it to 'high' once (``crossed``).
+    Votes for unknown numbers (``unknown_key``) are rejected without state.
     """
 
-    def __init__(self, threshold: int = 10):
+    def __init__(self, threshold: int = 10, unknown_key: int = -1):
         self.threshold = threshold
+        self.unknown_key = unknown_key
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.voters = handle.getMapState("voters", "voter_ip string", "seen boolean")
         self.info = handle.getValueState("info", "upvote_count int, priority string")
 
     def handleInitialState(self, key, initialState, timerValues) -> None:
-        rows = initialState
-        first = rows.iloc[0]
-        base = 0 if pd.isna(first["base_count"]) else int(first["base_count"])
-        self.info.update((base, first["priority"]))
-        for voter in rows["voter_ip"].dropna().unique():
+        for voter in initialState["voter_ip"].dropna().unique():
             self.voters.updateValue((str(voter),), (True,))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows), ignore_index=True).sort_values(["ts", "vote_id"], kind="stable")
-        count, priority = self.info.get() if self.info.exists() else (0, None)
+        n = len(batch)
+        if int(key[0]) == self.unknown_key:
+            yield pd.DataFrame({"vote_id": batch["vote_id"].astype("int64"),
+                                "complaint_id": batch["complaint_id"].astype("int64"),
+                                "reason": ["Complaint not found"] * n,
+                                "upvote_count": pd.Series([None] * n, dtype="Int32"),
+                                "crossed": [False] * n, "ts": batch["ts"]})
+            return
+        if self.info.exists():
+            count, priority = self.info.get()
+        else:
+            first = batch.iloc[0]
+            count = None if pd.isna(first["base_count"]) else first["base_count"]
+            priority = None if pd.isna(first["priority"]) else first["priority"]
         count = int(count or 0)
         reasons, counts, crossed = [], [], []
         for voter in batch["voter_ip"]:

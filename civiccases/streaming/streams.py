@@ -68,6 +68,7 @@ def read_stream(spark: SparkSession, path: str, schema, files_per_trigger: int =
                  .parquet(path))
 
 
+UNKNOWN_KEY = -1          # votes for numbers that match no complaint (rejected without state)
 ROCKSDB_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -158,26 +159,23 @@ def upvote_stream(spark: SparkSession, m: Model, source: str, schema, root: str,
                   threshold: int = COMMUNITY_THRESHOLD) -> DataFrame:
     """Per vote: reason (NULL = counted), count after it, whether it crossed the threshold."""
     use_rocksdb_state(spark)
-    nums = m.complaints.select(F.col("id").alias("complaint_id"), F.col("complaint_no").alias("_no"))
+    # stream-static join: each vote brings its complaint's id, stored count and priority
+    info = m.complaints.select(F.col("id").alias("complaint_id"), F.col("complaint_no").alias("_no"),
+                               F.col("upvote_count").alias("base_count"), "priority")
     s = (read_stream(spark, source, schema).withColumn("ts", F.col("ts").cast("timestamp"))
-         .join(nums, F.col("complaint_no") == F.col("_no"), "left")           # stream-static join
-         .withColumn("complaint_id", F.coalesce(F.col("complaint_id"), F.lit(-1).cast("long")))
-         .select("vote_id", "complaint_id", "voter_ip", "ts"))
+         .join(info, F.col("complaint_no") == F.col("_no"), "left")
+         .withColumn("complaint_id", F.coalesce(F.col("complaint_id"), F.lit(UNKNOWN_KEY).cast("long")))
+         .select("vote_id", "complaint_id", "voter_ip", "ts", "base_count", "priority"))
+    # initial state: only the stored voters (it grows with votes, not with complaints)
     stored = m.upvotes.select("complaint_id", "voter_ip")
-    init = (m.complaints.select(F.col("id").alias("complaint_id"), F.col("upvote_count").alias("base_count"),
-                                "priority")
-            .join(stored, "complaint_id", "left"))
     verdicts = (s.groupBy("complaint_id")
-                 .transformWithStateInPandas(statefulProcessor=VoteCounter(threshold), outputStructType=VOTE_OUTPUT,
-                                             outputMode="Append", timeMode="None",
-                                             initialState=init.groupBy("complaint_id")))
+                 .transformWithStateInPandas(statefulProcessor=VoteCounter(threshold, UNKNOWN_KEY),
+                                             outputStructType=VOTE_OUTPUT, outputMode="Append", timeMode="None",
+                                             initialState=stored.groupBy("complaint_id")))
     q = (verdicts.writeStream.format("parquet").option("path", f"{root}/out")
          .option("checkpointLocation", f"{root}/ckpt").trigger(availableNow=True).start())
     _await(q)
-    out = spark.read.schema(VOTE_OUTPUT).parquet(f"{root}/out").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
-    # unknown numbers were keyed to -1 and have no state
-    return out.withColumn("reason", F.when(F.col("complaint_id") == -1, F.lit("Complaint not found"))
-                          .otherwise(F.col("reason")))
+    return spark.read.schema(VOTE_OUTPUT).parquet(f"{root}/out").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
 # ------------------------------------------------------------------ R-01
