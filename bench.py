@@ -18,8 +18,8 @@ import json
 import os
 import statistics
 import sys
-import tempfile
 import time
+import uuid
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
 from civiccases.operators import intake, lifecycle, lookups, quality, reports, timing, votes  # noqa: E402
-from civiccases.session import ensure_checkpoint_dir, get_spark  # noqa: E402
+from civiccases.session import ensure_checkpoint_dir, get_spark, scratch_path  # noqa: E402
 from civiccases.sources import adapter, sinks  # noqa: E402
 from civiccases.sources.model import load_model  # noqa: E402
 
@@ -54,8 +54,9 @@ def timed(make) -> float:
 
 def main() -> None:
     spark = get_spark(master=f"local[{CPUS}]", app="civiccases-bench", shuffle_partitions=CPUS * 2)
-    base = ensure_checkpoint_dir(spark)
-    work = tempfile.mkdtemp(prefix="bench-", dir=base if base.startswith("/") else None)
+    ensure_checkpoint_dir(spark)
+    # inputs and snapshot go under the shared checkpoint folder, never a machine-local temp dir
+    work = scratch_path(spark, f"bench-{uuid.uuid4().hex[:12]}")
 
     t0 = time.perf_counter()
     raw = adapter.load_testdata_model(spark, SF_DIR)
