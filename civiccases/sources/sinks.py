@@ -20,17 +20,21 @@ from civiccases.sources.model import SCHEMAS, TABLES, Model
 
 def write_snapshot(m: Model, out_dir: str, files_hint: int | None = None) -> str:
     """Write every table of the snapshot under ``out_dir`` (a new folder per snapshot)."""
-    spark = m.complaints.sparkSession
-    n = files_hint or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Without a file count the range exchange is left to AQE, which coalesces
+    # neighbouring ranges up to the advisory partition size: few files for a
+    # small table, many evenly sized ones for a large one.
+    def by_range(df, *cols):
+        return df.repartitionByRange(files_hint, *cols) if files_hint else df.repartitionByRange(*cols)
+
     for name in TABLES:
         df = getattr(m, name).select(*[f.name for f in SCHEMAS[name]])
         if name == "complaints":
-            (df.withColumn("created_year", F.year("created_at"))
-               .repartitionByRange(n, "created_year", "district_id", "department_id", "id")
+            (by_range(df.withColumn("created_year", F.year("created_at")),
+                      "created_year", "district_id", "department_id", "id")
                .sortWithinPartitions("district_id", "department_id", "status", "created_at")
                .write.mode("overwrite").partitionBy("created_year").parquet(f"{out_dir}/{name}"))
         elif name in ("timeline", "attachments", "notifications"):
-            (df.repartitionByRange(n, "complaint_id", "id").sortWithinPartitions("complaint_id", "id")
+            (by_range(df, "complaint_id", "id").sortWithinPartitions("complaint_id", "id")
                .write.mode("overwrite").parquet(f"{out_dir}/{name}"))
         else:
             df.write.mode("overwrite").parquet(f"{out_dir}/{name}")
