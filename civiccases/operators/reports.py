@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from civiccases.functions.expr import pct, round1, sum_if, ts_lit
-from civiccases.operators.common import department_dim, district_dim, live_overdue
+from civiccases.operators.common import district_dim, live_overdue
 from civiccases.sources.model import Model
 
 # Measures of the shared (district, department) pre-aggregate.  Each is a

@@ -54,11 +54,6 @@ def _filing(spark, sf_dir):
                                      adapter.upload_requests(spark, sf_dir))
 
 
-def _checked_filings(spark, sf_dir):
-    m = _model(spark, sf_dir)
-    return intake._checked(m, adapter.filing_requests(spark, sf_dir), adapter.upload_requests(spark, sf_dir))
-
-
 def _status(spark, sf_dir):
     m = _model(spark, sf_dir)
     return m, lifecycle.apply_status_updates(m, adapter.status_updates(spark, sf_dir))
