@@ -297,3 +297,19 @@ def test_identity_hash_updates_citizen(spark):
     upd = intake.hash_identity(req)
     got = {r["id"]: r["aadhaar_hash"] for r in intake.apply_identity(m, upd).collect()}
     assert got == {5: hashlib.sha256(b"444455556666").hexdigest(), 6: None}
+
+
+def test_case_file_nested_and_empty(spark):
+    t = D(2024, 1, 1)
+    m = make_model(spark, complaints=[complaint(id=1), complaint(id=2)],
+                   officers=[dict(id=7, name="Officer Seven", email="o7@x")],
+                   attachments=[dict(id=11, complaint_id=1, file_url="b", file_type="pdf", uploaded_at=t + timedelta(hours=2)),
+                                dict(id=10, complaint_id=1, file_url="a", file_type="image", uploaded_at=t)],
+                   timeline=[dict(id=2, complaint_id=1, status="resolved", updated_by=7, created_at=t + timedelta(days=1)),
+                             dict(id=1, complaint_id=1, status="submitted", created_at=t)])
+    ids = spark.createDataFrame([(1,), (2,)], "id long")
+    got = {r["complaint"]["id"]: r for r in lookups.case_file(m, ids).collect()}
+    assert [a["file_url"] for a in got[1]["attachments"]] == ["a", "b"]
+    assert [(e["status"], e["updated_by"]) for e in got[1]["timeline"]] == [("submitted", None),
+                                                                           ("resolved", "Officer Seven")]
+    assert got[2]["attachments"] == [] and got[2]["timeline"] == []
