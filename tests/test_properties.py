@@ -124,3 +124,20 @@ def test_deep_page_has_no_single_task_window_over_rows(model):
     for i, line in enumerate(lines):
         if "SinglePartition" in line and "Exchange" in line:
             assert "HashAggregate" in lines[i + 1], "\n".join(lines)
+
+
+def test_snapshot_layout_serves_filters(spark, model):
+    from pyspark.sql import functions as F
+
+    from civiccases.sources import sinks
+    from civiccases.sources.model import load_model
+    from civiccases.streaming.streams import run_dir
+
+    out = sinks.write_snapshot(model, run_dir(spark, "test-snapshot"))
+    back = load_model(spark, out, model.as_of)
+    by_district = back.complaints.filter(F.col("district_id") == 3)
+    assert "district_id,3" in _plan(by_district).replace(" ", "") or "EqualTo(district_id,3)" in _plan(by_district)
+    by_year = spark.read.parquet(f"{out}/complaints").filter(F.col("created_year") == 1997)
+    plan = _plan(by_year)
+    assert "PartitionFilters: [isnotnull(created_year" in plan and "= 1997" in plan
+    assert by_year.count() == model.complaints.filter(F.year("created_at") == 1997).count()
