@@ -151,7 +151,8 @@ def officer_queue_all(m: Model, page_size: int = PAGE_SIZE) -> DataFrame:
     """
     w = Window.partitionBy("department_id").orderBy(*queue_order())
     ranked = (_queue_rows(m).withColumn("queue_pos", F.row_number().over(w))
-              .filter(F.col("queue_pos") <= page_size))
+              .filter(F.col("queue_pos") <= page_size)
+              .withColumn("queue_pos", F.col("queue_pos").cast("long")))
     out = _queue_people(m, ranked)
     return out.select("department_id", "queue_pos", *QUEUE_COLUMNS, F.col("assigned_to_name").alias("assigned_to"))
 

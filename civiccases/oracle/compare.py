@@ -1,7 +1,7 @@
 """Order-insensitive comparison of a Spark result with a DuckDB oracle result.
 
-Row count, column names (sorted) and a digest of the normalised rows, as the
-driver's correctness gate does.
+Column names and types, row count and a digest of the normalised rows
+(order-insensitive), as the driver's correctness gate does.
 """
 
 from __future__ import annotations
@@ -52,8 +52,24 @@ def duckdb_connection(sf_dir: str):
     return con
 
 
+def duck_type(dt) -> str:
+    """The DuckDB type name a Spark result column must match."""
+    from pyspark.sql import types as T
+    names = {T.LongType: "BIGINT", T.IntegerType: "INTEGER", T.StringType: "VARCHAR", T.DoubleType: "DOUBLE",
+             T.BooleanType: "BOOLEAN", T.TimestampNTZType: "TIMESTAMP", T.TimestampType: "TIMESTAMP WITH TIME ZONE"}
+    if isinstance(dt, T.DecimalType):
+        return f"DECIMAL({dt.precision},{dt.scale})"
+    return names.get(type(dt), dt.simpleString().upper())
+
+
 def compare(df, con, sql: str) -> tuple[bool, str, int]:
     """(equal, message, rows) for a Spark DataFrame against the oracle statement."""
+    s_types = {f.name: duck_type(f.dataType) for f in df.schema.fields}
+    o_types = {r[0]: r[1] for r in con.execute(f"DESCRIBE {sql}").fetchall()}
+    if s_types != o_types:
+        diff = {k: (s_types.get(k), o_types.get(k)) for k in set(s_types) | set(o_types)
+                if s_types.get(k) != o_types.get(k)}
+        return False, f"types differ (spark, oracle): {diff}", -1
     s_cols = df.columns
     s_rows = [tuple(r) for r in df.collect()]
     res = con.execute(sql)
