@@ -34,14 +34,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Keeps the document with the smallest doc_id of each component of the n-gram Jaccard join.
 
     Documents without shingles or without doc_id are components of their own;
-    rows that repeat the kept doc_id become one.
+    rows that repeat a kept doc_id with the same text become one.
     """
     ensure_checkpoint_dir(spark)
     grouped = saved(jaccard_join.linked_documents(docs).where("doc_id != component_id")
                     .select(F.col("doc_id").alias("_gone")).distinct(), "gone")
     left = docs.join(grouped, docs["doc_id"] == grouped["_gone"], "left_anti")
-    named = left.where("doc_id is not null").dropDuplicates(["doc_id"])
-    return named.unionByName(left.where("doc_id is null"))
+    repeated = saved(docs.where("doc_id is not null").groupBy(F.col("doc_id").alias("_twice")).count()
+                     .where("count > 1").select("_twice"), "repeated")
+    again = left["doc_id"] == repeated["_twice"]
+    return (left.join(repeated, again, "left_anti")
+            .unionByName(left.join(repeated, again, "left_semi").dropDuplicates(["doc_id", "text"])))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
