@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from civiccases.llm import (chat, decontaminate, fingerprints, html_extract, jaccard_join, language_id, licenses,
-                            packing, url_filter)
+                            packing, suffix_dedup, url_filter)
 from civiccases.llm.common import table
 from civiccases.llm.sql import SQL
 from civiccases.session import ensure_checkpoint_dir
@@ -34,6 +34,10 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_table(table(spark, sf_dir, "documents"))
 
 
+def op5_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeat_table(table(spark, sf_dir, "documents"))
+
+
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.linked_messages(table(spark, sf_dir, "conversations"))
 
@@ -54,7 +58,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"))
 
 
-OPERATORS = [op1_best_fit_packing, op2_license_scan, op3_decontamination, op4_fingerprints,
+OPERATORS = [op1_best_fit_packing, op2_license_scan, op3_decontamination, op4_fingerprints, op5_repeated_passages,
              op6_chat_format, op7_main_text, op8_jaccard_join, op9_language, op10_url_filter]
 
 

@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from civiccases.llm import decontaminate, jaccard_join, language_id, packing
+from civiccases.llm import decontaminate, jaccard_join, language_id, packing, suffix_dedup
 from civiccases.llm.common import saved, table
 from civiccases.session import ensure_checkpoint_dir
 
@@ -47,6 +47,23 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
             .unionByName(left.join(repeated, again, "left_semi").dropDuplicates(["doc_id", "text"])))
 
 
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts passages of 400 bytes and more that occur earlier in the corpus; the first copy stays.
+
+    ``n_chars`` follows the text.  A document of which nothing but white space
+    is left goes; one that loses nothing stays as it is.
+    """
+    ensure_checkpoint_dir(spark)
+    lost = saved(suffix_dedup.removals(docs, keep_first=True).select("id", "key", "kept_text"), "removals")
+    marked = suffix_dedup.with_identity(docs)
+    kept = marked.join(lost, ["id", "key"], "left")
+    changed = F.col("kept_text").isNotNull()
+    return (kept.where(~changed | (F.trim(F.regexp_replace("kept_text", r"\s+", " ")) != ""))
+            .withColumns({"text": F.coalesce("kept_text", "text"),
+                          "n_chars": F.when(changed, F.length("kept_text")).otherwise(F.col("n_chars"))})
+            .select(*docs.columns))
+
+
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a benchmark item."""
     ensure_checkpoint_dir(spark)
@@ -59,7 +76,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, public_tokenizers.path(TOKENIZER))
 
 
-STAGES = [("language", language), ("near_duplicates", near_duplicates),
+STAGES = [("language", language), ("near_duplicates", near_duplicates), ("repeated_passages", repeated_passages),
           ("decontaminated", decontaminated), ("packed", packed)]
 
 #: no SQL: tokenizer, classifier and suffix arrays; tests compare with brute force
