@@ -13,10 +13,11 @@ similarity of ``threshold`` or more.  Steps:
    block of candidates, with the inverted lists of the block.  DivideSkip: the
    longest lists are set aside, the short ones are merged with a heap that skips
    candidates which cannot reach T - L, the long ones are probed by binary search.
+   Before that, pairs that share too few lists to reach T are dropped.
 4. A list of n documents is not expanded to n * n pairs.  First each document
-   meets one document of its list (twice, with different ones); linked documents
-   get a common label.  Only pairs of different labels are expanded after that.
-   A pair that is left out lies within a label, so no component changes.
+   meets the first and the last document of its lists; linked documents get a
+   common label.  Only pairs of different labels are expanded after that.  A pair
+   that is left out lies within a label, so no component changes.
 5. Components by repeated minimum labels with pointer jumping.
 
 Shingles are 64-bit hashes.  A class of a third of all rows is one row after
@@ -248,6 +249,21 @@ def _search_batches(batches: Iterator[pa.RecordBatch], width: int, percent: int)
         yield send()
 
 
+def candidates(met: DataFrame, percent: int, share: float = 1.0) -> DataFrame:
+    """Distinct pairs (a, b) that can still link, from one row (a, a_n, b, b_n) for each list that they share.
+
+    A link needs overlap T.  Whichever prefix ends first in the global order,
+    what that set shares with the other lies in both prefixes or behind its own
+    prefix, where it has least_overlap - 1 shingles; so the pair shares at least
+    T - (the greater least_overlap) + 1 lists.  ``share`` asks for that part of it.
+    """
+    sizes = [F.ceil(F.col(n) * F.lit(percent) / 100.0 - 1e-9) for n in ("a_n", "b_n")]
+    need = F.ceil((F.col("a_n") + F.col("b_n")) * F.lit(percent) / F.lit(100.0 + percent) - 1e-9) - F.greatest(*sizes) + 1
+    near = F.least("a_n", "b_n") * 100 >= percent * F.greatest("a_n", "b_n")
+    return (met.where(near).groupBy("a", "b", "a_n", "b_n").agg(F.count(F.lit(1)).alias("lists"))
+            .where(F.col("lists") >= need * share).select("a", "b").distinct())
+
+
 def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int, name: str) -> DataFrame:
     """The linked ones among distinct pairs (a, b) of doc_ids, by T-occurrence search from a; stored."""
     blocks = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
@@ -314,45 +330,32 @@ def linked_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT
 
     alive = rows.where("n > 0 and doc_id is not null")
     classes = alive.groupBy("n", "set_key").agg(F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix"))
-    # the smaller set of a pair shares a shingle in a still shorter prefix
-    first = F.col("n") - F.ceil(F.col("n") * (2 * percent) / F.lit(100.0 + percent) - 1e-9) + 1
-    listed = (classes.select("rep", "n", first.alias("first"), F.posexplode("prefix").alias("pos", "token"))
-              .select("token", "rep", F.col("n").cast("int").alias("n"), (F.col("pos") < F.col("first")).alias("short")))
-    order = Window.partitionBy("token").orderBy("rep")
-    lists = saved(
-        listed.withColumns({"prev": F.lag("rep").over(order), "next": F.lead("rep").over(order),
-                            "star": F.first("rep").over(order), "star_n": F.first("n").over(order)})
-        .where("prev is not null or next is not null").drop("prev", "next"), "lists")
-
+    listed = classes.select("rep", F.col("n").cast("int").alias("n"), F.explode("prefix").alias("token"))
+    by_token = Window.partitionBy("token")
+    entry = F.struct("rep", "n")
+    lists = saved(listed.withColumns({"low": F.min(entry).over(by_token), "high": F.max(entry).over(by_token)})
+                  .where("low.rep != high.rep"), "lists")
     texts = saved(docs.where(F.col("doc_id").isNotNull())
                   .join(lists.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), "texts")
-    near = f"least(n, star_n) * 100 >= {percent} * greatest(n, star_n)"
-    pairs = (lists.where(f"rep != star and {near}").select(F.col("star").alias("a"), F.col("rep").alias("b"))
-             .distinct())
-    linked = verified(pairs, texts, width, percent, "links")
-
-    def mixed(links: DataFrame) -> DataFrame:
-        """The lists that hold more than one label."""
-        labelled = (lists.join(quick_labels(links, 2).withColumnRenamed("node", "rep"), "rep", "left")
-                    .withColumn("label", F.coalesce("label", "rep")))
-        several = (labelled.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"),
-                                                 F.max("rep").alias("other"))
-                   .where("lo != hi").select("token", "other"))
-        return labelled.join(several, "token")
-
-    left = saved(mixed(linked), "mixed")
-    sizes = left.select(F.col("rep").alias("other"), F.col("n").alias("other_n"), "token")
-    second = (left.where("rep != other").join(sizes, ["token", "other"])
-              .where(f"least(n, other_n) * 100 >= {percent} * greatest(n, other_n)")
-              .select(F.col("other").alias("a"), F.col("rep").alias("b")).distinct())
-    linked = linked.unionByName(verified(second, texts, width, percent, "links"))
-
-    left = saved(mixed(linked).select("token", "rep", "n", "short", "label"), "mixed")
+
+    # each document with the first and the last one of its lists; a pair's lists are counted in part, so half will do
+    ends = lists.select("rep", "n", F.explode(F.array("low", "high")).alias("end")).where("rep != end.rep")
+    linked = verified(candidates(ends.select(F.col("end.rep").alias("a"), F.col("end.n").alias("a_n"),
+                                             F.col("rep").alias("b"), F.col("n").alias("b_n")), percent, 0.5),
+                      texts, width, percent, "links")
+
+    # all pairs of different labels
+    labelled = (lists.select("token", "rep", "n").join(quick_labels(linked, 2).withColumnRenamed("node", "rep"), "rep", "left")
+                .withColumn("label", F.coalesce("label", "rep")))
+    mixed = (labelled.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+             .where("lo != hi").select("token"))
+    left = saved(labelled.join(mixed, "token"), "mixed")
     x, y = left.alias("x"), left.alias("y")
-    third = (x.join(y, F.expr(f"""x.token = y.token and x.label != y.label and x.short
+    met = x.join(y, F.expr(f"""x.token = y.token and x.label != y.label
                 and (x.n < y.n or x.n = y.n and x.rep < y.rep) and x.n * 100 >= {percent} * y.n"""))
-             .select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct())
-    linked = linked.unionByName(verified(third, texts, width, percent, "links"))
+    rest = candidates(met.select(F.col("x.rep").alias("a"), F.col("x.n").alias("a_n"),
+                                 F.col("y.rep").alias("b"), F.col("y.n").alias("b_n")), percent)
+    linked = linked.unionByName(verified(rest, texts, width, percent, "links"))
 
     labels = components(linked)
     classed = (rows.select("doc_id", "n", "set_key")
