@@ -15,8 +15,10 @@ similarity of ``threshold`` or more.  Steps:
    candidates which cannot reach T - L, the long ones are probed by binary search.
    Before that, pairs that share too few lists to reach T are dropped.
 4. A list of n documents is not expanded to n * n pairs.  First each document
-   meets the first and the last document of its lists; linked documents get a
-   common label.  Only pairs of different labels are expanded after that.  A pair
+   meets the first and the last document of its lists, then the one that is in
+   the most lists; linked documents get a common label.  Only pairs of different
+   labels are expanded after that.  A pair that must share c lists meets in the
+   shortest ones: the c - 1 longest lists of either document are skipped.  A pair
    that is left out lies within a label, so no component changes.
 5. Components by repeated minimum labels with pointer jumping.
 
@@ -35,7 +37,7 @@ from itertools import groupby
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from civiccases.llm.common import saved, python_workers
@@ -249,17 +251,24 @@ def _search_batches(batches: Iterator[pa.RecordBatch], width: int, percent: int)
         yield send()
 
 
-def candidates(met: DataFrame, percent: int, share: float = 1.0) -> DataFrame:
-    """Distinct pairs (a, b) that can still link, from one row (a, a_n, b, b_n) for each list that they share.
+def lists_needed(a_n: Column, b_n: Column, percent: int) -> Column:
+    """The lists that sets of these sizes share at least if they link.
 
     A link needs overlap T.  Whichever prefix ends first in the global order,
     what that set shares with the other lies in both prefixes or behind its own
-    prefix, where it has least_overlap - 1 shingles; so the pair shares at least
-    T - (the greater least_overlap) + 1 lists.  ``share`` asks for that part of it.
+    prefix, where it has least_overlap - 1 shingles.
+    """
+    least = [F.ceil(n * F.lit(percent) / 100.0 - 1e-9) for n in (a_n, b_n)]
+    return F.ceil((a_n + b_n) * F.lit(percent) / F.lit(100.0 + percent) - 1e-9) - F.greatest(*least) + 1
+
+
+def candidates(met: DataFrame, percent: int, share: float = 1.0) -> DataFrame:
+    """Distinct pairs (a, b) that can still link, from one row (a, a_n, b, b_n) for each list that they share.
+
+    ``share``: the part of their lists that the rows are sure to cover.
     """
-    sizes = [F.ceil(F.col(n) * F.lit(percent) / 100.0 - 1e-9) for n in ("a_n", "b_n")]
-    need = F.ceil((F.col("a_n") + F.col("b_n")) * F.lit(percent) / F.lit(100.0 + percent) - 1e-9) - F.greatest(*sizes) + 1
     near = F.least("a_n", "b_n") * 100 >= percent * F.greatest("a_n", "b_n")
+    need = lists_needed(F.col("a_n"), F.col("b_n"), percent)
     return (met.where(near).groupBy("a", "b", "a_n", "b_n").agg(F.count(F.lit(1)).alias("lists"))
             .where(F.col("lists") >= need * share).select("a", "b").distinct())
 
@@ -310,6 +319,35 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def mixed_lists(lists: DataFrame, linked: DataFrame) -> DataFrame:
+    """(token, rep, n, label, lists, place) of the lists that hold more than one label.
+
+    lists: how many of them the rep is in; place: the list's place among these, short lists first.
+    """
+    labels = quick_labels(linked, 2).withColumnRenamed("node", "rep")
+    labelled = (lists.select("token", "rep", "n").join(labels, "rep", "left")
+                .withColumn("label", F.coalesce("label", "rep")))
+    mixed = (labelled.groupBy("token")
+             .agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("length"))
+             .where("lo != hi").select("token", "length"))
+    own = Window.partitionBy("rep")
+    return labelled.join(mixed, "token").select(
+        "token", "rep", "n", "label", F.count(F.lit(1)).over(own).alias("lists"),
+        F.row_number().over(own.orderBy("length", "token")).alias("place"))
+
+
+def hub_pairs(left: DataFrame) -> DataFrame:
+    """Rows (a, a_n, b, b_n): the entries of each list with its hub, where their labels differ.
+
+    The hub is the document in the most lists: an original is in more lists
+    than its edited copies are.
+    """
+    hubs = left.groupBy("token").agg(F.max(F.struct("lists", "rep", "n", "label")).alias("hub"))
+    return (left.join(hubs, "token").where("label != hub.label")
+            .select(F.col("hub.rep").alias("a"), F.col("hub.n").alias("a_n"),
+                    F.col("rep").alias("b"), F.col("n").alias("b_n")))
+
+
 # --- the join ----------------------------------------------------------------------------
 
 def linked_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -344,17 +382,23 @@ def linked_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT
                                              F.col("rep").alias("b"), F.col("n").alias("b_n")), percent, 0.5),
                       texts, width, percent, "links")
 
-    # all pairs of different labels
-    labelled = (lists.select("token", "rep", "n").join(quick_labels(linked, 2).withColumnRenamed("node", "rep"), "rep", "left")
-                .withColumn("label", F.coalesce("label", "rep")))
-    mixed = (labelled.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
-             .where("lo != hi").select("token"))
-    left = saved(labelled.join(mixed, "token"), "mixed")
+    # then with the document of its lists that is in the most lists
+    left = saved(mixed_lists(lists, linked), "mixed")
+    more = candidates(hub_pairs(left), percent, 0.5)
+    linked = saved(linked.unionByName(verified(more, texts, width, percent, "links")).distinct(), "links")
+
+    # then all pairs of different labels, each from its first common lists only
+    left = saved(mixed_lists(lists, linked), "mixed")
     x, y = left.alias("x"), left.alias("y")
-    met = x.join(y, F.expr(f"""x.token = y.token and x.label != y.label
-                and (x.n < y.n or x.n = y.n and x.rep < y.rep) and x.n * 100 >= {percent} * y.n"""))
-    rest = candidates(met.select(F.col("x.rep").alias("a"), F.col("x.n").alias("a_n"),
-                                 F.col("y.rep").alias("b"), F.col("y.n").alias("b_n")), percent)
+    need = lists_needed(F.col("x.n"), F.col("y.n"), percent)
+    met = (x.join(y, F.expr("x.token = y.token and x.label != y.label and (x.n < y.n or x.n = y.n and x.rep < y.rep)")
+                  & (F.col("x.n") * 100 >= F.col("y.n") * percent)
+                  & (F.col("x.place") <= F.col("x.lists") - need + 1) & (F.col("y.place") <= F.col("y.lists") - need + 1))
+           .select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"), need.alias("need")).distinct())
+    own = left.groupBy("rep").agg(F.collect_list("token").alias("tokens"))  # a prefix at most
+    rest = (met.join(own.select(F.col("rep").alias("a"), F.col("tokens").alias("a_tokens")), "a")
+            .join(own.select(F.col("rep").alias("b"), F.col("tokens").alias("b_tokens")), "b")
+            .where(F.size(F.array_intersect("a_tokens", "b_tokens")) >= F.col("need")).select("a", "b"))
     linked = linked.unionByName(verified(rest, texts, width, percent, "links"))
 
     labels = components(linked)
