@@ -110,8 +110,8 @@ def anonymise(requests: DataFrame) -> DataFrame:
 def defaults_and_visibility(requests: DataFrame) -> DataFrame:
     return (requests.withColumn("priority", falsy_default("priority", "normal"))
                     .withColumn("source", falsy_default("source", "web"))
-                    .withColumn("latitude", blank_to_null("latitude").cast("decimal(10,8)"))
-                    .withColumn("longitude", blank_to_null("longitude").cast("decimal(11,8)"))
+                    .withColumn("latitude", blank_to_null("latitude").try_cast("decimal(10,8)"))
+                    .withColumn("longitude", blank_to_null("longitude").try_cast("decimal(11,8)"))
                     .withColumn("address", blank_to_null("address"))
                     .withColumn("is_public", F.coalesce(F.col("department_id").isin(*PUBLIC_DEPARTMENTS),
                                                         F.lit(False))))

@@ -116,10 +116,13 @@ class EscalationResult:
 
 
 def escalation_predicate(m: Model, excluded: list[str] | None = None):
-    """deadline < as_of AND status NOT IN (excluded) AND stored flag = FALSE (NULL is excluded)."""
+    """deadline < as_of AND status NOT IN (excluded) AND stored flag = FALSE (NULL where a part is unknown).
+
+    Plain comparisons, so a filter with it reaches the parquet scan.
+    """
     excluded = excluded or ESCALATION_EXCLUDED
-    return F.coalesce((F.col("sla_deadline") < ts_lit(m.as_of)) & ~F.col("status").isin(*excluded) &
-                      (F.col("is_overdue") == F.lit(False)), F.lit(False))
+    return ((F.col("sla_deadline") < ts_lit(m.as_of)) & ~F.col("status").isin(*excluded) &
+            (F.col("is_overdue") == F.lit(False)))
 
 
 def escalation_candidates(m: Model, excluded: list[str] | None = None) -> DataFrame:
@@ -133,7 +136,7 @@ def escalate_overdue(m: Model, excluded: list[str] | None = None) -> EscalationR
     previous one (no join, no shuffle).  Idempotent: the flag it sets
     excludes the row from the next run.
     """
-    hit = escalation_predicate(m, excluded)
+    hit = F.coalesce(escalation_predicate(m, excluded), F.lit(False))
     cand = escalation_candidates(m, excluded)
     as_of = ts_lit(m.as_of)
     changed = cand.select("id", "complaint_no", F.lit(True).alias("is_overdue"),
@@ -199,13 +202,17 @@ def notification_events(m: Model, filings=None, status: StatusResult | None = No
 # ------------------------------------------------------------------ J-19
 
 def last_seen(m: Model, logins: DataFrame) -> DataFrame:
-    """last_login per citizen and officer: greatest(stored, latest login in the log)."""
+    """last_login per citizen and officer: greatest(stored, latest login in the log).
+
+    Inactive officers are refused at login, so theirs stays.
+    """
     latest = logins.groupBy("actor_type", "actor_id").agg(F.max("ts").alias("_seen"))
 
     def side(df: DataFrame, kind: str) -> DataFrame:
         l = latest.filter(F.col("actor_type") == kind)
-        j = df.select(F.col("id").cast("long").alias("id"), "last_login").join(
-            l, F.col("id") == F.col("actor_id"), "left")
+        admitted = F.col("is_active") if kind == "officer" else F.lit(True)
+        j = df.select(F.col("id").cast("long").alias("id"), "last_login", admitted.alias("_admitted")).join(
+            l, (F.col("id") == F.col("actor_id")) & F.col("_admitted"), "left")
         return j.select(F.lit(kind).alias("actor_type"), "id",
                         F.greatest("last_login", "_seen").alias("last_login"))
 

@@ -85,14 +85,16 @@ def district_summary(m: Model, agg: DataFrame | None = None) -> DataFrame:
     names = ["total", "resolved", "in_progress", "overdue"]
     df = _by_district(m, names, agg)
     return df.select("district_id", "district", "district_code", *names,
-                     pct(F.col("resolved"), F.col("total")).alias("resolution_pct"))
+                     pct(F.col("resolved"), F.col("total")).alias("resolution_pct")
+                     ).orderBy(F.desc("total"), "district_id")
 
 
 def cm_by_district(m: Model, agg: DataFrame | None = None) -> DataFrame:
     names = ["total", "resolved", "overdue", "emergency"]
     df = _by_district(m, names, agg)
     return df.select("district_id", "district", "district_code", *names,
-                     pct(F.col("resolved"), F.col("total")).alias("resolution_pct"))
+                     pct(F.col("resolved"), F.col("total")).alias("resolution_pct")
+                     ).orderBy(F.desc("total"), "district_id")
 
 
 # ---------------------------------------------------------------- A-03 / A-07 / A-08
@@ -103,8 +105,7 @@ def _by_department(m: Model, names: list[str], agg: DataFrame | None = None, act
     deps = m.departments
     if active_only:
         deps = deps.filter(F.col("is_active"))
-    dims = F.broadcast(deps.select(F.col("id").alias("_dep_id"), F.col("name").alias("department"),
-                                   "code", "sla_days"))
+    dims = deps.select(F.col("id").alias("_dep_id"), F.col("name").alias("department"), "code", "sla_days")
     how = "inner" if with_complaints_only else "left"
     joined = dims.join(per, F.col("_dep_id") == F.col("department_id"), how).drop("department_id")
     return _fill0(joined.withColumnRenamed("_dep_id", "department_id"),
@@ -115,14 +116,16 @@ def dept_summary(m: Model, agg: DataFrame | None = None) -> DataFrame:
     names = ["total", "resolved", "overdue", "done_secs", "done_n"]
     df = _by_department(m, names, agg)
     return df.select("department_id", "department", "code", "sla_days", "total", "resolved", "overdue",
-                     _avg_days("done_secs", "done_n").alias("avg_resolution_days"))
+                     _avg_days("done_secs", "done_n").alias("avg_resolution_days")
+                     ).orderBy(F.desc("total"), "department_id")
 
 
 def cm_by_department(m: Model, agg: DataFrame | None = None) -> DataFrame:
     names = ["total", "resolved", "overdue"]
     df = _by_department(m, names, agg, active_only=True)
     return df.select("department_id", "department", "code", "sla_days", *names,
-                     pct(F.col("resolved"), F.col("total")).alias("resolution_pct"))
+                     pct(F.col("resolved"), F.col("total")).alias("resolution_pct")
+                     ).orderBy(F.desc("total"), "department_id")
 
 
 def sla_performance(m: Model, agg: DataFrame | None = None) -> DataFrame:

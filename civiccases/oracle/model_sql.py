@@ -13,6 +13,9 @@ import re
 from civiccases.sources import adapter as A
 from civiccases.sources.model import SEED_DEPARTMENTS
 
+# any complaint for every fourth event, one of a thirtieth of them for the others
+VOTE_TARGET = ("(CASE WHEN event_id % 4 = 0 THEN (event_id * 7 + user_id) % greatest((SELECT count(*) FROM orders), 1) "
+               "ELSE (event_id * 7 + user_id) % greatest((SELECT count(*) FROM orders) // 30, 1) END)")
 AS_OF = "TIMESTAMP '2001-08-01 12:00:00'"
 VOTE_CUTOFF = "TIMESTAMP '2024-01-16 00:00:00'"
 
@@ -67,8 +70,8 @@ CTES: dict[str, str] = {
         {_pick('s_suppkey % 4', A.OFFICER_ROLES)} AS role, s_suppkey % 9 <> 0 AS is_active,
         CAST(NULL AS TIMESTAMP) AS created_at, CAST(NULL AS TIMESTAMP) AS last_login FROM supplier""",
     "upvotes": f"""SELECT event_id AS id, complaint_id, voter_ip, ts AS voted_at FROM (
-        SELECT event_id, ts, (event_id * 7 + user_id) % 500 AS complaint_id, 'v' || CAST(user_id AS VARCHAR) AS voter_ip,
-               row_number() OVER (PARTITION BY (event_id * 7 + user_id) % 500, user_id ORDER BY ts, event_id) AS rn
+        SELECT event_id, ts, {VOTE_TARGET} AS complaint_id, 'v' || CAST(user_id AS VARCHAR) AS voter_ip,
+               row_number() OVER (PARTITION BY {VOTE_TARGET}, user_id ORDER BY ts, event_id) AS rn
         FROM events WHERE event_type IN ('click', 'view') AND ts < {VOTE_CUTOFF}) v WHERE rn = 1""",
     "complaint_base": f"""SELECT o.o_orderkey AS id, o.o_custkey, o.o_orderdate, o.o_orderpriority,
         c.c_nationkey, c.c_mktsegment, o.o_orderstatus,
@@ -112,7 +115,7 @@ CTES: dict[str, str] = {
         CAST(COALESCE(v.n, CASE WHEN w.id % 13 = 0 THEN NULL ELSE 0 END) AS INTEGER) AS upvote_count
         FROM complaint_wide w
         LEFT JOIN districts d ON d.id = CAST(w.c_nationkey % 24 AS INTEGER)
-        LEFT JOIN (SELECT doc_id, text FROM documents WHERE doc_id < 200) doc ON doc.doc_id = w.id % 200
+        LEFT JOIN (SELECT doc_id, text FROM documents) doc ON doc.doc_id = w.id % (SELECT count(*) FROM documents)
         LEFT JOIN (SELECT complaint_id, count(*) AS n FROM upvotes GROUP BY complaint_id) v ON v.complaint_id = w.id""",
     "line_events": f"""SELECT l.l_orderkey, l.l_partkey, l.l_suppkey, l.l_linenumber, l.l_extendedprice,
         l.l_returnflag, l.l_linestatus,
@@ -132,7 +135,7 @@ CTES: dict[str, str] = {
         CASE WHEN l_linestatus = 'F' THEN NULL ELSE 'Line ' || CAST(l_linenumber AS VARCHAR) END AS note,
         CAST(l_suppkey AS INTEGER) AS officer_id, ts
         FROM line_events""",
-    "attachments": """SELECT page_id AS id, page_id % 40 AS complaint_id, url AS file_url,
+    "attachments": """SELECT page_id AS id, page_id % greatest((SELECT count(*) FROM orders) // 375, 1) AS complaint_id, url AS file_url,
         CASE WHEN page_id % 3 = 0 THEN 'image' ELSE 'pdf' END AS file_type,
         CAST(round(length(html) / 1024.0) AS INTEGER) AS file_size_kb,
         TIMESTAMP '2001-07-01 00:00:00' + INTERVAL 1 SECOND * CAST(page_id * 60 AS BIGINT) AS uploaded_at
@@ -141,7 +144,7 @@ CTES: dict[str, str] = {
         'sms' AS channel, 'Complaint registered: ' || c.complaint_no AS message, 'sent' AS status,
         c.created_at AS sent_at
         FROM orders o JOIN complaints c ON c.id = o.o_orderkey
-        WHERE c.created_at >= TIMESTAMP '1998-01-01 00:00:00'""",
+        WHERE o.o_custkey % 5 <> 0""",
     "filing_requests": f"""SELECT o.o_orderkey AS request_id, o.o_custkey AS caller_id,
         CASE WHEN o.o_orderkey % 67 = 0 THEN NULL ELSE CAST((o.o_orderkey + o.o_custkey) % 9 + 1 AS INTEGER) END
             AS department_id,
@@ -185,7 +188,7 @@ CTES: dict[str, str] = {
         CASE WHEN e.event_id % 97 = 0 THEN 'AP-0000-D99-' || CAST(e.event_id AS VARCHAR) ELSE c.complaint_no END
             AS complaint_no,
         'v' || CAST(e.user_id AS VARCHAR) AS voter_ip, e.ts
-        FROM events e LEFT JOIN complaints c ON c.id = (e.event_id * 7 + e.user_id) % 500
+        FROM (SELECT *, {VOTE_TARGET} AS target FROM events) e LEFT JOIN complaints c ON c.id = e.target
         WHERE e.event_type IN ('click', 'view') AND e.ts >= {VOTE_CUTOFF}""",
     "logins": """SELECT CASE WHEN event_id % 2 = 0 THEN 'citizen' ELSE 'officer' END AS actor_type,
         user_id AS actor_id, ts FROM events WHERE event_type = 'purchase'""",

@@ -57,10 +57,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder, creating a local one only if unset.
 
     A cluster names a shared folder (HDFS/S3/ABFS) in ``spark.checkpoint.dir``;
-    we never replace it.  Local runs without it get a fresh folder under /tmp.
+    we never replace it, and refuse to go on without one: executors would write
+    to their own disks.  Local runs without it get a fresh folder under /tmp.
     """
     configured = spark.conf.get(CHECKPOINT_CONF, None)
     if not configured:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError(f"{CHECKPOINT_CONF} must name a folder that driver and executors share")
         configured = tempfile.mkdtemp(prefix="civiccases-ckpt-")
         spark.conf.set(CHECKPOINT_CONF, configured)
     spark.sparkContext.setCheckpointDir(configured)

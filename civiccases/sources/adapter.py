@@ -23,12 +23,12 @@ AS_OF = datetime(2001, 8, 1, 12, 0, 0)
 VOTE_CUTOFF = datetime(2024, 1, 16, 0, 0, 0)       # votes before: stored; after: requests
 UPLOAD_BASE = datetime(2001, 7, 1, 0, 0, 0)
 REGISTRATION_BASE = datetime(2001, 8, 1, 0, 0, 0)
-OUTBOX_START = datetime(1998, 1, 1, 0, 0, 0)
 INACTIVE_DEPARTMENT = 9
 SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 DISTRICT_MOD = 24            # district 24 stays empty
-DESCRIPTION_DOCS = 200       # descriptions come from documents 0..199
-VOTE_TARGETS = 500
+HOT_VOTE_SHARE = 30          # three of four votes go to every 30th part of the complaints
+FILE_SHARE = 375             # files belong to every 375th part of the complaints
+NO_MESSAGES = 5              # every 5th caller gets no messages
 UNKNOWN_ID_OFFSET = 10 ** 9
 LINE_STATUSES = ["acknowledged", "assigned", "in_progress", "resolved", "rejected", "closed"]
 OFFICER_ROLES = ["officer", "supervisor", "collector", "admin"]
@@ -99,11 +99,18 @@ def departments(spark: SparkSession) -> DataFrame:
     return seed_departments(spark).withColumn("is_active", F.col("id") != F.lit(INACTIVE_DEPARTMENT))
 
 
+def _vote_target(spark: SparkSession, sf_dir: str) -> Column:
+    """The complaint an event votes for: any of all, three times in four one of a share that grows with them."""
+    n = _read(spark, sf_dir, "orders", "o_orderkey").count()
+    key = F.col("event_id") * 7 + F.col("user_id")
+    return F.when(F.col("event_id") % 4 == 0, key % max(n, 1)).otherwise(key % max(n // HOT_VOTE_SHARE, 1))
+
+
 def _existing_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First stored vote per (complaint, voter): click/view events before the cutoff."""
     e = _read(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type")
     votes = (e.filter(F.col("event_type").isin("click", "view") & (F.col("ts") < ts_lit(VOTE_CUTOFF)))
-              .select(((F.col("event_id") * 7 + F.col("user_id")) % VOTE_TARGETS).alias("complaint_id"),
+              .select(_vote_target(spark, sf_dir).alias("complaint_id"),
                       F.concat(F.lit("v"), F.col("user_id").cast("string")).alias("voter_ip"),
                       F.struct("ts", "event_id").alias("k")))
     first = votes.groupBy("complaint_id", "voter_ip").agg(F.min("k").alias("k"))
@@ -118,6 +125,7 @@ def upvotes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _complaint_base(spark: SparkSession, sf_dir: str, as_of: datetime) -> DataFrame:
     o = _read(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate",
               "o_orderpriority")
+    n_docs = _read(spark, sf_dir, "documents", "doc_id").count()
     c = _read(spark, sf_dir, "customer", "c_custkey", "c_nationkey", "c_mktsegment")
     deps = F.broadcast(seed_departments(spark).select(F.col("id").alias("_dep"), "sla_days"))
     key = F.col("o_orderkey")
@@ -145,7 +153,7 @@ def _complaint_base(spark: SparkSession, sf_dir: str, as_of: datetime) -> DataFr
          .otherwise(district * 5 + segment_index(F.col("c_mktsegment"))).cast("int").alias("mandal_id"),
         F.lit(None).cast("string").alias("village"),
         F.concat(F.lit("Case "), key.cast("string")).alias("title"),
-        (key % DESCRIPTION_DOCS).alias("_doc"),
+        (key % max(n_docs, 1)).alias("_doc"),
         F.when(F.col("o_orderpriority") == "1-URGENT", "emergency")
          .when(F.col("o_orderpriority") == "2-HIGH", "urgent").otherwise("normal").alias("priority"),
         F.lit(None).cast("decimal(10,8)").alias("latitude"),
@@ -176,15 +184,13 @@ def complaints(spark: SparkSession, sf_dir: str, as_of: datetime = AS_OF,
     # Grouped by doc_id so the key is known unique: when no report reads the
     # description, Catalyst removes this join altogether.
     docs = (_read(spark, sf_dir, "documents", "doc_id", "text")
-            .filter(F.col("doc_id") < DESCRIPTION_DOCS)
             .groupBy("doc_id").agg(F.min("text").alias("text")))
     votes = (_existing_votes(spark, sf_dir).groupBy("complaint_id")
              .agg(F.count(F.lit(1)).cast("int").alias("_votes")))
     codes = F.broadcast(dists.select(F.col("id").alias("_did"), F.col("code").alias("_dcode")))
     live = overdue_at(as_of)
     j = (base
-         # at most 200 texts by construction: a bounded broadcast
-         .join(F.broadcast(docs), F.col("_doc") == F.col("doc_id"), "left")
+         .join(docs, F.col("_doc") == F.col("doc_id"), "left")
          .join(votes, F.col("id") == F.col("complaint_id"), "left")
          .join(codes, F.col("district_id") == F.col("_did"), "left")
          .withColumn("is_overdue", F.when(F.col("_null_flag"), F.lit(None).cast("boolean"))
@@ -246,8 +252,9 @@ def status_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def attachments(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _read(spark, sf_dir, "pages", "page_id", "url", "html")
+    n = _read(spark, sf_dir, "orders", "o_orderkey").count()
     return p.select(
-        F.col("page_id").alias("id"), (F.col("page_id") % 40).alias("complaint_id"),
+        F.col("page_id").alias("id"), (F.col("page_id") % max(n // FILE_SHARE, 1)).alias("complaint_id"),
         F.col("url").alias("file_url"),
         F.when(F.col("page_id") % 3 == 0, "image").otherwise("pdf").alias("file_type"),
         F.round(F.length("html") / F.lit(1024.0)).cast("int").alias("file_size_kb"),
@@ -255,11 +262,11 @@ def attachments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def notifications(spark: SparkSession, sf_dir: str, comps: DataFrame | None = None) -> DataFrame:
-    """Outbox rows of past filings since the outbox started (1998): one per complaint, with the
-    caller's id even for anonymous filings (the leak the audit finds)."""
-    o = _read(spark, sf_dir, "orders", "o_orderkey", "o_custkey")
+    """Outbox rows of past filings: one per complaint, with the caller's id even for anonymous
+    filings (the leak the audit finds).  Every NO_MESSAGES-th caller has opted out of messages."""
+    o = _read(spark, sf_dir, "orders", "o_orderkey", "o_custkey").filter(F.col("o_custkey") % NO_MESSAGES != 0)
     nums = (comps if comps is not None else complaints(spark, sf_dir)).select(
-        F.col("id").alias("_cid"), "complaint_no", "created_at").filter(F.col("created_at") >= ts_lit(OUTBOX_START))
+        F.col("id").alias("_cid"), "complaint_no", "created_at")
     return (o.join(nums, o["o_orderkey"] == nums["_cid"], "inner")
              .select(F.col("o_orderkey").alias("id"), F.col("o_orderkey").alias("complaint_id"),
                      F.col("o_custkey").alias("citizen_id"), F.lit("sms").alias("channel"),
@@ -345,7 +352,7 @@ def vote_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _read(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type")
     nums = complaints(spark, sf_dir).select(F.col("id").alias("_cid"), "complaint_no")
     v = (e.filter(F.col("event_type").isin("click", "view") & (F.col("ts") >= ts_lit(VOTE_CUTOFF)))
-          .withColumn("_cid", (F.col("event_id") * 7 + F.col("user_id")) % VOTE_TARGETS))
+          .withColumn("_cid", _vote_target(spark, sf_dir)))
     return (v.join(nums, "_cid", "left").select(
         F.col("event_id").alias("vote_id"),
         F.when(F.col("event_id") % 97 == 0, F.concat(F.lit("AP-0000-D99-"), F.col("event_id").cast("string")))

@@ -19,7 +19,7 @@ from civiccases.sources.model import SCHEMAS, TABLES, Model
 
 
 def write_snapshot(m: Model, out_dir: str, files_hint: int | None = None) -> str:
-    """Write every table of the snapshot under ``out_dir`` (a new folder per snapshot)."""
+    """Write every table of the snapshot under ``out_dir``; what an earlier snapshot left there is replaced."""
     # Without a file count the range exchange is left to AQE, which coalesces
     # neighbouring ranges up to the advisory partition size: few files for a
     # small table, many evenly sized ones for a large one.
@@ -32,7 +32,9 @@ def write_snapshot(m: Model, out_dir: str, files_hint: int | None = None) -> str
             (by_range(df.withColumn("created_year", F.year("created_at")),
                       "created_year", "district_id", "department_id", "id")
                .sortWithinPartitions("district_id", "department_id", "status", "created_at")
-               .write.mode("overwrite").partitionBy("created_year").parquet(f"{out_dir}/{name}"))
+               # static: a rewrite leaves no year of an earlier snapshot, whatever the session's mode
+               .write.mode("overwrite").option("partitionOverwriteMode", "static")
+               .partitionBy("created_year").parquet(f"{out_dir}/{name}"))
         elif name in ("timeline", "attachments", "notifications"):
             (by_range(df, "complaint_id", "id").sortWithinPartitions("complaint_id", "id")
                .write.mode("overwrite").parquet(f"{out_dir}/{name}"))

@@ -313,3 +313,51 @@ def test_case_file_nested_and_empty(spark):
     assert [(e["status"], e["updated_by"]) for e in got[1]["timeline"]] == [("submitted", None),
                                                                            ("resolved", "Officer Seven")]
     assert got[2]["attachments"] == [] and got[2]["timeline"] == []
+
+
+def test_snapshot_rewrite_leaves_no_stale_year(spark, tmp_path):
+    from civiccases.sources.sinks import write_snapshot
+    for year, n in ((1997, 3), (1998, 2)):
+        m = make_model(spark, complaints=[complaint(id=i + 1, created_at=datetime(year, 5, i + 1)) for i in range(n)])
+        write_snapshot(m, str(tmp_path))
+    rows = spark.read.parquet(f"{tmp_path}/complaints").select("created_year").collect()
+    assert [r[0] for r in rows] == [1998, 1998]
+
+
+def test_report_rows_come_by_total(spark):
+    m = make_model(spark, complaints=[complaint(id=i, district_id=2 if i < 4 else 1, department_id=3 if i < 4 else 1)
+                                      for i in range(1, 6)])
+    for report, key in ((reports.district_summary, "district_id"), (reports.cm_by_district, "district_id"),
+                        (reports.dept_summary, "department_id"), (reports.cm_by_department, "department_id")):
+        rows = [(-r["total"], r[key]) for r in report(m).collect()]
+        assert rows == sorted(rows) and rows[0][0] == -3
+
+
+def test_malformed_coordinates_do_not_end_the_batch(spark):
+    rows = spark.createDataFrame([(1, "abc", "1.5", "x", "web", "normal"), (1, "17.25", "", "x", "web", "normal")],
+                                 "department_id int, latitude string, longitude string, address string, "
+                                 "source string, priority string")
+    got = intake.defaults_and_visibility(rows).collect()
+    assert [(r["latitude"], r["longitude"]) for r in got][0][0] is None and float(got[1]["latitude"]) == 17.25
+
+
+def test_escalation_filter_reaches_the_scan(spark, tmp_path):
+    import dataclasses
+
+    from civiccases.sources.sinks import write_snapshot
+    m = make_model(spark, complaints=[complaint(id=1)])
+    stored = spark.read.parquet(write_snapshot(m, str(tmp_path)) + "/complaints").drop("created_year")
+    spark.conf.set("spark.sql.maxMetadataStringLength", "5000")
+    plan = lifecycle.escalation_candidates(dataclasses.replace(m, complaints=stored))._jdf.queryExecution().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert "LessThan(sla_deadline" in plan and "EqualTo(is_overdue,false)" in plan
+
+
+def test_login_of_an_inactive_officer_is_not_seen(spark):
+    officers = [dict(id=1, name="a", email="a", phone="1", department_id=1, district_id=1, role="officer", is_active=a)
+                for a in (True, False)]
+    officers[1]["id"] = 2
+    logins = spark.createDataFrame([("officer", 1, datetime(2024, 1, 1)), ("officer", 2, datetime(2024, 1, 1))],
+                                   "actor_type string, actor_id long, ts timestamp_ntz")
+    got = {r["id"]: r["last_login"] for r in lifecycle.last_seen(make_model(spark, officers=officers), logins).collect()}
+    assert got == {1: datetime(2024, 1, 1), 2: None}
