@@ -77,10 +77,7 @@ def main() -> None:
     req = {name: spark.read.parquet(f"{work}/{name}") for name in inputs}
 
     def bundle_run():
-        b = reports.dashboard_bundle(m)
-        out = reports.bundle_long(b)
-        run(out)
-        reports.release_bundle(b)
+        run(reports.dashboard_long(m))
 
     headline = {
         "district_summary": lambda: reports.district_summary(m),
@@ -117,11 +114,10 @@ def main() -> None:
                  .agg(F.count(c["id"]).alias("total")))
 
     def nine_queries():
-        singles = {"public_totals": reports.public_totals(m), "district_summary": reports.district_summary(m),
-                   "dept_summary": reports.dept_summary(m), "cm_totals": reports.cm_totals(m),
-                   "cm_by_district": reports.cm_by_district(m), "cm_by_department": reports.cm_by_department(m),
-                   "sla_performance": reports.sla_performance(m)}
-        return reports.bundle_long(singles)
+        for report in (reports.public_totals, reports.district_summary, reports.dept_summary, reports.cm_totals,
+                       reports.cm_by_district, reports.cm_by_department, reports.sla_performance,
+                       lookups.recent_activity, lookups.top_issues):
+            run(report(m))
 
     def single_window_numbers():
         return m.complaints.withColumn("seq", F.row_number().over(Window.orderBy("created_at", "id")))

@@ -16,13 +16,24 @@ from pyspark.sql import functions as F
 from civiccases.functions.expr import (blank_to_null, falsy_default, identity_hash, is_blank, plus_days)
 from civiccases.plans.ranking import bucket_of, global_rank
 from civiccases.sources.model import (COMPLAINT_NO_DIGITS, COMPLAINT_NO_PREFIX, DEFAULT_SLA_DAYS, FILING_NOTE,
-                                      MAX_FILE_BYTES, MAX_FILES, OUTBOX_FILING_TEMPLATE, PUBLIC_DEPARTMENTS, Model)
+                                      MAX_FILE_BYTES, MAX_FILES, OUTBOX_FILING_TEMPLATE, PRIORITIES,
+                                      PUBLIC_DEPARTMENTS, Model)
 
 REQUIRED_FIELDS_REASON = "Department, district, title and description are required"
 INVALID_DISTRICT = "Invalid district"
 INVALID_DEPARTMENT = "Invalid department"
 TOO_MANY_FILES = "Too many files"
 FILE_TOO_LARGE = "File too large"
+INVALID_PRIORITY = "Invalid priority"
+INVALID_COORDINATES = "Invalid coordinates"
+TITLE_TOO_LONG = "Title too long"
+VILLAGE_TOO_LONG = "Village too long"
+SOURCE_TOO_LONG = "Source too long"
+INVALID_MANDAL = "Invalid mandal"
+UNKNOWN_CALLER = "Unknown caller"
+# fixed values: column types and lengths of the complaints table
+LATITUDE, LONGITUDE = "decimal(10,8)", "decimal(11,8)"
+MAX_TITLE, MAX_VILLAGE, MAX_SOURCE = 300, 200, 20
 
 
 def first_reason(*checks: tuple[Column, str]) -> Column:
@@ -101,7 +112,7 @@ def apply_identity(m: Model, updates: DataFrame) -> DataFrame:
 
 
 def anonymise(requests: DataFrame) -> DataFrame:
-    anonymous = F.coalesce(F.col("is_anonymous") == F.lit("true"), F.lit(False))
+    anonymous = is_anonymous_request()
     return (requests.withColumn("citizen_id", F.when(anonymous, F.lit(None).cast("long"))
                                 .otherwise(F.col("caller_id")))
                     .withColumn("is_anonymous_flag", anonymous))
@@ -110,8 +121,8 @@ def anonymise(requests: DataFrame) -> DataFrame:
 def defaults_and_visibility(requests: DataFrame) -> DataFrame:
     return (requests.withColumn("priority", falsy_default("priority", "normal"))
                     .withColumn("source", falsy_default("source", "web"))
-                    .withColumn("latitude", blank_to_null("latitude").try_cast("decimal(10,8)"))
-                    .withColumn("longitude", blank_to_null("longitude").try_cast("decimal(11,8)"))
+                    .withColumn("latitude", blank_to_null("latitude").try_cast(LATITUDE))
+                    .withColumn("longitude", blank_to_null("longitude").try_cast(LONGITUDE))
                     .withColumn("address", blank_to_null("address"))
                     .withColumn("is_public", F.coalesce(F.col("department_id").isin(*PUBLIC_DEPARTMENTS),
                                                         F.lit(False))))
@@ -161,6 +172,39 @@ def initial_timeline(new_complaints: DataFrame) -> DataFrame:
                                  F.col("created_at"))
 
 
+def is_anonymous_request() -> Column:
+    return F.coalesce(F.col("is_anonymous") == F.lit("true"), F.lit(False))
+
+
+def constraint_reasons(m: Model, requests: DataFrame) -> DataFrame:
+    """What the complaints table itself refuses: enum, number format, lengths, mandal, filer.
+
+    ``caller_unknown`` is kept: an anonymous filing stores no citizen, so an
+    unknown caller does not reject it, but no notification can name them.
+    Unknown callers are found among the distinct callers, so the requests
+    join a set that AQE broadcasts once it has measured it small.
+    """
+    mandals = m.mandals.select(F.col("id").alias("_mid")).distinct()
+    unknown = (requests.select(F.col("caller_id").alias("_caller")).where("_caller is not null").distinct()
+               .join(m.citizens.select(F.col("id").alias("_cit")), F.col("_caller") == F.col("_cit"), "left_anti"))
+    out = (requests.join(mandals, F.col("mandal_id") == F.col("_mid"), "left")
+                   .join(unknown, F.col("caller_id") == F.col("_caller"), "left")
+                   .withColumn("caller_unknown", F.col("_caller").isNotNull()))
+
+    def malformed(name: str, kind: str) -> Column:
+        text = blank_to_null(name)
+        return text.isNotNull() & text.try_cast(kind).isNull()
+
+    return (out.withColumn("constraint_reason", first_reason(
+        (~falsy_default("priority", "normal").isin(*PRIORITIES), INVALID_PRIORITY),
+        (malformed("latitude", LATITUDE) | malformed("longitude", LONGITUDE), INVALID_COORDINATES),
+        (F.char_length("title") > MAX_TITLE, TITLE_TOO_LONG),
+        (F.char_length("village") > MAX_VILLAGE, VILLAGE_TOO_LONG),
+        (F.char_length("source") > MAX_SOURCE, SOURCE_TOO_LONG),
+        (F.col("mandal_id").isNotNull() & F.col("_mid").isNull(), INVALID_MANDAL),
+        (F.col("caller_unknown") & ~is_anonymous_request(), UNKNOWN_CALLER))).drop("_mid", "_caller"))
+
+
 def _checked(m: Model, requests: DataFrame, uploads: DataFrame | None) -> DataFrame:
     req = intake_validate(requests)
     if uploads is not None:
@@ -168,9 +212,9 @@ def _checked(m: Model, requests: DataFrame, uploads: DataFrame | None) -> DataFr
         req = req.join(verdicts, "request_id", "left")
     else:
         req = req.withColumn("upload_reason", F.lit(None).cast("string"))
-    req = resolve_reference(m, req)
-    # multer rejects uploads before the handler runs, so upload reasons come first
-    return req.withColumn("reject_reason", F.coalesce("upload_reason", "reason", "ref_reason"))
+    req = constraint_reasons(m, resolve_reference(m, req))
+    # multer rejects uploads before the handler runs, so upload reasons come first; the table's own checks come last
+    return req.withColumn("reject_reason", F.coalesce("upload_reason", "reason", "ref_reason", "constraint_reason"))
 
 
 def file_complaints(m: Model, requests: DataFrame, uploads: DataFrame | None = None, start: int = 1,
@@ -199,7 +243,7 @@ def file_complaints(m: Model, requests: DataFrame, uploads: DataFrame | None = N
                             "file_type", "file_size_kb", "uploaded_at")
     else:
         atts = m.attachments.limit(0)
-    outbox = rows.select(F.col("request_id").alias("complaint_id"), F.col("caller_id").alias("citizen_id"),
+    outbox = rows.where(~F.col("caller_unknown")).select(F.col("request_id").alias("complaint_id"), F.col("caller_id").alias("citizen_id"),
                          F.lit("sms").alias("channel"),
                          F.format_string(OUTBOX_FILING_TEMPLATE, F.col("complaint_no")).alias("message"),
                          F.lit("sent").alias("status"), F.col("ts").alias("sent_at"))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from civiccases.operators.common import live_overdue, queue_bucket, queue_order, with_names
-from civiccases.plans.ranking import DEEP_PAGE_ROWS, day_number, desc_key, page
+from civiccases.plans.ranking import day_number, desc_key, page
 from civiccases.sources.model import PAGE_SIZE, RECENT_K, TOP_ISSUES_K, Model
 
 
@@ -134,10 +134,10 @@ QUEUE_COLUMNS = ["id", "complaint_no", "title", "status", "priority", "created_a
 
 def officer_queue(m: Model, role: str = "officer", dept: int | None = None, status: str | None = None,
                   priority: str | None = None, district_id: int | None = None, page_no: int = 1,
-                  page_size: int = PAGE_SIZE, deep_threshold: int = DEEP_PAGE_ROWS) -> DataFrame:
+                  page_size: int = PAGE_SIZE) -> DataFrame:
     """One page of the work queue; the page is cut before the citizen/officer joins."""
     rows = page(_queue_rows(m, role, dept, status, priority, district_id), queue_order(), page_no, page_size,
-                bucket=queue_bucket(), deep_threshold=deep_threshold)
+                queue_bucket())
     out = _queue_people(m, rows)
     return out.select(*QUEUE_COLUMNS, F.col("assigned_to_name").alias("assigned_to")).orderBy(*queue_order())
 
@@ -247,14 +247,14 @@ def feed_bucket() -> Column:
 
 
 def public_feed(m: Model, district_id: int | None = None, department_id: int | None = None,
-                page_no: int = 1, page_size: int = PAGE_SIZE, deep_threshold: int = DEEP_PAGE_ROWS) -> DataFrame:
+                page_no: int = 1, page_size: int = PAGE_SIZE) -> DataFrame:
     cond = F.col("is_public") & ~F.col("status").isin("rejected")
     if district_id is not None:
         cond = cond & (F.col("district_id") == district_id)
     if department_id is not None:
         cond = cond & (F.col("department_id") == department_id)
     c = with_names(m.complaints.filter(cond), m, district_code=True, dept_code=True)
-    rows = page(c, feed_order(), page_no, page_size, bucket=feed_bucket(), deep_threshold=deep_threshold)
+    rows = page(c, feed_order(), page_no, page_size, feed_bucket())
     rows = with_names(rows.withColumn("is_overdue", live_overdue(m)), m, district=False, department=False,
                       mandal=True)
     return (rows.orderBy(*feed_order())
@@ -263,30 +263,42 @@ def public_feed(m: Model, district_id: int | None = None, department_id: int | N
                         "mandal"))
 
 
-def _top_then_names(m: Model, df: DataFrame, order: list[Column], k: int) -> DataFrame:
-    """Top-k on the fact table first, then the dimension joins.
-
-    Valid because the joins are inner over audited NOT NULL foreign keys; a
-    semi join against the (broadcast) dimensions keeps it exact if one is not.
-    """
+def top_rows(m: Model, df: DataFrame, order: list[Column], k: int) -> DataFrame:
+    """The first ``k`` rows in ``order`` of those with a known district and department."""
     d = F.broadcast(m.districts.select(F.col("id").alias("_sd")))
     dep = F.broadcast(m.departments.select(F.col("id").alias("_sdep")))
     df = (df.join(d, F.col("district_id") == F.col("_sd"), "left_semi")
             .join(dep, F.col("department_id") == F.col("_sdep"), "left_semi"))
-    top = df.orderBy(*order).limit(k)
-    return with_names(top, m)
+    return df.orderBy(*order).limit(k)
+
+
+def _top_then_names(m: Model, df: DataFrame, order: list[Column], k: int) -> DataFrame:
+    """Top-k on the fact table first, then the dimension joins.
+
+    Valid because the joins are inner over audited NOT NULL foreign keys; the
+    semi joins of ``top_rows`` keep it exact if one is not.
+    """
+    return with_names(top_rows(m, df, order, k), m)
+
+
+def recent_order() -> list[Column]:
+    return [F.col("created_at").desc_nulls_first(), F.col("id").asc()]
+
+
+def top_order() -> list[Column]:
+    return [F.col("upvote_count").desc(), F.col("id").asc()]
 
 
 def recent_activity(m: Model, k: int = RECENT_K) -> DataFrame:
-    top = _top_then_names(m, m.complaints, [F.col("created_at").desc_nulls_first(), F.col("id")], k)
-    return top.select("complaint_no", "title", "status", "priority", "created_at",
+    top = _top_then_names(m, m.complaints, recent_order(), k)
+    return top.orderBy(*recent_order()).select("complaint_no", "title", "status", "priority", "created_at",
                       live_overdue(m).alias("is_overdue"), "district", "department")
 
 
 def top_issues(m: Model, k: int = TOP_ISSUES_K) -> DataFrame:
     c = m.complaints.filter(F.col("upvote_count") > 0)
-    top = _top_then_names(m, c, [F.col("upvote_count").desc(), F.col("id")], k)
-    return top.select("complaint_no", "title", "upvote_count", "status", "priority", "district", "department")
+    top = _top_then_names(m, c, top_order(), k)
+    return top.orderBy(*top_order()).select("complaint_no", "title", "upvote_count", "status", "priority", "district", "department")
 
 
 # ------------------------------------------------------------------ Q-14 / Q-15
@@ -310,3 +322,17 @@ def contact_lookup(m: Model) -> DataFrame:
                     .filter(F.col("citizen_id").isNotNull())
     cit = m.citizens.select(F.col("id").alias("_cit"), "phone", "name", "lang_pref")
     return c.join(cit, F.col("citizen_id") == F.col("_cit"), "inner").drop("_cit")
+
+
+def contact_by_phone(m: Model, phones: DataFrame) -> DataFrame:
+    """The citizens with one of the given phone numbers (first column of ``phones``)."""
+    wanted = phones.select(F.col(phones.columns[0]).alias("_phone"))
+    return (m.citizens.select("id", "name", "phone", "lang_pref")
+             .join(wanted, F.col("phone") == F.col("_phone"), "left_semi"))
+
+
+def contact_by_id(m: Model, ids: DataFrame) -> DataFrame:
+    """The citizens with one of the given ids (first column of ``ids``)."""
+    wanted = ids.select(F.col(ids.columns[0]).alias("_wanted"))
+    return (m.citizens.select("id", "phone", "name", "lang_pref")
+             .join(wanted, F.col("id") == F.col("_wanted"), "left_semi"))

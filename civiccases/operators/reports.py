@@ -12,12 +12,12 @@ from __future__ import annotations
 
 from datetime import timedelta
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from civiccases.functions.expr import pct, round1, sum_if, ts_lit
 from civiccases.operators.common import district_dim, live_overdue
-from civiccases.sources.model import Model
+from civiccases.sources.model import RECENT_K, TOP_ISSUES_K, Model
 
 # Measures of the shared (district, department) pre-aggregate.  Each is a
 # count that merges by sum; the two averages are kept as seconds + count.
@@ -205,21 +205,16 @@ def dashboard_levels(m: Model) -> DataFrame:
 
 
 def dashboard_bundle(m: Model, levels: DataFrame | None = None) -> dict[str, DataFrame]:
-    """Public (3) + CM (6) dashboards from one snapshot and one scan of complaints.
-
-    Every section is a filter of the levels table plus a broadcast join to
-    its dimension: complaints are read once for all nine outputs.  The levels
-    (a few hundred rows) are checkpointed eagerly into the shared folder named
-    by ``spark.checkpoint.dir``: the sections then start from those files
-    (11 jobs instead of 23 for a cached relation, measured at sf0.1), and a
-    lost executor does not force the complaints scan to be redone.
+    """Public (3) + CM (6) dashboards as one DataFrame a section, for callers that show sections apart.
+
+    Nothing runs here.  Each section that is shown scans complaints for itself
+    unless ``levels`` (a few hundred rows) was stored by the caller; to compute
+    all nine at once use ``dashboard_long``.
     """
     from civiccases.operators import lookups
-    from civiccases.session import ensure_checkpoint_dir
 
     if levels is None:
-        ensure_checkpoint_dir(m.complaints.sparkSession)
-        levels = dashboard_levels(m).checkpoint(eager=True)
+        levels = dashboard_levels(m)
     by_d = levels.filter(F.col("level") == 1).drop("department_id", "level")
     by_dep = levels.filter(F.col("level") == 2).drop("district_id", "level")
     tot = levels.filter(F.col("level") == 3).drop("district_id", "department_id", "level")
@@ -235,33 +230,66 @@ def dashboard_bundle(m: Model, levels: DataFrame | None = None) -> dict[str, Dat
         "sla_performance": sla_performance(m, by_dep),
         "recent_activity": lookups.recent_activity(m),
         "top_issues": lookups.top_issues(m),
-        "_cube": levels,
     }
 
 
-def release_bundle(bundle: dict[str, DataFrame]) -> None:
-    cube = bundle.get("_cube")
-    if cube is not None and cube.is_cached:
-        cube.unpersist()
-
+# section -> (level of the cube, metrics); level 1 is per district, 2 per department, 3 the total
+SECTIONS = {
+    "public_totals": (3, ["total", "resolved", "in_progress", "pending", "overdue"]),
+    "district_summary": (1, ["total", "resolved", "in_progress", "overdue", "resolution_pct"]),
+    "dept_summary": (2, ["total", "resolved", "overdue", "avg_done_days"]),
+    "cm_totals": (3, CM_TOTALS + ["avg_resolved_days"]),
+    "cm_by_district": (1, ["total", "resolved", "overdue", "emergency", "resolution_pct"]),
+    "cm_by_department": (2, ["total", "resolved", "overdue", "resolution_pct"]),
+    "sla_performance": (2, ["total", "breached", "breach_pct"]),
+}
+# the two averages have the same name in the reports that show them
+METRIC_NAMES = {"avg_done_days": "avg_resolution_days", "avg_resolved_days": "avg_resolution_days"}
+
+
+def _ranked(top: DataFrame, order: list, section: str, metric: str, value) -> DataFrame:
+    """(section, position, metric, value, complaint number) of a top-k list of bounded length."""
+    pos = F.row_number().over(Window.orderBy(*order)).cast("long")
+    return top.select(F.lit(section).alias("section"), pos.alias("key"), F.lit(metric).alias("metric"),
+                      value.cast("double").alias("value"), F.col("complaint_no").alias("label"))
+
+
+def dashboard_long(m: Model) -> DataFrame:
+    """All nine dashboard sections as (section, key, metric, value, label) rows.
+
+    One scan of complaints feeds the seven aggregate sections: the cube's
+    levels join their dimension rows once, and each joined row (25 districts,
+    the departments, one total) is exploded into the sections that show it.
+    The two top-k lists are top-k scans of their own.  ``key`` is the
+    district, the department or the position in a list; ``label`` the
+    complaint number in a list.
+    """
+    from civiccases.operators import lookups
 
-def bundle_long(bundle: dict[str, DataFrame]) -> DataFrame:
-    """Flatten the aggregate sections into (section, key, metric, value) rows for checking."""
-    specs = {
-        "public_totals": (None, ["total", "resolved", "in_progress", "pending", "overdue"]),
-        "district_summary": ("district_id", ["total", "resolved", "in_progress", "overdue", "resolution_pct"]),
-        "dept_summary": ("department_id", ["total", "resolved", "overdue", "avg_resolution_days"]),
-        "cm_totals": (None, CM_TOTALS + ["avg_resolution_days"]),
-        "cm_by_district": ("district_id", ["total", "resolved", "overdue", "emergency", "resolution_pct"]),
-        "cm_by_department": ("department_id", ["total", "resolved", "overdue", "resolution_pct"]),
-        "sla_performance": ("department_id", ["total", "breached", "breach_pct"]),
-    }
-    out = None
-    for section, (key, metrics) in specs.items():
-        df = bundle[section]
-        key_col = F.col(key).cast("long") if key else F.lit(None).cast("long")
-        long = df.select(key_col.alias("key"), *[F.col(c).cast("double").alias(c) for c in metrics]) \
-                 .unpivot("key", metrics, "metric", "value") \
-                 .select(F.lit(section).alias("section"), "key", "metric", "value")
-        out = long if out is None else out.unionByName(long)
-    return out
+    dims = (m.districts.select(F.lit(1).alias("_lv"), F.col("id").cast("long").alias("key"), F.lit(True).alias("_active"))
+            .unionByName(m.departments.select(F.lit(2).alias("_lv"), F.col("id").cast("long").alias("key"),
+                                              F.col("is_active").alias("_active")))
+            .unionByName(m.complaints.sparkSession.range(1).select(
+                F.lit(3).alias("_lv"), F.lit(None).cast("long").alias("key"), F.lit(True).alias("_active"))))
+    levels = dashboard_levels(m).where("level > 0").select(
+        F.col("level").cast("int").alias("level"), F.coalesce("district_id", "department_id").cast("long").alias("_key"),
+        *BUNDLE_MEASURES)
+    wide = dims.join(levels, (F.col("_lv") == F.col("level")) & F.col("key").eqNullSafe(F.col("_key")), "left")
+    wide = _fill0(wide, [n for n in BUNDLE_MEASURES if n not in ("done_secs", "res_secs")]).withColumns({
+        "resolution_pct": pct(F.col("resolved"), F.col("total")), "breached": F.col("overdue"),
+        "breach_pct": pct(F.col("overdue"), F.col("total")),
+        "avg_done_days": _avg_days("done_secs", "done_n"), "avg_resolved_days": _avg_days("res_secs", "res_n")})
+    shown = {"cm_by_department": F.col("_active"), "sla_performance": F.col("total") > 0}
+    cells = F.array(*[
+        F.when((F.col("_lv") == level) & shown.get(section, F.lit(True)),
+               F.struct(F.lit(section).alias("section"), F.lit(METRIC_NAMES.get(metric, metric)).alias("metric"),
+                        F.col(metric).cast("double").alias("value")))
+        for section, (level, metrics) in SECTIONS.items() for metric in metrics])
+    counted = (wide.select("key", F.explode(F.filter(cells, lambda c: c.isNotNull())).alias("c"))
+               .select("c.section", "key", "c.metric", "c.value", F.lit(None).cast("string").alias("label")))
+    recent = lookups.top_rows(m, m.complaints, lookups.recent_order(), RECENT_K)
+    issues = lookups.top_rows(m, m.complaints.filter(F.col("upvote_count") > 0), lookups.top_order(), TOP_ISSUES_K)
+    return (counted.unionByName(_ranked(recent, lookups.recent_order(), "recent_activity", "is_overdue",
+                                        live_overdue(m).cast("int")))
+                   .unionByName(_ranked(issues, lookups.top_order(), "top_issues", "upvote_count",
+                                        F.col("upvote_count"))))

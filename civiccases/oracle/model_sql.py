@@ -145,24 +145,30 @@ CTES: dict[str, str] = {
         c.created_at AS sent_at
         FROM orders o JOIN complaints c ON c.id = o.o_orderkey
         WHERE o.o_custkey % 5 <> 0""",
-    "filing_requests": f"""SELECT o.o_orderkey AS request_id, o.o_custkey AS caller_id,
+    "filing_requests": f"""SELECT o.o_orderkey AS request_id,
+        CASE WHEN o.o_orderkey % 83 = 0 THEN -o.o_custkey ELSE o.o_custkey END AS caller_id,
         CASE WHEN o.o_orderkey % 67 = 0 THEN NULL ELSE CAST((o.o_orderkey + o.o_custkey) % 9 + 1 AS INTEGER) END
             AS department_id,
         CASE WHEN o.o_orderkey % 59 = 0 THEN NULL WHEN o.o_orderkey % 61 = 0 THEN 99
              ELSE CAST(c.c_nationkey % 24 AS INTEGER) END AS district_id,
-        CASE WHEN o.o_orderkey % 5 = 0 THEN NULL
+        CASE WHEN o.o_orderkey % 5 = 0 THEN NULL WHEN o.o_orderkey % 79 = 0 THEN 99999
              ELSE CAST((c.c_nationkey % 24) * 5 + {_seg('c.c_mktsegment')} AS INTEGER) END AS mandal_id,
-        CAST(NULL AS VARCHAR) AS village,
-        CASE WHEN o.o_orderkey % 53 = 0 THEN '' ELSE 'Case ' || CAST(o.o_orderkey AS VARCHAR) END AS title,
+        CASE WHEN o.o_orderkey % 101 = 0 THEN repeat('v', 201) END AS village,
+        CASE WHEN o.o_orderkey % 53 = 0 THEN ''
+             ELSE 'Case ' || CAST(o.o_orderkey AS VARCHAR)
+                  || CASE WHEN o.o_orderkey % 73 = 0 THEN repeat('x', 300) ELSE '' END END AS title,
         'Report ' || CAST(o.o_orderkey AS VARCHAR) AS description,
-        CASE o.o_orderpriority WHEN '1-URGENT' THEN 'emergency' WHEN '2-HIGH' THEN 'urgent'
-             WHEN '3-MEDIUM' THEN 'normal' WHEN '4-NOT SPECIFIED' THEN '' ELSE NULL END AS priority,
-        CAST(NULL AS VARCHAR) AS latitude, CAST(NULL AS VARCHAR) AS longitude,
+        CASE WHEN o.o_orderkey % 71 = 0 THEN 'purple' ELSE
+             CASE o.o_orderpriority WHEN '1-URGENT' THEN 'emergency' WHEN '2-HIGH' THEN 'urgent'
+             WHEN '3-MEDIUM' THEN 'normal' WHEN '4-NOT SPECIFIED' THEN '' ELSE NULL END END AS priority,
+        CASE WHEN o.o_orderkey % 89 = 0 THEN 'abc' WHEN o.o_orderkey % 11 = 0 THEN '16.5' END AS latitude,
+        CASE WHEN o.o_orderkey % 11 = 0 THEN '' WHEN o.o_orderkey % 13 = 0 THEN '80.25' END AS longitude,
         CASE WHEN o.o_orderkey % 2 = 0 THEN '' ELSE 'Door ' || CAST(o.o_orderkey AS VARCHAR) END AS address,
         CASE WHEN o.o_orderkey % 7 = 0 THEN 'true' ELSE 'false' END AS is_anonymous,
         CASE WHEN o.o_orderkey % 3 = 0 THEN printf('%012d', o.o_custkey) WHEN o.o_orderkey % 3 = 1 THEN ''
              ELSE NULL END AS aadhaar,
-        CASE WHEN o.o_orderkey % 4 = 0 THEN 'mobile' ELSE NULL END AS source,
+        CASE WHEN o.o_orderkey % 97 = 0 THEN 'a source of 21 letter'
+             WHEN o.o_orderkey % 4 = 0 THEN 'mobile' ELSE NULL END AS source,
         o.o_orderdate AS ts
         FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey""",
     "upload_requests": """SELECT file_id, request_id, mimetype, size_bytes FROM (

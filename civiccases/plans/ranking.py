@@ -53,27 +53,30 @@ def global_rank(df: DataFrame, bucket: Column, order: list[Column], name: str =
              .drop("_bucket", "_offset"))
 
 
-DEEP_PAGE_ROWS = 10_000
-
-
-def page(df: DataFrame, order: list[Column], page_no: int, page_size: int, bucket: Column | None = None,
-         deep_threshold: int = DEEP_PAGE_ROWS) -> DataFrame:
-    """LIMIT page_size OFFSET (page_no - 1) * page_size under a total order.
-
-    Shallow pages plan as TakeOrderedAndProject: a per-task top-k of
-    offset + size rows, merged in one task - cheap while that is small.
-    Past ``deep_threshold`` rows (and given an order-preserving ``bucket``)
-    the page is cut from the two-level global rank instead, so no task holds
-    more than one bucket's rows however deep the page is.
+def page(df: DataFrame, order: list[Column], page_no: int, page_size: int, bucket: Column) -> DataFrame:
+    """LIMIT page_size OFFSET (page_no - 1) * page_size under a total order; one plan for every depth.
+
+    Rows are counted per bucket (``bucket`` never decreases along ``order``),
+    and only the buckets that the page overlaps are kept before any row is
+    sorted: at most ``page_size`` buckets, as none is empty, so the set that
+    is broadcast is bounded by the page size.  Rows of earlier or later
+    buckets are dropped by a map-side join; the page is then the rows whose
+    position inside their bucket falls into the page.
     """
     if page_no < 1:
         raise ValueError("page must be >= 1")
-    offset = (page_no - 1) * page_size
-    if bucket is not None and offset + page_size > deep_threshold:
-        ranked = global_rank(df, bucket, order, "_pos")
-        return ranked.filter((F.col("_pos") > offset) & (F.col("_pos") <= offset + page_size)).drop("_pos")
-    top = df.orderBy(*order).limit(offset + page_size)
-    return top.offset(offset) if offset else top
+    first = (page_no - 1) * page_size
+    b = df.withColumn("_bucket", bucket)
+    counts = b.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    running = Window.orderBy(F.col("_bucket").asc_nulls_first()).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    hit = (counts.select(F.col("_bucket").alias("_ob"), "_n", F.sum("_n").over(running).alias("_end"))
+           .where((F.col("_end") > first) & (F.col("_end") - F.col("_n") < first + page_size))
+           .select("_ob", (F.col("_end") - F.col("_n")).alias("_before")))
+    near = b.join(F.broadcast(hit), F.col("_bucket").eqNullSafe(F.col("_ob")), "inner")
+    pos = F.col("_before") + F.row_number().over(Window.partitionBy("_bucket").orderBy(*order))
+    return (near.withColumn("_pos", pos).where((F.col("_pos") > first) & (F.col("_pos") <= first + page_size))
+                .drop("_bucket", "_ob", "_before", "_pos"))
 
 
 LONG_MIN = -(2 ** 63)

@@ -118,12 +118,35 @@ def _stream_vote_rejects(spark, sf_dir):
     return _stream_votes(spark, sf_dir).filter(F.col("reason").isNotNull()).select("vote_id", "reason")
 
 
-def _stream_intake(spark, sf_dir):
+def _run_intake_stream(spark, sf_dir) -> str:
     root = streams.run_dir(spark, "intake")
     m = _model(spark, sf_dir)
     src, schema = streams.staged(spark, adapter.filing_requests(spark, sf_dir), "ts", root)
-    out = streams.intake_stream(spark, m, src, schema, adapter.upload_requests(spark, sf_dir), root)
-    return out.drop("description")
+    streams.intake_stream(spark, m, src, schema, adapter.upload_requests(spark, sf_dir), root)
+    return root
+
+
+def _stream_intake(spark, sf_dir):
+    return streams.intake_output(spark, _run_intake_stream(spark, sf_dir), "complaints").drop("description")
+
+
+def _stream_intake_output(name: str) -> Query:
+    return lambda spark, sf_dir: streams.intake_output(spark, _run_intake_stream(spark, sf_dir), name)
+
+
+def _case_files(spark, sf_dir):
+    """Q-10 for the emergencies of one department, as sizes and ends of the nested arrays."""
+    m = _model(spark, sf_dir)
+    ids = m.complaints.filter("department_id = 3 and priority = 'emergency'").select("id")
+    files, steps = F.col("attachments"), F.col("timeline")
+    return lookups.case_file(m, ids).select(
+        "complaint.id", "complaint.complaint_no", F.size(files).cast("long").alias("n_attachments"),
+        F.try_element_at(files, F.lit(1))["file_url"].alias("first_file"),
+        F.try_element_at(files, F.lit(-1))["file_url"].alias("last_file"),
+        F.size(steps).cast("long").alias("n_timeline"),
+        F.try_element_at(steps, F.lit(1))["status"].alias("first_status"),
+        F.try_element_at(steps, F.lit(-1))["status"].alias("last_status"),
+        F.size(F.filter(steps, lambda s: s["updated_by"].isNotNull())).cast("long").alias("n_by_officers"))
 
 
 def _stream_status(spark, sf_dir):
@@ -164,7 +187,7 @@ def _outbox_replay(spark, sf_dir):
 
 def _bundle(spark, sf_dir):
     m = _model(spark, sf_dir)
-    return reports.bundle_long(reports.dashboard_bundle(m))   # cube stays cached for the driver's collect
+    return reports.dashboard_long(m)
 
 
 QUERIES: dict[str, Query] = {
@@ -187,16 +210,19 @@ QUERIES: dict[str, Query] = {
     "complaint_detail": _with_model(lookups.complaint_detail),
     "attachment_manifest": _with_model(lookups.attachment_manifest),
     "case_file": _with_model(lookups.case_file_summary),
+    "case_file_nested": _case_files,
     "public_feed": _with_model(lookups.public_feed),
     "public_feed_page2": _with_model(lambda m: lookups.public_feed(m, district_id=3, page_no=2)),
-    # deep pages through the two-level rank (threshold 0 forces that path at fixture size)
-    "public_feed_deep_page": _with_model(lambda m: lookups.public_feed(m, page_no=150, deep_threshold=0)),
-    "officer_queue_deep_page": _with_model(
-        lambda m: lookups.officer_queue(m, role="admin", page_no=400, deep_threshold=0)),
+    "public_feed_deep_page": _with_model(lambda m: lookups.public_feed(m, page_no=150)),
+    "officer_queue_deep_page": _with_model(lambda m: lookups.officer_queue(m, role="admin", page_no=400)),
     "recent_activity": _with_model(lookups.recent_activity),
     "top_issues": _with_model(lookups.top_issues),
     "upvote_status": _upvote_pairs,
     "contact_lookup": _with_model(lookups.contact_lookup),
+    "contact_by_phone": lambda spark, sf_dir: lookups.contact_by_phone(
+        _model(spark, sf_dir), adapter.registration_requests(spark, sf_dir).select("phone")),
+    "contact_by_id": lambda spark, sf_dir: lookups.contact_by_id(
+        _model(spark, sf_dir), adapter.filing_requests(spark, sf_dir).select("caller_id")),
     # aggregates
     "public_totals": _with_model(reports.public_totals),
     "district_summary": _with_model(reports.district_summary),
@@ -263,6 +289,10 @@ QUERIES: dict[str, Query] = {
     "stream_community_escalation": _stream_vote_crossings,
     "stream_upvote_rejects": _stream_vote_rejects,
     "stream_intake": _stream_intake,
+    "stream_intake_timeline": _stream_intake_output("timeline"),
+    "stream_intake_attachments": _stream_intake_output("attachments"),
+    "stream_intake_identity": _stream_intake_output("citizen_updates"),
+    "stream_intake_rejects": _stream_intake_output("rejects"),
     "stream_status_changes": _stream_status,
     "stream_escalation": _stream_escalation,
 }

@@ -294,27 +294,33 @@ def filing_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("o_orderkey")
     district = (F.col("c_nationkey") % DISTRICT_MOD).cast("int")
     return (o.join(c, o["o_custkey"] == c["c_custkey"], "inner").select(
-        key.alias("request_id"), F.col("o_custkey").alias("caller_id"),
+        key.alias("request_id"),
+        F.when(key % 83 == 0, -F.col("o_custkey")).otherwise(F.col("o_custkey")).alias("caller_id"),
         F.when(key % 67 == 0, F.lit(None).cast("int"))
          .otherwise(((key + F.col("o_custkey")) % 9 + 1).cast("int")).alias("department_id"),
         F.when(key % 59 == 0, F.lit(None).cast("int")).when(key % 61 == 0, F.lit(99))
          .otherwise(district).alias("district_id"),
-        F.when(key % 5 == 0, F.lit(None).cast("int"))
+        F.when(key % 5 == 0, F.lit(None).cast("int")).when(key % 79 == 0, F.lit(99_999))
          .otherwise(district * 5 + segment_index(F.col("c_mktsegment"))).cast("int").alias("mandal_id"),
-        F.lit(None).cast("string").alias("village"),
-        F.when(key % 53 == 0, F.lit("")).otherwise(F.concat(F.lit("Case "), key.cast("string"))).alias("title"),
+        F.when(key % 101 == 0, F.repeat(F.lit("v"), 201)).otherwise(F.lit(None).cast("string")).alias("village"),
+        F.when(key % 53 == 0, F.lit(""))
+         .otherwise(F.concat(F.lit("Case "), key.cast("string"),
+                             F.when(key % 73 == 0, F.repeat(F.lit("x"), 300)).otherwise(F.lit("")))).alias("title"),
         F.concat(F.lit("Report "), key.cast("string")).alias("description"),
-        F.when(F.col("o_orderpriority") == "1-URGENT", "emergency")
+        F.when(key % 71 == 0, "purple")
+         .when(F.col("o_orderpriority") == "1-URGENT", "emergency")
          .when(F.col("o_orderpriority") == "2-HIGH", "urgent")
          .when(F.col("o_orderpriority") == "3-MEDIUM", "normal")
          .when(F.col("o_orderpriority") == "4-NOT SPECIFIED", "")
          .otherwise(F.lit(None).cast("string")).alias("priority"),
-        F.lit(None).cast("string").alias("latitude"), F.lit(None).cast("string").alias("longitude"),
+        F.when(key % 89 == 0, "abc").when(key % 11 == 0, "16.5").alias("latitude"),
+        F.when(key % 11 == 0, "").when(key % 13 == 0, "80.25").alias("longitude"),
         F.when(key % 2 == 0, F.lit("")).otherwise(F.concat(F.lit("Door "), key.cast("string"))).alias("address"),
         F.when(key % 7 == 0, "true").otherwise("false").alias("is_anonymous"),
         F.when(key % 3 == 0, F.format_string("%012d", F.col("o_custkey")))
          .when(key % 3 == 1, F.lit("")).otherwise(F.lit(None).cast("string")).alias("aadhaar"),
-        F.when(key % 4 == 0, F.lit("mobile")).otherwise(F.lit(None).cast("string")).alias("source"),
+        F.when(key % 97 == 0, F.lit("a source of 21 letter"))
+         .when(key % 4 == 0, F.lit("mobile")).otherwise(F.lit(None).cast("string")).alias("source"),
         F.col("o_orderdate").alias("ts")))
 
 

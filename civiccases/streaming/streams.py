@@ -191,20 +191,37 @@ def intake_stream(spark: SparkSession, m: Model, source: str, schema, uploads: D
         if _exists(sp, ledger):
             done = sp.read.parquet(ledger).filter(F.col("batch_id") < batch_id)
             offset += int(done.agg(F.coalesce(F.sum("n_accepted"), F.lit(0))).first()[0])
-        res = intake.file_complaints(m, batch, uploads, start=offset)
+        batch = batch.persist()
+        # only the files of this batch's requests are aggregated and classified
+        files = (None if uploads is None else
+                 uploads.join(batch.select("request_id").distinct(), "request_id", "left_semi"))
+        res = intake.file_complaints(m, batch, files, start=offset)
         accepted = res.complaints.persist()
-        accepted.write.mode("overwrite").parquet(f"{root}/out/complaints/batch_id={batch_id}")
-        res.rejects.write.mode("overwrite").parquet(f"{root}/out/rejects/batch_id={batch_id}")
-        res.outbox.write.mode("overwrite").parquet(f"{root}/out/outbox/batch_id={batch_id}")
+        for name, rows in (("complaints", accepted), ("rejects", res.rejects), ("outbox", res.outbox),
+                           ("timeline", intake.initial_timeline(accepted)), ("attachments", res.attachments),
+                           ("citizen_updates", res.citizen_updates)):
+            rows.write.mode("overwrite").parquet(f"{root}/out/{name}/batch_id={batch_id}")
         n = sp.read.parquet(f"{root}/out/complaints/batch_id={batch_id}").count()
         sp.createDataFrame([(n,)], "n_accepted long").write.mode("overwrite").parquet(
             f"{ledger}/batch_id={batch_id}")
         accepted.unpersist()
+        batch.unpersist()
 
     q = (read_stream(spark, source, schema).writeStream.foreachBatch(run)
          .option("checkpointLocation", f"{root}/ckpt").trigger(availableNow=True).start())
     _await(q)
-    return spark.read.parquet(f"{root}/out/complaints").drop("batch_id")
+    return intake_output(spark, root, "complaints")
+
+
+def intake_output(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """One output of ``intake_stream``: complaints, rejects, outbox, timeline, attachments or citizen_updates.
+
+    A citizen may be updated by several micro-batches; the latest batch wins.
+    """
+    rows = spark.read.parquet(f"{root}/out/{name}")
+    if name == "citizen_updates":
+        return rows.groupBy("citizen_id").agg(F.max_by("aadhaar_hash", "batch_id").alias("aadhaar_hash"))
+    return rows.drop("batch_id")
 
 
 # ------------------------------------------------------------------ R-06

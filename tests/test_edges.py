@@ -361,3 +361,50 @@ def test_login_of_an_inactive_officer_is_not_seen(spark):
                                    "actor_type string, actor_id long, ts timestamp_ntz")
     got = {r["id"]: r["last_login"] for r in lifecycle.last_seen(make_model(spark, officers=officers), logins).collect()}
     assert got == {1: datetime(2024, 1, 1), 2: None}
+
+
+REQUEST_SCHEMA = ("request_id long, caller_id long, department_id int, district_id int, mandal_id int, village string, "
+                  "title string, description string, priority string, latitude string, longitude string, "
+                  "address string, is_anonymous string, aadhaar string, source string, ts timestamp_ntz")
+
+
+def test_table_constraints_reject_a_filing(spark):
+    m = make_model(spark, citizens=[dict(id=5, name="Asha", phone="9000000005")],
+                   mandals=[dict(id=4, district_id=1, name="M")])
+    fine = dict(caller_id=5, department_id=1, district_id=1, mandal_id=4, village=None, title="t", description="d",
+                priority="", latitude="17.25", longitude="", address=None, is_anonymous="false", aadhaar=None,
+                source=None, ts=D(2024, 1, 1))
+    cases = [({}, None), ({"priority": "purple"}, intake.INVALID_PRIORITY), ({"priority": "urgent"}, None),
+             ({"latitude": "abc"}, intake.INVALID_COORDINATES), ({"longitude": "99999"}, intake.INVALID_COORDINATES),
+             ({"title": "x" * 301}, intake.TITLE_TOO_LONG), ({"title": "x" * 300}, None),
+             ({"village": "v" * 201}, intake.VILLAGE_TOO_LONG), ({"source": "s" * 21}, intake.SOURCE_TOO_LONG),
+             ({"mandal_id": 99}, intake.INVALID_MANDAL), ({"mandal_id": None}, None),
+             ({"caller_id": 6}, intake.UNKNOWN_CALLER), ({"caller_id": None}, None),
+             ({"caller_id": 6, "is_anonymous": "true"}, None)]
+    names = [part.split()[0] for part in REQUEST_SCHEMA.split(", ")]
+    req = spark.createDataFrame([tuple(({"request_id": i} | fine | change)[n] for n in names)
+                                 for i, (change, _) in enumerate(cases)], REQUEST_SCHEMA)
+    res = intake.file_complaints(m, req)
+    assert dict(rows(res.rejects, "request_id", "reason")) == {i: why for i, (_, why) in enumerate(cases) if why}
+    assert [r[0] for r in rows(res.complaints, "id")] == [i for i, (_, why) in enumerate(cases) if not why]
+    # the anonymous filing of an unknown caller is stored, but nobody can be notified
+    assert len(cases) - 1 not in [r[0] for r in rows(res.outbox, "complaint_id")]
+
+
+def test_every_page_equals_the_plain_sort(spark):
+    made = [complaint(id=i, upvote_count=None if i % 7 == 0 else i % 3, created_at=D(2024, 1, 1) + timedelta(hours=i % 50))
+            for i in range(1, 76)]
+    m = make_model(spark, complaints=made)
+    votes_first = sorted(made, key=lambda c: (c["upvote_count"] is not None, -(c["upvote_count"] or 0),
+                                              -c["created_at"].timestamp(), c["id"]))
+    want = [c["complaint_no"] for c in votes_first]
+    got = [[r["complaint_no"] for r in lookups.public_feed(m, page_no=k).collect()] for k in range(1, 6)]
+    assert got == [want[i:i + 20] for i in range(0, 100, 20)]
+
+
+def test_contacts_by_phone_and_by_id(spark):
+    m = make_model(spark, citizens=[dict(id=5, name="a", phone="1"), dict(id=6, name="b", phone="2")])
+    phones = spark.createDataFrame([("2",), ("2",), ("9",), (None,)], "phone string")
+    ids = spark.createDataFrame([(5,), (5,), (9,), (None,)], "id long")
+    assert rows(lookups.contact_by_phone(m, phones), "id") == [(6,)]
+    assert rows(lookups.contact_by_id(m, ids), "id") == [(5,)]

@@ -118,7 +118,7 @@ def test_rate_limit_first_k_is_pruned(spark):
 
 
 def test_deep_page_has_no_single_task_window_over_rows(model):
-    df = lookups.public_feed(model, page_no=40, deep_threshold=0)
+    df = lookups.public_feed(model, page_no=40)
     df.collect()
     lines = _plan(df).splitlines()
     for i, line in enumerate(lines):
@@ -141,3 +141,9 @@ def test_snapshot_layout_serves_filters(spark, model):
     plan = _plan(by_year)
     assert "PartitionFilters: [isnotnull(created_year" in plan and "= 1997" in plan
     assert by_year.count() == model.complaints.filter(F.year("created_at") == 1997).count()
+
+
+def test_dashboard_rows_cover_nine_sections_from_three_scans(model):
+    rows = reports.dashboard_long(model).collect()
+    assert {r["section"] for r in rows} == set(reports.dashboard_bundle(model))
+    assert len({(r["section"], r["key"], r["metric"]) for r in rows}) == len(rows)
