@@ -124,7 +124,7 @@ def main() -> None:
 
     def two_level_numbers():
         from civiccases.plans.ranking import bucket_of, global_rank
-        return global_rank(m.complaints, bucket_of("created_at", "day"), [F.col("created_at"), F.col("id")], "seq")
+        return global_rank(m.complaints, bucket_of("created_at", "day"), ["created_at", "id"], "seq")
 
     def unpruned_crossing():
         res = votes.apply_upvotes(m, req["votes"])

@@ -77,7 +77,7 @@ def resolve_reference(m: Model, requests: DataFrame) -> DataFrame:
 def assign_complaint_no(accepted: DataFrame, start: int | Column = 1, ts: str = "ts",
                         key: str = "request_id") -> DataFrame:
     """Global dense sequence in (ts, key) order from ``start``; numbers widen past 99,999 (D6)."""
-    ranked = global_rank(accepted, bucket_of(ts, "hour"), [F.col(ts), F.col(key)], "seq", start)
+    ranked = global_rank(accepted, bucket_of(ts, "hour"), [ts, key], "seq", start)
     return ranked.withColumn("complaint_no", F.concat_ws(
         "-", F.lit(COMPLAINT_NO_PREFIX), F.year(ts).cast("string"), F.col("district_code"),
         F.format_string(f"%0{COMPLAINT_NO_DIGITS}d", F.col("seq"))))

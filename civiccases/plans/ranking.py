@@ -13,9 +13,9 @@
    are small) and ``row_number`` inside each bucket; rank = offset + local.
 
 The rank depends on data only (the order must be total), not on physical
-partitioning, so it is stable under AQE coalescing and task retries.  The
-bucket is the unit of work of the inner sort; a finer bucket width spreads a
-hot period over more tasks.
+partitioning, so it is stable under AQE coalescing and task retries.  A bucket
+that holds a large share of all rows is cut into slices along the order
+(``slices.with_slice``); a (bucket, slice) is the unit of the inner sort.
 """
 
 from __future__ import annotations
@@ -23,34 +23,36 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from civiccases.plans.slices import SLICE_ROWS, with_slice
 
 def bucket_of(ts: Column | str, unit: str = "hour") -> Column:
     c = F.col(ts) if isinstance(ts, str) else ts
     return F.date_trunc(unit, c)
 
 
-def global_rank(df: DataFrame, bucket: Column, order: list[Column], name: str = "seq",
-                start: Column | int = 1) -> DataFrame:
-    """Add ``name`` = dense 1-based position (+ start - 1) in ``order``.
+def global_rank(df: DataFrame, bucket: Column, order: list[str], name: str = "seq",
+                start: Column | int = 1, slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """Add ``name`` = dense 1-based position (+ start - 1) in ascending ``order`` (NULL first).
 
     ``bucket`` must be non-decreasing along ``order`` (a prefix of its first
-    key); ``order`` must be total (end with a unique key).
+    key); ``order`` names timestamp and numeric columns and must be total (end
+    with a unique key).
     """
     start_col = F.lit(start) if isinstance(start, int) else start
-    b = df.withColumn("_bucket", bucket)
-    counts = b.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    running = Window.orderBy(F.col("_bucket").asc_nulls_first()).rowsBetween(
+    b = with_slice(df.withColumn("_bucket", bucket), ["_bucket"], order, slice_rows)
+    counts = b.groupBy("_bucket", "_slice").agg(F.count(F.lit(1)).alias("_n"))
+    running = Window.orderBy(F.col("_bucket").asc_nulls_first(), "_slice").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
-    offsets = counts.select(F.col("_bucket").alias("_ob"),
+    offsets = counts.select(F.col("_bucket").alias("_ob"), F.col("_slice").alias("_os"),
                             (F.sum("_n").over(running) - F.col("_n")).alias("_offset"))
-    local = Window.partitionBy("_bucket").orderBy(*order)
+    local = Window.partitionBy("_bucket", "_slice").orderBy(*order)
     # Left join on a grouped (hence unique) key: lossless here, and Catalyst
     # drops the whole offsets branch when the rank column is not used.
-    return (b.join(offsets, F.col("_bucket").eqNullSafe(F.col("_ob")), "left")
-             .drop("_ob")
+    same = F.col("_bucket").eqNullSafe(F.col("_ob")) & (F.col("_slice") == F.col("_os"))
+    return (b.join(offsets, same, "left")
              .withColumn(name, (F.col("_offset") + F.row_number().over(local) + start_col - F.lit(1))
                          .cast("long"))
-             .drop("_bucket", "_offset"))
+             .drop("_bucket", "_slice", "_ob", "_os", "_offset"))
 
 
 def page(df: DataFrame, order: list[Column], page_no: int, page_size: int, bucket: Column) -> DataFrame:

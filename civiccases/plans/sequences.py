@@ -5,9 +5,11 @@ task: one complaint (or phone) holding a third of all rows would become one
 straggler task.  These helpers split each key by a coarse, order-preserving
 time bucket and run the window per (key, bucket); what crosses a bucket edge
 (the last value, the running total) is carried in from a small per-(key,
-bucket) table whose own window runs over one row per bucket.  The carry is
-joined on (key, bucket) - the same hash partitioning the inner window needs,
-so the rows are shuffled once.  Results equal the single-window form (the
+bucket) table whose own window runs over one row per bucket.  A (key, bucket)
+that holds a large share of all rows is cut further, into slices along the
+order (``slices.with_slice``).  The carry is joined on (key, bucket, slice) -
+the same hash partitioning the inner window needs, so the rows are shuffled
+once.  Results equal the single-window form (the
 tests and the DuckDB oracles check it) and depend on data only.
 """
 
@@ -16,32 +18,39 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from civiccases.plans.slices import SLICE_ROWS, with_slice
+
+
+def _carried(key: str) -> Column:
+    return (F.col(key).eqNullSafe(F.col("_ck")) & F.col("_bk").eqNullSafe(F.col("_cb"))
+            & (F.col("_slice") == F.col("_cs")))
+
 
 def bucketed_lag(df: DataFrame, key: str, bucket: Column, order: list[str], value: str, out: str,
-                 first_default: Column) -> DataFrame:
+                 first_default: Column, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """``out`` = lag(value) over (key ordered by ``order``); the first row of a key gets ``first_default``."""
-    b = df.withColumn("_bk", bucket)
-    last = b.groupBy(F.col(key).alias("_ck"), F.col("_bk").alias("_cb")).agg(
+    b = with_slice(df.withColumn("_bk", bucket), [key, "_bk"], order, slice_rows)
+    last = b.groupBy(F.col(key).alias("_ck"), F.col("_bk").alias("_cb"), F.col("_slice").alias("_cs")).agg(
         F.max_by(value, F.struct(*order)).alias("_last"))
-    w_small = Window.partitionBy("_ck").orderBy("_cb")
-    carry = last.select("_ck", "_cb", F.lag("_last").over(w_small).alias("_carry"),
+    w_small = Window.partitionBy("_ck").orderBy("_cb", "_cs")
+    carry = last.select("_ck", "_cb", "_cs", F.lag("_last").over(w_small).alias("_carry"),
                         (F.row_number().over(w_small) > 1).alias("_has_prev"))
-    j = b.join(carry, F.col(key).eqNullSafe(F.col("_ck")) & F.col("_bk").eqNullSafe(F.col("_cb")), "inner")
-    w = Window.partitionBy(key, "_bk").orderBy(*order)
+    j = b.join(carry, _carried(key), "inner")
+    w = Window.partitionBy(key, "_bk", "_slice").orderBy(*order)
     prev = F.when(F.row_number().over(w) == 1,
                   F.when(F.col("_has_prev"), F.col("_carry")).otherwise(first_default)).otherwise(
         F.lag(value).over(w))
-    return j.withColumn(out, prev).drop("_bk", "_ck", "_cb", "_carry", "_has_prev")
+    return j.withColumn(out, prev).drop("_bk", "_slice", "_ck", "_cb", "_cs", "_carry", "_has_prev")
 
 
 def bucketed_running_count(df: DataFrame, key: str, bucket: Column, order: list[str], flag: Column,
-                           out: str) -> DataFrame:
+                           out: str, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """``out`` = running count of rows with ``flag`` true, per key in ``order``, inclusive of the row."""
-    b = df.withColumn("_bk", bucket).withColumn("_f", flag.cast("int"))
-    per = b.groupBy(F.col(key).alias("_ck"), F.col("_bk").alias("_cb")).agg(F.sum("_f").alias("_n"))
-    w_small = Window.partitionBy("_ck").orderBy("_cb").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    carry = per.select("_ck", "_cb", (F.sum("_n").over(w_small) - F.col("_n")).alias("_before"))
-    j = b.join(carry, F.col(key).eqNullSafe(F.col("_ck")) & F.col("_bk").eqNullSafe(F.col("_cb")), "inner")
-    w = Window.partitionBy(key, "_bk").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    b = with_slice(df.withColumn("_bk", bucket).withColumn("_f", flag.cast("int")), [key, "_bk"], order, slice_rows)
+    per = b.groupBy(F.col(key).alias("_ck"), F.col("_bk").alias("_cb"), F.col("_slice").alias("_cs")).agg(F.sum("_f").alias("_n"))
+    w_small = Window.partitionBy("_ck").orderBy("_cb", "_cs").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    carry = per.select("_ck", "_cb", "_cs", (F.sum("_n").over(w_small) - F.col("_n")).alias("_before"))
+    j = b.join(carry, _carried(key), "inner")
+    w = Window.partitionBy(key, "_bk", "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return (j.withColumn(out, (F.col("_before") + F.sum("_f").over(w)).cast("long"))
-             .drop("_bk", "_ck", "_cb", "_before", "_f"))
+             .drop("_bk", "_slice", "_ck", "_cb", "_cs", "_before", "_f"))

@@ -62,7 +62,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """
     configured = spark.conf.get(CHECKPOINT_CONF, None)
     if not configured:
-        if not spark.sparkContext.master.startswith("local["):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise ValueError(f"{CHECKPOINT_CONF} must name a folder that driver and executors share")
         configured = tempfile.mkdtemp(prefix="civiccases-ckpt-")
         spark.conf.set(CHECKPOINT_CONF, configured)

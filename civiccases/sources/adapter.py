@@ -198,7 +198,7 @@ def complaints(spark: SparkSession, sf_dir: str, as_of: datetime = AS_OF,
          .withColumn("upvote_count", F.coalesce(
              F.col("_votes"), F.when(F.col("_null_votes"), F.lit(None).cast("int")).otherwise(F.lit(0))))
          .withColumn("description", F.coalesce(F.col("text"), F.lit(""))))
-    numbered = global_rank(j, bucket_of("created_at", "day"), [F.col("created_at"), F.col("id")], "_seq")
+    numbered = global_rank(j, bucket_of("created_at", "day"), ["created_at", "id"], "_seq")
     numbered = numbered.withColumn(
         "complaint_no", F.concat_ws("-", F.lit("AP"), F.year("created_at").cast("string"), F.col("_dcode"),
                                     F.format_string("%05d", F.col("_seq"))))
@@ -229,7 +229,7 @@ def _line_note() -> Column:
 def timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = line_events(spark, sf_dir).filter(
         (F.col("line_status") != "closed") & (F.col("l_partkey") % 97 != 0))
-    ranked = global_rank(ev, bucket_of("ts"), [F.col(c) for c in LINE_ORDER], "id")
+    ranked = global_rank(ev, bucket_of("ts"), LINE_ORDER, "id")
     return ranked.select(
         "id", F.col("l_orderkey").alias("complaint_id"), F.col("line_status").alias("status"),
         _line_note().alias("note"),
@@ -241,7 +241,7 @@ def timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def status_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Status-change requests: (update_id, complaint_id, status, note, officer_id, ts)."""
     ev = line_events(spark, sf_dir)
-    ranked = global_rank(ev, bucket_of("ts"), [F.col(c) for c in LINE_ORDER], "update_id")
+    ranked = global_rank(ev, bucket_of("ts"), LINE_ORDER, "update_id")
     return ranked.select(
         "update_id",
         (F.col("l_orderkey") + F.when(F.col("l_partkey") % 97 == 0, F.lit(UNKNOWN_ID_OFFSET))

@@ -7,7 +7,9 @@ from datetime import datetime, timedelta
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from civiccases.plans.ranking import global_rank
 from civiccases.plans.sequences import bucketed_lag, bucketed_running_count
+from civiccases.plans.slices import with_slice
 
 
 def _events(spark):
@@ -31,3 +33,44 @@ def test_bucketed_running_count_equals_window(spark):
     w = Window.partitionBy("k").orderBy("ts", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     want = df.withColumn("n", F.sum(F.col("f").cast("int")).over(w).cast("long"))
     assert sorted(got.select("id", "n").collect()) == sorted(want.select("id", "n").collect())
+
+
+def _hot_day(spark):
+    """A third of all rows at one instant, a third in one hour, the others in hours that differ by microseconds."""
+    t = datetime(2024, 1, 1)
+    at = lambda i: (t if i % 3 == 0 else t + timedelta(hours=3, seconds=i) if i % 3 == 1
+                    else t + timedelta(days=1 + i % 7, microseconds=i))
+    rows = [(i, ["hot", "hot", "cold", None][i % 4], at(i) if i % 97 else None, "abc"[i % 3], i % 4 == 0)
+            for i in range(3000)]
+    return spark.createDataFrame(rows, "id long, k string, ts timestamp_ntz, v string, f boolean").repartition(5)
+
+
+def test_hot_cells_are_sliced_along_the_order(spark):
+    df = _hot_day(spark).withColumn("b", F.date_trunc("hour", "ts"))
+    cut = with_slice(df, ["b"], ["ts", "id"], rows=100)
+    assert cut.columns == df.columns + ["_slice"] and cut.count() == 3000
+    assert cut.groupBy("b", "_slice").count().agg(F.max("count")).first()[0] <= 120
+    assert cut.where("b = timestamp_ntz'2024-01-01 00:00:00'").select("_slice").distinct().count() > 5
+    # slices follow the order
+    w = Window.partitionBy("b").orderBy("ts", "id")
+    back = cut.withColumn("back", F.lag("_slice").over(w) > F.col("_slice")).where("back")
+    assert back.count() == 0
+    assert with_slice(df, ["b"], ["ts", "id"]).where("_slice != 0").count() == 0
+
+
+def test_rank_and_sequences_over_sliced_cells(spark):
+    df = _hot_day(spark)
+    w = Window.orderBy("ts", "id")
+    got = global_rank(df, F.date_trunc("hour", "ts"), ["ts", "id"], "n", 5, slice_rows=50)
+    want = df.withColumn("n", F.row_number().over(w).cast("long") + 4)
+    assert sorted(got.select("id", "n").collect()) == sorted(want.select("id", "n").collect())
+    day = F.date_trunc("day", "ts")
+    per_key = Window.partitionBy("k").orderBy("ts", "id")
+    got = bucketed_lag(df, "k", day, ["ts", "id"], "v", "prev", F.lit("base"), slice_rows=50)
+    want = df.withColumn("prev", F.when(F.row_number().over(per_key) == 1, F.lit("base"))
+                         .otherwise(F.lag("v").over(per_key)))
+    assert sorted(got.select("id", "prev").collect()) == sorted(want.select("id", "prev").collect())
+    got = bucketed_running_count(df, "k", day, ["ts", "id"], F.col("f"), "n", slice_rows=50)
+    want = df.withColumn("n", F.sum(F.col("f").cast("int")).over(
+        per_key.rowsBetween(Window.unboundedPreceding, Window.currentRow)).cast("long"))
+    assert sorted(got.select("id", "n").collect()) == sorted(want.select("id", "n").collect())
