@@ -3,10 +3,11 @@
 The audit checks, as data, every constraint the reference's DDL declares
 (keys, NOT NULL, foreign keys, enums, VARCHAR lengths) plus the open domains
 given in its comments and the anonymity leak of decision D15.  Each table is
-scanned once for all of its row-local rules (one aggregate of conditional
-counts); all uniqueness rules share one group-by on (table, column, key),
-and all foreign keys one ``left_anti`` join of the tagged non-NULL child keys
-against the tagged parent keys.
+scanned twice: once for its row-local rules (one aggregate of conditional
+counts) and once for the keys it owns and the keys it refers to.  All keys of
+all tables meet in one group-by on (key space, key), pre-aggregated before the
+shuffle, so a department with a third of all complaints is one partial row a
+task; unique keys, orphans and leaks are read off the groups.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from civiccases.functions.expr import literal_table
-from civiccases.sources.model import PRIORITIES, STATUSES, Model
+from civiccases.sources.model import PRIORITIES, STATUSES, TABLES, Model
 
 # Open domains from the DDL comments, and VARCHAR bounds.
 ROLE_DOMAIN = ["officer", "supervisor", "collector", "admin"]
@@ -114,63 +115,94 @@ def _table_checks(name: str, df: DataFrame) -> DataFrame:
                       F.col("n_violations").cast("long").alias("n_violations"))
 
 
-def _unique_checks(m: Model) -> DataFrame:
-    """All UNIQUE rules in one shuffle: (table, column, key) grouped, keys seen twice counted."""
-    keys = None
-    for table, key_sets in UNIQUE.items():
-        for cols in key_sets:
-            k = F.concat_ws("\u0001", *[F.col(c).cast("string") for c in cols])
-            part = (getattr(m, table).filter(F.expr(" AND ".join(f"{c} IS NOT NULL" for c in cols)))
-                    .select(F.lit(table).alias("table_name"), F.lit(",".join(cols)).alias("column_name"),
-                            k.alias("_key")))
-            keys = part if keys is None else keys.unionByName(part)
-    dups = (keys.groupBy("table_name", "column_name", "_key").count().filter(F.col("count") > 1)
-                .groupBy("table_name", "column_name").agg(F.count(F.lit(1)).alias("_n")))
-    rules = literal_table(m.complaints.sparkSession,
-                          [(t, ",".join(c)) for t, ks in UNIQUE.items() for c in ks],
-                          "table_name string, column_name string")
-    return (rules.join(dups, ["table_name", "column_name"], "left")
-                 .select("table_name", F.lit("unique").alias("rule"), "column_name",
-                         F.coalesce(F.col("_n"), F.lit(0)).cast("long").alias("n_violations")))
-
-
-def _fk_checks(m: Model) -> DataFrame:
-    """All foreign keys in one anti join: child keys tagged with their parent vs all parent keys."""
-    children = None
-    for child, col, parent in FOREIGN_KEYS:
-        part = (getattr(m, child).filter(F.col(col).isNotNull())
-                .select(F.lit(child).alias("table_name"), F.lit(col).alias("column_name"),
-                        F.lit(parent).alias("_parent"), F.col(col).cast("long").alias("_fk")))
-        children = part if children is None else children.unionByName(part)
-    parents = None
-    for parent in sorted({p for _, _, p in FOREIGN_KEYS}):
-        part = getattr(m, parent).select(F.lit(parent).alias("_pp"), F.col("id").cast("long").alias("_pk"))
-        parents = part if parents is None else parents.unionByName(part)
-    parents = parents.distinct()
-    orphans = (children.join(parents, (F.col("_parent") == F.col("_pp")) & (F.col("_fk") == F.col("_pk")),
-                             "left_anti")
-               .groupBy("table_name", "column_name", "_parent").agg(F.count(F.lit(1)).alias("_n")))
-    rules = literal_table(m.complaints.sparkSession, FOREIGN_KEYS,
-                          "table_name string, column_name string, _parent string")
-    return (rules.join(orphans, ["table_name", "column_name", "_parent"], "left")
-                 .select("table_name", F.concat(F.lit("foreign_key:"), F.col("_parent")).alias("rule"),
-                         "column_name", F.coalesce(F.col("_n"), F.lit(0)).cast("long").alias("n_violations")))
-
-
-def _anonymity_leak(m: Model) -> DataFrame:
-    """Notifications that carry a citizen for an anonymous complaint (D15)."""
-    anon = m.complaints.filter(F.col("is_anonymous")).select(F.col("id").alias("_cid"))
-    leak = (m.notifications.filter(F.col("citizen_id").isNotNull())
-            .join(anon, F.col("complaint_id") == F.col("_cid"), "left_semi"))
-    return leak.agg(F.count(F.lit(1)).cast("long").alias("n_violations")).select(
-        F.lit("notifications").alias("table_name"), F.lit("anonymity_leak").alias("rule"),
-        F.lit("citizen_id").alias("column_name"), "n_violations")
+# A key space is a table's unique column set.  Slot 0 of a space counts the keys it owns, the
+# further slots those of the rules that refer to it.
+SPACES = [(table, tuple(cols)) for table, key_sets in UNIQUE.items() for cols in key_sets]
+ANONYMITY = ("notifications", "complaint_id", "complaints", "citizen_id")
+
+
+def _key_rules() -> list[tuple[int, int, str, str, str]]:
+    """(space, slot, table_name, rule, column_name) of every rule on keys."""
+    rules = [(i, 0, table, "unique", ",".join(cols)) for i, (table, cols) in enumerate(SPACES)]
+    used = dict.fromkeys(range(len(SPACES)), 0)
+    refs = [(child, f"foreign_key:{parent}", col, parent) for child, col, parent in FOREIGN_KEYS]
+    refs.append((ANONYMITY[0], "anonymity_leak", ANONYMITY[3], ANONYMITY[2]))
+    for child, rule, col, parent in refs:
+        space = SPACES.index((parent, ("id",)))
+        used[space] += 1
+        rules.append((space, used[space], child, rule, col))
+    return rules
+
+
+def _key(space: int, slot: int, number: Column | None, text: Column | None, needed: list[str],
+         anonymous: Column | None = None) -> Column:
+    """The struct a row sends for one rule; NULL where a needed column is NULL."""
+    sent = F.struct(F.lit(space).alias("space"), F.lit(slot).alias("slot"),
+                    (F.lit(None) if number is None else number).cast("long").alias("number"),
+                    (F.lit(None) if text is None else text).cast("string").alias("text"),
+                    (F.lit(False) if anonymous is None else F.coalesce(anonymous, F.lit(False))).alias("anonymous"))
+    return F.when(F.expr(" AND ".join(f"{c} IS NOT NULL" for c in needed)), sent)
+
+
+def _keys_of(name: str, df: DataFrame) -> DataFrame | None:
+    """One scan of a table: every key it owns or refers to."""
+    sends = []
+    for space, slot, table, rule, column in _key_rules():
+        if table != name:
+            continue
+        if rule == "unique":
+            cols = SPACES[space][1]
+            text = [c for c in cols if df.schema[c].dataType.typeName() == "string"]
+            number = [c for c in cols if c not in text]
+            anonymous = F.col("is_anonymous") if (name, column) == ("complaints", "id") else None
+            sends.append(_key(space, slot, F.col(number[0]) if number else None, F.col(text[0]) if text else None,
+                              list(cols), anonymous))
+        elif rule == "anonymity_leak":
+            sends.append(_key(space, slot, F.col(ANONYMITY[1]), None, [ANONYMITY[1], column]))
+        else:
+            sends.append(_key(space, slot, F.col(column), None, [column]))
+    if not sends:
+        return None
+    return df.select(F.explode(F.filter(F.array(*sends), lambda x: x.isNotNull())).alias("k")).select("k.*")
+
+
+def _key_checks(m: Model) -> DataFrame:
+    """All rules on keys: unique keys seen twice, references without an owner, callers of anonymous complaints."""
+    rules = _key_rules()
+    sent = None
+    for name in TABLES:
+        part = _keys_of(name, getattr(m, name))
+        if part is not None:
+            sent = part if sent is None else sent.unionByName(part)
+    slots = range(max(slot for _, slot, *_ in rules) + 1)
+    groups = sent.groupBy("space", "number", "text").agg(
+        F.max("anonymous").alias("anonymous"),
+        *[F.count_if(F.col("slot") == i).alias(f"n{i}") for i in slots])
+    leak = next((space, slot) for space, slot, _, rule, _ in rules if rule == "anonymity_leak")
+
+    def violations(slot: int) -> Column:
+        if slot == 0:
+            return F.when(F.col("n0") > 1, F.lit(1)).otherwise(F.lit(0))
+        orphans = F.when(F.col("n0") == 0, F.col(f"n{slot}")).otherwise(F.lit(0))
+        if slot != leak[1]:
+            return orphans
+        return F.when(F.col("space") == leak[0], F.when(F.col("anonymous"), F.col(f"n{slot}")).otherwise(F.lit(0))
+                      ).otherwise(orphans)
+
+    totals = groups.groupBy("space").agg(*[F.sum(violations(i)).alias(f"v{i}") for i in slots])
+    found = totals.select(F.col("space").alias("_space"), F.posexplode(F.array(*[f"v{i}" for i in slots])).alias(
+        "_slot", "_n"))
+    known = literal_table(m.complaints.sparkSession, rules,
+                          "space int, slot int, table_name string, rule string, column_name string")
+    return (known.join(found, (F.col("space") == F.col("_space")) & (F.col("slot") == F.col("_slot")), "left")
+            .select("table_name", "rule", "column_name",
+                    F.coalesce(F.col("_n"), F.lit(0)).cast("long").alias("n_violations")))
 
 
 def constraint_audit(m: Model, only_violations: bool = False) -> DataFrame:
     """One row per rule: (table_name, rule, column_name, n_violations)."""
     parts = [_table_checks(name, getattr(m, name)) for name in NOT_NULL]
-    parts += [_unique_checks(m), _fk_checks(m), _anonymity_leak(m)]
+    parts.append(_key_checks(m))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

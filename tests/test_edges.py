@@ -242,6 +242,54 @@ def test_audit_finds_planted_violations(spark):
     assert got[("notifications", "foreign_key:citizens", "citizen_id")] == 1
 
 
+def test_audit_finds_one_planted_violation_of_every_rule(spark):
+    """Two rows a table that break each of its rules once (a NULL, a long text, an unknown key or word, a repeat)."""
+    from civiccases.oracle.queries_sql import audit_rules
+    from civiccases.sources.model import SCHEMAS
+    m = make_model(spark)
+    planted = {}
+    for name, schema in SCHEMAS.items():
+        open_schema = type(schema)([type(f)(f.name, f.dataType, True) for f in schema.fields])
+        marks = [(rule, column, arg) for table, rule, column, arg in audit_rules() if table == name]
+        rows = []
+        for rule, column, arg in marks:     # a pair of rows a rule, so that rules do not mask each other
+            row = {f.name: None for f in schema.fields}
+            if rule.startswith("max_length"):
+                row[column] = "x" * (int(arg) + 1)
+            elif rule == "domain":
+                row[column] = "bogus"
+            elif rule == "anonymity_leak":
+                row |= {"complaint_id": 4242, column: 4}
+            elif rule.startswith("foreign_key"):
+                row[column] = 999
+            rows.append(row)
+            if rule == "unique":
+                for c in column.split(","):
+                    row[c] = 77 if schema[c].dataType.typeName() != "string" else "twice"
+                rows.append(dict(row))
+        if name == "complaints":
+            rows.append({f.name: None for f in schema.fields} | {"id": 4242, "is_anonymous": True})
+        planted[name] = spark.createDataFrame([tuple(r.values()) for r in rows], open_schema)
+    got = {(r["table_name"], r["rule"], r["column_name"]): r["n_violations"]
+           for r in quality.constraint_audit(m.replace(**planted)).collect()}
+    assert set(got) == {(t, r, c) for t, r, c, _ in audit_rules()}
+    assert [k for k, n in got.items() if n < 1] == []
+    assert got[("notifications", "anonymity_leak", "citizen_id")] == 1
+    assert got[("complaints", "unique", "complaint_no")] == 1
+    assert got[("complaints", "foreign_key:officers", "assigned_to")] == 1
+    clean = quality.constraint_audit(make_model(spark), only_violations=True)
+    assert clean.count() == 0
+
+
+def test_audit_reads_each_table_twice(spark, tmp_path):
+    from civiccases.sources.model import load_model
+    from civiccases.sources.sinks import write_snapshot
+    m = load_model(spark, write_snapshot(make_model(spark, complaints=[complaint(id=1)]), str(tmp_path / "s")), AS_OF)
+    plan = quality.constraint_audit(m)._jdf.queryExecution().optimizedPlan().toString()
+    leaves = [x for x in plan.splitlines() if "Relation [" in x and "complaint_no" in x and "department_id" in x]
+    assert len(leaves) == 2, plan
+
+
 def test_purge_cascades_and_refuses(spark):
     m = make_model(spark, complaints=[complaint(id=1), complaint(id=2)],
                    attachments=[dict(id=1, complaint_id=1, file_url="u"), dict(id=2, complaint_id=1, file_url="v")],
