@@ -258,25 +258,45 @@ def file_complaints(m: Model, requests: DataFrame, uploads: DataFrame | None = N
 
 PHONE_TAKEN = "Phone already registered. Please login."
 NAME_PHONE_REQUIRED = "Name and phone are required"
+NAME_TOO_LONG = "Name too long"
+PHONE_TOO_LONG = "Phone too long"
+EMAIL_TOO_LONG = "Email too long"
+LANGUAGE_TOO_LONG = "Language too long"
+MAX_NAME, MAX_PHONE, MAX_EMAIL, MAX_LANGUAGE = 200, 15, 200, 5
 
 
 def register_citizens(m: Model, requests: DataFrame) -> DataFrame:
     """Per request: accepted flag, reason, and the citizen row it creates.
 
-    Existing phones are rejected by an anti join; duplicates inside the batch
-    keep the first request by (ts, request_id), found with a partial
-    aggregate (min of the struct) rather than a window, so a hot phone is
-    merged across map tasks.
+    Name and phone come first, then a taken phone (stored, or registered by an
+    earlier accepted request of the batch), then what the citizens table itself
+    refuses: lengths, an unknown district or mandal.  A refused request does
+    not take its phone.  The first acceptable request of a phone by (ts,
+    request_id) is found with a partial aggregate (min of the struct) rather
+    than a window, so a hot phone is merged across map tasks.
     """
-    valid = requests.withColumn("reason", first_reason(
-        (is_blank("name") | is_blank("phone"), NAME_PHONE_REQUIRED)))
-    existing = m.citizens.select(F.col("phone").alias("_phone"), F.lit(True).alias("_taken")).dropDuplicates(["_phone"])
-    checked = valid.join(existing, F.col("phone") == F.col("_phone"), "left").drop("_phone")
-    firsts = (checked.filter(F.col("reason").isNull() & F.col("_taken").isNull())
+    districts = m.districts.select(F.col("id").alias("_did")).distinct()
+    mandals = m.mandals.select(F.col("id").alias("_mid")).distinct()
+    stored = m.citizens.select(F.col("phone").alias("_phone")).distinct()
+    checked = (requests.join(stored, F.col("phone") == F.col("_phone"), "left")
+               .join(districts, F.col("district_id") == F.col("_did"), "left")
+               .join(mandals, F.col("mandal_id") == F.col("_mid"), "left"))
+    checked = checked.withColumns({
+        "_incomplete": is_blank("name") | is_blank("phone"),
+        "_refused": first_reason(
+            (F.char_length("name") > MAX_NAME, NAME_TOO_LONG),
+            (F.char_length("phone") > MAX_PHONE, PHONE_TOO_LONG),
+            (F.char_length("email") > MAX_EMAIL, EMAIL_TOO_LONG),
+            (F.char_length("village") > MAX_VILLAGE, VILLAGE_TOO_LONG),
+            (F.char_length("lang_pref") > MAX_LANGUAGE, LANGUAGE_TOO_LONG),
+            (F.col("district_id").isNotNull() & F.col("_did").isNull(), INVALID_DISTRICT),
+            (F.col("mandal_id").isNotNull() & F.col("_mid").isNull(), INVALID_MANDAL))})
+    firsts = (checked.where(~F.col("_incomplete") & F.col("_phone").isNull() & F.col("_refused").isNull())
               .groupBy(F.col("phone").alias("_p")).agg(F.min(F.struct("ts", "request_id")).alias("_first")))
     out = checked.join(firsts, F.col("phone") == F.col("_p"), "left")
-    is_first = F.col("_first.request_id") == F.col("request_id")
-    reason = F.coalesce(F.col("reason"),
-                        F.when(F.col("_taken").isNotNull() | ~F.coalesce(is_first, F.lit(False)), F.lit(PHONE_TAKEN)))
-    return out.select("request_id", "name", "phone", falsy_default("lang_pref", "te").alias("lang_pref"),
-                      "district_id", reason.isNull().alias("accepted"), reason.alias("reason"), "ts")
+    reason = (F.when(F.col("_incomplete"), F.lit(NAME_PHONE_REQUIRED))
+              .when(F.col("_phone").isNotNull() | (F.col("_first") < F.struct("ts", "request_id")), F.lit(PHONE_TAKEN))
+              .otherwise(F.col("_refused")))
+    return out.select("request_id", "name", "phone", "email", falsy_default("lang_pref", "te").alias("lang_pref"),
+                      "district_id", "mandal_id", "village", reason.isNull().alias("accepted"),
+                      reason.alias("reason"), "ts")

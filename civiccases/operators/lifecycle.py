@@ -21,6 +21,7 @@ from civiccases.sources.model import (ESCALATION_EXCLUDED, ESCALATION_NOTE, SETT
 
 INVALID_STATUS = "Invalid status"
 NOT_FOUND = "Complaint not found"
+UNKNOWN_OFFICER = "Unknown officer"
 
 
 # ------------------------------------------------------------------ J-12
@@ -41,11 +42,21 @@ class StatusResult:
 
 
 def _checked_updates(m: Model, updates: DataFrame) -> DataFrame:
+    """Adds ``reason``: the status, then the complaint, then the officer that the timeline row refers to.
+
+    Unknown officers are found among the distinct officers of the updates, so a
+    busy officer is one row before any join.
+    """
     known = m.complaints.select(F.col("id").alias("_known"))
-    u = updates.join(known, F.col("complaint_id") == F.col("_known"), "left")
+    strangers = (updates.select(F.col("officer_id").alias("_stranger")).where("_stranger is not null").distinct()
+                 .join(m.officers.select(F.col("id").alias("_oid")), F.col("_stranger") == F.col("_oid"), "left_anti"))
+    u = (updates.join(known, F.col("complaint_id") == F.col("_known"), "left")
+         .join(strangers, F.col("officer_id") == F.col("_stranger"), "left"))
     return u.withColumn("reason", first_reason((~F.col("status").isin(*SETTABLE_STATUSES) |
                                                 F.col("status").isNull(), INVALID_STATUS),
-                                               (F.col("_known").isNull(), NOT_FOUND))).drop("_known")
+                                               (F.col("_known").isNull(), NOT_FOUND),
+                                               (F.col("_stranger").isNotNull(), UNKNOWN_OFFICER))
+                        ).drop("_known", "_stranger")
 
 
 def status_changes(updates_ok: DataFrame) -> DataFrame:

@@ -133,7 +133,7 @@ CTES: dict[str, str] = {
         l_orderkey + CASE WHEN l_partkey % 97 = 0 THEN {A.UNKNOWN_ID_OFFSET} ELSE 0 END AS complaint_id,
         line_status AS status,
         CASE WHEN l_linestatus = 'F' THEN NULL ELSE 'Line ' || CAST(l_linenumber AS VARCHAR) END AS note,
-        CAST(l_suppkey AS INTEGER) AS officer_id, ts
+        CAST(l_suppkey + CASE WHEN l_partkey % 89 = 0 THEN 1000000 ELSE 0 END AS INTEGER) AS officer_id, ts
         FROM line_events""",
     "attachments": """SELECT page_id AS id, page_id % greatest((SELECT count(*) FROM orders) // 375, 1) AS complaint_id, url AS file_url,
         CASE WHEN page_id % 3 = 0 THEN 'image' ELSE 'pdf' END AS file_type,
@@ -185,8 +185,13 @@ CTES: dict[str, str] = {
         CASE WHEN c_custkey % 31 = 0 THEN '' ELSE c_name END AS name,
         CASE WHEN c_custkey % 5 = 0 THEN printf('9%09d', c_custkey)
              ELSE printf('7%09d', CAST(floor(c_custkey / 2) AS BIGINT)) END AS phone,
-        CAST(NULL AS VARCHAR) AS email, CAST(c_nationkey % 24 AS INTEGER) AS district_id,
-        CAST(NULL AS INTEGER) AS mandal_id, CAST(NULL AS VARCHAR) AS village,
+        CASE WHEN c_custkey % 47 = 0 THEN repeat('c', 200) || '@mail.example.org'
+             WHEN c_custkey % 3 = 0 THEN printf('c%d@mail.example.org', c_custkey) END AS email,
+        CAST(CASE WHEN c_custkey % 41 = 0 THEN 99 ELSE c_nationkey % 24 END AS INTEGER) AS district_id,
+        CAST(CASE WHEN c_custkey % 43 = 0 THEN 99999 WHEN c_custkey % 2 = 0 THEN c_nationkey * 5 + c_custkey % 5 END
+             AS INTEGER) AS mandal_id,
+        CASE WHEN c_custkey % 53 = 0 THEN repeat('v', 201)
+             WHEN c_custkey % 7 = 0 THEN printf('Village %d', c_custkey % 100) END AS village,
         CASE WHEN c_custkey % 4 = 0 THEN NULL WHEN c_custkey % 4 = 1 THEN 'en' ELSE 'te' END AS lang_pref,
         TIMESTAMP '2001-08-01 00:00:00' + INTERVAL 1 SECOND * CAST((c_custkey * 37) % 1000 AS BIGINT) AS ts
         FROM customer""",

@@ -160,7 +160,7 @@ def _stream_escalation(spark, sf_dir):
     from datetime import timedelta
     root = streams.run_dir(spark, "escalation")
     m = _model(spark, sf_dir)
-    return streams.escalation_schedule(spark, m, [m.as_of, m.as_of + timedelta(hours=1)], root)
+    return streams.escalation_schedule(spark, m, [m.as_of, m.as_of + timedelta(days=1)], root)
 
 
 def _snapshot_round_trip(spark, sf_dir):

@@ -30,6 +30,7 @@ HOT_VOTE_SHARE = 30          # three of four votes go to every 30th part of the
 FILE_SHARE = 375             # files belong to every 375th part of the complaints
 NO_MESSAGES = 5              # every 5th caller gets no messages
 UNKNOWN_ID_OFFSET = 10 ** 9
+UNKNOWN_OFFICER_OFFSET = 1_000_000
 LINE_STATUSES = ["acknowledged", "assigned", "in_progress", "resolved", "rejected", "closed"]
 OFFICER_ROLES = ["officer", "supervisor", "collector", "admin"]
 TEST_CODE = "482910"
@@ -247,7 +248,8 @@ def status_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("l_orderkey") + F.when(F.col("l_partkey") % 97 == 0, F.lit(UNKNOWN_ID_OFFSET))
          .otherwise(F.lit(0))).alias("complaint_id"),
         F.col("line_status").alias("status"), _line_note().alias("note"),
-        F.col("l_suppkey").cast("int").alias("officer_id"), "ts")
+        (F.col("l_suppkey") + F.when(F.col("l_partkey") % 89 == 0, F.lit(UNKNOWN_OFFICER_OFFSET)).otherwise(F.lit(0)))
+        .cast("int").alias("officer_id"), "ts")
 
 
 def attachments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -345,9 +347,13 @@ def registration_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 31 == 0, F.lit("")).otherwise(F.col("c_name")).alias("name"),
         F.when(k % 5 == 0, F.format_string("9%09d", k))
          .otherwise(F.format_string("7%09d", F.floor(k / 2))).alias("phone"),
-        F.lit(None).cast("string").alias("email"),
-        (F.col("c_nationkey") % DISTRICT_MOD).cast("int").alias("district_id"),
-        F.lit(None).cast("int").alias("mandal_id"), F.lit(None).cast("string").alias("village"),
+        F.when(k % 47 == 0, F.concat(F.repeat(F.lit("c"), 200), F.lit("@mail.example.org")))
+         .when(k % 3 == 0, F.format_string("c%d@mail.example.org", k)).alias("email"),
+        F.when(k % 41 == 0, F.lit(99)).otherwise(F.col("c_nationkey") % DISTRICT_MOD).cast("int").alias("district_id"),
+        F.when(k % 43 == 0, F.lit(99999)).when(k % 2 == 0, F.col("c_nationkey") * 5 + k % 5).cast("int")
+         .alias("mandal_id"),
+        F.when(k % 53 == 0, F.repeat(F.lit("v"), 201)).when(k % 7 == 0, F.format_string("Village %d", k % 100))
+         .alias("village"),
         F.when(k % 4 == 0, F.lit(None).cast("string")).when(k % 4 == 1, F.lit("en"))
          .otherwise(F.lit("te")).alias("lang_pref"),
         plus_seconds(ts_lit(REGISTRATION_BASE), (k * 37) % 1000).alias("ts"))

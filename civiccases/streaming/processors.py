@@ -66,12 +66,13 @@ class VoteCounter(StatefulProcessor):
     priority arrive on each vote row (stream-static join) and seed the
     ValueState the first time a complaint is seen.  A vote that takes a
     'normal' complaint to >= threshold raises it to 'high' once (``crossed``).
-    Votes for unknown numbers (``unknown_key``) are rejected without state.
+    Votes for unknown numbers (negative keys) are rejected without state.
     """
 
-    def __init__(self, threshold: int = 10, unknown_key: int = -1):
+    UNKNOWN = -1
+
+    def __init__(self, threshold: int = 10):
         self.threshold = threshold
-        self.unknown_key = unknown_key
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.voters = handle.getMapState("voters", "voter_ip string", "seen boolean")
@@ -84,9 +85,9 @@ class VoteCounter(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows), ignore_index=True).sort_values(["ts", "vote_id"], kind="stable")
         n = len(batch)
-        if int(key[0]) == self.unknown_key:
+        if int(key[0]) < 0:
             yield pd.DataFrame({"vote_id": batch["vote_id"].astype("int64"),
-                                "complaint_id": batch["complaint_id"].astype("int64"),
+                                "complaint_id": pd.Series([self.UNKNOWN] * n, dtype="int64"),
                                 "reason": ["Complaint not found"] * n,
                                 "upvote_count": pd.Series([None] * n, dtype="Int32"),
                                 "crossed": [False] * n, "ts": batch["ts"]})

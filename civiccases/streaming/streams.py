@@ -68,7 +68,9 @@ def read_stream(spark: SparkSession, path: str, schema, files_per_trigger: int =
                  .parquet(path))
 
 
-UNKNOWN_KEY = -1          # votes for numbers that match no complaint (rejected without state)
+# Votes for numbers that match no complaint are rejected without state; their keys are -1 .. -UNKNOWN_KEYS,
+# dealt by vote, so a flood of them is spread over the tasks.
+UNKNOWN_KEYS = 1024
 ROCKSDB_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -88,7 +90,8 @@ def _await(query) -> None:
 
 def rate_limit_stream(spark: SparkSession, source: str, schema, limits, root: str,
                       watermark: str = "2 days") -> DataFrame:
-    """Violators per (client, limiter, window), computed incrementally; one query per limiter."""
+    """Violators per (client, limiter, window), computed incrementally; one query per limiter, all at once."""
+    running = []
     for limiter, seconds, max_req, routes in limits:
         if not routes:
             continue
@@ -107,6 +110,8 @@ def rate_limit_stream(spark: SparkSession, source: str, schema, limits, root: st
 
         q = (counts.writeStream.outputMode("update").foreachBatch(sink)
              .option("checkpointLocation", f"{root}/ckpt/{limiter}").trigger(availableNow=True).start())
+        running.append(q)
+    for q in running:
         _await(q)
     maxes = {lim: mx for lim, _, mx, routes in limits if routes}
     if not _exists(spark, f"{root}/out"):
@@ -164,12 +169,13 @@ def upvote_stream(spark: SparkSession, m: Model, source: str, schema, root: str,
                                F.col("upvote_count").alias("base_count"), "priority")
     s = (read_stream(spark, source, schema).withColumn("ts", F.col("ts").cast("timestamp"))
          .join(info, F.col("complaint_no") == F.col("_no"), "left")
-         .withColumn("complaint_id", F.coalesce(F.col("complaint_id"), F.lit(UNKNOWN_KEY).cast("long")))
+         .withColumn("complaint_id", F.coalesce(
+             F.col("complaint_id"), -1 - F.pmod(F.xxhash64("vote_id"), F.lit(UNKNOWN_KEYS).cast("long"))))
          .select("vote_id", "complaint_id", "voter_ip", "ts", "base_count", "priority"))
     # initial state: only the stored voters (it grows with votes, not with complaints)
     stored = m.upvotes.select("complaint_id", "voter_ip")
     verdicts = (s.groupBy("complaint_id")
-                 .transformWithStateInPandas(statefulProcessor=VoteCounter(threshold, UNKNOWN_KEY),
+                 .transformWithStateInPandas(statefulProcessor=VoteCounter(threshold),
                                              outputStructType=VOTE_OUTPUT, outputMode="Append", timeMode="None",
                                              initialState=stored.groupBy("complaint_id")))
     q = (verdicts.writeStream.format("parquet").option("path", f"{root}/out")
@@ -316,26 +322,57 @@ def status_stream(spark: SparkSession, m: Model, source: str, schema, root: str,
 
 # ------------------------------------------------------------------ R-02
 
-def escalation_run(spark: SparkSession, m: Model, as_of: datetime, root: str) -> tuple[DataFrame, str]:
-    """One scheduled escalation pass: writes changes, timeline, messages and the next snapshot."""
-    run = f"{root}/run={as_of.strftime('%Y%m%dT%H%M%S')}"
-    res = lifecycle.escalate_overdue(m.replace(as_of=as_of))
-    res.changed.write.mode("overwrite").parquet(f"{run}/changed")
-    res.timeline.write.mode("overwrite").parquet(f"{run}/timeline")
-    res.messages.write.mode("overwrite").parquet(f"{run}/messages")
-    res.snapshot.write.mode("overwrite").parquet(f"{run}/complaints")
-    return spark.read.parquet(f"{run}/changed"), f"{run}/complaints"
+_ESCALATED = ["is_overdue", "priority", "updated_at"]
+
+
+def escalation_run(spark: SparkSession, m: Model, as_of: datetime, root: str) -> DataFrame:
+    """One scheduled escalation pass; writes the changed rows, timeline and messages of the pass only.
+
+    ``m`` holds the last full snapshot.  Complaints that an earlier pass has
+    raised since are left out by an anti join on the passes' changed rows, so
+    the overdue filter still reaches the snapshot's scan and a pass writes what
+    it changes.  A repeated pass rewrites its own folders.
+    """
+    run = as_of.strftime("%Y%m%dT%H%M%S")
+    current = m.complaints
+    raised = escalated_rows(spark, root, before=run)
+    if raised is not None:
+        current = current.join(raised.select(F.col("id").alias("_raised")), F.col("id") == F.col("_raised"), "left_anti")
+    res = lifecycle.escalate_overdue(m.replace(complaints=current, as_of=as_of))
+    for name, rows in (("changed", res.changed), ("timeline", res.timeline), ("messages", res.messages)):
+        rows.write.mode("overwrite").parquet(f"{root}/{name}/run={run}")
+    return spark.read.parquet(f"{root}/changed/run={run}")
+
+
+def escalated_rows(spark: SparkSession, root: str, before: str | None = None) -> DataFrame | None:
+    """The changed rows of all passes below ``root`` (of those before one); None before the first.
+
+    A complaint is raised once: the flag it gets excludes it from later passes.
+    """
+    if not _exists(spark, f"{root}/changed"):
+        return None
+    rows = spark.read.option("basePath", f"{root}/changed").schema(
+        "id long, complaint_no string, is_overdue boolean, priority string, updated_at timestamp_ntz, run string"
+    ).parquet(f"{root}/changed")
+    return (rows if before is None else rows.where(F.col("run") < before)).drop("run")
+
+
+def escalated_snapshot(spark: SparkSession, m: Model, root: str) -> DataFrame:
+    """The full complaints table after all passes below ``root``: what a compaction writes as the next snapshot."""
+    raised = escalated_rows(spark, root)
+    if raised is None:
+        return m.complaints
+    new = raised.select(F.col("id").alias("_raised"), *[F.col(c).alias(f"_{c}") for c in _ESCALATED])
+    return (m.complaints.join(new, F.col("id") == F.col("_raised"), "left")
+            .withColumns({c: F.when(F.col("_raised").isNotNull(), F.col(f"_{c}")).otherwise(F.col(c))
+                          for c in _ESCALATED}).select(*m.complaints.columns))
 
 
 def escalation_schedule(spark: SparkSession, m: Model, runs: list[datetime], root: str) -> DataFrame:
-    """Successive passes, each over the snapshot the previous one wrote (lineage cut by the write)."""
-    changed_all = None
-    current = m
+    """Successive passes over one snapshot; each sees what the earlier ones changed."""
     for as_of in runs:
-        changed, snap = escalation_run(spark, current, as_of, root)
-        current = current.replace(complaints=spark.read.schema(m.complaints.schema).parquet(snap), as_of=as_of)
-        changed_all = changed if changed_all is None else changed_all.unionByName(changed)
-    return changed_all
+        escalation_run(spark, m, as_of, root)
+    return escalated_rows(spark, root)
 
 
 def staged(spark: SparkSession, df: DataFrame, ts: str, root: str, chunks: int = 3) -> tuple[str, object]:

@@ -99,7 +99,8 @@ def test_paging_disjoint_and_covering(spark):
 
 def test_status_updates_order_reopen_same_status(spark):
     m = make_model(spark, complaints=[complaint(id=1, status="submitted", assigned_to=7),
-                                      complaint(id=2, status="assigned")])
+                                      complaint(id=2, status="assigned")],
+                   officers=[dict(id=5, name="o", email="o@example.org")])
     t = D(2024, 3, 2)
     upd = spark.createDataFrame([
         (1, 1, "resolved", None, 5, t),
@@ -108,6 +109,7 @@ def test_status_updates_order_reopen_same_status(spark):
         (4, 2, "assigned", None, 5, t),                      # same status: handler row, no trigger row
         (5, 2, "closed", None, 5, t),                        # not settable
         (6, 99, "resolved", None, 5, t),                     # unknown complaint
+        (9, 1, "rejected", None, 55, t + timedelta(hours=9)),      # unknown officer
         (8, 2, "in_progress", None, 5, t + timedelta(hours=3)),
         (7, 2, "acknowledged", None, 5, t + timedelta(hours=3)),   # same ts: update_id decides
     ], "update_id long, complaint_id long, status string, note string, officer_id int, ts timestamp_ntz")
@@ -115,7 +117,8 @@ def test_status_updates_order_reopen_same_status(spark):
     changed = {r["id"]: (r["status"], r["resolved_at"]) for r in res.changed.collect()}
     assert changed[1] == ("resolved", t + timedelta(hours=2))
     assert changed[2] == ("in_progress", None)
-    assert dict(rows(res.rejects, "update_id", "reason")) == {5: "Invalid status", 6: "Complaint not found"}
+    assert dict(rows(res.rejects, "update_id", "reason")) == {5: "Invalid status", 6: "Complaint not found",
+                                                                9: "Unknown officer"}
     trig = rows(res.timeline.filter(F.col("origin") == "trigger"), "update_id", "status", "updated_by")
     assert trig == [(1, "resolved", 7), (2, "in_progress", 7), (3, "resolved", 7), (7, "acknowledged", None),
                     (8, "in_progress", None)]
@@ -216,6 +219,47 @@ def test_registration_duplicates(spark):
     assert got == {1: (False, "te"), 2: (False, "en"), 3: (True, "te"), 4: (False, "te")}
 
 
+def test_registration_refused_by_the_table(spark):
+    m = make_model(spark, citizens=[dict(id=1, name="x", phone="9000000001")],
+                   mandals=[dict(id=4, district_id=1, name="m")])
+    t, long = D(2024, 1, 1), "x" * 201
+    req = spark.createDataFrame([
+        (1, long, "1", None, 1, None, None, None, t), (2, "a", "1" * 16, None, 1, None, None, None, t),
+        (3, "a", "3", long, 1, None, None, None, t), (4, "a", "4", None, 77, None, None, None, t),
+        (5, "a", "5", None, 1, 5, None, None, t), (6, "a", "6", None, 1, 4, long, None, t),
+        (7, "a", "7", None, 1, 4, None, "telugu", t), (8, long, "9000000001", None, 1, None, None, None, t),
+        (9, "a", "9", None, 77, None, None, None, t),                               # refused: does not take its phone
+        (10, "b", "9", "e", 1, 4, "v", None, t + timedelta(hours=1)),
+        (11, long, "9", None, 1, None, None, None, t + timedelta(hours=2)),         # the phone is taken by then
+        (12, "a", "12", None, None, None, None, "", t),
+    ], "request_id long, name string, phone string, email string, district_id int, mandal_id int, "
+       "village string, lang_pref string, ts timestamp_ntz")
+    got = {r["request_id"]: r for r in intake.register_citizens(m, req).collect()}
+    taken = "Phone already registered. Please login."
+    assert {k: r["reason"] for k, r in got.items()} == {
+        1: "Name too long", 2: "Phone too long", 3: "Email too long", 4: "Invalid district", 5: "Invalid mandal",
+        6: "Village too long", 7: "Language too long", 8: taken, 9: "Invalid district", 10: None, 11: taken, 12: None}
+    assert (got[10]["email"], got[10]["mandal_id"], got[10]["village"]) == ("e", 4, "v")
+    assert got[12]["accepted"] and got[12]["lang_pref"] == "te"
+
+
+def test_escalation_passes_write_changes_only(spark):
+    from civiccases.streaming import streams
+    old, soon = AS_OF - timedelta(days=1), AS_OF + timedelta(hours=1)
+    m = make_model(spark, complaints=[complaint(id=1, sla_deadline=old), complaint(id=2, sla_deadline=soon),
+                                      complaint(id=3, sla_deadline=soon, status="resolved"), complaint(id=4)])
+    root = streams.run_dir(spark, "test-escalation")
+    assert streams.escalated_rows(spark, root) is None
+    runs = [AS_OF, AS_OF + timedelta(days=1)]
+    assert rows(streams.escalation_schedule(spark, m, runs, root), "id", "updated_at") == [(1, runs[0]), (2, runs[1])]
+    # a repeated pass gives the same rows again
+    assert rows(streams.escalation_run(spark, m, runs[1], root), "id") == [(2,)]
+    after = streams.escalated_snapshot(spark, m, root)
+    assert after.columns == m.complaints.columns
+    assert rows(after, "id", "is_overdue", "priority") == [(1, True, "emergency"), (2, True, "emergency"),
+                                                           (3, False, "normal"), (4, False, "normal")]
+
+
 def test_sla_days_zero_and_null_default_to_seven(spark):
     deps = [dict(id=1, name="a", code="A", sla_days=0, is_active=True),
             dict(id=2, name="b", code="B", sla_days=None, is_active=True),
