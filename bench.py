@@ -26,6 +26,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from pyspark.sql import DataFrame, Window  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
+from civiccases.functions.expr import overdue_at, pct  # noqa: E402
 from civiccases.operators import intake, lifecycle, lookups, quality, reports, timing, votes  # noqa: E402
 from civiccases.session import ensure_checkpoint_dir, get_spark, scratch_path  # noqa: E402
 from civiccases.sources import adapter, sinks  # noqa: E402
@@ -95,7 +96,8 @@ def main() -> None:
         "case_file": lambda: lookups.case_file_summary(m),
         "file_complaints": lambda: intake.file_complaints(m, req["filings"], req["uploads"]).complaints,
         "apply_status_updates": lambda: lifecycle.apply_status_updates(m, req["status_updates"]).changed,
-        "status_change_log": lambda: lifecycle.status_change_log(m, req["status_updates"]),
+        "status_change_log": lambda: lifecycle.apply_status_updates(m, req["status_updates"]).timeline.where(
+            "origin = 'trigger'"),
         "escalate_overdue": lambda: lifecycle.escalate_overdue(m).snapshot,
         "apply_upvotes": lambda: votes.apply_upvotes(m, req["votes"]).counts,
         "community_escalation": lambda: votes.community_escalation(m, votes.apply_upvotes(m, req["votes"])),
@@ -110,8 +112,12 @@ def main() -> None:
     def literal_district_summary():
         c = m.complaints
         d = m.districts
-        return (d.join(c, c["district_id"] == d["id"], "left").groupBy(d["id"], d["name"], d["code"])
-                 .agg(F.count(c["id"]).alias("total")))
+        per = (d.join(c, c["district_id"] == d["id"], "left").groupBy(d["id"], d["name"], d["code"])
+               .agg(F.count(c["id"]).alias("total"), F.count_if(c["status"] == "resolved").alias("resolved"),
+                    F.count_if(c["status"] == "in_progress").alias("in_progress"),
+                    F.count_if(overdue_at(m.as_of)).alias("overdue")))
+        return (per.withColumn("resolution_pct", pct(F.col("resolved"), F.col("total")))
+                .orderBy(F.desc("total"), "id"))
 
     def nine_queries():
         for report in (reports.public_totals, reports.district_summary, reports.dept_summary, reports.cm_totals,
@@ -129,7 +135,8 @@ def main() -> None:
     def unpruned_crossing():
         res = votes.apply_upvotes(m, req["votes"])
         w = Window.partitionBy("complaint_id").orderBy("ts", "vote_id")
-        base = m.complaints.select(F.col("id").alias("_id"), F.coalesce("upvote_count", F.lit(0)).alias("base"))
+        base = m.complaints.where("priority = 'normal'").select(
+            F.col("id").alias("_id"), F.coalesce("upvote_count", F.lit(0)).alias("base"))
         r = res.accepted.withColumn("rn", F.row_number().over(w)).join(base, F.col("complaint_id") == F.col("_id"))
         return r.filter(F.col("rn") == F.greatest(F.lit(1), F.lit(10) - F.col("base")))
 
