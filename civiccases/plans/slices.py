@@ -52,11 +52,10 @@ def with_slice(df: DataFrame, cell: list[str], order: list[str], rows: int = SLI
     axis = F.coalesce(*[F.when(F.col(f"_e{i}.low") < F.col(f"_e{i}.high"), F.struct(
         F.lit(i).alias("at"), F.col(f"_e{i}.low").alias("low"), F.col(f"_e{i}.high").alias("high")))
         for i in range(len(order))])
-    hot = (cells.where(F.col("_rows") > rows).orderBy(F.desc("_rows"), *keys).limit(MAX_HOT)
-           .withColumn("_axis", axis)
-           .withColumn("_parts", F.ceil(F.col("_rows") / F.lit(rows)))
-           .select(*keys, "_axis",
-                   F.ceil((F.col("_axis.high") - F.col("_axis.low") + 1) / F.col("_parts")).alias("_width")))
+    # the width is set below the top-k, so that Spark plans one TakeOrderedAndProject
+    width = F.ceil((F.col("_axis.high") - F.col("_axis.low") + 1) / F.ceil(F.col("_rows") / F.lit(rows)))
+    hot = (cells.where(F.col("_rows") > rows).withColumn("_axis", axis).withColumn("_width", width)
+           .orderBy(F.desc("_rows"), *keys).limit(MAX_HOT).select(*keys, "_axis", "_width"))
     same = F.lit(True)
     for k, c in zip(keys, cell):
         same = same & F.col(c).eqNullSafe(F.col(k))
