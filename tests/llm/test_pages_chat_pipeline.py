@@ -86,6 +86,21 @@ def test_trust_and_distrust_flow(spark):
     assert all(abs(got[h]["trust"] - t) < 0.01 for h, t in trust.items())
 
 
+def test_distrust_reaches_the_head_of_a_long_chain(spark):
+    """36 hosts, each linking to the next, the last to a blocked one: all get distrust; a bound that is hit is an error."""
+    n, before = 36, spark.conf.get("spark.sql.shuffle.partitions")
+    seeds = spark.createDataFrame([(f"h{n}", 0.0, 1.0)], "host string, trust double, distrust double")
+    edges = spark.createDataFrame([(f"h{k}", f"h{k + 1}", 1.0) for k in range(n)], "src string, dst string, weight double")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        got = {r["host"]: r for r in url_filter.propagate(seeds, edges.coalesce(1), tolerance=1e-3).collect()}
+        assert len(got) == n + 1 and all(r["distrust"] > r["trust"] == 0 for r in got.values())
+        with pytest.raises(RuntimeError, match="after 2 rounds"):
+            url_filter.propagate(seeds, edges, max_rounds=2)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_chat_links_and_order(spark):
     call = {"tool_calls": [{"id": "a", "name": "search", "arguments": {"query": "x", "limit": 3}},
                            {"id": "b", "name": "search", "arguments": {"limit": "q"}}, {"id": "c", "name": "no", "arguments": {}}]}
