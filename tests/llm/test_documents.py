@@ -315,3 +315,25 @@ def test_license_forms(spark, odd_docs, no_docs):
                      (5, "text", None, reserved): 2, (5, "line", 1, reserved): 2}
     assert licenses.license_table(odd_docs).count() == 0
     assert licenses.license_table(no_docs).count() == 0
+
+
+def test_whole_licenses_and_copyright_lines(spark):
+    """Whole files of common licences, titled texts, and what follows a copyright statement."""
+    mit, own = dict(licenses.KNOWN)["MIT"], "Copyright (c) 2020 J. Smith"
+    read = {name: (licenses.TEXTS / f"{name}.txt").read_text() for name in licenses.FILES}
+    gpl, bsd = read["GPL-3"], read["BSD-2-Clause"]
+    whole = [(lic, read[name]) for name, (lic, _) in licenses.FILES.items()]
+    whole += [("MIT", f"MIT License\n\n{own}\n\n{mit}"), ("GPL-3.0", gpl[gpl.index("Everyone"):gpl.index("END OF")]),
+              ("GPL-3.0", gpl.replace("https", "http")),
+              ("Apache-2.0", read["Apache-2.0"].replace("[yyyy] [name of copyright owner]", "2020 J. Smith")),
+              ("BSD-3-Clause", "BSD 3-Clause License\n" + bsd.replace("THIS SOFTWARE IS", licenses._CLAUSE_3 + "THIS SOFTWARE IS"))]
+    lines = [("LicenseRef-all-rights-reserved", f"x\n{own}. All rights reserved."), ("MIT", "x\n© Me, released under the MIT license"),
+             ("MIT", f"x\n{own} {' '.join(mit.split())}"), ("Apache-2.0", "x\n// SPDX-License-Identifier: Apache-2.0")]
+    rows = [(k, t) for k, (_, t) in enumerate(whole + lines)] + [(99, own), (98, "x\ue000\ny")]
+    got = {(r["doc_id"], r["unit"], r["license_id"]) for r in licenses.license_table(
+        spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {(k, "text", lic) for k, (lic, _) in enumerate(whole)} == {g for g in got if g[1] == "text"}
+    assert {(len(whole) + k, "line", lic) for k, (lic, _) in enumerate(lines)} <= got
+    assert not {g for g in got if g[0] in (98, 99)}
+    own_table = licenses.license_table(spark.createDataFrame([(1, "My terms.")], "doc_id long, text string"), [("Mine", "my TERMS")])
+    assert {r["license_id"] for r in own_table.collect()} == {"Mine"}
