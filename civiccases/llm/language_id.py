@@ -7,14 +7,17 @@ feature space, in which one-versus-rest kernel ridge regression is solved in
 closed form.  Whole texts are scored in Arrow batches by matrix products.
 
 Fitting uses a bounded sample: ``per_lang`` rows of each language, taken by the
-order of a hash of the doc_id.  Everything else covers all rows.
+order of a hash of the doc_id, of all languages.  Letters of all scripts are told
+apart.  Everything else covers all rows.
 """
 
 from __future__ import annotations
 
+import sys
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,110 +26,132 @@ from pyspark.sql import functions as F
 
 from civiccases.llm.common import python_workers
 
-#: bounds of the fit: rows a language, landmarks in all, languages, letters
+#: bounds of the fit: rows a language, landmarks a language
 PER_LANG = 500
-LANDMARKS = 128
-MAX_LANGS = 64
-LETTERS = 62
+LANDMARKS = 32
 RIDGE = 1e-3
 UNDETERMINED = "und"
 
-CODES = 64
-PAIRS = CODES + CODES ** 2
-GRAMS = PAIRS + CODES ** 3
+#: n-grams are code points of 21 bits each, the last one lowest; OTHER stands for all that is no letter
+BITS, OTHER = 21, 1
 #: texts of one matrix product
 BLOCK = 128
+#: landmarks of one matrix product; its columns are the n-grams of these landmarks only
+CHUNK = 128
+
+
+@lru_cache(maxsize=1)
+def letter_codes() -> np.ndarray:
+    """Code point -> itself for letters, OTHER for all else."""
+    return np.array([i if chr(i).isalpha() else OTHER for i in range(sys.maxunicode + 1)], np.int64)
+
+
+def grams(text: str) -> np.ndarray:
+    """Distinct n-grams of a whole text, in order, empty if it has no letter."""
+    code = letter_codes()[np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4")]
+    if not (code > OTHER).any():
+        return np.empty(0, np.int64)
+    code = np.concatenate(([OTHER], code, [OTHER]))
+    pair = (code[:-1] << BITS) | code[1:]
+    threes = np.unique((pair[:-1] << BITS) | code[2:])
+    pairs = np.unique(np.append(threes >> BITS, pair[-1]))  # all but the last pair begin a run of three
+    ones = np.unique(pairs >> BITS)
+    blank = [OTHER, OTHER << BITS | OTHER, (OTHER << BITS | OTHER) << BITS | OTHER]
+    found = np.concatenate((ones, pairs, threes))
+    return found[~np.isin(found, blank)]
+
+
+def _columns(vocabulary: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Places in the ordered ``vocabulary`` of those n-grams that it holds."""
+    at = np.searchsorted(vocabulary, own)
+    at[at == len(vocabulary)] = 0
+    return at[vocabulary[at] == own]
+
+
+class Landmarks:
+    """A chunk of landmark texts: presence of their n-grams, divided by their norms."""
+
+    def __init__(self, texts: list[np.ndarray]) -> None:
+        self.vocabulary = np.unique(np.concatenate(texts))
+        self.matrix = self.presence(texts)
+
+    def presence(self, texts: list[np.ndarray]) -> np.ndarray:
+        out = np.zeros((len(texts), len(self.vocabulary)), np.float32)
+        for i, own in enumerate(texts):
+            out[i, _columns(self.vocabulary, own)] = 1 / np.sqrt(max(len(own), 1))
+        return out
+
+
+def kernel(chunks: list[Landmarks], texts: list[np.ndarray]) -> np.ndarray:
+    return np.concatenate([c.presence(texts) @ c.matrix.T for c in chunks], axis=1).astype(np.float64)
 
 
 @dataclass
 class KernelModel:
     langs: list[str]
-    codes: np.ndarray       # code point (BMP) -> letter code; 0: no letter, 1: a letter not learned
-    columns: np.ndarray     # n-gram -> column of `landmarks`, -1: in no landmark
-    landmarks: np.ndarray   # landmarks x columns, presence divided by the landmark's norm
-    weights: np.ndarray     # landmarks x langs
+    vocabulary: np.ndarray  # n-grams of the landmarks, in order
+    weights: np.ndarray     # n-grams x langs: landmarks times the weights of the regression
     bias: np.ndarray
 
-    def grams(self, text: str) -> np.ndarray:
-        """Distinct n-grams of a whole text, empty if it has no letter."""
-        points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4")
-        code = self.codes[np.minimum(points, 0x10000)]
-        for i in np.flatnonzero(points > 0xFFFF):
-            code[i] = chr(points[i]).isalpha()
-        if not code.any():
-            return np.empty(0, np.int64)
-        code = np.concatenate(([0], code, [0])).astype(np.int32)
-        seen = np.zeros(GRAMS, bool)
-        seen[code] = True
-        pair = code[:-1] * CODES + code[1:]
-        seen[CODES + pair] = True
-        seen[PAIRS + pair[:-1] * CODES + code[2:]] = True
-        seen[[0, CODES, PAIRS]] = False
-        return np.flatnonzero(seen)
-
-    def kernel(self, grams: list[np.ndarray]) -> np.ndarray:
-        present = np.zeros((len(grams), self.landmarks.shape[1]), np.float32)
-        for i, g in enumerate(grams):
-            cols = self.columns[g]
-            present[i, cols[cols >= 0]] = 1 / np.sqrt(max(len(g), 1))
-        return present @ self.landmarks.T
+    def outputs(self, own: np.ndarray) -> np.ndarray:
+        found = _columns(self.vocabulary, own)
+        return self.bias + self.weights[found].sum(axis=0, dtype=np.float64) / np.sqrt(max(len(own), 1))
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         """Language and score (the best class's share of the positive outputs) of each text."""
         langs, scores = [], np.zeros(len(texts))
-        for at in range(0, len(texts), BLOCK):
-            grams = [self.grams(t or "") for t in texts[at:at + BLOCK]]
-            if not self.langs:
-                langs += [UNDETERMINED] * len(grams)
+        for i, text in enumerate(texts):
+            own = grams(text or "")
+            if not self.langs or not len(own):
+                langs.append(UNDETERMINED)
                 continue
-            out = self.kernel(grams) @ self.weights + self.bias
-            best = out.argmax(axis=1)
+            out = self.outputs(own)
+            langs.append(self.langs[out.argmax()])
             share = np.clip(out, 0, None)
-            share = share.max(axis=1) / np.maximum(share.sum(axis=1), 1e-9)
-            empty = np.array([len(g) == 0 for g in grams])
-            langs += [UNDETERMINED if e else self.langs[b] for b, e in zip(best, empty, strict=True)]
-            scores[at:at + len(grams)] = np.where(empty, 0.0, np.clip(share, 0, 1))
+            scores[i] = np.clip(share.max() / max(share.sum(), 1e-9), 0, 1)
         return langs, scores
 
 
 def fit(rows: list[tuple[str, str]], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> KernelModel:
-    """Fit on (lang, text) rows; the first rows of each language in turn become landmarks."""
-    codes = np.array([chr(i).isalpha() for i in range(0x10000)] + [False], np.uint8)
-    letters = Counter()
-    for _, text in rows:
-        letters.update(c for c in set(text.lower()) if c.isalpha() and ord(c) < 0x10000)
-    for k, (c, _) in enumerate(sorted(letters.items(), key=lambda x: (-x[1], x[0]))[:LETTERS]):
-        codes[ord(c)] = k + 2
-    model = KernelModel([], codes, np.full(GRAMS, -1, np.int32), np.zeros((0, 0), np.float32),
-                        np.zeros((0, 0)), np.zeros(0))
-    kept = [(lang, g) for lang, text in rows if len(g := model.grams(text))]
-    langs = sorted({lang for lang, _ in kept})
+    """Fit on (lang, text) rows; the first ``landmarks`` rows of each language become landmarks.
+
+    Memory goes with landmarks x landmarks and n-grams x languages; the rows'
+    kernels are summed up block by block.
+    """
+    codes = letter_codes()
+    kept = [(lang, text) for lang, text in rows
+            if (codes[np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4")] > OTHER).any()]
+    own = Counter(lang for lang, _ in kept)
+    langs = sorted(own)
     if not langs:
-        return model
-    by_lang = {k: [i for i, (lang, _) in enumerate(kept) if lang == k] for k in langs}
-    turns = sorted((turn, k, i) for k, own in by_lang.items() for turn, i in enumerate(own))
-    chosen = [kept[i][1] for _, _, i in turns[:landmarks]]
-    vocabulary = np.unique(np.concatenate(chosen))
-    model.columns[vocabulary] = np.arange(len(vocabulary))
-    model.landmarks = np.zeros((len(chosen), len(vocabulary)), np.float32)
-    for i, g in enumerate(chosen):
-        model.landmarks[i, model.columns[g]] = 1 / np.sqrt(len(g))
-    blocks = [model.kernel([g for _, g in kept[at:at + BLOCK]]) for at in range(0, len(kept), BLOCK)]
-    k_nm = np.concatenate(blocks).astype(np.float64)
-    k_mm = model.landmarks.astype(np.float64) @ model.landmarks.T.astype(np.float64)
-    values, vectors = np.linalg.eigh(k_mm)
+        return KernelModel([], np.empty(0, np.int64), np.zeros((0, 0), np.float32), np.zeros(0))
+    first = {lang: [t for k, t in kept if k == lang][:landmarks] for lang in langs}
+    chosen = [grams(t) for lang in langs for t in first[lang]]
+    chunks = [Landmarks(chosen[at:at + CHUNK]) for at in range(0, len(chosen), CHUNK)]
+    k_mm = np.concatenate([kernel(chunks, chosen[at:at + BLOCK]) for at in range(0, len(chosen), BLOCK)])
+    # every language weighs the same, however many rows it has
+    place = {lang: j for j, lang in enumerate(langs)}
+    k_kk, k_y = np.zeros_like(k_mm), np.zeros((len(chosen), len(langs)))
+    for at in range(0, len(kept), BLOCK):
+        block = kept[at:at + BLOCK]
+        k = kernel(chunks, [grams(t) for _, t in block])
+        y = np.zeros((len(block), len(langs)))
+        y[np.arange(len(block)), [place[lang] for lang, _ in block]] = 1
+        weight = np.array([1 / (own[lang] * len(langs)) for lang, _ in block])  # 1 in all
+        k_kk += (k * weight[:, None]).T @ k
+        k_y += (k * weight[:, None]).T @ y
+    k_mean, y_mean = k_y.sum(axis=1), np.full(len(langs), 1 / len(langs))
+    values, vectors = np.linalg.eigh((k_mm + k_mm.T) / 2)
     use = values > 1e-6 * values.max()
     to_features = vectors[:, use] / np.sqrt(values[use])
-    z = k_nm @ to_features
-    y = np.array([[1.0 if lang == k else 0.0 for k in langs] for lang, _ in kept])
-    # every language weighs the same, however many rows it has
-    weight = np.array([1 / len(by_lang[lang]) for lang, _ in kept])
-    weight *= len(kept) / weight.sum()
-    z_mean, y_mean = np.average(z, axis=0, weights=weight), np.average(y, axis=0, weights=weight)
-    zc = (z - z_mean) * weight[:, None]
-    solved = np.linalg.solve(zc.T @ (z - z_mean) + ridge * len(kept) * np.eye(z.shape[1]), zc.T @ (y - y_mean))
-    model.langs, model.weights, model.bias = langs, to_features @ solved, y_mean - z_mean @ solved
-    return model
+    z_z = to_features.T @ (k_kk - np.outer(k_mean, k_mean)) @ to_features
+    z_y = to_features.T @ (k_y - np.outer(k_mean, y_mean))
+    weights = to_features @ np.linalg.solve(z_z + ridge * np.eye(len(z_z)), z_y)
+    vocabulary = np.unique(np.concatenate([c.vocabulary for c in chunks]))
+    by_gram = np.zeros((len(vocabulary), len(langs)), np.float32)
+    for j, c in enumerate(chunks):
+        by_gram[np.searchsorted(vocabulary, c.vocabulary)] += c.matrix.T @ weights[j * CHUNK:(j + 1) * CHUNK].astype(np.float32)
+    return KernelModel(langs, vocabulary, by_gram, y_mean - k_mean @ weights)
 
 
 def held_out() -> Column:
@@ -135,11 +160,10 @@ def held_out() -> Column:
 
 
 def training_rows(docs: DataFrame, per_lang: int = PER_LANG) -> list[tuple[str, str]]:
-    """At most ``per_lang`` (lang, text) rows of each of the MAX_LANGS commonest languages, in hash order."""
+    """At most ``per_lang`` (lang, text) rows of each language, in hash order."""
     labelled = docs.select("doc_id", "text", "lang").where(
         F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    counts = {r[0]: r[1] for r in labelled.groupBy("lang").count()
-              .orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()}
+    counts = {r[0]: r[1] for r in labelled.groupBy("lang").count().collect()}
     if not counts:
         return []
     # a share of the hash range that holds about 1.5 times the bound, then the exact bound

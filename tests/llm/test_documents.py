@@ -301,6 +301,25 @@ def test_language_accuracy(docs, odd_docs, no_docs):
                                                                .replace("", None, ["lang"])).collect()} == {"und"}
 
 
+def test_every_script_and_language_is_learned():
+    """Han, Hebrew, Greek, Thai and supplementary letters beside Latin and Cyrillic; 70 languages."""
+    rng = random.Random(3)
+    starts = {"la": 0x61, "ru": 0x430, "el": 0x3B1, "he": 0x5D0, "ar": 0x627, "th": 0xE01, "zh": 0x4E00, "ja": 0x3042,
+              "ko": 0xAC00, "am": 0x1200, "got": 0x10330}
+    def text(start: int, size: int) -> str:
+        return " ".join("".join(chr(start + rng.randrange(size)) for _ in range(4)) for _ in range(12))
+
+    model = language_id.fit([(k, text(at, 20)) for k, at in starts.items() for _ in range(20)])
+    assert model.langs == sorted(starts)
+    for k, at in starts.items():
+        assert model.predict([text(at, 20) for _ in range(5)])[0] == [k] * 5, k
+    many = {f"l{j:02}": 0x4E00 + 30 * j for j in range(70)}
+    model = language_id.fit([(k, text(at, 30)) for k, at in many.items() for _ in range(8)])
+    assert [model.predict([text(at, 30)])[0] for at in many.values()] == [[k] for k in many]
+    plain = {c for n in (1, 2, 3) for w in [" aß1b "] for i in range(len(w) - n + 1) if (c := w[i:i + n].replace("1", " ")).strip()}
+    assert len(language_id.grams("aß1b")) == len(plain)
+
+
 # --- licences ---------------------------------------------------------------------------
 
 def test_license_forms(spark, odd_docs, no_docs):
