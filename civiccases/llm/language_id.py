@@ -30,6 +30,10 @@ from civiccases.llm.common import python_workers
 PER_LANG = 500
 LANDMARKS = 32
 RIDGE = 1e-3
+#: a text is about chance if its margin is under this share of what training rows of the least clear language have
+CHANCE = 0.04
+#: or if it knows under this share of the runs of three that such rows know (rows that are no landmarks)
+KNOWN_PART = 0.5
 UNDETERMINED = "und"
 
 #: n-grams are code points of 21 bits each, the last one lowest; OTHER stands for all that is no letter
@@ -92,16 +96,32 @@ class KernelModel:
     vocabulary: np.ndarray  # n-grams of the landmarks, in order
     weights: np.ndarray     # n-grams x langs: landmarks times the weights of the regression
     bias: np.ndarray
+    cutoff: float = 0.0     # margin under which a text is about chance
+    least_known: float = 0.0  # share of known runs of three under which it is
 
     def outputs(self, own: np.ndarray) -> np.ndarray:
         found = _columns(self.vocabulary, own)
         return self.bias + self.weights[found].sum(axis=0, dtype=np.float64) / np.sqrt(max(len(own), 1))
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        """Language and score (the best class's share of the positive outputs) of each text."""
-        langs, scores = [], np.zeros(len(texts))
+    def margin(self, own: np.ndarray, out: np.ndarray) -> float:
+        """The best output over the mean of all; 0 for a text without any n-gram of the landmarks."""
+        return out.max() - out.mean() if len(_columns(self.vocabulary, own)) else 0.0
+
+    def known_share(self, own: np.ndarray) -> float:
+        """The share of a text's distinct runs of three that landmarks have; every text with a letter has such runs."""
+        threes = own[own >> 2 * BITS > 0]
+        return len(_columns(self.vocabulary, threes)) / len(threes)
+
+    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Language, score (the best class's share of the positive outputs) and whether it is clear, of each text.
+
+        Clear: above chance.  With less than two learned languages nothing can
+        be told apart, and every text with a letter is clear.
+        """
+        langs, scores, clear = [], np.zeros(len(texts)), np.zeros(len(texts), bool)
         for i, text in enumerate(texts):
             own = grams(text or "")
+            clear[i] = len(own) > 0
             if not self.langs or not len(own):
                 langs.append(UNDETERMINED)
                 continue
@@ -109,7 +129,9 @@ class KernelModel:
             langs.append(self.langs[out.argmax()])
             share = np.clip(out, 0, None)
             scores[i] = np.clip(share.max() / max(share.sum(), 1e-9), 0, 1)
-        return langs, scores
+            clear[i] = len(self.langs) < 2 or (self.margin(own, out) >= self.cutoff
+                                               and self.known_share(own) >= self.least_known)
+        return langs, scores, clear
 
 
 def fit(rows: list[tuple[str, str]], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> KernelModel:
@@ -151,7 +173,17 @@ def fit(rows: list[tuple[str, str]], landmarks: int = LANDMARKS, ridge: float =
     by_gram = np.zeros((len(vocabulary), len(langs)), np.float32)
     for j, c in enumerate(chunks):
         by_gram[np.searchsorted(vocabulary, c.vocabulary)] += c.matrix.T @ weights[j * CHUNK:(j + 1) * CHUNK].astype(np.float32)
-    return KernelModel(langs, vocabulary, by_gram, y_mean - k_mean @ weights)
+    model = KernelModel(langs, vocabulary, by_gram, y_mean - k_mean @ weights)
+    margins, known = {lang: [] for lang in langs}, {lang: [] for lang in langs}
+    for lang, text in kept:
+        g = grams(text)
+        if len(margins[lang]) >= landmarks:
+            known[lang].append(model.known_share(g))
+        margins[lang].append(model.margin(g, model.outputs(g)))
+    model.cutoff = CHANCE * min(float(np.median(x)) for x in margins.values())
+    # a language of which all rows are landmarks cannot tell how much an unseen text knows
+    model.least_known = KNOWN_PART * min(float(np.median(x)) if x else 0.0 for x in known.values())
+    return model
 
 
 def held_out() -> Column:
@@ -182,14 +214,14 @@ def training_rows(docs: DataFrame, per_lang: int = PER_LANG) -> list[tuple[str,
 def _predict_batches(batches: Iterator[pa.RecordBatch], model: KernelModel):
     for batch in batches:
         last = batch.num_columns - 1
-        langs, scores = model.predict(batch.column(last).to_pylist())
+        langs, scores, clear = model.predict(batch.column(last).to_pylist())
         yield pa.RecordBatch.from_arrays(
-            [*batch.columns[:last], pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
-            names=[*batch.schema.names[:last], "lang_pred", "score"])
+            [*batch.columns[:last], pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(clear)],
+            names=[*batch.schema.names[:last], "lang_pred", "score", "clear"])
 
 
 def identify(docs: DataFrame, model: KernelModel, keep: list[str]) -> DataFrame:
-    """Columns ``keep`` with lang_pred and score of every row's whole text.
+    """Columns ``keep`` with lang_pred, score and clear (above chance) of every row's whole text.
 
     ``und`` with score 0 for null, empty and letterless texts.  Repeated rows
     are scored each.  Nothing but the text enters a prediction.
@@ -199,11 +231,11 @@ def identify(docs: DataFrame, model: KernelModel, keep: list[str]) -> DataFrame:
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return rows.mapInArrow(lambda batches: _predict_batches(batches, shared.value),
-                           f"{fields}, lang_pred string, score double")
+                           f"{fields}, lang_pred string, score double, clear boolean")
 
 
 def language_table(docs: DataFrame) -> DataFrame:
     """Fit on the rows that are not held out; predict every row: doc_id, held_out, lang_pred, score."""
     model = fit(training_rows(docs))
     flagged = docs.select("doc_id", held_out().alias("held_out"), "text")
-    return identify(flagged, model, ["doc_id", "held_out"])
+    return identify(flagged, model, ["doc_id", "held_out"]).drop("clear")

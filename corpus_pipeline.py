@@ -15,19 +15,20 @@ from civiccases.llm import decontaminate, jaccard_join, language_id, packing, su
 from civiccases.llm.common import saved, table
 from civiccases.session import ensure_checkpoint_dir
 
-#: a document's language counts as rejected below this score (the best class's share of all positive outputs)
-LEAST_LANGUAGE_SCORE = 0.28
 TOKENIZER = "byte_bpe_50k.json"
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a language: null, empty and letterless texts, and scores about chance."""
+    """Drops documents without a language: null, empty and letterless texts, and margins about chance.
+
+    Chance follows from the languages learned; with less than two of them only
+    texts without a letter are dropped.
+    """
     ensure_checkpoint_dir(spark)
     model = language_id.fit(language_id.training_rows(docs))
     flagged = docs.withColumns({"_row": F.struct(*docs.columns)}).select("_row", "text")
     judged = language_id.identify(flagged, model, ["_row"])
-    return (judged.where(f"lang_pred != '{language_id.UNDETERMINED}' and score >= {LEAST_LANGUAGE_SCORE}")
-            .select("_row.*"))
+    return judged.where("clear").select("_row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

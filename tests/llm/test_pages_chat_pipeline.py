@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import json
+import random
 import re
 
 import pytest
@@ -135,6 +136,22 @@ def test_stages(spark, odd_docs, no_docs):
     assert sorted(map(str, kept["decontaminated"])) == sorted(str(r["doc_id"]) for r in odd_docs.collect())
 
 
+@pytest.mark.parametrize("n", [0, 1, 2, 4, 20])
+def test_language_stage_follows_the_number_of_languages(spark, n):
+    """Short clean documents stay with any number of languages, noise and another script go; unlabelled rows all stay."""
+    rng = random.Random(n)
+    langs = range(max(n, 1))
+    words = {k: ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(5)) for _ in range(60)] for k in langs}
+    rows = [(j * 100 + k, " ".join(rng.choices(words[k], k=40)), f"l{k}" if n else None) for k in langs for j in range(60)]
+    rows += [(10_000 + k, " ".join(words[k][:6]), None) for k in langs]
+    noise = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz     ") for _ in range(300))
+    rows += [(20_003, noise, None), (20_000, "γειά σου κόσμε, τι κάνεις", None), (20_001, "12 -- 34", None), (20_002, None, None)]
+    docs = spark.createDataFrame([(i, t, lang, "s", len(t or "")) for i, t, lang in rows],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"] for r in corpus_pipeline.language(spark, docs, SF).collect()}
+    assert got == {i for i, _, _ in rows if i < 20_000 or (i in (20_000, 20_003) and n < 2)}
+
+
 def test_pipeline_runs(spark):
     got = corpus_pipeline.run(spark, SF)
     assert got.columns[:3] == ["doc_id", "piece", "start"] and 0 < got.select("doc_id").distinct().count() <= 200
