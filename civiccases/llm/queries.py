@@ -8,9 +8,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from civiccases.llm import (chat, decontaminate, fingerprints, html_extract, jaccard_join, language_id, licenses,
-                            packing, suffix_dedup, url_filter)
+from civiccases.llm import (chat, decontaminate, fingerprints, hard_negatives, html_extract, jaccard_join, language_id,
+                            licenses, metric_search, packing, spelling, suffix_dedup, url_filter)
 from civiccases.llm.common import table
 from civiccases.llm.sql import SQL
 from civiccases.session import ensure_checkpoint_dir
@@ -58,8 +59,22 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_table(table(spark, sf_dir, "documents"))
+
+
+def op12_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metric_search.top_k(table(spark, sf_dir, "embeddings"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings").withColumn("label", shifted))
+
+
 OPERATORS = [op1_best_fit_packing, op2_license_scan, op3_decontamination, op4_fingerprints, op5_repeated_passages,
-             op6_chat_format, op7_main_text, op8_jaccard_join, op9_language, op10_url_filter]
+             op6_chat_format, op7_main_text, op8_jaccard_join, op9_language, op10_url_filter, op11_spelling_variants,
+             op12_exact_top_k, op13_hard_negatives]
 
 
 def _in_shared_session(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
