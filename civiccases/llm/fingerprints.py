@@ -4,8 +4,9 @@ A text's 5-word shingles are hashed once.  The low bits of a hash pick one of
 256 bins, the rest is the value; a bin keeps its smallest value.  An empty bin
 copies the bin that its own universal hash sequence (a function of the bin and
 the attempt alone) meets first among the filled ones, so two texts fill a bin
-alike wherever their filled bins agree.  The low 4 bits of each value are
-packed into 16 longs.  Likeness: the share of equal bins, corrected for chance
+alike wherever their filled bins agree.  4 bits of a hash of each value and
+its bin are packed into 16 longs (a text of one shingle lends one value to all
+bins, so the value's own bits would say the same 256 times).  Likeness: the share of equal bins, corrected for chance
 equality: (share - 1/16) / (1 - 1/16), at 0 from below.
 
 All steps are array functions within a row.
@@ -75,11 +76,15 @@ def signature(text: Column) -> Column:
     def packed(values: Column) -> Column:
         return F.transform(F.sequence(F.lit(0), F.lit(WORDS - 1)), lambda w: F.aggregate(
             F.slice(values, w * BY_WORD + 1, F.lit(BY_WORD)), F.lit(0).cast("long"),
-            lambda acc, v: F.shiftleft(acc, BITS).bitwiseOR(v.bitwiseAND(F.lit((1 << BITS) - 1).cast("long")))))
+            lambda acc, v: F.shiftleft(acc, BITS).bitwiseOR(v)))
+
+    def low_bits(values: Column) -> Column:
+        # of a hash of value and bin, so that a value lent to several bins is a trial of its own in each
+        return F.transform(values, lambda v, i: F.xxhash64(v, i).bitwiseAND(F.lit((1 << BITS) - 1).cast("long")))
 
     def checked(minima: Column) -> Column:
         none = F.forall(minima, lambda v: v == EMPTY)
-        return F.when(none, F.array().cast("array<bigint>")).otherwise(_bind(_densified(minima), packed))
+        return F.when(none, F.array().cast("array<bigint>")).otherwise(_bind(low_bits(_densified(minima)), packed))
 
     return _bind(_bin_minima(text), checked)
 

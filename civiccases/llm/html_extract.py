@@ -72,6 +72,8 @@ _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<![^>]*>?|<\?[^>]*>?|</([a-zA-Z][^\s/>
                     r"""|<([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*?)(/?)>""", re.S)
 _ATTRS = re.compile(r"""(class|id|role|itemprop)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _WORDS = re.compile(r"[a-z]+")
+#: the attribute hidden, with or without a value, or a style that does not display
+_UNSEEN = re.compile(r"""(?:^|[\s"'])hidden(?=[\s=/]|$)|style\s*=\s*(?:"[^"]*|'[^']*|)\b(?:display\s*:\s*none|visibility\s*:\s*hidden)""", re.I)
 
 
 @dataclass
@@ -158,7 +160,7 @@ def parse(page: str) -> Dom:
         tag.append(name)
         parent.append(stack[-1])
         tokens.append(attribute_tokens(attrs))
-        hidden.append(hidden[stack[-1]] or name in HIDDEN or "hidden" in attrs.lower().split())
+        hidden.append(hidden[stack[-1]] or name in HIDDEN or _UNSEEN.search(attrs) is not None)
         if name in BLOCKS:
             texts.append((stack[-1], None))
         if name in RAW:
@@ -443,10 +445,10 @@ def reshaped(inner: str, rng: random.Random) -> str:
             out.append(f"<blockquote><p>{plain}</p></blockquote>")
         elif turn < 0.18:
             out.append(f"<table><tr><td>{plain}</td><td>{' '.join(plain.split()[:3])}</td></tr></table>")
-        elif turn < 0.24:
-            out.append(f"<p>{plain[:60]} <a href='#'>{plain[60:120]}</a> {plain[120:]}</p>")
         elif turn < 0.21:
             out.append(f"<pre>{plain}</pre>")
+        elif turn < 0.24:
+            out.append(f"<p>{plain[:60]} <a href='#'>{plain[60:120]}</a> {plain[120:]}</p>")
         elif turn < 0.28:
             out.append(f"<h3>{' '.join(plain.split()[:5])}</h3><p>{plain}</p>")
         else:

@@ -23,6 +23,10 @@ the order of doc_id, text digest and position), else both copies go.
 
 Classes and counts are partially aggregated before every shuffle, so a passage
 that a third of all documents share costs one row per task.
+
+``passage_removals`` runs the same steps over words: a text's words become codes
+of four bytes each, so passages are runs of so many words whatever their bytes
+and the white space between them.
 """
 
 from __future__ import annotations
@@ -35,6 +39,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from civiccases.llm.common import clean_text, python_workers, saved
 
@@ -108,13 +113,48 @@ def segments(text: bytes, length: int = LENGTH, anchor: int = ANCHOR) -> list[tu
     return out
 
 
-def _segment_batches(batches: Iterator[pa.RecordBatch], length: int):
+def utf8(text: str) -> bytes:
+    return text.encode("utf-8", "surrogatepass")
+
+
+# --- words as codes --------------------------------------------------------------------
+
+#: bytes of a word's code; of anchors when codes are compared
+CODE, CODE_ANCHOR = 4, 32
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+
+
+def word_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs without white space."""
+    edges = np.flatnonzero(np.diff(np.concatenate(([True], _SPACE[data], [True])).astype(np.int8)))
+    return edges[::2], edges[1::2]
+
+
+def word_codes(text: str) -> bytes:
+    """Four hash bytes of every word, in order; hashed by prefix sums over pieces cut at white space."""
+    data = np.frombuffer(utf8(text), np.uint8)
+    starts, ends = word_bounds(data)
+    out = []
+    at = 0
+    while at < len(starts):
+        upto = max(at + 1, int(np.searchsorted(ends, starts[at] + CHUNK, "right")))
+        a, b = starts[at:upto] - starts[at], ends[at:upto] - starts[at]
+        piece = data[starts[at]:ends[upto - 1]]
+        up, down = _power_table(len(piece))
+        sums = np.concatenate((np.zeros(1, np.uint64), np.add.accumulate(_BYTE[piece] * up)))
+        out.append((_mixed((sums[b] - sums[a]) * down[a]) >> np.uint64(32)).astype("<u4").tobytes())
+        at = upto
+    return b"".join(out)
+
+
+def _segment_batches(batches: Iterator[pa.RecordBatch], length: int, code=utf8, anchor: int = ANCHOR):
     for batch in batches:
         for at in range(0, batch.num_rows, 200):
             ids, keys, rows = [], [], []
             part = batch.slice(at, 200)
             for i, key, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                found = segments(text.encode("utf-8", "surrogatepass"), length)
+                found = segments(code(text), length, anchor)
                 rows += found
                 ids += [i] * len(found)
                 keys += [key] * len(found)
@@ -216,17 +256,27 @@ def with_identity(docs: DataFrame) -> DataFrame:
         "key": F.unhex(F.md5(clean_text(F.col("text").cast("string")).cast("binary")))})
 
 
-def covered_spans(docs: DataFrame, length: int = LENGTH, keep_first: bool = False) -> tuple[DataFrame, DataFrame]:
+def _coded_batches(batches: Iterator[pa.RecordBatch], code):
+    for batch in batches:
+        data = pa.array([code(t) for t in batch.column("text").to_pylist()], pa.binary())
+        yield batch.set_column(batch.schema.get_field_index("text"), "text", data)
+
+
+def covered_spans(docs: DataFrame, length: int = LENGTH, keep_first: bool = False, code=utf8, anchor: int = ANCHOR,
+                  least_bytes: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(texts with any repeat, their spans): (id, key, text) and (id, key, spans array of (a, b)), both stored.
 
+    Spans count bytes of the texts as ``code`` gives them; texts of fewer than
+    ``least_bytes`` bytes (by default ``length``) are not looked at.
+
     Rows are told apart by doc_id (null: the least long) and text digest.  Rows
     that agree in both count as copies of each other; with ``keep_first`` both
     keep what neither has after a third.
     """
     python_workers(docs.sparkSession, 1000)
     rows = with_identity(docs).select("id", "key", clean_text(F.col("text").cast("string")).alias("text"))
-    runs = saved(rows.where(F.octet_length("text") >= length).select("id", "key", "text").mapInArrow(
-        lambda b: _segment_batches(b, length),
+    runs = saved(rows.where(F.octet_length("text") >= (least_bytes or length)).select("id", "key", "text").mapInArrow(
+        lambda b: _segment_batches(b, length, code, anchor),
         "id long, key binary, value long, digest long, a long, b long, twice boolean"), "segments")
     classes = saved(runs.groupBy("value", "digest").agg(
         F.count(F.lit(1)).alias("n"), F.max("twice").alias("twice"), F.max(F.col("b") - F.col("a")).alias("starts"),
@@ -246,9 +296,13 @@ def covered_spans(docs: DataFrame, length: int = LENGTH, keep_first: bool = Fals
     texts = saved(rows.join(whole.join(looked, ["id", "key"], "full"), ["id", "key"])
                   .dropDuplicates(["id", "key"]), "texts")
 
+    coded = texts.where("inside is not null").select("id", "key", "text", "inside")
+    if code is not utf8:
+        schema = T.StructType([T.StructField(f.name, T.BinaryType()) if f.name == "text" else f for f in coded.schema])
+        coded = coded.mapInArrow(lambda b: _coded_batches(b, code), schema)
     piece = F.substring(F.col("text").cast("binary"), F.col("s.a").cast("int") + 1,
                         (F.col("s.starts") + length - 1).cast("int"))
-    sent = (texts.where("inside is not null").select("id", "key", "text", F.explode("inside").alias("s"))
+    sent = (coded.select("id", "key", "text", F.explode("inside").alias("s"))
             .select("s.value", "id", "key", "s.a", F.col("s.n").alias("n"), piece.alias("piece"), "s.classes"))
     fits = F.col("classes") <= GROUP_CLASSES
     sorted_groups = (sent.where(fits).drop("classes").repartition("value")
@@ -308,7 +362,7 @@ def _removed_batches(batches: Iterator[pa.RecordBatch]):
     for batch in batches:
         ids, keys, removed, counts, digests, texts = [], [], [], [], [], []
         for i, key, text, spans in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            data = text.encode("utf-8", "surrogatepass")
+            data = utf8(text)
             runs = merged(spans)
             ids.append(i)
             keys.append(key)
@@ -329,6 +383,35 @@ def removals(docs: DataFrame, length: int = LENGTH, keep_first: bool = False) ->
         _removed_batches, "id long, key binary, n_removed long, n_spans long, kept_sha256 string, kept_text string")
 
 
+def whole_words(data: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans of codes as spans of the text's bytes: whole words, each with the white space behind it."""
+    starts, _ = word_bounds(np.frombuffer(data, np.uint8))
+    places = np.append(starts, len(data))
+    out = [(int(places[-(-a // CODE)]), int(places[b // CODE])) for a, b in spans if -(-a // CODE) < b // CODE]
+    return out
+
+
+def _cut_batches(batches: Iterator[pa.RecordBatch]):
+    for batch in batches:
+        ids, keys, texts = batch.column("id"), batch.column("key"), []
+        for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
+            data = utf8(text)
+            texts.append(without(data, whole_words(data, merged(spans))).decode("utf-8", "surrogatepass"))
+        yield pa.RecordBatch.from_arrays([ids, keys, pa.array(texts, pa.string())], names=["id", "key", "kept_text"])
+
+
+def passage_removals(docs: DataFrame, words: int, keep_first: bool = True) -> DataFrame:
+    """(id, key, kept_text) of the rows that lose a word to a run of ``words`` words that also starts elsewhere.
+
+    Words are runs without white space, compared as they are; the first copy
+    (by doc_id, text digest and position) stays with ``keep_first``.  Null and
+    short texts lose nothing; rows that agree in id and text count as copies.
+    """
+    texts, spans = covered_spans(docs, words * CODE, keep_first, word_codes, CODE_ANCHOR, 2 * words - 1)
+    return texts.join(spans, ["id", "key"]).select("id", "key", "text", "spans").mapInArrow(
+        _cut_batches, "id long, key binary, kept_text string")
+
+
 def repeat_table(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row; all copies of a repeat are removed.
 

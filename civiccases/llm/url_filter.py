@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from civiccases.llm.common import clean_text, saved
 
 #: (verdict, host/path): host and subdomains, paths with that prefix; the longest fitting rule wins
-RULES = [("allow", "org/"), ("block", "example.org/es/"), ("allow", "example.org/en/1"),
+RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"),
          ("allow", "com/fr/"), ("block", "com/de/")]
 DAMPING = 0.85
 TOLERANCE = 1e-6
