@@ -11,9 +11,11 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from civiccases.llm import decontaminate, fingerprints, jaccard_join, language_id, licenses, packing, suffix_dedup
+from civiccases.llm.common import clean_text
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -254,6 +256,14 @@ def unicode_shingles(text: str) -> set:
     return {tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
 
 
+def test_short_texts_have_their_own_fingerprints(spark):
+    """A text of one shingle lends one value to all bins, and still every bin is a trial of its own."""
+    rows = [(i, f"first{i} second{i * 7}") for i in range(400)]
+    found = fingerprints.fingerprint_table(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len({r["fingerprint"] for r in found}) == 400 and max(r["near_next"] for r in found) <= 0.3
+    assert all(r["near_edited"] <= 1 for r in found)
+
+
 def test_neighbours_across_ranges(spark, monkeypatch):
     monkeypatch.setattr(fingerprints, "BUCKET_ROWS", 10)
     ids = random.Random(5).sample(range(100_000), 237)
@@ -285,6 +295,41 @@ def test_leaks_equal_brute_force(spark, docs, odd_docs, no_docs):
     assert clean.columns == odd_docs.columns and clean.where("doc_id in (1, 2, 6, 7, 10)").count() == 0
 
 
+def test_rows_that_share_an_id_are_judged_alone(spark):
+    """Five shingles of an item in one row and six in another are no leak; a leak takes no other row with it."""
+    w = [f"w{k}" for k in range(24)]
+    item = " ".join(w[:18])
+    rows = [(None, " ".join(w[:9])), (None, " ".join(w[8:18])), (None, "x " + item), (1, " ".join(w[:9])), (1, " ".join(w[8:18])), (2, item),
+            (2, "clean words and nothing of the kind"), (2, item), (None, None)]
+    df = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, item int").repartition(3)
+    bench = spark.createDataFrame([(7, item), (7, item), (7, "another item of seven words it is")], "item_id long, text string")
+    assert sorted((r["doc_id"] or 0, r["item_id"], r["item_shingles"]) for r in decontaminate.find_leaks(df, bench).collect()) == [(0, 7, 14), (2, 7, 14)]
+    left = decontaminate.decontaminate(df, bench)
+    assert left.columns == df.columns
+    assert Counter((r["doc_id"], r["text"]) for r in left.collect()) == Counter(r for r in rows if item not in (r[1] or ""))
+
+
+def test_sketches_find_what_the_whole_join_finds(spark, docs):
+    """Recall of the candidates is 1 against the exact join, and they are a small share of the pairs that share a shingle."""
+    bench = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
+    for threshold in (0.5, 0.8, 1.0):
+        items = decontaminate.item_shingles(bench, threshold).persist()
+        known = decontaminate.with_identity(docs.select("doc_id", "text"), "doc_id")
+        got = {(r["id"], r["item"]) for r in decontaminate.candidates(known, items).collect()}
+        exact = (known.select("id", F.explode(F.array_distinct(decontaminate._shingles(clean_text("text"), 5))).alias("h"))
+                 .join(items, "h").groupBy("id", "item", "q").count().collect())
+        leaks = {(r["id"], r["item"]) for r in exact if r["count"] >= threshold * r["q"]}
+        assert leaks <= got <= {(r["id"], r["item"]) for r in exact} and (leaks or threshold == 1.0)
+
+
+def test_the_sketch_join_comes_first(spark, docs):
+    bench = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
+    items = decontaminate.item_shingles(bench)
+    plan = decontaminate.candidates(decontaminate.with_identity(docs, "doc_id"), items)._jdf.queryExecution().executedPlan().toString()
+    scans = [line for line in plan.splitlines() if "FileScan" in line or "Scan parquet" in line]
+    assert len(scans) == 2 and any("sketch" in x for x in scans) and "SortMergeJoin" not in plan
+
+
 # --- language --------------------------------------------------------------------------
 
 def test_language_accuracy(docs, odd_docs, no_docs):
