@@ -16,6 +16,8 @@ from civiccases.llm.common import saved, table
 from civiccases.session import ensure_checkpoint_dir
 
 TOKENIZER = "byte_bpe_50k.json"
+#: words of a passage that counts as repeated
+PASSAGE_WORDS = 50
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,13 +51,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts passages of 400 bytes and more that occur earlier in the corpus; the first copy stays.
+    """Cuts passages of 50 words and more that occur earlier in the corpus; the first copy stays.
 
     ``n_chars`` follows the text.  A document of which nothing but white space
     is left goes; one that loses nothing stays as it is.
     """
     ensure_checkpoint_dir(spark)
-    lost = saved(suffix_dedup.removals(docs, keep_first=True).select("id", "key", "kept_text"), "removals")
+    lost = saved(suffix_dedup.passage_removals(docs, PASSAGE_WORDS), "removals")
     marked = suffix_dedup.with_identity(docs)
     kept = marked.join(lost, ["id", "key"], "left")
     changed = F.col("kept_text").isNotNull()
@@ -80,7 +82,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [("language", language), ("near_duplicates", near_duplicates), ("repeated_passages", repeated_passages),
           ("decontaminated", decontaminated), ("packed", packed)]
 
-#: no SQL: tokenizer, classifier and suffix arrays; tests compare with brute force
+#: no SQL: tokenizer, classifier and suffix arrays; tests/llm/test_pipeline_by_hand.py compares run() with plain stages
 ORACLE_SQL = None
 
 
