@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from civiccases.sources.model import FINISHED_STATUSES, PRIORITIES, STATUSES
@@ -55,7 +55,7 @@ def pct(numerator: Column, denominator: Column) -> Column:
 
 def epoch_days(start: Column | str, end: Column | str) -> Column:
     """EXTRACT(EPOCH FROM (end - start)) / 86400 as double."""
-    return (F.timestamp_diff("SECOND", col_of(start), col_of(end)).cast("double") / F.lit(86400.0))
+    return F.timestamp_diff("MICROSECOND", col_of(start), col_of(end)).cast("double") / F.lit(86400e6)
 
 
 def round1(value: Column) -> Column:
@@ -116,6 +116,13 @@ def voter_key(forwarded_for: Column | str, remote_addr: Column | str) -> Column:
     return F.coalesce(first, F.nullif(col_of(remote_addr), F.lit("")), F.lit("unknown"))
 
 
+def with_caller(requests: DataFrame, name: str) -> DataFrame:
+    """Adds ``name``, the caller's key, where the requests still carry their raw addresses; others stay as they are."""
+    if "forwarded_for" not in requests.columns:
+        return requests
+    return requests.withColumn(name, voter_key("forwarded_for", "remote_addr")).drop("forwarded_for", "remote_addr")
+
+
 def identity_hash(value: Column | str, salt: str = "") -> Column:
     """SHA-256 hex of the id number; NULL and '' give NULL (J-05)."""
     v = col_of(value)

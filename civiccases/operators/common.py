@@ -6,26 +6,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from civiccases.functions.expr import overdue_at, priority_ordinal
-from civiccases.plans.ranking import asc_key, day_number, desc_key
+from civiccases.plans.paging import Key
 from civiccases.sources.model import Model
 
-# Dimensions whose size does not grow with the data: districts and mandals are
-# bounded by the region catalogue (25 / 125 rows here, a few thousand in any
-# real state), departments by the seed list.  Only these are broadcast by hint;
-# everything that grows (citizens, officers, complaints, timeline) is left to
-# AQE, which broadcasts at run time only what it measured to be small.
+# No join is hinted: a model may be loaded from any tables, so no size is known
+# here.  Statistics and AQE broadcast what they measure to be small (districts,
+# mandals and departments in any real state).
 
 
 def district_dim(m: Model, *cols: str) -> DataFrame:
-    return F.broadcast(m.districts.select(F.col("id").alias("_d_id"), *cols))
+    return m.districts.select(F.col("id").alias("_d_id"), *cols)
 
 
 def department_dim(m: Model, *cols: str) -> DataFrame:
-    return F.broadcast(m.departments.select(F.col("id").alias("_dep_id"), *cols))
+    return m.departments.select(F.col("id").alias("_dep_id"), *cols)
 
 
 def mandal_dim(m: Model, *cols: str) -> DataFrame:
-    return F.broadcast(m.mandals.select(F.col("id").alias("_m_id"), *cols))
+    return m.mandals.select(F.col("id").alias("_m_id"), *cols)
 
 
 def with_names(df: DataFrame, m: Model, district: bool = True, department: bool = True,
@@ -48,16 +46,12 @@ def live_overdue(m: Model) -> Column:
     return overdue_at(m.as_of)
 
 
-def queue_order() -> list[Column]:
+def queue_keys() -> list[Key]:
     """Officer queue: overdue DESC (NULLs first, as PostgreSQL), priority by enum DESC, created ASC, id."""
-    return [F.col("is_overdue").desc_nulls_first(), priority_ordinal("priority").desc_nulls_first(),
-            F.col("created_at").asc_nulls_last(), F.col("id").asc()]
-
+    return [Key(F.col("is_overdue").cast("int"), descending=True, nulls_first=True),
+            Key(priority_ordinal("priority"), descending=True, nulls_first=True),
+            Key(F.col("created_at"), "time"), Key(F.col("id"))]
 
-def queue_bucket() -> Column:
-    """Order-preserving coarse prefix of ``queue_order`` (for deep pages): overdue, priority, day."""
-    overdue = (F.when(F.col("is_overdue").isNull(), F.lit(0)).when(F.col("is_overdue"), F.lit(1))
-                .otherwise(F.lit(2)))
-    return F.struct(overdue.alias("o"), desc_key(priority_ordinal("priority")).alias("p"),
-                    asc_key(day_number(F.col("created_at"))).alias("d"))
 
+def queue_order() -> list[Column]:
+    return [key.sort for key in queue_keys()]

@@ -62,8 +62,8 @@ def resolve_reference(m: Model, requests: DataFrame) -> DataFrame:
     An unknown department gets 7 days in the reference and then fails the
     foreign key on insert; here it is a reject reason.
     """
-    d = F.broadcast(m.districts.select(F.col("id").alias("_did"), F.col("code").alias("district_code")))
-    dep = F.broadcast(m.departments.select(F.col("id").alias("_depid"), F.col("sla_days").alias("_sla")))
+    d = m.districts.select(F.col("id").alias("_did"), F.col("code").alias("district_code"))
+    dep = m.departments.select(F.col("id").alias("_depid"), F.col("sla_days").alias("_sla"))
     out = (requests.join(d, F.col("district_id") == F.col("_did"), "left")
                    .join(dep, F.col("department_id") == F.col("_depid"), "left"))
     return (out.withColumn("sla_days", falsy_default("_sla", DEFAULT_SLA_DAYS, 0))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from civiccases.functions.expr import overdue_at, ts_lit
 from civiccases.operators.intake import first_reason
 from civiccases.plans.sequences import bucketed_lag
-from civiccases.sources.model import (ESCALATION_EXCLUDED, ESCALATION_NOTE, SETTABLE_STATUSES, Model,
+from civiccases.sources.model import (ESCALATION_EXCLUDED, ESCALATION_NOTE, MESSAGE_TEMPLATES, SETTABLE_STATUSES, Model,
                                       message_templates)
 
 INVALID_STATUS = "Invalid status"
@@ -42,12 +42,14 @@ class StatusResult:
 
 
 def _checked_updates(m: Model, updates: DataFrame) -> DataFrame:
-    """Adds ``reason``: the status, then the complaint, then the officer that the timeline row refers to.
+    """Adds ``reason`` (the status, then the complaint, then the officer that the timeline row refers to) and the
+    complaint's stored status, officer and time of resolution: the one join with the complaints that all outputs read.
 
     Unknown officers are found among the distinct officers of the updates, so a
     busy officer is one row before any join.
     """
-    known = m.complaints.select(F.col("id").alias("_known"))
+    known = m.complaints.select(F.col("id").alias("_known"), F.col("status").alias("_base_status"),
+                                F.col("assigned_to").alias("_assigned"), F.col("resolved_at").alias("_base_resolved"))
     strangers = (updates.select(F.col("officer_id").alias("_stranger")).where("_stranger is not null").distinct()
                  .join(m.officers.select(F.col("id").alias("_oid")), F.col("_stranger") == F.col("_oid"), "left_anti"))
     u = (updates.join(known, F.col("complaint_id") == F.col("_known"), "left")
@@ -69,21 +71,19 @@ def status_changes(updates_ok: DataFrame) -> DataFrame:
     return updates_ok.groupBy("complaint_id").agg(
         F.max_by("status", order).alias("new_status"),
         F.max("ts").alias("new_updated_at"),
-        F.max(F.when(F.col("status") == "resolved", F.col("ts"))).alias("new_resolved_at"))
+        F.coalesce(F.max(F.when(F.col("status") == "resolved", F.col("ts"))), F.max("_base_resolved")).alias("new_resolved_at"))
 
 
 def apply_status_updates(m: Model, updates: DataFrame) -> StatusResult:
     checked = _checked_updates(m, updates)
     ok = checked.filter(F.col("reason").isNull()).drop("reason")
     rejects = checked.filter(F.col("reason").isNotNull()).select("update_id", "reason")
-    ch = status_changes(ok)
-    base = m.complaints
-    changed = (base.join(ch, F.col("id") == F.col("complaint_id"), "inner")
-                   .select("id", F.col("new_status").alias("status"), F.col("new_updated_at").alias("updated_at"),
-                           F.coalesce("new_resolved_at", "resolved_at").alias("resolved_at")))
+    changed = status_changes(ok).select(F.col("complaint_id").alias("id"), F.col("new_status").alias("status"),
+                                        F.col("new_updated_at").alias("updated_at"),
+                                        F.col("new_resolved_at").alias("resolved_at"))
     upd = changed.select(F.col("id").alias("_cid"), F.col("status").alias("_s"),
                          F.col("updated_at").alias("_u"), F.col("resolved_at").alias("_r"))
-    snapshot = (base.join(upd, F.col("id") == F.col("_cid"), "left")
+    snapshot = (m.complaints.join(upd, F.col("id") == F.col("_cid"), "left")
                     .withColumn("status", F.coalesce("_s", "status"))
                     .withColumn("updated_at", F.when(F.col("_cid").isNotNull(), F.col("_u"))
                                 .otherwise(F.col("updated_at")))
@@ -92,21 +92,18 @@ def apply_status_updates(m: Model, updates: DataFrame) -> StatusResult:
                     .drop("_cid", "_s", "_u", "_r"))
     handler = ok.select("complaint_id", "status", "note", F.col("officer_id").alias("updated_by"),
                         F.col("ts").alias("created_at"), "update_id", F.lit("handler").alias("origin"))
-    trigger = status_change_log(m, ok)
+    trigger = status_change_log(ok)
     return StatusResult(changed=changed, snapshot=snapshot, timeline=handler.unionByName(trigger), rejects=rejects)
 
 
 # ------------------------------------------------------------------ J-14
 
-def status_change_log(m: Model, updates_ok: DataFrame) -> DataFrame:
-    """Trigger rows: an update whose status IS DISTINCT FROM the one before it.
+def status_change_log(u: DataFrame) -> DataFrame:
+    """Trigger rows of checked updates: one whose status IS DISTINCT FROM the one before it.
 
     The status before the first update of a batch is the snapshot's; the
     trigger logs the complaint's ``assigned_to`` (unchanged by status updates).
     """
-    base = m.complaints.select(F.col("id").alias("_cid"), F.col("status").alias("_base_status"),
-                               F.col("assigned_to").alias("_assigned"))
-    u = updates_ok.join(base, F.col("complaint_id") == F.col("_cid"), "inner")
     # lag per complaint, split by day so a complaint with a huge history is not one task
     u = bucketed_lag(u, "complaint_id", F.date_trunc("day", "ts"), ["ts", "update_id"], "status", "_prev",
                      F.col("_base_status"))
@@ -189,6 +186,13 @@ def compose_messages(m: Model, events: DataFrame) -> DataFrame:
     return e.select("event", "complaint_id", "phone", message.alias("message"))
 
 
+def welcome_messages(registrations: DataFrame) -> DataFrame:
+    """The message to the phone of every accepted registration (rows of ``intake.register_citizens``)."""
+    text = next(template for event, _, template in MESSAGE_TEMPLATES if event == "registered")
+    return registrations.where("accepted").select(
+        F.lit("registered").alias("event"), F.lit(None).cast("long").alias("complaint_id"), "phone", F.lit(text).alias("message"))
+
+
 def notification_events(m: Model, filings=None, status: StatusResult | None = None,
                         escalation: bool = False) -> DataFrame:
     """All message events of a run: filings (to the caller), handler status rows, escalations."""

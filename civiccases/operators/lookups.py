@@ -11,11 +11,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from civiccases.operators.common import live_overdue, queue_bucket, queue_order, with_names
-from civiccases.plans.ranking import day_number, desc_key, page
+from civiccases.functions.expr import with_caller
+from civiccases.operators.common import live_overdue, queue_keys, queue_order, with_names
+from civiccases.plans.paging import Key, page
 from civiccases.sources.model import PAGE_SIZE, RECENT_K, TOP_ISSUES_K, Model
 
 
+#: keys, below any officer's id, that rows without an officer are dealt to
+UNASSIGNED_KEYS = 4096
+
+
 def _complaints(m: Model, numbers: DataFrame | None = None) -> DataFrame:
     c = m.complaints
     if numbers is not None:
@@ -67,7 +72,7 @@ def active_departments(m: Model) -> DataFrame:
 def seed_usage(m: Model, seed: DataFrame) -> DataFrame:
     """SRC-02 check against the data: every seed department with the complaints filed to it."""
     per = m.complaints.groupBy(F.col("department_id").alias("_dep")).agg(F.count(F.lit(1)).alias("_n"))
-    return (F.broadcast(seed).join(per, F.col("id") == F.col("_dep"), "left")
+    return (seed.join(per, F.col("id") == F.col("_dep"), "left")
              .select(*seed.columns, F.coalesce(F.col("_n"), F.lit(0)).cast("long").alias("n_complaints")))
 
 
@@ -85,7 +90,9 @@ def timeline_history(m: Model, numbers: DataFrame | None = None) -> DataFrame:
     c = _complaints(m, numbers).select(F.col("id").alias("_cid"), "complaint_no")
     t = m.timeline.join(c, F.col("complaint_id") == F.col("_cid"), "inner")
     officers = m.officers.select(F.col("id").alias("_oid"), F.col("name").alias("updated_by_name"))
-    t = t.join(officers, F.col("updated_by") == F.col("_oid"), "left")
+    # rows without an officer are most of the table; as one NULL key they would be one task, so they are dealt by id
+    nobody = -1 - F.pmod(F.col("id"), F.lit(UNASSIGNED_KEYS))
+    t = t.join(officers, F.coalesce(F.col("updated_by").cast("long"), nobody) == F.col("_oid"), "left")
     return (t.select("complaint_no", F.col("id").alias("timeline_id"), "status", "note", "created_at",
                      F.col("updated_by_name").alias("updated_by"))
              .orderBy("complaint_no", "created_at", "timeline_id"))
@@ -136,8 +143,7 @@ def officer_queue(m: Model, role: str = "officer", dept: int | None = None, stat
                   priority: str | None = None, district_id: int | None = None, page_no: int = 1,
                   page_size: int = PAGE_SIZE) -> DataFrame:
     """One page of the work queue; the page is cut before the citizen/officer joins."""
-    rows = page(_queue_rows(m, role, dept, status, priority, district_id), queue_order(), page_no, page_size,
-                queue_bucket())
+    rows = page(_queue_rows(m, role, dept, status, priority, district_id), queue_keys(), page_no, page_size)
     out = _queue_people(m, rows)
     return out.select(*QUEUE_COLUMNS, F.col("assigned_to_name").alias("assigned_to")).orderBy(*queue_order())
 
@@ -236,14 +242,10 @@ def case_file_summary(m: Model) -> DataFrame:
 
 # ------------------------------------------------------------------ Q-11..Q-13
 
-def feed_order() -> list[Column]:
-    return [F.col("upvote_count").desc_nulls_first(), F.col("created_at").desc_nulls_first(), F.col("id").asc()]
-
-
-def feed_bucket() -> Column:
-    """Order-preserving coarse prefix of ``feed_order``: votes (desc, NULL first), then day (desc)."""
-    return F.struct(desc_key(F.col("upvote_count")).alias("u"),
-                    desc_key(day_number(F.col("created_at"))).alias("d"))
+def feed_keys() -> list[Key]:
+    """Feed: votes DESC (NULL first), newest first, id."""
+    return [Key(F.col("upvote_count"), descending=True, nulls_first=True),
+            Key(F.col("created_at"), "time", descending=True, nulls_first=True), Key(F.col("id"))]
 
 
 def public_feed(m: Model, district_id: int | None = None, department_id: int | None = None,
@@ -254,10 +256,10 @@ def public_feed(m: Model, district_id: int | None = None, department_id: int | N
     if department_id is not None:
         cond = cond & (F.col("department_id") == department_id)
     c = with_names(m.complaints.filter(cond), m, district_code=True, dept_code=True)
-    rows = page(c, feed_order(), page_no, page_size, feed_bucket())
+    rows = page(c, feed_keys(), page_no, page_size)
     rows = with_names(rows.withColumn("is_overdue", live_overdue(m)), m, district=False, department=False,
                       mandal=True)
-    return (rows.orderBy(*feed_order())
+    return (rows.orderBy(*[key.sort for key in feed_keys()])
                 .select("complaint_no", "title", "status", "priority", "created_at", "sla_deadline",
                         "is_overdue", "upvote_count", "district", "district_code", "department", "dept_code",
                         "mandal"))
@@ -265,8 +267,8 @@ def public_feed(m: Model, district_id: int | None = None, department_id: int | N
 
 def top_rows(m: Model, df: DataFrame, order: list[Column], k: int) -> DataFrame:
     """The first ``k`` rows in ``order`` of those with a known district and department."""
-    d = F.broadcast(m.districts.select(F.col("id").alias("_sd")))
-    dep = F.broadcast(m.departments.select(F.col("id").alias("_sdep")))
+    d = m.districts.select(F.col("id").alias("_sd"))
+    dep = m.departments.select(F.col("id").alias("_sdep"))
     df = (df.join(d, F.col("district_id") == F.col("_sd"), "left_semi")
             .join(dep, F.col("department_id") == F.col("_sdep"), "left_semi"))
     return df.orderBy(*order).limit(k)
@@ -305,7 +307,7 @@ def top_issues(m: Model, k: int = TOP_ISSUES_K) -> DataFrame:
 
 def upvote_status(m: Model, pairs: DataFrame) -> DataFrame:
     """Per distinct (complaint number, voter) pair: current count and whether that voter has voted."""
-    p = pairs.select("complaint_no", "voter_ip").distinct()
+    p = with_caller(pairs, "voter_ip").select("complaint_no", "voter_ip").distinct()
     c = m.complaints.select(F.col("id").alias("_cid"), "complaint_no", "upvote_count")
     found = p.join(c, "complaint_no", "inner")
     votes = m.upvotes.select(F.col("complaint_id").alias("_vc"), F.col("voter_ip").alias("_vv"),

@@ -4,8 +4,9 @@ Plan shape for every per-dimension report (SURVEY 4.2): aggregate the fact
 table by the dimension key first (partial + final hash aggregate, so each map
 task ships one row per key), then join the few groups to the dimension.  The
 literal ``dims LEFT JOIN complaints`` would broadcast or shuffle every
-complaint instead.  Averages travel as exact (sum of seconds, count) pairs
-and are divided once at the end, never averaged twice.
+complaint instead.  Averages travel as exact (sum of microseconds, count)
+pairs, the sum a decimal that does not overflow, and are divided once at the
+end, never averaged twice.
 """
 
 from __future__ import annotations
@@ -20,13 +21,13 @@ from civiccases.operators.common import district_dim, live_overdue
 from civiccases.sources.model import RECENT_K, TOP_ISSUES_K, Model
 
 # Measures of the shared (district, department) pre-aggregate.  Each is a
-# count that merges by sum; the two averages are kept as seconds + count.
+# count that merges by sum; the two averages are kept as microseconds + count.
 def _measures(m: Model) -> dict:
     as_of = m.as_of
     created, resolved_at, status = F.col("created_at"), F.col("resolved_at"), F.col("status")
     d7, d14, h24 = (ts_lit(as_of - timedelta(days=7)), ts_lit(as_of - timedelta(days=14)),
                     ts_lit(as_of - timedelta(hours=24)))
-    secs = F.timestamp_diff("SECOND", created, resolved_at)
+    took = F.timestamp_diff("MICROSECOND", created, resolved_at)
     is_resolved = status == "resolved"
     return {
         "total": F.count(F.lit(1)),
@@ -41,11 +42,11 @@ def _measures(m: Model) -> dict:
         "resolved_this_week": sum_if(is_resolved & (resolved_at >= d7)),
         "resolved_last_week": sum_if(is_resolved & (resolved_at >= d14) & (resolved_at < d7)),
         # every row with resolved_at (dept_summary's average)
-        "done_secs": F.sum(secs).cast("long"),
-        "done_n": F.count(secs),
+        "done_time": F.sum(took.cast("decimal(19,0)")).cast("decimal(38,0)"),
+        "done_n": F.count(took),
         # status 'resolved' only (CM's average)
-        "res_secs": F.sum(F.when(is_resolved, secs)).cast("long"),
-        "res_n": F.count(F.when(is_resolved, secs)),
+        "res_time": F.sum(F.when(is_resolved, took).cast("decimal(19,0)")).cast("decimal(38,0)"),
+        "res_n": F.count(F.when(is_resolved, took)),
     }
 
 
@@ -54,8 +55,8 @@ def _agg(m: Model, keys: list[str], names: list[str]) -> DataFrame:
     return m.complaints.groupBy(*keys).agg(*[meas[n].alias(n) for n in names])
 
 
-def _avg_days(secs: str, n: str):
-    return round1(F.col(secs).cast("double") / F.nullif(F.col(n), F.lit(0)).cast("double") / F.lit(86400.0))
+def _avg_days(time: str, n: str):
+    return round1(F.col(time).cast("double") / F.nullif(F.col(n), F.lit(0)).cast("double") / F.lit(86400e6))
 
 
 def _fill0(df: DataFrame, names: list[str]) -> DataFrame:
@@ -109,14 +110,14 @@ def _by_department(m: Model, names: list[str], agg: DataFrame | None = None, act
     how = "inner" if with_complaints_only else "left"
     joined = dims.join(per, F.col("_dep_id") == F.col("department_id"), how).drop("department_id")
     return _fill0(joined.withColumnRenamed("_dep_id", "department_id"),
-                  [n for n in names if n not in ("done_secs", "res_secs")])
+                  [n for n in names if n not in ("done_time", "res_time")])
 
 
 def dept_summary(m: Model, agg: DataFrame | None = None) -> DataFrame:
-    names = ["total", "resolved", "overdue", "done_secs", "done_n"]
+    names = ["total", "resolved", "overdue", "done_time", "done_n"]
     df = _by_department(m, names, agg)
     return df.select("department_id", "department", "code", "sla_days", "total", "resolved", "overdue",
-                     _avg_days("done_secs", "done_n").alias("avg_resolution_days")
+                     _avg_days("done_time", "done_n").alias("avg_resolution_days")
                      ).orderBy(F.desc("total"), "department_id")
 
 
@@ -146,7 +147,7 @@ def officer_dashboard(m: Model, agg: DataFrame | None = None) -> DataFrame:
     names = ["total", "pending", "in_progress", "resolved", "overdue"]
     per = (_agg(m, ["department_id"], names) if agg is None
            else agg.groupBy("department_id").agg(*[F.sum(n).alias(n) for n in names]))
-    dims = F.broadcast(m.departments.select(F.col("id").alias("_dep_id")))
+    dims = m.departments.select(F.col("id").alias("_dep_id"))
     by_dept = _fill0(dims.join(per, F.col("_dep_id") == F.col("department_id"), "left")
                      .drop("department_id").withColumnRenamed("_dep_id", "department_id"), names)
     everyone = per.agg(*[F.coalesce(F.sum(n), F.lit(0)).cast("long").alias(n) for n in names]) \
@@ -164,7 +165,7 @@ CM_TOTALS = ["total", "resolved", "in_progress", "pending", "overdue", "emergenc
 
 def cm_totals(m: Model, agg: DataFrame | None = None, one_row: DataFrame | None = None) -> DataFrame:
     """``agg``: per-group partial sums to add up; ``one_row``: totals already summed."""
-    names = CM_TOTALS + ["res_secs", "res_n"]
+    names = CM_TOTALS + ["res_time", "res_n"]
     if one_row is not None:
         one = one_row
     elif agg is None:
@@ -173,12 +174,12 @@ def cm_totals(m: Model, agg: DataFrame | None = None, one_row: DataFrame | None
     else:
         one = agg.agg(*[F.sum(n).alias(n) for n in names])
     return one.select(*[F.coalesce(F.col(n), F.lit(0)).cast("long").alias(n) for n in CM_TOTALS],
-                      _avg_days("res_secs", "res_n").alias("avg_resolution_days"))
+                      _avg_days("res_time", "res_n").alias("avg_resolution_days"))
 
 
 # ---------------------------------------------------------------- A-09
 
-BUNDLE_MEASURES = CM_TOTALS + ["done_secs", "done_n", "res_secs", "res_n"]
+BUNDLE_MEASURES = CM_TOTALS + ["done_time", "done_n", "res_time", "res_n"]
 
 
 def dashboard_cube(m: Model) -> DataFrame:
@@ -275,10 +276,10 @@ def dashboard_long(m: Model) -> DataFrame:
         F.col("level").cast("int").alias("level"), F.coalesce("district_id", "department_id").cast("long").alias("_key"),
         *BUNDLE_MEASURES)
     wide = dims.join(levels, (F.col("_lv") == F.col("level")) & F.col("key").eqNullSafe(F.col("_key")), "left")
-    wide = _fill0(wide, [n for n in BUNDLE_MEASURES if n not in ("done_secs", "res_secs")]).withColumns({
+    wide = _fill0(wide, [n for n in BUNDLE_MEASURES if n not in ("done_time", "res_time")]).withColumns({
         "resolution_pct": pct(F.col("resolved"), F.col("total")), "breached": F.col("overdue"),
         "breach_pct": pct(F.col("overdue"), F.col("total")),
-        "avg_done_days": _avg_days("done_secs", "done_n"), "avg_resolved_days": _avg_days("res_secs", "res_n")})
+        "avg_done_days": _avg_days("done_time", "done_n"), "avg_resolved_days": _avg_days("res_time", "res_n")})
     shown = {"cm_by_department": F.col("_active"), "sla_performance": F.col("total") > 0}
     cells = F.array(*[
         F.when((F.col("_lv") == level) & shown.get(section, F.lit(True)),

@@ -6,11 +6,13 @@ incrementally; these batch forms are what the DuckDB oracle checks.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from civiccases.functions.expr import plus_seconds, ts_lit
-from civiccases.plans.sequences import bucketed_running_count
+from civiccases.functions.expr import plus_seconds, ts_lit, with_caller
+from civiccases.plans.slices import SLICE_ROWS, with_slice
 from civiccases.sources.model import CODE_TTL_SECONDS, PHONE_LENGTH, RATE_LIMITS, Model
 
 EPOCH = "1970-01-01 00:00:00"
@@ -42,24 +44,28 @@ def _guarded(requests: DataFrame, routes: str) -> DataFrame | None:
 def rate_limit_verdicts(requests: DataFrame, limits=None) -> DataFrame:
     """Per (request, limiter guarding its route): allowed iff among the first ``max`` of its window.
 
-    The first ``max`` requests of each (client, window) come from a
-    ``row_number() <= max`` with a literal bound, which Spark plans as a
+    The first refused request of each (client, window) over its limit comes from
+    a ``row_number() = max + 1`` with a literal bound, which Spark plans as a
     WindowGroupLimit below the shuffle: a client that sends a third of all
-    requests ships only ``max`` rows per map task, never its whole history.
-    Verdicts are then a join back on the request id.
+    requests ships only ``max + 1`` rows per map task, never its whole history.
+    Every request then compares itself with the refusal of its own group; only
+    groups over their limit have one, so that table is small where limits hold.
     """
     parts = []
+    requests = with_caller(requests, "client")
     for limiter, seconds, max_req, routes in (limits or RATE_LIMITS):
         r = _guarded(requests, routes)
         if r is None:
             continue
         r = r.select("request_id", "client", "route", "ts", window_start("ts", seconds).alias("window_start"))
         w = Window.partitionBy("client", "window_start").orderBy("ts", "request_id")
-        first = (r.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= F.lit(max_req))
-                  .select(F.col("request_id").alias("_ok")))
-        v = r.join(first, F.col("request_id") == F.col("_ok"), "left")
+        refused = (r.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == F.lit(max_req + 1))
+                    .select(F.col("client").alias("_c"), F.col("window_start").alias("_w"),
+                            F.struct("ts", "request_id").alias("_from")))
+        v = r.join(refused, F.col("client").eqNullSafe(F.col("_c")) & F.col("window_start").eqNullSafe(F.col("_w")), "left")
+        allowed = F.col("_from").isNull() | (F.struct("ts", "request_id") < F.col("_from"))
         parts.append(v.select("request_id", "client", "route", F.lit(limiter).alias("limiter"), "window_start",
-                              F.col("_ok").isNotNull().alias("allowed")))
+                              allowed.alias("allowed")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -69,6 +75,7 @@ def rate_limit_verdicts(requests: DataFrame, limits=None) -> DataFrame:
 def rate_limit_violators(requests: DataFrame, limits=None) -> DataFrame:
     """(client, limiter, window) groups over their limit: a partial count, skew-safe."""
     parts = []
+    requests = with_caller(requests, "client")
     for limiter, seconds, max_req, routes in (limits or RATE_LIMITS):
         r = _guarded(requests, routes)
         if r is None:
@@ -84,45 +91,120 @@ def rate_limit_violators(requests: DataFrame, limits=None) -> DataFrame:
     return out
 
 
-def code_verification(events: DataFrame, ttl_seconds: int = CODE_TTL_SECONDS) -> DataFrame:
+def _with_state(events: DataFrame, keys: list[str], carried: Column) -> DataFrame:
+    """Adds ``_epoch`` (valid sends so far in the slice), ``_now`` (the code that applies) and ``_ends``.
+
+    ``_now`` is the slice's last valid send, or ``carried`` before the first
+    one.  An attempt ends the code if it is expired (strictly after) or right.
+    """
+    upto = Window.partitionBy(*keys).orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    valid = F.coalesce((F.col("kind") == "send") & (F.length("phone") == PHONE_LENGTH), F.lit(False))
+    sent = F.when(valid, F.struct("code", F.col("_expires").alias("expires")))
+    ev = events.withColumns({"_valid": valid, "_epoch": F.sum(valid.cast("int")).over(upto),
+                             "_now": F.coalesce(F.last(sent, ignorenulls=True).over(upto), carried)})
+    late = F.coalesce(F.col("ts") > F.col("_now.expires"), F.lit(False))
+    right = F.coalesce(F.col("code") == F.col("_now.code"), F.lit(False))
+    return ev.withColumns({"_late": late, "_ends": (F.col("kind") == "attempt") & (late | right)})
+
+
+def _entering(events: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, _state): the code that applies when a slice begins, null if there is none.
+
+    A slice acts on the state like a small function: with a send, the state
+    after it is its last code, unless an attempt behind that ended it, whatever
+    came in; without one, the incoming code stays unless an attempt ends it.
+    So its last send, whether that was ended, and the attempts before its first
+    send (latest time, distinct codes) are all that later slices need, and the
+    functions of a phone's slices are composed by two windows over one row a slice.
+    """
+    state = "struct<code:string,expires:timestamp_ntz>"
+    rows = _with_state(events, keys, F.lit(None).cast(state))
+    head = (F.col("_epoch") == 0) & (F.col("kind") == "attempt")
+    slices = rows.groupBy(*keys).agg(
+        F.max("_epoch").alias("_sends"), F.max_by("_now", "_epoch").alias("_last"),
+        F.max(F.struct("_epoch", "_ends"))["_ends"].alias("_ended"),
+        F.max(F.when(head, F.col("ts"))).alias("_head_ts"), F.collect_set(F.when(head, F.col("code"))).alias("_head_codes"))
+    phone, *place = keys
+    before = Window.partitionBy(phone).orderBy(*place).rowsBetween(Window.unboundedPreceding, -1)
+    left = F.when(F.col("_sends") > 0, F.struct(F.col("_last").alias("sent"), F.col("_ended").alias("ended")))
+    slices = slices.withColumns({"_in": F.last(left, ignorenulls=True).over(before),
+                                 "_run": F.count(left).over(before)})
+    ends = F.coalesce((F.col("_head_ts") > F.col("_in.sent.expires"))
+                      | F.array_contains("_head_codes", F.col("_in.sent.code")), F.lit(False))
+    run = Window.partitionBy(phone, "_run").orderBy(*place).rowsBetween(Window.unboundedPreceding, -1)
+    gone = F.coalesce(F.max(ends).over(run), F.lit(False)) | F.coalesce(F.col("_in.ended"), F.lit(True))
+    return slices.select(*[F.col(k).alias(f"_of{i}") for i, k in enumerate(keys)],
+                         F.when(~gone, F.col("_in.sent")).alias("_state"))
+
+
+def code_verification(events: DataFrame, ttl_seconds: int = CODE_TTL_SECONDS,
+                      slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Verdict per send / attempt, equal to the per-phone state machine.
 
-    A valid send (10-digit phone) replaces the code and opens an epoch; in an
-    epoch, attempts before the first one that is expired or matching are
-    'incorrect', that one is 'expired' (strictly after expiry) or 'verified',
-    and later ones find no code ('not_requested'), as do attempts before any
-    send.  Epochs are a running count of sends per phone.
+    A valid send (10-digit phone) replaces the code; an attempt finds no code
+    ('not_requested'), an expired one ('expired', strictly after, which ends
+    it), the right one ('verified', which ends it too) or a wrong one
+    ('incorrect').  A phone's events are cut by day, and hot days further, so a
+    flooded phone is many tasks; the state that enters each slice is composed
+    from the slices before (``_entering``).  Events are shuffled once, by slice;
+    the summaries and the verdicts read the same exchange.
+    """
+    keys = ["phone", "_day", "_slice"]
+    ev = events.select("event_id", "phone", "kind", "ts", "code").withColumns(
+        {"_day": F.date_trunc("day", "ts"), "_expires": plus_seconds("ts", ttl_seconds)})
+    ev = with_slice(ev, ["phone", "_day"], ["ts", "event_id"], slice_rows).repartition(*keys)
+    entering = _entering(ev, keys)
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_of{i}"))
+    rows = _with_state(ev.join(entering, same, "left"), keys, F.col("_state"))
+    before = Window.partitionBy(*keys).orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
+    # epochs never decrease, so the largest (epoch, ended) so far tells whether the present one was ended
+    last = F.max(F.struct("_epoch", "_ends")).over(before)
+    rows = rows.withColumn("_before", last)
+    ended = F.coalesce((F.col("_before._epoch") == F.col("_epoch")) & F.col("_before._ends"), F.lit(False))
+    verdict = (F.when(F.col("kind") == "send", F.when(F.col("_valid"), "sent").otherwise("invalid_phone"))
+                .when(F.col("_now").isNull() | ended, "not_requested")
+                .when(F.col("_late"), "expired").when(F.col("_ends"), "verified").otherwise("incorrect"))
+    return rows.where(F.col("kind").isin("send", "attempt")).select("event_id", "phone", "kind", "ts", verdict.alias("verdict"))
+
+
+_UNITS = {"second": 1, "minute": 60, "hour": 3600, "day": 86400, "week": 7 * 86400}
+
+
+def _seconds(span: str) -> int:
+    """'7 days' -> 604800."""
+    n, unit = span.split()
+    return int(n) * _UNITS[unit.rstrip("s")]
+
+
+def slot_seconds(length: str, slide: str) -> int:
+    """The longest step that both window and slide are multiples of: a window is whole slots."""
+    return math.gcd(_seconds(length), _seconds(slide))
+
+
+def sliding_sums(slots: DataFrame, length: str, slide: str) -> DataFrame:
+    """(window_end, n_filed) of the windows with rows, from (slot, n_filed); slots begin at epoch multiples of their step.
+
+    Each slot is added to the windows it lies in.  The table has one row a
+    slot, so what is copied does not grow with the rows that were counted.
     """
-    ev = events.withColumn("_valid_send", (F.col("kind") == "send") & (F.length("phone") == PHONE_LENGTH))
-    # running count of sends per phone, split by day so a flooded phone is not one task
-    ev = bucketed_running_count(ev, "phone", F.date_trunc("day", "ts"), ["ts", "event_id"],
-                                F.col("_valid_send"), "epoch")
-    sends = ev.filter("_valid_send").select(F.col("phone").alias("_sp"), F.col("epoch").alias("_se"),
-                                            F.col("code").alias("_scode"),
-                                            plus_seconds("ts", ttl_seconds).alias("_expires"))
-    att = (ev.filter(F.col("kind") == "attempt")
-             .join(sends, (F.col("phone") == F.col("_sp")) & (F.col("epoch") == F.col("_se")), "left"))
-    att = att.withColumn("_expired", F.col("ts") > F.col("_expires")) \
-             .withColumn("_match", F.col("code") == F.col("_scode"))
-    terminal = (att.filter(F.col("epoch") > 0)
-                   .filter(F.col("_expired") | F.col("_match"))
-                   .groupBy(F.col("phone").alias("_tp"), F.col("epoch").alias("_te"))
-                   .agg(F.min(F.struct("ts", "event_id")).alias("_term")))
-    att = att.join(terminal, (F.col("phone") == F.col("_tp")) & (F.col("epoch") == F.col("_te")), "left")
-    me = F.struct("ts", "event_id")
-    verdict = (F.when(F.col("epoch") == 0, F.lit("not_requested"))
-                .when(F.col("_term").isNull() | (me < F.col("_term")), F.lit("incorrect"))
-                .when(me == F.col("_term"), F.when(F.col("_expired"), F.lit("expired")).otherwise(F.lit("verified")))
-                .otherwise(F.lit("not_requested")))
-    attempts = att.select("event_id", "phone", "kind", "ts", verdict.alias("verdict"))
-    sent = ev.filter(F.col("kind") == "send").select(
-        "event_id", "phone", "kind", "ts",
-        F.when(F.col("_valid_send"), F.lit("sent")).otherwise(F.lit("invalid_phone")).alias("verdict"))
-    return sent.unionByName(attempts)
+    long, step, slot = _seconds(length), _seconds(slide), slot_seconds(length, slide)
+    at = F.timestamp_diff("SECOND", ts_lit(EPOCH), F.col("slot"))
+    # ends are multiples of the slide (plus the length) in (slot start, slot start + length], a whole slot before the end
+    first = F.floor((at + slot - long + step - 1) / F.lit(step)) * step + long
+    ends = F.sequence(first.cast("long"), (F.floor(at / F.lit(step)) * step + long).cast("long"), F.lit(step).cast("long"))
+    return (slots.where("slot is not null").select(F.explode(ends).alias("e"), "n_filed").groupBy("e")
+            .agg(F.sum("n_filed").alias("n_filed"))
+            .select(plus_seconds(ts_lit(EPOCH), F.col("e")).alias("window_end"), "n_filed"))
 
 
 def rolling_activity(m: Model, length: str = "7 days", slide: str = "1 day") -> DataFrame:
-    """Complaints filed per trailing window, one row per window end (a series)."""
-    return (m.complaints.groupBy(F.window("created_at", length, slide).alias("w"))
-             .agg(F.count(F.lit(1)).alias("n_filed"))
-             .select(F.col("w.end").alias("window_end"), "n_filed"))
+    """Complaints filed per trailing window, one row per window end (a series).
+
+    One count per slot, then sums of slots: a complaint is counted once, not
+    copied to every window it lies in.
+    """
+    slots = (m.complaints.groupBy(window_start("created_at", slot_seconds(length, slide)).alias("slot"))
+             .agg(F.count(F.lit(1)).alias("n_filed")))
+    return sliding_sums(slots, length, slide)

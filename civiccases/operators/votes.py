@@ -14,6 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from civiccases.functions.expr import with_caller
 from civiccases.operators.intake import first_reason
 from civiccases.sources.model import COMMUNITY_NOTE_TEMPLATE, COMMUNITY_THRESHOLD, Model
 
@@ -34,8 +35,11 @@ def _resolved(m: Model, requests: DataFrame) -> DataFrame:
 
 
 def apply_upvotes(m: Model, requests: DataFrame) -> VoteResult:
-    """requests(vote_id, complaint_no, voter_ip, ts) against the stored votes and counts."""
-    r = _resolved(m, requests)
+    """requests(vote_id, complaint_no, voter_ip, ts) against the stored votes and counts.
+
+    Raw requests have forwarded_for and remote_addr in place of voter_ip.
+    """
+    r = _resolved(m, with_caller(requests, "voter_ip"))
     stored = m.upvotes.select(F.col("complaint_id").alias("_sc"), F.col("voter_ip").alias("_sv"),
                               F.lit(True).alias("_stored")).distinct()
     r = r.join(stored, (F.col("complaint_id") == F.col("_sc")) & (F.col("voter_ip") == F.col("_sv")), "left")

@@ -48,6 +48,15 @@ def live_overdue(prefix: str = "", as_of: str = AS_OF) -> str:
     return LIVE_OVERDUE.format(as_of=as_of, p=prefix)
 
 
+
+def _caller(prefix: str, at: str = "") -> str:
+    """The caller's key of a request: first forwarded address, else the socket's, else 'unknown'."""
+    k, me = f"{at}event_id", f"'{prefix}' || CAST({at}user_id AS VARCHAR)"
+    forwarded = f"CASE {k} % 3 WHEN 0 THEN ' ' || {me} || ' , 10.0.0.' || ({k} % 250) WHEN 1 THEN ' ,10.0.0.1' END"
+    remote = f"CASE WHEN {k} % 3 = 0 THEN '10.9.9.9' WHEN {k} % 101 = 0 THEN '' ELSE {me} END"
+    return f"coalesce(nullif(trim(split_part({forwarded}, ',', 1)), ''), nullif({remote}, ''), 'unknown')"
+
+
 CTES: dict[str, str] = {
     "departments": f"""SELECT id, name, name_te, code, sla_days, email, id <> 9 AS is_active FROM (VALUES {_DEPT_ROWS})
         AS t(id, name, name_te, code, sla_days, email, is_active)""",
@@ -198,12 +207,12 @@ CTES: dict[str, str] = {
     "vote_requests": f"""SELECT e.event_id AS vote_id,
         CASE WHEN e.event_id % 97 = 0 THEN 'AP-0000-D99-' || CAST(e.event_id AS VARCHAR) ELSE c.complaint_no END
             AS complaint_no,
-        'v' || CAST(e.user_id AS VARCHAR) AS voter_ip, e.ts
+        {_caller('v', 'e.')} AS voter_ip, e.ts
         FROM (SELECT *, {VOTE_TARGET} AS target FROM events) e LEFT JOIN complaints c ON c.id = e.target
         WHERE e.event_type IN ('click', 'view') AND e.ts >= {VOTE_CUTOFF}""",
     "logins": """SELECT CASE WHEN event_id % 2 = 0 THEN 'citizen' ELSE 'officer' END AS actor_type,
         user_id AS actor_id, ts FROM events WHERE event_type = 'purchase'""",
-    "client_requests": "SELECT event_id AS request_id, 'c' || CAST(user_id AS VARCHAR) AS client, CASE event_type "
+    "client_requests": f"SELECT event_id AS request_id, {_caller('c')} AS client, CASE event_type "
         + " ".join(f"WHEN {_q(et)} THEN {_q(r)}" for et, r in A.ROUTES) + " END AS route, ts FROM events",
     "code_events": f"""SELECT event_id,
         CASE WHEN user_id % 50 = 0 THEN printf('9%08d', user_id) ELSE printf('9%09d', user_id) END AS phone,

@@ -1,4 +1,4 @@
-"""Global numbering and deep paging without a single-task window.
+"""Global numbering without a single-task window.
 
 ``row_number()`` over an unpartitioned window moves every row into one task
 (``Exchange SinglePartition``).  Instead:
@@ -53,48 +53,3 @@ def global_rank(df: DataFrame, bucket: Column, order: list[str], name: str = "se
              .withColumn(name, (F.col("_offset") + F.row_number().over(local) + start_col - F.lit(1))
                          .cast("long"))
              .drop("_bucket", "_slice", "_ob", "_os", "_offset"))
-
-
-def page(df: DataFrame, order: list[Column], page_no: int, page_size: int, bucket: Column) -> DataFrame:
-    """LIMIT page_size OFFSET (page_no - 1) * page_size under a total order; one plan for every depth.
-
-    Rows are counted per bucket (``bucket`` never decreases along ``order``),
-    and only the buckets that the page overlaps are kept before any row is
-    sorted: at most ``page_size`` buckets, as none is empty, so the set that
-    is broadcast is bounded by the page size.  Rows of earlier or later
-    buckets are dropped by a map-side join; the page is then the rows whose
-    position inside their bucket falls into the page.
-    """
-    if page_no < 1:
-        raise ValueError("page must be >= 1")
-    first = (page_no - 1) * page_size
-    b = df.withColumn("_bucket", bucket)
-    counts = b.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    running = Window.orderBy(F.col("_bucket").asc_nulls_first()).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    hit = (counts.select(F.col("_bucket").alias("_ob"), "_n", F.sum("_n").over(running).alias("_end"))
-           .where((F.col("_end") > first) & (F.col("_end") - F.col("_n") < first + page_size))
-           .select("_ob", (F.col("_end") - F.col("_n")).alias("_before")))
-    near = b.join(F.broadcast(hit), F.col("_bucket").eqNullSafe(F.col("_ob")), "inner")
-    pos = F.col("_before") + F.row_number().over(Window.partitionBy("_bucket").orderBy(*order))
-    return (near.withColumn("_pos", pos).where((F.col("_pos") > first) & (F.col("_pos") <= first + page_size))
-                .drop("_bucket", "_ob", "_before", "_pos"))
-
-
-LONG_MIN = -(2 ** 63)
-LONG_MAX = 2 ** 63 - 1
-
-
-def desc_key(c: Column, nulls_first: bool = True) -> Column:
-    """An ascending sort key equal to ordering ``c`` descending (NULL first or last)."""
-    return F.coalesce(-c.cast("long"), F.lit(LONG_MIN if nulls_first else LONG_MAX))
-
-
-def asc_key(c: Column, nulls_first: bool = False) -> Column:
-    return F.coalesce(c.cast("long"), F.lit(LONG_MIN if nulls_first else LONG_MAX))
-
-
-def day_number(ts: Column) -> Column:
-    """Whole days since the epoch (timestamp_ntz), an order-preserving coarsening of ``ts``."""
-    return F.floor(F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts)
-                   / F.lit(86400))

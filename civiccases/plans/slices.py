@@ -1,66 +1,81 @@
 """Slices of hot cells: the second level of the bucketed orderings.
 
 A cell (time bucket, or key and time bucket) is the unit that one task sorts.
-The largest ``MAX_HOT`` cells, if they hold more than ``rows`` rows, are hot:
-each is cut into slices of equal width along the first order column that
-varies inside it, as many as bring a slice to ``rows`` when the values are
-spread evenly.  Slice numbers never decrease along
-the order, so ranks and carried values go on from slice to slice.  Limit: rows
-of one instant stay in one slice if their cell has other instants too; a cell
-of a single instant is cut along the next order column.
+The largest ``MAX_HOT`` cells, if they hold more than ``rows`` rows, are hot
+and are cut into slices of about equal size (equi-depth) along the whole order
+key, tie-breaks included: rows of one instant are cut between two ids.
 
-The table of hot cells has at most ``MAX_HOT`` rows, so it is broadcast and
-the rows themselves are not shuffled for it; any cell beyond them holds less
-than one part in ``MAX_HOT`` of all rows.
+The cuts come from a mergeable sample sketch.  A row belongs to the sample of
+its hot cell if a hash of its order key falls under the cell's rate, which is
+set by the cell's count to ``SAMPLES`` rows a slice.  Samples of tasks merge by
+union, every task decides alike (a retried one too), and the sorted sample's
+every ``SAMPLES``-th key is a cut.  A slice is then within about an eighth of
+its target (one standard deviation), whatever the values' distribution.
+
+What is broadcast is bounded: at most ``MAX_HOT`` cells with ``MAX_CUTS`` cuts
+in all; beyond that, slices get larger in proportion.  Without a hot cell
+nothing is sampled: the sample's join side is empty, which adaptive execution
+sees before it reads a row for it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: rows that one task sorts without a cut
 SLICE_ROWS = 1_000_000
-#: most cells that are cut
-MAX_HOT = 10_000
-EPOCH = "1970-01-01 00:00:00"
+#: most cells that are cut, and most cuts in all
+MAX_HOT, MAX_CUTS = 10_000, 65_536
+#: sampled rows a slice
+SAMPLES = 64
+#: cuts looked through together: a row compares with the group's first cuts, then within one group
+GROUP = 64
+
+
+def _same(cell: list[str], keys: list[str]) -> Column:
+    out = F.lit(True)
+    for c, k in zip(cell, keys):
+        out = out & F.col(c).eqNullSafe(F.col(k))
+    return out
+
+
+def hot_cells(df: DataFrame, cell: list[str], keys: list[str], rows: int) -> DataFrame:
+    """(keys, _n): the cells of more than ``rows`` rows, largest first, and the number of slices of each."""
+    counts = df.groupBy(*[F.col(c).alias(k) for k, c in zip(keys, cell)]).agg(F.count(F.lit(1)).alias("_rows"))
+    hot = counts.where(F.col("_rows") > rows).orderBy(F.desc("_rows"), *keys).limit(MAX_HOT)
+    every = F.sum("_rows").over(Window.partitionBy(F.lit(0)))  # over MAX_HOT rows at most
+    depth = F.greatest(F.lit(rows).cast("double"), every / F.lit(MAX_CUTS))
+    return hot.select(*keys, "_rows", F.ceil(F.col("_rows") / depth).alias("_n"))
 
 
-def _number(df: DataFrame, name: str) -> Column:
-    """The order column as a whole number that keeps its order."""
-    kind = df.schema[name].dataType
-    if isinstance(kind, T.TimestampNTZType):
-        return F.timestamp_diff("MICROSECOND", F.lit(EPOCH).cast("timestamp_ntz"), F.col(name))
-    if isinstance(kind, T.TimestampType):
-        return F.unix_micros(name)
-    return F.floor(name).cast("long")
+def cuts_of(df: DataFrame, cell: list[str], order: list[str], hot: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, _cuts): for each hot cell its cuts in order, in groups of ``GROUP``."""
+    me = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)])
+    rate = F.greatest(F.lit(1), F.floor(F.col("_rows") / (F.col("_n") * SAMPLES)))
+    sampled = (df.join(F.broadcast(hot), _same(cell, keys), "inner")
+               .where(F.pmod(F.xxhash64(*order), rate) == 0).select(*keys, "_n", me.alias("_me")))
+    found = sampled.groupBy(*keys).agg(F.sort_array(F.collect_list("_me")).alias("_all"), F.max("_n").alias("_n"))
+    at = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.col("_n").cast("int") - 1)),
+                     lambda i: F.get(F.col("_all"), F.floor(i * F.size("_all") / F.col("_n")).cast("int")))
+    cuts = F.array_distinct(F.filter(at, lambda x: x.isNotNull()))
+    groups = F.transform(F.sequence(F.lit(0), F.floor((F.size("_list") - 1) / GROUP).cast("int")),
+                         lambda g: F.slice("_list", g * GROUP + 1, F.lit(GROUP)))
+    return found.select(*keys, cuts.alias("_list")).where(F.size("_list") > 0).select(*keys, groups.alias("_cuts"))
 
 
 def with_slice(df: DataFrame, cell: list[str], order: list[str], rows: int = SLICE_ROWS,
                name: str = "_slice") -> DataFrame:
-    """Add ``name``: 0 in a cell that is not hot, else the row's slice along ascending ``order``.
+    """Add ``name``: 0 in a cell that is not hot, else the number of the cell's cuts at or before the row.
 
-    ``order`` names timestamp or numeric columns.  A row whose sliced column is
-    NULL sorts first and gets slice -1.
+    Slice numbers never decrease along ascending ``order`` (NULL first).
     """
-    ends = {c: _number(df, c) for c in order}
     keys = [f"_h{i}" for i in range(len(cell))]
-    cells = df.groupBy(*[F.col(c).alias(k) for k, c in zip(keys, cell)]).agg(
-        F.count(F.lit(1)).alias("_rows"),
-        *[F.struct(F.min(x).alias("low"), F.max(x).alias("high")).alias(f"_e{i}") for i, x in enumerate(ends.values())])
-    axis = F.coalesce(*[F.when(F.col(f"_e{i}.low") < F.col(f"_e{i}.high"), F.struct(
-        F.lit(i).alias("at"), F.col(f"_e{i}.low").alias("low"), F.col(f"_e{i}.high").alias("high")))
-        for i in range(len(order))])
-    # the width is set below the top-k, so that Spark plans one TakeOrderedAndProject
-    width = F.ceil((F.col("_axis.high") - F.col("_axis.low") + 1) / F.ceil(F.col("_rows") / F.lit(rows)))
-    hot = (cells.where(F.col("_rows") > rows).withColumn("_axis", axis).withColumn("_width", width)
-           .orderBy(F.desc("_rows"), *keys).limit(MAX_HOT).select(*keys, "_axis", "_width"))
-    same = F.lit(True)
-    for k, c in zip(keys, cell):
-        same = same & F.col(c).eqNullSafe(F.col(k))
-    value = F.coalesce(*[F.when(F.col("_axis.at") == i, x) for i, x in enumerate(ends.values())])
-    part = F.floor((value - F.col("_axis.low")) / F.col("_width")).cast("long")
-    return (df.join(F.broadcast(hot), same, "left")
-            .withColumn(name, F.when(F.col("_axis").isNull(), F.lit(0)).otherwise(F.coalesce(part, F.lit(-1))))
-            .drop(*keys, "_axis", "_width"))
+    narrow = df.select(*dict.fromkeys([*cell, *order]))
+    cuts = cuts_of(narrow, cell, order, hot_cells(narrow, cell, keys, rows), keys)
+    me = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)])
+    group = F.size(F.filter("_cuts", lambda g: F.get(g, F.lit(0)) <= me)) - 1
+    inside = F.size(F.filter(F.get("_cuts", group), lambda x: x <= me))
+    part = F.when(F.col("_cuts").isNull() | (group < 0), F.lit(0)).otherwise(group * GROUP + inside)
+    return (df.join(F.broadcast(cuts), _same(cell, keys), "left")
+            .withColumn(name, part.cast("long")).drop(*keys, "_cuts"))

@@ -18,6 +18,8 @@ from civiccases.streaming import streams
 from civiccases.sources import sinks
 from civiccases.sources.model import TABLES, load_model, seed_departments
 
+#: buckets of the versioned tables; the streams' default suits a table of a billion rows
+FIXTURE_BUCKETS = 16
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -69,7 +71,8 @@ def _notifications(spark, sf_dir):
     filings = intake.file_complaints(m, adapter.filing_requests(spark, sf_dir), adapter.upload_requests(spark, sf_dir))
     status = lifecycle.apply_status_updates(m, adapter.status_updates(spark, sf_dir))
     events = lifecycle.notification_events(m, filings=filings, status=status, escalation=True)
-    return lifecycle.compose_messages(m, events)
+    registered = intake.register_citizens(m, adapter.registration_requests(spark, sf_dir))
+    return lifecycle.compose_messages(m, events).unionByName(lifecycle.welcome_messages(registered))
 
 
 def _purge(spark, sf_dir):
@@ -106,16 +109,17 @@ def _stream_votes(spark, sf_dir):
 
 def _stream_vote_counts(spark, sf_dir):
     v = _stream_votes(spark, sf_dir)
-    return (v.filter(F.col("reason").isNull()).groupBy("complaint_id")
-             .agg(F.count(F.lit(1)).alias("new_votes"), F.max("upvote_count").alias("upvote_count")))
+    return (v.filter(F.col("kind") == "count").groupBy("complaint_id")
+             .agg(F.sum("new_votes").alias("new_votes"), F.max("upvote_count").alias("upvote_count"))
+             .filter(F.col("new_votes") > 0))
 
 
 def _stream_vote_crossings(spark, sf_dir):
-    return _stream_votes(spark, sf_dir).filter(F.col("crossed")).select("complaint_id", "vote_id", "upvote_count")
+    return _stream_votes(spark, sf_dir).filter(F.col("kind") == "crossed").select("complaint_id", "vote_id", "upvote_count")
 
 
 def _stream_vote_rejects(spark, sf_dir):
-    return _stream_votes(spark, sf_dir).filter(F.col("reason").isNotNull()).select("vote_id", "reason")
+    return _stream_votes(spark, sf_dir).filter(F.col("kind") == "reject").select("vote_id", "reason")
 
 
 def _run_intake_stream(spark, sf_dir) -> str:
@@ -153,14 +157,14 @@ def _stream_status(spark, sf_dir):
     root = streams.run_dir(spark, "status")
     m = _model(spark, sf_dir)
     src, schema = streams.staged(spark, adapter.status_updates(spark, sf_dir), "ts", root)
-    return streams.status_stream(spark, m, src, schema, root)
+    return streams.status_stream(spark, m, src, schema, root, buckets=FIXTURE_BUCKETS)
 
 
 def _stream_escalation(spark, sf_dir):
     from datetime import timedelta
     root = streams.run_dir(spark, "escalation")
     m = _model(spark, sf_dir)
-    return streams.escalation_schedule(spark, m, [m.as_of, m.as_of + timedelta(days=1)], root)
+    return streams.escalation_schedule(spark, m, [m.as_of, m.as_of + timedelta(days=1)], root, FIXTURE_BUCKETS)
 
 
 def _snapshot_round_trip(spark, sf_dir):

@@ -188,7 +188,7 @@ def complaints(spark: SparkSession, sf_dir: str, as_of: datetime = AS_OF,
             .groupBy("doc_id").agg(F.min("text").alias("text")))
     votes = (_existing_votes(spark, sf_dir).groupBy("complaint_id")
              .agg(F.count(F.lit(1)).cast("int").alias("_votes")))
-    codes = F.broadcast(dists.select(F.col("id").alias("_did"), F.col("code").alias("_dcode")))
+    codes = dists.select(F.col("id").alias("_did"), F.col("code").alias("_dcode"))
     live = overdue_at(as_of)
     j = (base
          .join(docs, F.col("_doc") == F.col("doc_id"), "left")
@@ -359,6 +359,14 @@ def registration_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         plus_seconds(ts_lit(REGISTRATION_BASE), (k * 37) % 1000).alias("ts"))
 
 
+def _addresses(key: Column, caller: Column) -> list[Column]:
+    """Raw addresses of a request: the caller behind two proxies, behind a blank entry, or directly; some send none."""
+    blank = (key % 3 != 0) & (key % 101 == 0)
+    return [F.when(key % 3 == 0, F.concat(F.lit(" "), caller, F.lit(" , 10.0.0."), (key % 250).cast("string")))
+            .when(key % 3 == 1, F.lit(" ,10.0.0.1")).alias("forwarded_for"),
+            F.when(key % 3 == 0, F.lit("10.9.9.9")).when(blank, F.lit("")).otherwise(caller).alias("remote_addr")]
+
+
 def vote_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Upvote requests: click/view events from the cutoff on, by complaint number."""
     e = _read(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type")
@@ -369,7 +377,7 @@ def vote_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_id").alias("vote_id"),
         F.when(F.col("event_id") % 97 == 0, F.concat(F.lit("AP-0000-D99-"), F.col("event_id").cast("string")))
          .otherwise(F.col("complaint_no")).alias("complaint_no"),
-        F.concat(F.lit("v"), F.col("user_id").cast("string")).alias("voter_ip"), "ts"))
+        *_addresses(F.col("event_id"), F.concat(F.lit("v"), F.col("user_id").cast("string"))), "ts"))
 
 
 def logins(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -389,7 +397,7 @@ def client_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     for et, r in ROUTES:
         route = F.when(F.col("event_type") == et, r) if route is None else route.when(F.col("event_type") == et, r)
     return e.select(F.col("event_id").alias("request_id"),
-                    F.concat(F.lit("c"), F.col("user_id").cast("string")).alias("client"),
+                    *_addresses(F.col("event_id"), F.concat(F.lit("c"), F.col("user_id").cast("string"))),
                     route.alias("route"), "ts")
 
 

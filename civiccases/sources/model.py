@@ -65,12 +65,13 @@ MAX_FILE_BYTES = 10 * 1024 * 1024
 CODE_TTL_SECONDS = 10 * 60
 PHONE_LENGTH = 10
 
+# Notes of the timeline and the outbox
 ESCALATION_NOTE = ("SLA Breached — Auto-escalated to Emergency priority. "
                    "Requires immediate attention.")
 FILING_NOTE = "Complaint received"
 OUTBOX_FILING_TEMPLATE = "Complaint registered: %s"
 
-# Request limiters: (limiter, window seconds, max requests, routes it guards).
+# Request limiters (limiter, window seconds, max requests, routes it guards).
 # 'upvote' is declared but guards no route (decision D18).
 RATE_LIMITS = [
     ("general", 15 * 60, 100, "*"),
@@ -79,12 +80,14 @@ RATE_LIMITS = [
     ("upvote", 60 * 60, 20, ""),
 ]
 
-# Message templates keyed by (event, lang); Telugu and English texts are the
+# Message templates keyed by (event, lang); Telugu and English texts are the
 # same string (decision D22).  The portal's own name and address are not
 # carried over: they are parameters here.  Placeholders, in order:
-# filed: name, number; the others: number.
+# filed: name, number; registered: none; the others: number.
 PORTAL_NAME = "CivicDesk"
 TRACK_URL = "civicdesk.example.org/track"
+PORTAL_URL = "civicdesk.example.org"
+REGION = "the region"
 _FILED = ("Dear %s, your complaint has been registered on " + PORTAL_NAME + ". ID: %s. "
           "Track at " + TRACK_URL)
 MESSAGE_TEMPLATES = [
@@ -94,9 +97,12 @@ MESSAGE_TEMPLATES = [
     ("in_progress", "*", "Work has started on your " + PORTAL_NAME + " complaint %s."),
     ("resolved", "*", "Your " + PORTAL_NAME + " complaint %s has been resolved. Thank you for using "
                       + PORTAL_NAME + "!"),
+    ("registered", "*", "Welcome to " + PORTAL_NAME + "! Your complaint portal for " + REGION
+                        + ". File complaints at " + PORTAL_URL),
     ("escalated", "*", "Your " + PORTAL_NAME + " complaint %s has passed its deadline and been "
                        "escalated to Emergency priority."),
 ]
+# Fixed value: the note of a community escalation
 COMMUNITY_NOTE_TEMPLATE = ("Community escalated — %d citizens have upvoted this complaint. "
                            "Priority raised to High.")
 
@@ -196,12 +202,22 @@ def rate_limits(spark: SparkSession, limits=None) -> DataFrame:
                          "limiter string, window_seconds long, max_requests long, routes string")
 
 
+def filed_between(complaints: DataFrame, start: datetime, end: datetime) -> DataFrame:
+    """Complaints created in [start, end); of a loaded snapshot only the years' folders are read."""
+    at = F.col("created_at")
+    rows = complaints.where((at >= F.lit(start).cast("timestamp_ntz")) & (at < F.lit(end).cast("timestamp_ntz")))
+    return rows.where(F.col("created_year").between(start.year, end.year)) if "created_year" in rows.columns else rows
+
+
 def load_model(spark: SparkSession, model_dir: str, as_of: datetime) -> Model:
     """SRC-01: typed load of a model snapshot written by ``sinks.write_snapshot``.
 
-    Schemas are always given, never inferred; officers' password hashes are
-    not part of the schema, so they are never read.
+    Schemas are given to the reader, never inferred; officers' password hashes
+    are not part of the schema, so they are never read.  Complaints keep the
+    partition column ``created_year`` for filters (``filed_between``).
     """
-    frames = {name: spark.read.parquet(f"{model_dir}/{name}").select(
-        *[F.col(f.name).cast(f.dataType).alias(f.name) for f in SCHEMAS[name]]) for name in TABLES}
+    frames = {}
+    for name in TABLES:
+        schema = SCHEMAS[name] if name != "complaints" else T.StructType([*SCHEMAS[name], T.StructField("created_year", I)])
+        frames[name] = spark.read.schema(schema).parquet(f"{model_dir}/{name}")
     return Model(**frames, as_of=as_of)

@@ -1,37 +1,57 @@
 """Stateful processors for ``transformWithStateInPandas`` (R-03, R-05).
 
 Python runs here per key and micro-batch on Arrow batches; the rows of a key
-inside one micro-batch arrive unsorted, so each handler sorts them by
-(time, id) before applying them in order.
+arrive in any order and in several pieces.  The code verifier sorts the rows
+of one phone; the vote processors take the pieces one by one and keep what is
+first, so they never hold all rows of a key.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
+from datetime import timedelta
 
 import pandas as pd
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 CODE_OUTPUT = "event_id long, phone string, kind string, ts timestamp, verdict string"
-VOTE_OUTPUT = ("vote_id long, complaint_id long, reason string, upvote_count int, crossed boolean, "
+#: kind: 'reject' (a vote and its reason), 'first' (one of a shard's first accepted votes), 'total' (accepted votes
+#: of a shard), each with the complaint's stored count and priority
+VERDICT_OUTPUT = ("kind string, complaint_id long, part int, vote_id long, reason string, n long, base_count int, "
+                  "priority string, ts timestamp")
+#: kind: 'reject', 'count' (new votes of a complaint and its count after them), 'crossed' (the vote that crossed)
+VOTE_OUTPUT = ("kind string, complaint_id long, vote_id long, reason string, new_votes long, upvote_count int, "
                "ts timestamp")
 
 
 class CodeVerifier(StatefulProcessor):
-    """Per phone: the current code and its expiry (ValueState); one-time, strictly-after expiry."""
+    """Per phone: the current code and its expiry (ValueState); one-time, strictly-after expiry.
 
-    def __init__(self, ttl_seconds: int, phone_length: int = 10):
+    ``forget``: seconds after its expiry from which a code is as if it had
+    never been sent; an event-time timer then removes its state.  None keeps
+    an unused code for ever (and needs no timers).
+    """
+
+    def __init__(self, ttl_seconds: int, phone_length: int = 10, forget: int | None = None):
         self.ttl = pd.Timedelta(seconds=ttl_seconds)
         self.phone_length = phone_length
+        self.forget = None if forget is None else timedelta(seconds=forget)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.code = handle.getValueState("code", "code string, expires timestamp")
 
+    def _forgotten(self, expires, now) -> bool:
+        return self.forget is not None and now > pd.Timestamp(expires) + self.forget
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows), ignore_index=True).sort_values(["ts", "event_id"], kind="stable")
-        current = self.code.get() if self.code.exists() else None
+        before = current = self.code.get() if self.code.exists() else None
         verdicts = []
         for kind, phone, code, ts in zip(batch["kind"], batch["phone"], batch["code"], batch["ts"]):
+            if current is not None and self._forgotten(current[1], ts):
+                current = None
             if kind == "send":
                 if phone is not None and len(phone) == self.phone_length:
                     current = (code, ts + self.ttl)
@@ -49,76 +69,152 @@ class CodeVerifier(StatefulProcessor):
                 current = None
                 verdicts.append("verified")
         if current is None:
-            self.code.clear()
-        else:
-            self.code.update((current[0], pd.Timestamp(current[1]).to_pydatetime()))
+            if before is not None:
+                self.code.clear()
+        elif current is not before:
+            expires = pd.Timestamp(current[1])
+            self.code.update((current[0], expires.to_pydatetime()))
+            if self.forget is not None:
+                self.handle.registerTimer(int((expires + self.forget).value // 10 ** 6) + 1)
         yield pd.DataFrame({"event_id": batch["event_id"].astype("int64"), "phone": batch["phone"],
                             "kind": batch["kind"], "ts": batch["ts"], "verdict": verdicts})
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        """A timer of an older code finds a newer one and leaves it."""
+        if self.code.exists():
+            due = int((pd.Timestamp(self.code.get()[1]) + self.forget).value // 10 ** 6) + 1
+            if due <= expiredTimerInfo.getExpiryTimeInMs():
+                self.code.clear()
+        return iter([])
+
     def close(self) -> None:
         pass
 
 
-class VoteCounter(StatefulProcessor):
-    """Per complaint: voters for ever (MapState, no TTL), count and priority (ValueState).
+def _number(value):
+    return None if value is None or pd.isna(value) else int(value)
+
+
+def _frame(rows: list[tuple], schema: str) -> pd.DataFrame:
+    names = [c.split()[0] for c in schema.split(", ")]
+    kinds = dict(c.split() for c in schema.split(", "))
+    out = pd.DataFrame(rows, columns=names)
+    for name, kind in kinds.items():
+        if kind in ("long", "int"):
+            out[name] = out[name].astype("Int64" if kind == "long" else "Int32")
+        elif kind == "timestamp":
+            out[name] = pd.to_datetime(out[name])
+    return out
 
-    Initial state holds only the stored voters; the stored count and the
-    priority arrive on each vote row (stream-static join) and seed the
-    ValueState the first time a complaint is seen.  A vote that takes a
-    'normal' complaint to >= threshold raises it to 'high' once (``crossed``).
-    Votes for unknown numbers (negative keys) are rejected without state.
+
+class VoteUniqueness(StatefulProcessor):
+    """First step, keyed by (complaint, shard of voters): who has voted (MapState, for ever).
+
+    Emits every refused vote, the first ``threshold`` accepted ones and their
+    number: a few rows a shard and micro-batch, whatever the votes.  A
+    complaint with a third of all votes is as many keys as there are shards.
+    Initial state: the stored voters.  Unknown numbers (complaint -1) are
+    refused without state.
     """
 
     UNKNOWN = -1
 
-    def __init__(self, threshold: int = 10):
+    def __init__(self, threshold: int):
         self.threshold = threshold
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.voters = handle.getMapState("voters", "voter_ip string", "seen boolean")
-        self.info = handle.getValueState("info", "upvote_count int, priority string")
 
     def handleInitialState(self, key, initialState, timerValues) -> None:
         for voter in initialState["voter_ip"].dropna().unique():
             self.voters.updateValue((str(voter),), (True,))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows), ignore_index=True).sort_values(["ts", "vote_id"], kind="stable")
-        n = len(batch)
-        if int(key[0]) < 0:
-            yield pd.DataFrame({"vote_id": batch["vote_id"].astype("int64"),
-                                "complaint_id": pd.Series([self.UNKNOWN] * n, dtype="int64"),
-                                "reason": ["Complaint not found"] * n,
-                                "upvote_count": pd.Series([None] * n, dtype="Int32"),
-                                "crossed": [False] * n, "ts": batch["ts"]})
+        complaint, shard = int(key[0]), int(key[1])
+        first: dict[str, tuple] = {}  # voter -> their earliest vote of this batch
+        base = priority = None
+        for piece in rows:
+            refused = []
+            votes = zip(piece["ts"], piece["vote_id"], piece["voter_ip"], piece["base_count"], piece["priority"])
+            for ts, vote, voter, base, priority in votes:
+                me = (ts, int(vote))
+                if complaint == self.UNKNOWN:
+                    refused.append(("reject", complaint, 1 + shard, me[1], "Complaint not found", None, None, None, ts))
+                    continue
+                best = first.get(voter)
+                if best is None or me < best:
+                    first[voter] = me
+                    me = best
+                if me is not None:
+                    refused.append(("reject", complaint, 1 + shard, me[1], "Already upvoted", None, None, None, me[0]))
+            if refused:
+                yield _frame(refused, VERDICT_OUTPUT)
+        if not first:
+            return
+        accepted, refused = [], []
+        for voter, (ts, vote) in first.items():
+            if self.voters.containsKey((voter,)):
+                refused.append(("reject", complaint, 1 + shard, vote, "Already upvoted", None, None, None, ts))
+            else:
+                self.voters.updateValue((voter,), (True,))
+                accepted.append((ts, vote))
+        known = (_number(base), None if priority is None or pd.isna(priority) else priority)
+        out = [("first", complaint, 0, vote, None, None, *known, ts) for ts, vote in heapq.nsmallest(self.threshold, accepted)]
+        if accepted:
+            out.append(("total", complaint, 0, None, None, len(accepted), *known, None))
+        if out or refused:
+            yield _frame(out + refused, VERDICT_OUTPUT)
+
+    def close(self) -> None:
+        pass
+
+
+class VoteTotals(StatefulProcessor):
+    """Second step, keyed by (complaint, part): the complaint's count and priority (ValueState).
+
+    Part 0 holds the shards' totals and first votes: at most threshold + 1 rows
+    a shard and micro-batch, and one state read and write.  A vote that takes a
+    'normal' complaint to >= threshold raises it to 'high' once ('crossed').
+    The other parts hold refused votes, which pass.
+    """
+
+    def __init__(self, threshold: int):
+        self.threshold = threshold
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.info = handle.getValueState("info", "upvote_count int, priority string")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        complaint, part = int(key[0]), int(key[1])
+        new, firsts, base, priority = 0, [], None, None
+        for piece in rows:
+            if part:
+                yield _frame([("reject", complaint, int(vote), reason, None, None, ts)
+                              for vote, reason, ts in zip(piece["vote_id"], piece["reason"], piece["ts"])], VOTE_OUTPUT)
+                continue
+            for kind, vote, n, base, priority, ts in zip(piece["kind"], piece["vote_id"], piece["n"], piece["base_count"],
+                                                         piece["priority"], piece["ts"]):
+                if kind == "total":
+                    new += int(n)
+                else:
+                    firsts.append((ts, int(vote)))
+        if part:
             return
         if self.info.exists():
             count, priority = self.info.get()
         else:
-            first = batch.iloc[0]
-            count = None if pd.isna(first["base_count"]) else first["base_count"]
-            priority = None if pd.isna(first["priority"]) else first["priority"]
+            count = _number(base)
+            priority = None if priority is None or pd.isna(priority) else priority
         count = int(count or 0)
-        reasons, counts, crossed = [], [], []
-        for voter in batch["voter_ip"]:
-            if self.voters.containsKey((voter,)):
-                reasons.append("Already upvoted")
-                counts.append(count)
-                crossed.append(False)
-                continue
-            self.voters.updateValue((voter,), (True,))
-            count += 1
-            reasons.append(None)
-            counts.append(count)
-            hit = count >= self.threshold and priority == "normal"
-            if hit:
-                priority = "high"
-            crossed.append(hit)
-        self.info.update((count, priority))
-        yield pd.DataFrame({"vote_id": batch["vote_id"].astype("int64"),
-                            "complaint_id": batch["complaint_id"].astype("int64"),
-                            "reason": reasons, "upvote_count": pd.Series(counts, dtype="int32"),
-                            "crossed": crossed, "ts": batch["ts"]})
+        out = []
+        crossing = max(1, self.threshold - count)  # the position of the vote that reaches the threshold
+        if priority == "normal" and crossing <= new:
+            ts, vote = heapq.nsmallest(crossing, firsts)[-1]
+            out.append(("crossed", complaint, vote, None, None, count + crossing, ts))
+            priority = "high"
+        out.append(("count", complaint, None, None, new, count + new, None))
+        self.info.update((count + new, priority))
+        yield _frame(out, VOTE_OUTPUT)
 
     def close(self) -> None:
         pass

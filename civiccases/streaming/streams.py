@@ -8,11 +8,18 @@ idempotent per batch id (a replayed batch overwrites its own folder).
 
 * R-04 / R-07: windowed counts with a watermark, update mode, foreachBatch
   appends the updated groups; the final value of a group is its largest count.
-* R-05 / R-03: ``transformWithStateInPandas`` keyed by phone / complaint
-  (RocksDB state store; voters are kept for ever, so no watermark de-dup).
+  R-07 counts slots of one slide and adds them up to windows when read.
+* R-05: ``transformWithStateInPandas`` keyed by phone (RocksDB state store),
+  with event-time timers that remove codes nobody used.
+* R-03: two chained stateful steps, uniqueness by (complaint, shard of voters),
+  then totals by complaint; voters are kept for ever, so no watermark de-dup.
 * R-01 / R-06: ``foreachBatch`` running the batch job on each micro-batch
   against the state committed by earlier batches.
 * R-02: the hourly escalation is a scheduled batch over the latest snapshot.
+
+Each stream has a ``start_*`` function that takes the trigger and returns the
+running query, a function that reads its output, and one that does both for
+all files that have landed (``trigger(availableNow=True)``).
 """
 
 from __future__ import annotations
@@ -23,12 +30,17 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 
+from civiccases.functions.expr import with_caller
 from civiccases.operators import intake, lifecycle
-from civiccases.operators.timing import window_start
+from civiccases.operators.timing import sliding_sums, slot_seconds
 from civiccases.session import scratch_path
-from civiccases.sources.model import COMMUNITY_THRESHOLD, Model
-from civiccases.streaming.processors import CODE_OUTPUT, VOTE_OUTPUT, CodeVerifier, VoteCounter
+from civiccases.sources.model import COMMUNITY_THRESHOLD, SCHEMAS, Model
+from civiccases.sources.versions import BUCKETS, Versions
+from civiccases.streaming.processors import (CODE_OUTPUT, VERDICT_OUTPUT, VOTE_OUTPUT, CodeVerifier, VoteTotals,
+                                              VoteUniqueness)
 
 
 def run_dir(spark: SparkSession, name: str) -> str:
@@ -43,34 +55,64 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(hpath)
 
 
-def stage_in_time_order(df: DataFrame, ts: str, out_dir: str, chunks: int = 3) -> str:
-    """Land ``df`` as ``chunks`` parquet files, one per time range, written in time order.
+#: rows of a landed file, on average
+LANDED_ROWS = 200_000
+
+def stage_in_time_order(df: DataFrame, ts: str, out_dir: str, chunks: int = 3, file_rows: int = LANDED_ROWS) -> str:
+    """Land ``df`` in ``chunks`` time ranges of about equal size, written one after the other.
 
     For tests and replays: the file source picks files up in modification
-    order, so micro-batches see the data in event-time order.
+    order, so micro-batches see the data in event-time order.  Every range is
+    the same number of files, written in parallel; rows without a time belong
+    to the first range.
     """
-    lo, hi = df.agg(F.min(ts), F.max(ts)).first()
-    if lo is None:
+    time = F.col(ts)
+    number = F.unix_micros(time.cast("timestamp"))
+    cuts, n = df.agg(F.percentile_approx(number, [i / chunks for i in range(1, chunks)] or [0.5], 10_000),
+                     F.count(F.lit(1))).first()
+    if not n:
         df.limit(0).write.parquet(f"{out_dir}/c0000")
         return f"{out_dir}/*"
-    step = (hi - lo) / chunks
-    for i in range(chunks):
-        start, end = lo + step * i, lo + step * (i + 1)
-        cond = (F.col(ts) >= F.lit(start).cast("timestamp_ntz"))
-        if i < chunks - 1:
-            cond = cond & (F.col(ts) < F.lit(end).cast("timestamp_ntz"))
-        df.filter(cond).coalesce(1).write.parquet(f"{out_dir}/c{i:04d}")
+    cuts = sorted(set(cuts or [])) if chunks > 1 else []
+    place = F.lit(0)
+    for cut in cuts:  # a row's range: the cuts at or before it
+        place = place + F.when(number >= cut, 1).otherwise(0)
+    counts = dict(df.groupBy(F.coalesce(place, F.lit(0)).alias("c")).count().collect())
+    files = max(1, -(-n // (max(1, len(counts)) * file_rows)))
+    files = min(files, min(counts.values()))  # no empty file, so each range is whole micro-batches
+    for i in sorted(counts):
+        df.where(F.coalesce(place, F.lit(0)) == i).repartition(files).write.parquet(f"{out_dir}/c{i:04d}")
     return f"{out_dir}/*"
 
 
-def read_stream(spark: SparkSession, path: str, schema, files_per_trigger: int = 1) -> DataFrame:
-    return (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
-                 .parquet(path))
+def landed_files(spark: SparkSession, path: str) -> int:
+    """Files of the first landed range: what one micro-batch takes."""
+    jvm = spark.sparkContext._jvm
+    hpath = jvm.org.apache.hadoop.fs.Path(path)
+    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    folders = sorted(str(st.getPath()) for st in fs.globStatus(hpath) or [])
+    if not folders:
+        return 1
+    names = [st.getPath().getName() for st in fs.listStatus(jvm.org.apache.hadoop.fs.Path(folders[0]))]
+    return max(1, sum(name.startswith("part-") for name in names))
+
+
+def read_stream(spark: SparkSession, path: str, schema, files_per_trigger: int | None = None) -> DataFrame:
+    """The landing folder as a stream; a micro-batch is as many files as one landed range has."""
+    files = landed_files(spark, path) if files_per_trigger is None else files_per_trigger
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
+
+
+#: keys that the voters of a complaint are dealt to, and keys of refused votes
+VOTER_SHARDS = 256
+#: everything that has landed, then stop
+ALL_LANDED = {"availableNow": True}
+
+
+def after_write(name: str, batch_id: int) -> None:
+    """Called after each sink write of a foreachBatch; tests replace it to fail between two sinks."""
 
 
-# Votes for numbers that match no complaint are rejected without state; their keys are -1 .. -UNKNOWN_KEYS,
-# dealt by vote, so a flood of them is spread over the tasks.
-UNKNOWN_KEYS = 1024
 ROCKSDB_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -80,7 +122,7 @@ def use_rocksdb_state(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB_PROVIDER)
 
 
-def _await(query) -> None:
+def _await(query: StreamingQuery) -> None:
     query.awaitTermination()
     if query.exception() is not None:
         raise RuntimeError(str(query.exception()))
@@ -88,14 +130,14 @@ def _await(query) -> None:
 
 # ------------------------------------------------------------------ R-04
 
-def rate_limit_stream(spark: SparkSession, source: str, schema, limits, root: str,
-                      watermark: str = "2 days") -> DataFrame:
-    """Violators per (client, limiter, window), computed incrementally; one query per limiter, all at once."""
+def start_rate_limits(spark: SparkSession, source: str, schema, limits, root: str, watermark: str = "2 days",
+                      trigger: dict = ALL_LANDED) -> list[StreamingQuery]:
+    """One query per limiter that guards a route, all running at once."""
     running = []
     for limiter, seconds, max_req, routes in limits:
         if not routes:
             continue
-        s = read_stream(spark, source, schema).withColumn("ets", F.col("ts").cast("timestamp"))
+        s = with_caller(read_stream(spark, source, schema), "client").withColumn("ets", F.col("ts").cast("timestamp"))
         if routes != "*":
             s = s.filter(F.col("route").isin(*routes.split(",")))
         counts = (s.withWatermark("ets", watermark)
@@ -107,12 +149,14 @@ def rate_limit_stream(spark: SparkSession, source: str, schema, limits, root: st
             (batch.filter(F.col("n_requests") > max_req)
                   .select("client", F.col("w.start").cast("timestamp_ntz").alias("window_start"), "n_requests")
                   .write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}"))
+            after_write("violators", batch_id)
 
-        q = (counts.writeStream.outputMode("update").foreachBatch(sink)
-             .option("checkpointLocation", f"{root}/ckpt/{limiter}").trigger(availableNow=True).start())
-        running.append(q)
-    for q in running:
-        _await(q)
+        running.append(counts.writeStream.outputMode("update").foreachBatch(sink)
+                       .option("checkpointLocation", f"{root}/ckpt/{limiter}").trigger(**trigger).start())
+    return running
+
+
+def rate_limit_output(spark: SparkSession, root: str, limits) -> DataFrame:
     maxes = {lim: mx for lim, _, mx, routes in limits if routes}
     if not _exists(spark, f"{root}/out"):
         return spark.createDataFrame([], "client string, limiter string, window_start timestamp_ntz, "
@@ -124,70 +168,115 @@ def rate_limit_stream(spark: SparkSession, source: str, schema, limits, root: st
                         (F.col("n_requests") - mx).cast("long").alias("n_blocked"))
 
 
+def rate_limit_stream(spark: SparkSession, source: str, schema, limits, root: str,
+                      watermark: str = "2 days") -> DataFrame:
+    """Violators per (client, limiter, window), computed incrementally."""
+    for q in start_rate_limits(spark, source, schema, limits, root, watermark):
+        _await(q)
+    return rate_limit_output(spark, root, limits)
+
+
 # ------------------------------------------------------------------ R-07
 
-def rolling_activity_stream(spark: SparkSession, source: str, schema, root: str, length: str = "7 days",
-                            slide: str = "1 day", watermark: str = "30 days") -> DataFrame:
+def start_rolling_activity(spark: SparkSession, source: str, schema, root: str, length: str = "7 days",
+                           slide: str = "1 day", watermark: str = "30 days", trigger: dict = ALL_LANDED) -> StreamingQuery:
+    """Complaints per slot (the step that window and slide share); one state row a slot, not one a window."""
     s = read_stream(spark, source, schema).withColumn("ets", F.col("created_at").cast("timestamp"))
-    counts = (s.withWatermark("ets", watermark).groupBy(F.window("ets", length, slide).alias("w"))
+    counts = (s.withWatermark("ets", watermark).groupBy(F.window("ets", f"{slot_seconds(length, slide)} seconds").alias("w"))
                .agg(F.count(F.lit(1)).alias("n_filed")))
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        (batch.select(F.col("w.end").cast("timestamp_ntz").alias("window_end"), "n_filed")
+        (batch.select(F.col("w.start").cast("timestamp_ntz").alias("slot"), "n_filed")
               .write.mode("overwrite").parquet(f"{root}/out/batch_id={batch_id}"))
+        after_write("slots", batch_id)
 
-    q = (counts.writeStream.outputMode("update").foreachBatch(sink)
-         .option("checkpointLocation", f"{root}/ckpt").trigger(availableNow=True).start())
-    _await(q)
-    return (spark.read.parquet(f"{root}/out").groupBy("window_end")
-                 .agg(F.max("n_filed").alias("n_filed")))
+    return (counts.writeStream.outputMode("update").foreachBatch(sink)
+            .option("checkpointLocation", f"{root}/ckpt").trigger(**trigger).start())
+
+
+def rolling_activity_stream(spark: SparkSession, source: str, schema, root: str, length: str = "7 days",
+                            slide: str = "1 day", watermark: str = "30 days") -> DataFrame:
+    _await(start_rolling_activity(spark, source, schema, root, length, slide, watermark))
+    slots = spark.read.parquet(f"{root}/out").groupBy("slot").agg(F.max("n_filed").alias("n_filed"))
+    return sliding_sums(slots, length, slide)
 
 
 # ------------------------------------------------------------------ R-05
 
-def code_verification_stream(spark: SparkSession, source: str, schema, root: str, ttl_seconds: int) -> DataFrame:
+def start_code_verification(spark: SparkSession, source: str, schema, root: str, ttl_seconds: int,
+                            forget: int | None = None, watermark: str = "1 hour",
+                            trigger: dict = ALL_LANDED) -> StreamingQuery:
+    """Verdicts per event.  With ``forget``, codes go from the state that many seconds after their expiry.
+
+    A forgotten code gives 'not_requested' where a kept one gives 'expired';
+    that follows the event's own time, so it does not depend on when the timer
+    fires.  Events later than the watermark allows are dropped then.
+    """
     use_rocksdb_state(spark)
     s = read_stream(spark, source, schema).withColumn("ts", F.col("ts").cast("timestamp"))
+    if forget is not None:
+        s = s.withWatermark("ts", watermark)
     verdicts = (s.groupBy("phone")
-                 .transformWithStateInPandas(statefulProcessor=CodeVerifier(ttl_seconds),
-                                             outputStructType=CODE_OUTPUT, outputMode="Append", timeMode="None"))
-    q = (verdicts.writeStream.format("parquet").option("path", f"{root}/out")
-         .option("checkpointLocation", f"{root}/ckpt").trigger(availableNow=True).start())
-    _await(q)
+                 .transformWithStateInPandas(statefulProcessor=CodeVerifier(ttl_seconds, forget=forget),
+                                             outputStructType=CODE_OUTPUT, outputMode="Append",
+                                             timeMode="None" if forget is None else "EventTime"))
+    return (verdicts.writeStream.format("parquet").option("path", f"{root}/out")
+            .option("checkpointLocation", f"{root}/ckpt").trigger(**trigger).start())
+
+
+def code_verification_stream(spark: SparkSession, source: str, schema, root: str, ttl_seconds: int,
+                             forget: int | None = None) -> DataFrame:
+    _await(start_code_verification(spark, source, schema, root, ttl_seconds, forget))
     return (spark.read.schema(CODE_OUTPUT).parquet(f"{root}/out")
                  .withColumn("ts", F.col("ts").cast("timestamp_ntz")))
 
 
 # ------------------------------------------------------------------ R-03
 
-def upvote_stream(spark: SparkSession, m: Model, source: str, schema, root: str,
-                  threshold: int = COMMUNITY_THRESHOLD) -> DataFrame:
-    """Per vote: reason (NULL = counted), count after it, whether it crossed the threshold."""
+def start_upvotes(spark: SparkSession, m: Model, source: str, schema, root: str,
+                  threshold: int = COMMUNITY_THRESHOLD, shards: int = VOTER_SHARDS,
+                  trigger: dict = ALL_LANDED) -> StreamingQuery:
+    """Uniqueness by (complaint, shard of voters), then totals by complaint; chained in one query."""
     use_rocksdb_state(spark)
+    voter = F.coalesce("voter_ip", F.lit("unknown"))
     # stream-static join: each vote brings its complaint's id, stored count and priority
-    info = m.complaints.select(F.col("id").alias("complaint_id"), F.col("complaint_no").alias("_no"),
+    info = m.complaints.select(F.col("id").alias("_id"), F.col("complaint_no").alias("_no"),
                                F.col("upvote_count").alias("base_count"), "priority")
-    s = (read_stream(spark, source, schema).withColumn("ts", F.col("ts").cast("timestamp"))
+    s = (with_caller(read_stream(spark, source, schema), "voter_ip").withColumn("ts", F.col("ts").cast("timestamp"))
          .join(info, F.col("complaint_no") == F.col("_no"), "left")
-         .withColumn("complaint_id", F.coalesce(
-             F.col("complaint_id"), -1 - F.pmod(F.xxhash64("vote_id"), F.lit(UNKNOWN_KEYS).cast("long"))))
-         .select("vote_id", "complaint_id", "voter_ip", "ts", "base_count", "priority"))
+         .select("vote_id", F.coalesce("_id", F.lit(VoteUniqueness.UNKNOWN)).cast("long").alias("complaint_id"),
+                 F.pmod(F.xxhash64(F.when(F.col("_id").isNull(), F.col("vote_id").cast("string")).otherwise(voter)),
+                        F.lit(shards)).cast("int").alias("shard"),
+                 voter.alias("voter_ip"), "ts", "base_count", "priority"))
     # initial state: only the stored voters (it grows with votes, not with complaints)
-    stored = m.upvotes.select("complaint_id", "voter_ip")
-    verdicts = (s.groupBy("complaint_id")
-                 .transformWithStateInPandas(statefulProcessor=VoteCounter(threshold),
-                                             outputStructType=VOTE_OUTPUT, outputMode="Append", timeMode="None",
-                                             initialState=stored.groupBy("complaint_id")))
-    q = (verdicts.writeStream.format("parquet").option("path", f"{root}/out")
-         .option("checkpointLocation", f"{root}/ckpt").trigger(availableNow=True).start())
-    _await(q)
+    stored = m.upvotes.select("complaint_id", F.pmod(F.xxhash64(voter), F.lit(shards)).cast("int").alias("shard"),
+                              voter.alias("voter_ip"))
+    unique = (s.groupBy("complaint_id", "shard")
+               .transformWithStateInPandas(statefulProcessor=VoteUniqueness(threshold), outputStructType=VERDICT_OUTPUT,
+                                           outputMode="Append", timeMode="None",
+                                           initialState=stored.groupBy("complaint_id", "shard")))
+    totals = (unique.groupBy("complaint_id", "part")
+                    .transformWithStateInPandas(statefulProcessor=VoteTotals(threshold), outputStructType=VOTE_OUTPUT,
+                                                outputMode="Append", timeMode="None"))
+    return (totals.writeStream.format("parquet").option("path", f"{root}/out")
+            .option("checkpointLocation", f"{root}/ckpt").trigger(**trigger).start())
+
+
+def upvote_output(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.schema(VOTE_OUTPUT).parquet(f"{root}/out").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
+def upvote_stream(spark: SparkSession, m: Model, source: str, schema, root: str,
+                  threshold: int = COMMUNITY_THRESHOLD, shards: int = VOTER_SHARDS) -> DataFrame:
+    """Rows of kind 'reject' (a vote and its reason), 'count' (per complaint and micro-batch) and 'crossed'."""
+    _await(start_upvotes(spark, m, source, schema, root, threshold, shards))
+    return upvote_output(spark, root)
+
+
 # ------------------------------------------------------------------ R-01
 
-def intake_stream(spark: SparkSession, m: Model, source: str, schema, uploads: DataFrame | None, root: str,
-                  start: int = 1) -> DataFrame:
+def start_intake(spark: SparkSession, m: Model, source: str, schema, uploads: DataFrame | None, root: str,
+                 start: int = 1, trigger: dict = ALL_LANDED) -> StreamingQuery:
     """J-10 per micro-batch; numbering continues from the ledger of earlier batches (replay-safe)."""
     ledger = f"{root}/out/ledger"
 
@@ -207,15 +296,21 @@ def intake_stream(spark: SparkSession, m: Model, source: str, schema, uploads: D
                            ("timeline", intake.initial_timeline(accepted)), ("attachments", res.attachments),
                            ("citizen_updates", res.citizen_updates)):
             rows.write.mode("overwrite").parquet(f"{root}/out/{name}/batch_id={batch_id}")
+            after_write(name, batch_id)
         n = sp.read.parquet(f"{root}/out/complaints/batch_id={batch_id}").count()
         sp.createDataFrame([(n,)], "n_accepted long").write.mode("overwrite").parquet(
             f"{ledger}/batch_id={batch_id}")
+        after_write("ledger", batch_id)
         accepted.unpersist()
         batch.unpersist()
 
-    q = (read_stream(spark, source, schema).writeStream.foreachBatch(run)
-         .option("checkpointLocation", f"{root}/ckpt").trigger(availableNow=True).start())
-    _await(q)
+    return (read_stream(spark, source, schema).writeStream.foreachBatch(run)
+            .option("checkpointLocation", f"{root}/ckpt").trigger(**trigger).start())
+
+
+def intake_stream(spark: SparkSession, m: Model, source: str, schema, uploads: DataFrame | None, root: str,
+                  start: int = 1) -> DataFrame:
+    _await(start_intake(spark, m, source, schema, uploads, root, start))
     return intake_output(spark, root, "complaints")
 
 
@@ -232,146 +327,143 @@ def intake_output(spark: SparkSession, root: str, name: str) -> DataFrame:
 
 # ------------------------------------------------------------------ R-06
 
-def _list_upto(spark: SparkSession, path: str) -> list[int]:
-    """Batch ids of the ``upto=N`` folders below ``path`` (a listing, not a data read)."""
-    if not _exists(spark, path):
-        return []
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    out = []
-    for st in fs.listStatus(hpath):
-        name = st.getPath().getName()
-        if st.isDirectory() and name.startswith("upto="):
-            out.append(int(name.split("=", 1)[1]))
-    return sorted(out)
-
-
+#: what the status jobs need to know of a complaint
+STATE_SCHEMA = "id long, status string, updated_at timestamp_ntz, resolved_at timestamp_ntz, assigned_to int"
 _STATE = ["status", "updated_at", "resolved_at"]
 
 
-def _latest_state(spark: SparkSession, root: str, before: int | None, touched: DataFrame | None = None):
-    """Latest (status, updated_at, resolved_at) per complaint from batches < ``before`` (all if None).
+def status_versions(spark: SparkSession, root: str, buckets: int = BUCKETS) -> Versions:
+    """The state of all complaints, in versions; version n holds the micro-batches before n."""
+    return Versions(spark, f"{root}/out/state", T._parse_datatype_string(STATE_SCHEMA), "id", buckets)
 
-    Reads the newest compaction below ``before`` plus only the log folders after
-    it (partition pruning on ``batch_id``), so a batch never rescans the whole
-    history.  Returns None when nothing has been written yet.
-    """
-    changes, compact = f"{root}/out/changes", f"{root}/out/compact"
-    ups = [u for u in _list_upto(spark, compact) if before is None or u < before]
-    base = ups[-1] if ups else None
-    parts = []
-    if base is not None:
-        parts.append(spark.read.parquet(f"{compact}/upto={base}"))
-    if _exists(spark, changes):
-        log = spark.read.parquet(changes)
-        if base is not None:
-            log = log.filter(F.col("batch_id") > base)
-        if before is not None:
-            log = log.filter(F.col("batch_id") < before)
-        parts.append(log.select("id", *_STATE, F.col("batch_id").cast("long").alias("batch_id")))
-    if not parts:
-        return None
-    rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    if touched is not None:
-        rows = rows.join(touched, F.col("id") == F.col("_t"), "left_semi")
-    return rows.groupBy("id").agg(F.max_by(F.struct(*_STATE, "batch_id"), F.col("batch_id")).alias("_l")) \
-               .select("id", *[F.col(f"_l.{c}").alias(c) for c in _STATE], F.col("_l.batch_id").alias("batch_id"))
 
+def _state_at(spark: SparkSession, root: str, state: Versions, batch_id: int | None, buckets: list[int] | None) -> DataFrame:
+    """The state before a micro-batch (None: after all): the newest version up to it and the log after that version.
 
-def status_stream(spark: SparkSession, m: Model, source: str, schema, root: str,
-                  compact_every: int = 10) -> DataFrame:
+    Only the given buckets are read, of the version and of the log.
+    """
+    version = state.latest(None if batch_id is None else batch_id + 1)
+    base = state.read(version, buckets)
+    changes = f"{root}/out/changes"
+    if not _exists(spark, changes):
+        return base
+    log = (spark.read.option("basePath", changes).schema(f"{STATE_SCHEMA}, batch_id long, bucket int").parquet(changes)
+           .where(F.col("batch_id") >= version))
+    if batch_id is not None:
+        log = log.where(F.col("batch_id") < batch_id)
+    if buckets is not None:
+        log = log.where(F.col("bucket").isin(buckets))
+    last = log.groupBy(F.col("id").alias("_lid")).agg(F.max_by(F.struct(*_STATE), "batch_id").alias("_last"))
+    rows = base.join(last, F.col("id") == F.col("_lid"), "left")
+    return rows.select("id", *[F.when(F.col("_lid").isNotNull(), F.col(f"_last.{c}")).otherwise(F.col(c)).alias(c) for c in _STATE],
+                       "assigned_to")
+
+
+def start_status(spark: SparkSession, m: Model, source: str, schema, root: str, compact_every: int = 10,
+                 trigger: dict = ALL_LANDED, buckets: int = BUCKETS) -> StreamingQuery:
     """J-13 + J-14 per micro-batch over the current state of the touched complaints.
 
-    State = the snapshot plus a log of changed rows per batch, compacted every
-    ``compact_every`` batches into a latest-state table.  A batch reads only
-    the rows of the complaints it touches (semi joins) from the newest
-    compaction and the few log folders after it, so its cost grows with the
-    batch, not with the history.  Everything a batch writes is keyed by its
-    batch id and depends only on earlier committed batches: a replay rewrites
-    the same folders with the same rows.
+    State = a bucketed version of the complaints plus a log of changed rows per
+    batch; every ``compact_every`` batches the log's buckets are merged into the
+    next version.  A batch finds the buckets of its complaints and reads only
+    their folders, so its cost grows with the batch, not with the snapshot or
+    the history.  Everything a batch writes is keyed by its batch id and depends
+    only on earlier committed batches: a replay rewrites the same folders, and
+    the same version, with the same rows.
     """
+    state = status_versions(spark, root, buckets)
+    state.create(m.complaints)
     changes = f"{root}/out/changes"
 
     def run(batch: DataFrame, batch_id: int) -> None:
         sp = batch.sparkSession
-        touched = batch.select(F.col("complaint_id").alias("_t")).distinct()
-        cur = m.complaints.join(touched, F.col("id") == F.col("_t"), "left_semi")
-        latest = _latest_state(sp, root, batch_id, touched)
-        if latest is not None:
-            lt = latest.select(F.col("id").alias("_lid"), *[F.col(c).alias(f"_l_{c}") for c in _STATE])
-            cur = (cur.join(lt, F.col("id") == F.col("_lid"), "left")
-                      .withColumn("status", F.coalesce(F.col("_l_status"), F.col("status")))
-                      .withColumn("updated_at", F.coalesce(F.col("_l_updated_at"), F.col("updated_at")))
-                      .withColumn("resolved_at", F.when(F.col("_lid").isNotNull(), F.col("_l_resolved_at"))
-                                  .otherwise(F.col("resolved_at")))
-                      .drop("_lid", *[f"_l_{c}" for c in _STATE]))
+        cur = _state_at(sp, root, state, batch_id, state.touched(batch.select("complaint_id"), "complaint_id"))
         res = lifecycle.apply_status_updates(m.replace(complaints=cur), batch)
-        res.changed.write.mode("overwrite").parquet(f"{changes}/batch_id={batch_id}")
-        res.timeline.write.mode("overwrite").parquet(f"{root}/out/timeline/batch_id={batch_id}")
-        res.rejects.write.mode("overwrite").parquet(f"{root}/out/rejects/batch_id={batch_id}")
+        known = cur.select(F.col("id").alias("_id"), "assigned_to")
+        changed = res.changed.join(known, F.col("id") == F.col("_id")).drop("_id").withColumn("bucket", state.bucket())
+        changed.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("bucket").parquet(
+            f"{changes}/batch_id={batch_id}")
+        after_write("changes", batch_id)
+        for name, rows in (("timeline", res.timeline), ("rejects", res.rejects)):
+            rows.write.mode("overwrite").parquet(f"{root}/out/{name}/batch_id={batch_id}")
+            after_write(name, batch_id)
         if compact_every and (batch_id + 1) % compact_every == 0:
-            _latest_state(sp, root, batch_id + 1).write.mode("overwrite").parquet(
-                f"{root}/out/compact/upto={batch_id}")
+            version = state.latest(batch_id + 1)
+            log = (sp.read.option("basePath", changes).schema(f"{STATE_SCHEMA}, batch_id long, bucket int").parquet(changes)
+                   .where((F.col("batch_id") >= version) & (F.col("batch_id") <= batch_id)))
+            latest = log.groupBy("id").agg(F.max_by(F.struct(*_STATE, "assigned_to"), "batch_id").alias("_l")).select("id", "_l.*")
+            state.publish(batch_id + 1, latest, version)
+            after_write("compact", batch_id)
+
+    return (read_stream(spark, source, schema).writeStream.foreachBatch(run)
+            .option("checkpointLocation", f"{root}/ckpt").trigger(**trigger).start())
+
 
-    q = (read_stream(spark, source, schema).writeStream.foreachBatch(run)
-         .option("checkpointLocation", f"{root}/ckpt").trigger(availableNow=True).start())
-    _await(q)
-    return _latest_state(spark, root, None).drop("batch_id")
+def status_output(spark: SparkSession, root: str) -> DataFrame:
+    """(id, status, updated_at, resolved_at) of the complaints that have changed, as they are now."""
+    log = spark.read.schema(f"{STATE_SCHEMA}, batch_id long, bucket int").parquet(f"{root}/out/changes")
+    return (log.groupBy("id").agg(F.max_by(F.struct(*_STATE), "batch_id").alias("_l")).select("id", "_l.*"))
+
+
+def status_stream(spark: SparkSession, m: Model, source: str, schema, root: str,
+                  compact_every: int = 10, buckets: int = BUCKETS) -> DataFrame:
+    _await(start_status(spark, m, source, schema, root, compact_every, buckets=buckets))
+    return status_output(spark, root)
 
 
 # ------------------------------------------------------------------ R-02
 
-_ESCALATED = ["is_overdue", "priority", "updated_at"]
+def escalation_versions(spark: SparkSession, m: Model, root: str, buckets: int = BUCKETS) -> Versions:
+    return Versions(spark, f"{root}/complaints", SCHEMAS["complaints"], "id", buckets)
+
 
+def _run_number(as_of: datetime) -> int:
+    return int(as_of.strftime("%Y%m%d%H%M%S"))
 
-def escalation_run(spark: SparkSession, m: Model, as_of: datetime, root: str) -> DataFrame:
-    """One scheduled escalation pass; writes the changed rows, timeline and messages of the pass only.
 
-    ``m`` holds the last full snapshot.  Complaints that an earlier pass has
-    raised since are left out by an anti join on the passes' changed rows, so
-    the overdue filter still reaches the snapshot's scan and a pass writes what
-    it changes.  A repeated pass rewrites its own folders.
+def escalation_run(spark: SparkSession, m: Model, as_of: datetime, root: str, buckets: int = BUCKETS) -> DataFrame:
+    """One scheduled escalation pass over the snapshot that the pass before it left.
+
+    The first pass stores ``m``'s complaints as the first version; each pass
+    publishes the next one, rewriting the buckets of the complaints it raised.
+    Its changed rows, timeline and messages are written beside it.  A pass that
+    is repeated starts from the same version and rewrites its own folders.
     """
-    run = as_of.strftime("%Y%m%dT%H%M%S")
-    current = m.complaints
-    raised = escalated_rows(spark, root, before=run)
-    if raised is not None:
-        current = current.join(raised.select(F.col("id").alias("_raised")), F.col("id") == F.col("_raised"), "left_anti")
-    res = lifecycle.escalate_overdue(m.replace(complaints=current, as_of=as_of))
+    run = _run_number(as_of)
+    stored = escalation_versions(spark, m, root, buckets)
+    stored.create(m.complaints)
+    base = stored.latest(run)
+    res = lifecycle.escalate_overdue(m.replace(complaints=stored.read(base), as_of=as_of))
     for name, rows in (("changed", res.changed), ("timeline", res.timeline), ("messages", res.messages)):
         rows.write.mode("overwrite").parquet(f"{root}/{name}/run={run}")
-    return spark.read.parquet(f"{root}/changed/run={run}")
-
+        after_write(name, run)
+    changed = spark.read.parquet(f"{root}/changed/run={run}")
+    raised = res.snapshot.join(changed.select(F.col("id").alias("_raised")), F.col("id") == F.col("_raised"), "left_semi")
+    stored.publish(run, raised, base)
+    return changed
 
-def escalated_rows(spark: SparkSession, root: str, before: str | None = None) -> DataFrame | None:
-    """The changed rows of all passes below ``root`` (of those before one); None before the first.
 
-    A complaint is raised once: the flag it gets excludes it from later passes.
-    """
+def escalated_rows(spark: SparkSession, root: str) -> DataFrame | None:
+    """The changed rows of all passes below ``root`` (None before the first); a complaint is raised once, its flag
+    excludes it from later passes."""
     if not _exists(spark, f"{root}/changed"):
         return None
-    rows = spark.read.option("basePath", f"{root}/changed").schema(
-        "id long, complaint_no string, is_overdue boolean, priority string, updated_at timestamp_ntz, run string"
-    ).parquet(f"{root}/changed")
-    return (rows if before is None else rows.where(F.col("run") < before)).drop("run")
+    return spark.read.option("basePath", f"{root}/changed").schema(
+        "id long, complaint_no string, is_overdue boolean, priority string, updated_at timestamp_ntz, run long"
+    ).parquet(f"{root}/changed").drop("run")
 
 
-def escalated_snapshot(spark: SparkSession, m: Model, root: str) -> DataFrame:
-    """The full complaints table after all passes below ``root``: what a compaction writes as the next snapshot."""
-    raised = escalated_rows(spark, root)
-    if raised is None:
-        return m.complaints
-    new = raised.select(F.col("id").alias("_raised"), *[F.col(c).alias(f"_{c}") for c in _ESCALATED])
-    return (m.complaints.join(new, F.col("id") == F.col("_raised"), "left")
-            .withColumns({c: F.when(F.col("_raised").isNotNull(), F.col(f"_{c}")).otherwise(F.col(c))
-                          for c in _ESCALATED}).select(*m.complaints.columns))
+def escalated_snapshot(spark: SparkSession, m: Model, root: str, buckets: int = BUCKETS) -> DataFrame:
+    """The full complaints table as the last pass left it."""
+    stored = escalation_versions(spark, m, root, buckets)
+    latest = stored.latest()
+    return m.complaints if latest is None else stored.read(latest)
 
 
-def escalation_schedule(spark: SparkSession, m: Model, runs: list[datetime], root: str) -> DataFrame:
-    """Successive passes over one snapshot; each sees what the earlier ones changed."""
+def escalation_schedule(spark: SparkSession, m: Model, runs: list[datetime], root: str, buckets: int = BUCKETS) -> DataFrame:
+    """Successive passes; each sees what the earlier ones changed."""
     for as_of in runs:
-        escalation_run(spark, m, as_of, root)
+        escalation_run(spark, m, as_of, root, buckets)
     return escalated_rows(spark, root)
 
 

@@ -7,7 +7,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from civiccases.operators import intake, lifecycle, lookups, quality, reports, timing, votes
-from conftest import AS_OF, complaint, make_model
+from helpers import AS_OF, complaint, make_model
 
 D = datetime
 
