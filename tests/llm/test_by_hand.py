@@ -10,8 +10,6 @@ import regex
 
 from civiccases.llm import html_extract, language_id, licenses, url_filter
 
-SF = "/root/testdata/sf0.001"
-
 
 # --- licences ----------------------------------------------------------------------------
 
@@ -190,7 +188,7 @@ def layouts(paragraphs: list[str], other: list[str]) -> list[str]:
 
 def test_foreign_layouts(spark):
     """Word F1 of the extracted text against the article, over six layouts and several articles."""
-    pages = spark.read.parquet(f"{SF}/pages.parquet").select("html").limit(200).collect()
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").limit(250).collect()
     trees = html_extract.fit([r["html"] for r in pages[:140]])
     texts = [" ".join(regex.sub(r"<[^>]+>", " ", p).split()) for r in pages[140:] for p in regex.findall(r"<p>(.*?)</p>", r["html"])]
     texts = [t for t in texts if len(t.split()) >= 12 and "&" not in t][:80]
@@ -201,4 +199,4 @@ def test_foreign_layouts(spark):
             want = Counter(" ".join(texts[k:k + 4]).split())
             scores[j].append(2 * (got & want).total() / max(1, got.total() + want.total()))
     means = {j: float(np.mean(s)) for j, s in scores.items()}
-    assert len(means) == 6 and np.mean(list(means.values())) >= 0.9 and min(means.values()) >= 0.7, means
+    assert len(means) == 6 and min(means.values()) >= 0.95, means
