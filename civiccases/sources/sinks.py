@@ -21,9 +21,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from civiccases.functions.expr import status_ordinal
-from civiccases.sources.model import SCHEMAS, TABLES, Model
+from civiccases.sources.model import SCHEMAS, STATUSES, TABLES, Model
 
-#: bits of each clustered column; larger numbers share the last place
+#: bits of each clustered column
 CLUSTER_BITS = 10
 #: point lookups: table -> columns with a Bloom filter
 LOOKUP_COLUMNS = {"complaints": ["complaint_no"], "citizens": ["phone"]}
@@ -32,7 +32,7 @@ LOOKUP_VALUES = 1_000_000
 
 
 def interleaved(*numbers: Column, bits: int = CLUSTER_BITS) -> Column:
-    """The bits of small non-negative numbers, taken in turn from the highest down; NULL counts as 0."""
+    """The bits of numbers below 2^bits, taken in turn from the highest down; NULL counts as 0, more as the largest."""
     out = F.lit(0).cast("long")
     for bit in reversed(range(bits)):
         for number in numbers:
@@ -41,8 +41,14 @@ def interleaved(*numbers: Column, bits: int = CLUSTER_BITS) -> Column:
     return out
 
 
-def cluster_key() -> Column:
-    return interleaved(F.col("district_id"), F.col("department_id"), status_ordinal())
+def cluster_key(m: Model) -> Column:
+    """District, department and status interleaved, each spread over all bits so that the first ones halve its domain."""
+    def spread(number: Column, dimension: DataFrame | None, most: int = 0) -> Column:
+        top = most if dimension is None else dimension.agg(F.max("id")).first()[0] or 0  # one number of a dimension
+        return F.floor(number * F.lit(1 << CLUSTER_BITS) / F.lit(top + 1))
+
+    return interleaved(spread(F.col("district_id"), m.districts), spread(F.col("department_id"), m.departments),
+                       spread(status_ordinal(), None, len(STATUSES) - 1))
 
 
 def write_snapshot(m: Model, out_dir: str, files_hint: int | None = None) -> str:
@@ -57,7 +63,7 @@ def write_snapshot(m: Model, out_dir: str, files_hint: int | None = None) -> str
         df = getattr(m, name).select(*[f.name for f in SCHEMAS[name]])
         if name == "complaints":
             # the year leads the sort as well, which is the order that the partitioned writer asks for
-            df = df.withColumns({"created_year": F.year("created_at"), "_cell": cluster_key()})
+            df = df.withColumns({"created_year": F.year("created_at"), "_cell": cluster_key(m)})
             df = (by_range(df, "created_year", "_cell", "id")
                   .sortWithinPartitions("created_year", "_cell", "created_at").drop("_cell"))
         elif name == "citizens":

@@ -15,9 +15,9 @@ SF = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="module")
 def stored(spark):
-    """A snapshot in about forty files."""
+    """A snapshot in many small files."""
     m = adapter.load_testdata_model(spark, SF)
-    out = sinks.write_snapshot(m, run_dir(spark, "test-layout"), files_hint=40)
+    out = sinks.write_snapshot(m, run_dir(spark, "test-layout"), files_hint=150)
     return m, load_model(spark, out, m.as_of), out
 
 
