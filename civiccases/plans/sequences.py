@@ -1,10 +1,10 @@
-"""Per-key sequence operators (lag, running count) that stay parallel for a hot key.
+"""A per-key sequence operator (lag) that stays parallel for a hot key.
 
 A window ``PARTITION BY key ORDER BY t`` sorts every row of a key in one
 task: one complaint (or phone) holding a third of all rows would become one
-straggler task.  These helpers split each key by a coarse, order-preserving
-time bucket and run the window per (key, bucket); what crosses a bucket edge
-(the last value, the running total) is carried in from a small per-(key,
+straggler task.  The helper splits each key by a coarse, order-preserving
+time bucket and runs the window per (key, bucket); what crosses a bucket edge
+(the last value) is carried in from a small per-(key,
 bucket) table whose own window runs over one row per bucket.  A (key, bucket)
 that holds a large share of all rows is cut further, into slices along the
 order (``slices.with_slice``).  The carry is joined on (key, bucket, slice) -
@@ -41,16 +41,3 @@ def bucketed_lag(df: DataFrame, key: str, bucket: Column, order: list[str], valu
                   F.when(F.col("_has_prev"), F.col("_carry")).otherwise(first_default)).otherwise(
         F.lag(value).over(w))
     return j.withColumn(out, prev).drop("_bk", "_slice", "_ck", "_cb", "_cs", "_carry", "_has_prev")
-
-
-def bucketed_running_count(df: DataFrame, key: str, bucket: Column, order: list[str], flag: Column,
-                           out: str, slice_rows: int = SLICE_ROWS) -> DataFrame:
-    """``out`` = running count of rows with ``flag`` true, per key in ``order``, inclusive of the row."""
-    b = with_slice(df.withColumn("_bk", bucket).withColumn("_f", flag.cast("int")), [key, "_bk"], order, slice_rows)
-    per = b.groupBy(F.col(key).alias("_ck"), F.col("_bk").alias("_cb"), F.col("_slice").alias("_cs")).agg(F.sum("_f").alias("_n"))
-    w_small = Window.partitionBy("_ck").orderBy("_cb", "_cs").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    carry = per.select("_ck", "_cb", "_cs", (F.sum("_n").over(w_small) - F.col("_n")).alias("_before"))
-    j = b.join(carry, _carried(key), "inner")
-    w = Window.partitionBy(key, "_bk", "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return (j.withColumn(out, (F.col("_before") + F.sum("_f").over(w)).cast("long"))
-             .drop("_bk", "_slice", "_ck", "_cb", "_cs", "_before", "_f"))

@@ -1,4 +1,4 @@
-"""The bucketed per-key sequence helpers equal the single-window forms."""
+"""The bucketed orderings equal their single-window forms, and hot cells are cut at equal depths."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from civiccases.plans import slices
 from civiccases.plans.ranking import global_rank
-from civiccases.plans.sequences import bucketed_lag, bucketed_running_count
+from civiccases.plans.sequences import bucketed_lag
 from civiccases.plans.slices import with_slice
 
 
@@ -28,14 +28,6 @@ def test_bucketed_lag_equals_window(spark):
     assert sorted(got.select("id", "prev").collect()) == sorted(want.select("id", "prev").collect())
 
 
-def test_bucketed_running_count_equals_window(spark):
-    df = _events(spark)
-    got = bucketed_running_count(df, "k", F.date_trunc("day", "ts"), ["ts", "id"], F.col("f"), "n")
-    w = Window.partitionBy("k").orderBy("ts", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    want = df.withColumn("n", F.sum(F.col("f").cast("int")).over(w).cast("long"))
-    assert sorted(got.select("id", "n").collect()) == sorted(want.select("id", "n").collect())
-
-
 def _hot_day(spark):
     """A third of all rows at one instant, a third in one hour, the others in hours that differ by microseconds."""
     t = datetime(2024, 1, 1)
@@ -95,7 +87,3 @@ def test_rank_and_sequences_over_sliced_cells(spark):
     want = df.withColumn("prev", F.when(F.row_number().over(per_key) == 1, F.lit("base"))
                          .otherwise(F.lag("v").over(per_key)))
     assert sorted(got.select("id", "prev").collect()) == sorted(want.select("id", "prev").collect())
-    got = bucketed_running_count(df, "k", day, ["ts", "id"], F.col("f"), "n", slice_rows=50)
-    want = df.withColumn("n", F.sum(F.col("f").cast("int")).over(
-        per_key.rowsBetween(Window.unboundedPreceding, Window.currentRow)).cast("long"))
-    assert sorted(got.select("id", "n").collect()) == sorted(want.select("id", "n").collect())
