@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from civiccases.functions.expr import plus_seconds, ts_lit, with_caller
+from civiccases.plans.keys import same, whole_keys
 from civiccases.plans.slices import SLICE_ROWS, with_slice
 from civiccases.sources.model import CODE_TTL_SECONDS, PHONE_LENGTH, RATE_LIMITS, Model
 
@@ -124,14 +125,14 @@ def _entering(events: DataFrame, keys: list[str]) -> DataFrame:
         F.max("_epoch").alias("_sends"), F.max_by("_now", "_epoch").alias("_last"),
         F.max(F.struct("_epoch", "_ends"))["_ends"].alias("_ended"),
         F.max(F.when(head, F.col("ts"))).alias("_head_ts"), F.collect_set(F.when(head, F.col("code"))).alias("_head_codes"))
-    phone, *place = keys
-    before = Window.partitionBy(phone).orderBy(*place).rowsBetween(Window.unboundedPreceding, -1)
+    phone, place = keys[:2], keys[2:]
+    before = Window.partitionBy(*phone).orderBy(*place).rowsBetween(Window.unboundedPreceding, -1)
     left = F.when(F.col("_sends") > 0, F.struct(F.col("_last").alias("sent"), F.col("_ended").alias("ended")))
     slices = slices.withColumns({"_in": F.last(left, ignorenulls=True).over(before),
                                  "_run": F.count(left).over(before)})
     ends = F.coalesce((F.col("_head_ts") > F.col("_in.sent.expires"))
                       | F.array_contains("_head_codes", F.col("_in.sent.code")), F.lit(False))
-    run = Window.partitionBy(phone, "_run").orderBy(*place).rowsBetween(Window.unboundedPreceding, -1)
+    run = Window.partitionBy(*phone, "_run").orderBy(*place).rowsBetween(Window.unboundedPreceding, -1)
     gone = F.coalesce(F.max(ends).over(run), F.lit(False)) | F.coalesce(F.col("_in.ended"), F.lit(True))
     return slices.select(*[F.col(k).alias(f"_of{i}") for i, k in enumerate(keys)],
                          F.when(~gone, F.col("_in.sent")).alias("_state"))
@@ -149,15 +150,12 @@ def code_verification(events: DataFrame, ttl_seconds: int = CODE_TTL_SECONDS,
     from the slices before (``_entering``).  Events are shuffled once, by slice;
     the summaries and the verdicts read the same exchange.
     """
-    keys = ["phone", "_day", "_slice"]
     ev = events.select("event_id", "phone", "kind", "ts", "code").withColumns(
         {"_day": F.date_trunc("day", "ts"), "_expires": plus_seconds("ts", ttl_seconds)})
-    ev = with_slice(ev, ["phone", "_day"], ["ts", "event_id"], slice_rows).repartition(*keys)
+    ev, keys = whole_keys(with_slice(ev, ["phone", "_day"], ["ts", "event_id"], slice_rows), ["phone", "_day", "_slice"], "_k")
+    ev = ev.repartition(*keys)
     entering = _entering(ev, keys)
-    same = F.lit(True)
-    for i, k in enumerate(keys):
-        same = same & F.col(k).eqNullSafe(F.col(f"_of{i}"))
-    rows = _with_state(ev.join(entering, same, "left"), keys, F.col("_state"))
+    rows = _with_state(ev.join(entering, same(keys, [f"_of{i}" for i in range(len(keys))]), "left"), keys, F.col("_state"))
     before = Window.partitionBy(*keys).orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
     # epochs never decrease, so the largest (epoch, ended) so far tells whether the present one was ended
     last = F.max(F.struct("_epoch", "_ends")).over(before)

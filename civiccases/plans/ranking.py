@@ -15,7 +15,7 @@
 The rank depends on data only (the order must be total), not on physical
 partitioning, so it is stable under AQE coalescing and task retries.  A bucket
 that holds a large share of all rows is cut into slices along the order
-(``slices.with_slice``); a (bucket, slice) is the unit of the inner sort.
+(``plans.slices``); a (bucket, slice) is the unit of the inner sort.
 """
 
 from __future__ import annotations
@@ -23,7 +23,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from civiccases.plans.slices import SLICE_ROWS, with_slice
+from civiccases.plans.keys import stand_in
+from civiccases.plans.slices import SLICE_ROWS, cell_counts, cuts_of, hot_cells, slice_counts, slice_of
+
 
 def bucket_of(ts: Column | str, unit: str = "hour") -> Column:
     c = F.col(ts) if isinstance(ts, str) else ts
@@ -34,22 +36,33 @@ def global_rank(df: DataFrame, bucket: Column, order: list[str], name: str = "se
                 start: Column | int = 1, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Add ``name`` = dense 1-based position (+ start - 1) in ascending ``order`` (NULL first).
 
-    ``bucket`` must be non-decreasing along ``order`` (a prefix of its first
-    key); ``order`` names timestamp and numeric columns and must be total (end
+    ``bucket`` is a time and must be non-decreasing along ``order`` (a prefix of
+    its first key); ``order`` names timestamp and numeric columns and must be total (end
     with a unique key).
     """
     start_col = F.lit(start) if isinstance(start, int) else start
-    b = with_slice(df.withColumn("_bucket", bucket), ["_bucket"], order, slice_rows)
-    counts = b.groupBy("_bucket", "_slice").agg(F.count(F.lit(1)).alias("_n"))
-    running = Window.orderBy(F.col("_bucket").asc_nulls_first(), "_slice").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    offsets = counts.select(F.col("_bucket").alias("_ob"), F.col("_slice").alias("_os"),
-                            (F.sum("_n").over(running) - F.col("_n")).alias("_offset"))
+    b = df.withColumn("_bucket", bucket)
+    # never NULL, and before all others where it was: joins on it are plain equalities
+    b = b.withColumn("_bucket", F.coalesce("_bucket", stand_in(b.schema["_bucket"].dataType)))
+    narrow, cell, keys = b.select("_bucket", *order), ["_bucket"], ["_ob"]
+    # the counts serve both the offsets and the choice of hot buckets, from one exchange
+    counts = cell_counts(narrow, cell, keys)
+    cuts = cuts_of(narrow, cell, order, hot_cells(counts, keys, slice_rows), keys)
+    running = Window.orderBy("_ob").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    offsets = counts.select("_ob", (F.sum("_rows").over(running) - F.col("_rows")).alias("_offset"))
+    # rows of the slices before, inside a hot bucket; nothing without one
+    before = Window.partitionBy("_ob").orderBy("_slice").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = slice_counts(narrow, cell, order, cuts, keys).select(
+        F.col("_ob").alias("_ib"), F.col("_slice").alias("_is"), (F.sum("_in").over(before) - F.col("_in")).alias("_within"))
+    cuts = cuts.withColumnRenamed("_ob", "_cb")
+    sliced = (b.join(F.broadcast(cuts), F.col("_bucket") == F.col("_cb"), "left")
+              .withColumn("_slice", slice_of(order)).drop("_cb", "_cuts"))
+    units = (offsets.join(inside, F.col("_ob") == F.col("_ib"), "left")
+             .groupBy("_ob", F.coalesce("_is", F.lit(0).cast("long")).alias("_os"))
+             .agg(F.max(F.col("_offset") + F.coalesce("_within", F.lit(0))).alias("_offset")))
+    # A left join on a grouped (hence unique) key: lossless here, and Catalyst drops it when the rank is not used.
+    # Its key is what the window is partitioned by, so the rows are shuffled once and a hot bucket is many tasks.
+    placed = sliced.join(units, (F.col("_bucket") == F.col("_ob")) & (F.col("_slice") == F.col("_os")), "left")
     local = Window.partitionBy("_bucket", "_slice").orderBy(*order)
-    # Left join on a grouped (hence unique) key: lossless here, and Catalyst
-    # drops the whole offsets branch when the rank column is not used.
-    same = F.col("_bucket").eqNullSafe(F.col("_ob")) & (F.col("_slice") == F.col("_os"))
-    return (b.join(offsets, same, "left")
-             .withColumn(name, (F.col("_offset") + F.row_number().over(local) + start_col - F.lit(1))
-                         .cast("long"))
-             .drop("_bucket", "_slice", "_ob", "_os", "_offset"))
+    rank = F.col("_offset") + F.row_number().over(local) + start_col - F.lit(1)
+    return placed.withColumn(name, rank.cast("long")).drop("_bucket", "_slice", "_ob", "_os", "_offset")

@@ -18,26 +18,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from civiccases.plans.keys import same, whole_keys
 from civiccases.plans.slices import SLICE_ROWS, with_slice
 
 
-def _carried(key: str) -> Column:
-    return (F.col(key).eqNullSafe(F.col("_ck")) & F.col("_bk").eqNullSafe(F.col("_cb"))
-            & (F.col("_slice") == F.col("_cs")))
-
-
 def bucketed_lag(df: DataFrame, key: str, bucket: Column, order: list[str], value: str, out: str,
                  first_default: Column, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """``out`` = lag(value) over (key ordered by ``order``); the first row of a key gets ``first_default``."""
     b = with_slice(df.withColumn("_bk", bucket), [key, "_bk"], order, slice_rows)
-    last = b.groupBy(F.col(key).alias("_ck"), F.col("_bk").alias("_cb"), F.col("_slice").alias("_cs")).agg(
-        F.max_by(value, F.struct(*order)).alias("_last"))
-    w_small = Window.partitionBy("_ck").orderBy("_cb", "_cs")
-    carry = last.select("_ck", "_cb", "_cs", F.lag("_last").over(w_small).alias("_carry"),
+    b, keys = whole_keys(b, [key, "_bk", "_slice"], "_k")
+    ends = [f"_c{k}" for k in keys]
+    last = b.groupBy(*[F.col(k).alias(c) for k, c in zip(keys, ends)]).agg(F.max_by(value, F.struct(*order)).alias("_last"))
+    w_small = Window.partitionBy(*ends[:2]).orderBy(*ends[2:])
+    carry = last.select(*ends, F.lag("_last").over(w_small).alias("_carry"),
                         (F.row_number().over(w_small) > 1).alias("_has_prev"))
-    j = b.join(carry, _carried(key), "inner")
-    w = Window.partitionBy(key, "_bk", "_slice").orderBy(*order)
+    j = b.join(carry, same(keys, ends), "inner")
+    w = Window.partitionBy(*keys).orderBy(*order)
     prev = F.when(F.row_number().over(w) == 1,
                   F.when(F.col("_has_prev"), F.col("_carry")).otherwise(first_default)).otherwise(
         F.lag(value).over(w))
-    return j.withColumn(out, prev).drop("_bk", "_slice", "_ck", "_cb", "_cs", "_carry", "_has_prev")
+    return j.withColumn(out, prev).drop("_bk", "_slice", *keys, *ends, "_carry", "_has_prev")

@@ -40,9 +40,13 @@ def _same(cell: list[str], keys: list[str]) -> Column:
     return out
 
 
-def hot_cells(df: DataFrame, cell: list[str], keys: list[str], rows: int) -> DataFrame:
-    """(keys, _n): the cells of more than ``rows`` rows, largest first, and the number of slices of each."""
-    counts = df.groupBy(*[F.col(c).alias(k) for k, c in zip(keys, cell)]).agg(F.count(F.lit(1)).alias("_rows"))
+def cell_counts(df: DataFrame, cell: list[str], keys: list[str]) -> DataFrame:
+    """(keys, _rows): the rows of each cell."""
+    return df.groupBy(*[F.col(c).alias(k) for k, c in zip(keys, cell)]).agg(F.count(F.lit(1)).alias("_rows"))
+
+
+def hot_cells(counts: DataFrame, keys: list[str], rows: int) -> DataFrame:
+    """(keys, _rows, _n): the cells of more than ``rows`` rows, largest first, and the number of slices of each."""
     hot = counts.where(F.col("_rows") > rows).orderBy(F.desc("_rows"), *keys).limit(MAX_HOT)
     every = F.sum("_rows").over(Window.partitionBy(F.lit(0)))  # over MAX_HOT rows at most
     depth = F.greatest(F.lit(rows).cast("double"), every / F.lit(MAX_CUTS))
@@ -64,6 +68,14 @@ def cuts_of(df: DataFrame, cell: list[str], order: list[str], hot: DataFrame, ke
     return found.select(*keys, cuts.alias("_list")).where(F.size("_list") > 0).select(*keys, groups.alias("_cuts"))
 
 
+def slice_of(order: list[str]) -> Column:
+    """The number of cuts (column ``_cuts``) at or before the row; 0 without cuts."""
+    me = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)])
+    group = F.size(F.filter("_cuts", lambda g: F.get(g, F.lit(0)) <= me)) - 1
+    inside = F.size(F.filter(F.get("_cuts", group), lambda x: x <= me))
+    return F.when(F.col("_cuts").isNull() | (group < 0), F.lit(0)).otherwise(group * GROUP + inside).cast("long")
+
+
 def with_slice(df: DataFrame, cell: list[str], order: list[str], rows: int = SLICE_ROWS,
                name: str = "_slice") -> DataFrame:
     """Add ``name``: 0 in a cell that is not hot, else the number of the cell's cuts at or before the row.
@@ -72,10 +84,12 @@ def with_slice(df: DataFrame, cell: list[str], order: list[str], rows: int = SLI
     """
     keys = [f"_h{i}" for i in range(len(cell))]
     narrow = df.select(*dict.fromkeys([*cell, *order]))
-    cuts = cuts_of(narrow, cell, order, hot_cells(narrow, cell, keys, rows), keys)
-    me = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)])
-    group = F.size(F.filter("_cuts", lambda g: F.get(g, F.lit(0)) <= me)) - 1
-    inside = F.size(F.filter(F.get("_cuts", group), lambda x: x <= me))
-    part = F.when(F.col("_cuts").isNull() | (group < 0), F.lit(0)).otherwise(group * GROUP + inside)
+    cuts = cuts_of(narrow, cell, order, hot_cells(cell_counts(narrow, cell, keys), keys, rows), keys)
     return (df.join(F.broadcast(cuts), _same(cell, keys), "left")
-            .withColumn(name, part.cast("long")).drop(*keys, "_cuts"))
+            .withColumn(name, slice_of(order)).drop(*keys, "_cuts"))
+
+
+def slice_counts(df: DataFrame, cell: list[str], order: list[str], cuts: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, _slice, _in): the rows of each slice of the hot cells."""
+    return (df.join(F.broadcast(cuts), _same(cell, keys), "inner").groupBy(*keys, slice_of(order).alias("_slice"))
+            .agg(F.count(F.lit(1)).alias("_in")))
