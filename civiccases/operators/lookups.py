@@ -43,6 +43,19 @@ def attach_rows(small: DataFrame, big: DataFrame, small_key: str, big_key: str,
     return small.join(hit, F.col(small_key) == F.col("_bk"), "left").drop("_bk")
 
 
+def fixed_page(rows: DataFrame, *keys: str) -> tuple[DataFrame, list[list]]:
+    """(a page's rows as a literal table, the values of each key): the page is read once, at most the page size."""
+    table = rows.toArrow()
+    values = [[v for v in table.column(key).to_pylist() if v is not None] for key in keys]
+    return rows.sparkSession.createDataFrame(table, rows.schema), values
+
+
+def attach_to_page(rows: DataFrame, big: DataFrame, key: str, values: list, cols: list[Column]) -> DataFrame:
+    """LEFT JOIN a literal page to a large table by ``id``; the page's keys are literals that reach the table's scan."""
+    hit = big.where(F.col("id").isin(values)).select(F.col("id").alias("_bk"), *cols)
+    return rows.join(F.broadcast(hit), F.col(key) == F.col("_bk"), "left").drop("_bk")
+
+
 # ------------------------------------------------------------------ Q-01..Q-03
 
 def districts_list(m: Model) -> DataFrame:
@@ -142,10 +155,13 @@ QUEUE_COLUMNS = ["id", "complaint_no", "title", "status", "priority", "created_a
 def officer_queue(m: Model, role: str = "officer", dept: int | None = None, status: str | None = None,
                   priority: str | None = None, district_id: int | None = None, page_no: int = 1,
                   page_size: int = PAGE_SIZE) -> DataFrame:
-    """One page of the work queue; the page is cut before the citizen/officer joins."""
+    """One page of the work queue; the page is cut, and read, before the citizen/officer joins."""
     rows = page(_queue_rows(m, role, dept, status, priority, district_id), queue_keys(), page_no, page_size)
-    out = _queue_people(m, rows)
-    return out.select(*QUEUE_COLUMNS, F.col("assigned_to_name").alias("assigned_to")).orderBy(*queue_order())
+    rows, (callers, officers) = fixed_page(rows, "citizen_id", "assigned_to")
+    rows = attach_to_page(rows, m.citizens, "citizen_id", callers,
+                          [F.col("name").alias("citizen_name"), F.col("phone").alias("citizen_phone")])
+    rows = attach_to_page(rows, m.officers, "assigned_to", officers, [F.col("name").alias("assigned_to_name")])
+    return rows.select(*QUEUE_COLUMNS, F.col("assigned_to_name").alias("assigned_to")).orderBy(*queue_order())
 
 
 def officer_queue_all(m: Model, page_size: int = PAGE_SIZE) -> DataFrame:
