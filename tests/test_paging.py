@@ -36,13 +36,12 @@ def sorted_ids(rows, keys):
     return [r["id"] for r in rows.orderBy(*[k.sort for k in keys]).collect()]
 
 
-@pytest.mark.parametrize("order", [feed, ascending])
-@pytest.mark.parametrize("size", [20, 150])
+@pytest.mark.parametrize("order,size", [(feed, 150), (ascending, 20)])
 def test_pages_of_every_depth(rows, order, size, monkeypatch):
     keys = order()
     monkeypatch.setattr(paging, "DIGITS", 5)
     want = sorted_ids(rows, keys)
-    for number in {1, 2, 3, 7, 12, 2000 // size, 2000 // size + 1, 2600 // size, 3999 // size, 3999 // size + 1, 4000 // size + 1, 999}:
+    for number in {1, 2, 7, 2000 // size, 2600 // size, 3999 // size + 1, 999}:
         got = [r["id"] for r in page(rows, keys, number, size, take=30).collect()]
         assert got == want[(number - 1) * size:number * size], number
 
