@@ -72,7 +72,7 @@ def test_spelling_equals_brute_force(spark, docs):
     assert sum(r[1] is not None for r in got) >= 3
 
 
-@pytest.mark.parametrize("symbols", [2, 3, 8])
+@pytest.mark.parametrize("symbols", [2, 8])
 def test_neighbours_of_few_letters(spark, symbols):
     """Dense neighbourhoods: words of three letters, long runs of one letter, ×, ÷ and 30-letter words."""
     rng = random.Random(symbols)
