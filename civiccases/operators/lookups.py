@@ -182,7 +182,7 @@ def officer_queue_all(m: Model, page_size: int = PAGE_SIZE) -> DataFrame:
 # ------------------------------------------------------------------ Q-08 / Q-09 / Q-10
 
 def complaint_detail(m: Model, ids: DataFrame | None = None) -> DataFrame:
-    c = m.complaints
+    c, described = m.brief()
     if ids is not None:
         c = c.join(ids.select(F.col(ids.columns[0]).alias("_id")), F.col("id") == F.col("_id"), "left_semi")
     c = with_names(c.withColumn("is_overdue", live_overdue(m)), m, mandal=True, district_code=True,
@@ -192,10 +192,10 @@ def complaint_detail(m: Model, ids: DataFrame | None = None) -> DataFrame:
     off = m.officers.select(F.col("id").alias("_off"), F.col("name").alias("assigned_to_name"))
     c = (c.join(cit, F.col("citizen_id") == F.col("_cit"), "left")
           .join(off, F.col("assigned_to") == F.col("_off"), "left"))
-    return c.select("id", "complaint_no", "title", "description", "status", "priority", "created_at",
-                    "sla_deadline", "is_overdue", "upvote_count", "latitude", "longitude", "address", "village",
-                    "is_anonymous", "district", "district_code", "department", "dept_code", "mandal",
-                    "citizen_name", "citizen_phone", "lang_pref", F.col("assigned_to_name").alias("assigned_to"))
+    return described(c).select("id", "complaint_no", "title", "description", "status", "priority", "created_at",
+                               "sla_deadline", "is_overdue", "upvote_count", "latitude", "longitude", "address", "village",
+                               "is_anonymous", "district", "district_code", "department", "dept_code", "mandal",
+                               "citizen_name", "citizen_phone", "lang_pref", F.col("assigned_to_name").alias("assigned_to"))
 
 
 def attachment_manifest(m: Model) -> DataFrame:
