@@ -27,3 +27,12 @@ def test_texts_are_joined_last(spark):
     joins = [line for line in _plan(lookups.complaint_detail(m)).splitlines() if " Join " in line or line.startswith("Join ")]
     assert "doc_id#" in joins[0] and not any("doc_id#" in line for line in joins[1:])
     assert "described" not in m.replace(complaints=m.complaints.limit(3)).extra
+
+
+def test_a_queue_page_reads_no_description(spark, monkeypatch):
+    seen = []
+    page = lookups.page
+    monkeypatch.setattr(lookups, "page", lambda df, *rest: seen.append(df) or page(df, *rest))
+    m = make_model(spark, complaints=[complaint(id=i) for i in range(1, 4)])
+    assert lookups.officer_queue(m, role="admin").count() == 3
+    assert "description" not in seen[0].columns
