@@ -128,9 +128,12 @@ def escalation_predicate(m: Model, excluded: list[str] | None = None):
 
     Plain comparisons, so a filter with it reaches the parquet scan.
     """
-    excluded = excluded or ESCALATION_EXCLUDED
-    return ((F.col("sla_deadline") < ts_lit(m.as_of)) & ~F.col("status").isin(*excluded) &
-            (F.col("is_overdue") == F.lit(False)))
+    return (F.col("sla_deadline") < ts_lit(m.as_of)) & escalation_open(excluded)
+
+
+def escalation_open(excluded: list[str] | None = None):
+    """The part of the predicate that no clock changes: status NOT IN (excluded) AND stored flag = FALSE."""
+    return ~F.col("status").isin(*(excluded or ESCALATION_EXCLUDED)) & (F.col("is_overdue") == F.lit(False))
 
 
 def escalation_candidates(m: Model, excluded: list[str] | None = None) -> DataFrame:

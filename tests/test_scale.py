@@ -36,3 +36,22 @@ def test_a_queue_page_reads_no_description(spark, monkeypatch):
     m = make_model(spark, complaints=[complaint(id=i) for i in range(1, 4)])
     assert lookups.officer_queue(m, role="admin").count() == 3
     assert "description" not in seen[0].columns
+
+
+def test_escalation_stores_what_it_changes(spark):
+    """The state has no texts; the full table still shows each pass, row by row where rows share an id."""
+    old, soon = AS_OF - timedelta(days=1), AS_OF + timedelta(hours=1)
+    m = make_model(spark, complaints=[complaint(id=1, sla_deadline=old, description="one"),
+                                      complaint(id=1, sla_deadline=soon, description="two"),
+                                      complaint(id=2, sla_deadline=old, status="resolved"), complaint(id=3)])
+    root = streams.run_dir(spark, "test-escalation")
+    runs = [AS_OF, AS_OF + timedelta(days=1)]
+    streams.escalation_schedule(spark, m, runs, root, 4)
+    stored = streams.escalation_versions(spark, m, root, 4)
+    files = spark.read.parquet(*stored.read(stored.latest()).inputFiles())
+    assert "description" not in files.columns
+    after = streams.escalated_snapshot(spark, m, root, 4)
+    got = sorted((r["id"], r["description"], r["is_overdue"], r["updated_at"]) for r in after.collect())
+    first = datetime(2024, 3, 1)
+    assert got == [(1, "one", True, runs[0]), (1, "two", True, runs[1]), (2, "d", False, first), (3, "d", False, first)]
+    assert after.columns == m.complaints.columns
