@@ -55,3 +55,16 @@ def test_escalation_stores_what_it_changes(spark):
     first = datetime(2024, 3, 1)
     assert got == [(1, "one", True, runs[0]), (1, "two", True, runs[1]), (2, "d", False, first), (3, "d", False, first)]
     assert after.columns == m.complaints.columns
+
+
+def test_landed_rows_are_computed_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def watch(frames):
+        for frame in frames:
+            seen.add(len(frame))
+            yield frame
+
+    df = spark.range(300).select("id", F.timestamp_seconds("id").cast("timestamp_ntz").alias("ts"))
+    path = streams.stage_in_time_order(df.mapInPandas(watch, df.schema), "ts", streams.run_dir(spark, "test-once") + "/landing", 3)
+    assert spark.read.parquet(path).count() == 300 and seen.value == 300
