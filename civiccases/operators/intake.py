@@ -8,6 +8,7 @@ the outputs are the new rows each table would receive.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -182,11 +183,13 @@ def constraint_reasons(m: Model, requests: DataFrame) -> DataFrame:
     ``caller_unknown`` is kept: an anonymous filing stores no citizen, so an
     unknown caller does not reject it, but no notification can name them.
     Unknown callers are found among the distinct callers, so the requests
-    join a set that AQE broadcasts once it has measured it small.
+    join a set that AQE broadcasts once it has measured it small.  The citizens
+    are merged, never broadcast: an estimate from the files takes the ids of
+    millions for small, and every such join would gather them in the driver.
     """
     mandals = m.mandals.select(F.col("id").alias("_mid")).distinct()
     unknown = (requests.select(F.col("caller_id").alias("_caller")).where("_caller is not null").distinct()
-               .join(m.citizens.select(F.col("id").alias("_cit")), F.col("_caller") == F.col("_cit"), "left_anti"))
+               .join(m.citizens.select(F.col("id").alias("_cit")).hint("merge"), F.col("_caller") == F.col("_cit"), "left_anti"))
     out = (requests.join(mandals, F.col("mandal_id") == F.col("_mid"), "left")
                    .join(unknown, F.col("caller_id") == F.col("_caller"), "left")
                    .withColumn("caller_unknown", F.col("_caller").isNotNull()))
@@ -218,13 +221,16 @@ def _checked(m: Model, requests: DataFrame, uploads: DataFrame | None) -> DataFr
 
 
 def file_complaints(m: Model, requests: DataFrame, uploads: DataFrame | None = None, start: int = 1,
-                    salt: str = "") -> FilingResult:
-    """J-10: all-or-nothing per request; accepted rows get numbers from ``start``."""
-    checked = _checked(m, requests, uploads)
+                    salt: str = "", keep: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> FilingResult:
+    """J-10: all-or-nothing per request; accepted rows get numbers from ``start``.
+
+    ``keep`` may hold the checked and the numbered rows, which several outputs share (``DataFrame.persist``).
+    """
+    checked = keep(_checked(m, requests, uploads))
     accepted = checked.filter(F.col("reject_reason").isNull())
     rejects = checked.filter(F.col("reject_reason").isNotNull()).select(
         "request_id", F.col("reject_reason").alias("reason"))
-    rows = defaults_and_visibility(anonymise(assign_complaint_no(accepted, start)))
+    rows = keep(defaults_and_visibility(anonymise(assign_complaint_no(accepted, start))))
     new = rows.select(
         F.col("request_id").alias("id"), "complaint_no", "citizen_id", "department_id", "district_id",
         "mandal_id", "village", "title", "description", "priority", "latitude", "longitude", "address",

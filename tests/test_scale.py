@@ -68,3 +68,16 @@ def test_landed_rows_are_computed_once(spark):
     df = spark.range(300).select("id", F.timestamp_seconds("id").cast("timestamp_ntz").alias("ts"))
     path = streams.stage_in_time_order(df.mapInPandas(watch, df.schema), "ts", streams.run_dir(spark, "test-once") + "/landing", 3)
     assert spark.read.parquet(path).count() == 300 and seen.value == 300
+
+
+def test_citizens_are_not_gathered(spark):
+    """The check of callers merges the citizens; no estimate lets them be broadcast."""
+    m = adapter.load_testdata_model(spark, SF)
+    rejects = intake.file_complaints(m, adapter.filing_requests(spark, SF)).rejects
+    plan = rejects._jdf.queryExecution().executedPlan().toString()
+    anti = [line for line in plan.splitlines() if "LeftAnti" in line]
+    assert anti and all("SortMergeJoin" in line for line in anti)
+    kept = []
+    res = intake.file_complaints(m, adapter.filing_requests(spark, SF), keep=lambda rows: kept.append(rows) or rows)
+    assert len(kept) == 2 and "reject_reason" in kept[0].columns and "complaint_no" in kept[1].columns
+    assert res.rejects.count() == rejects.count()
