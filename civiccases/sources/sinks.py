@@ -62,6 +62,7 @@ def write_snapshot(m: Model, out_dir: str, files_hint: int | None = None) -> str
     for name in TABLES:
         df = getattr(m, name).select(*[f.name for f in SCHEMAS[name]])
         if name == "complaints":
+            # the range exchange is the only one that moves the descriptions (``Model.brief``);
             # the year leads the sort as well, which is the order that the partitioned writer asks for
             df = df.withColumns({"created_year": F.year("created_at"), "_cell": cluster_key(m)})
             df = (by_range(df, "created_year", "_cell", "id")
