@@ -5,13 +5,20 @@ The audit checks, as data, every constraint the reference's DDL declares
 given in its comments and the anonymity leak of decision D15.  Each table is
 scanned twice: once for its row-local rules (one aggregate of conditional
 counts) and once for the keys it owns and the keys it refers to.  All keys of
-all tables meet in one group-by on (key space, key), pre-aggregated before the
-shuffle, so a department with a third of all complaints is one partial row a
-task; unique keys, orphans and leaks are read off the groups.
+all tables meet in one group-by on (key space, key).  References are counted
+before the shuffle, a bounded number of rows at a time, so a department with a
+third of all complaints is a few rows a task; owned keys hardly repeat and are
+sent as they are.  The shuffle has a part for each ``TASK_KEYS`` keys, so no
+task's memory grows with the tables; unique keys, orphans and leaks are read
+off the groups.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -134,50 +141,90 @@ def _key_rules() -> list[tuple[int, int, str, str, str]]:
     return rules
 
 
-def _key(space: int, slot: int, number: Column | None, text: Column | None, needed: list[str],
-         anonymous: Column | None = None) -> Column:
-    """The struct a row sends for one rule; NULL where a needed column is NULL."""
-    sent = F.struct(F.lit(space).alias("space"), F.lit(slot).alias("slot"),
-                    (F.lit(None) if number is None else number).cast("long").alias("number"),
-                    (F.lit(None) if text is None else text).cast("string").alias("text"),
-                    (F.lit(False) if anonymous is None else F.coalesce(anonymous, F.lit(False))).alias("anonymous"))
-    return F.when(F.expr(" AND ".join(f"{c} IS NOT NULL" for c in needed)), sent)
+#: keys that one task counts, and rows of a table whose references are counted together before the shuffle
+TASK_KEYS, CHUNK_ROWS = 1_000_000, 200_000
+SENT = pa.schema([("space", pa.int32()), ("slot", pa.int32()), ("number", pa.int64()), ("text", pa.string()),
+                  ("anonymous", pa.bool_()), ("n", pa.int64())])
+
 
+def _sender(sends: list[tuple[int, int, list[str]]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """What sends the keys of a task's rows, ``CHUNK_ROWS`` rows at a time: its memory does not grow with the rows.
 
-def _keys_of(name: str, df: DataFrame) -> DataFrame | None:
-    """One scan of a table: every key it owns or refers to."""
-    sends = []
+    ``sends`` has the key space, slot and key columns of each rule.  The
+    functions are made here so that Spark sends them whole: executors need no
+    copy of the package.
+    """
+    def sent(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        for space, slot, names in sends:
+            if slot:  # references count; a key that many rows refer to is one row
+                found = pc.value_counts(rows[names[0]].combine_chunks().drop_null())
+                number, n = found.field(0), found.field(1)
+                text, anonymous = pa.nulls(len(n), pa.string()), pa.repeat(False, len(n))
+            else:     # owned keys hardly repeat: they are sent as they come
+                given = rows.filter(pc.and_(pc.is_valid(rows[names[0]]), pc.is_valid(rows[names[-1]])))
+                n = pa.repeat(pa.scalar(1, pa.int64()), len(given))
+                number, text = pa.nulls(len(n), pa.int64()), pa.nulls(len(n), pa.string())
+                for c in names:
+                    if pa.types.is_int64(given[c].type):
+                        number = given[c].combine_chunks()
+                    else:
+                        text = given[c].combine_chunks().cast(pa.string())
+                anonymous = given["anonymous"].combine_chunks()
+            yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(space, pa.int32()), len(n)),
+                                              pa.repeat(pa.scalar(slot, pa.int32()), len(n)), number, text, anonymous, n],
+                                             schema=SENT)
+
+    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= CHUNK_ROWS:
+                yield from sent(pa.Table.from_batches(held))
+                held, n = [], 0
+        if n:
+            yield from sent(pa.Table.from_batches(held))
+
+    return chunks
+
+
+def _keys_of(name: str, df: DataFrame) -> tuple[DataFrame | None, int]:
+    """One scan of a table: every key it owns or refers to; and how many a row has at most."""
+    columns, sends = {"anonymous": F.lit(False)}, []
     for space, slot, table, rule, column in _key_rules():
         if table != name:
             continue
-        if rule == "unique":
-            cols = SPACES[space][1]
-            text = [c for c in cols if df.schema[c].dataType.typeName() == "string"]
-            number = [c for c in cols if c not in text]
-            anonymous = F.col("is_anonymous") if (name, column) == ("complaints", "id") else None
-            sends.append(_key(space, slot, F.col(number[0]) if number else None, F.col(text[0]) if text else None,
-                              list(cols), anonymous))
-        elif rule == "anonymity_leak":
-            sends.append(_key(space, slot, F.col(ANONYMITY[1]), None, [ANONYMITY[1], column]))
-        else:
-            sends.append(_key(space, slot, F.col(column), None, [column]))
+        names = []
+        for c in SPACES[space][1] if rule == "unique" else [column]:
+            key = F.col(c)
+            if rule == "anonymity_leak":  # the complaint, where its caller is named
+                key = F.when(F.col(column).isNotNull(), F.col(ANONYMITY[1]))
+            names.append(f"k{space}_{slot}_{c}")
+            columns[names[-1]] = key.cast("string" if df.schema[c].dataType.typeName() == "string" else "long")
+        if (name, rule, column) == ("complaints", "unique", "id"):
+            columns["anonymous"] = F.coalesce("is_anonymous", F.lit(False))
+        sends.append((space, slot, names))
     if not sends:
-        return None
-    return df.select(F.explode(F.filter(F.array(*sends), lambda x: x.isNotNull())).alias("k")).select("k.*")
+        return None, 0
+    return (df.select(*[c.alias(k) for k, c in columns.items()])
+            .mapInArrow(_sender(sends), "space int, slot int, number long, text string, anonymous boolean, n long")), len(sends)
 
 
 def _key_checks(m: Model) -> DataFrame:
     """All rules on keys: unique keys seen twice, references without an owner, callers of anonymous complaints."""
     rules = _key_rules()
-    sent = None
+    sent, most = None, 0
     for name in TABLES:
-        part = _keys_of(name, getattr(m, name))
+        part, a_row = _keys_of(name, getattr(m, name))
         if part is not None:
             sent = part if sent is None else sent.unionByName(part)
+            most += a_row * m.rows(name)
     slots = range(max(slot for _, slot, *_ in rules) + 1)
-    groups = sent.groupBy("space", "number", "text").agg(
+    keys = ["space", "number", "text"]
+    # as many parts as the keys need: the session's number would give a task ever more of them
+    groups = sent.repartition(max(1, -(-most // TASK_KEYS)), *keys).groupBy(*keys).agg(
         F.max("anonymous").alias("anonymous"),
-        *[F.count_if(F.col("slot") == i).alias(f"n{i}") for i in slots])
+        *[F.sum(F.when(F.col("slot") == i, F.col("n")).otherwise(F.lit(0))).alias(f"n{i}") for i in slots])
     leak = next((space, slot) for space, slot, _, rule, _ in rules if rule == "anonymity_leak")
 
     def violations(slot: int) -> Column:

@@ -6,8 +6,9 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
-from civiccases.operators import intake, lookups
+from civiccases.operators import intake, lookups, quality
 from civiccases.plans import slices
+from civiccases.plans.ranking import bucket_of, global_rank
 from civiccases.sources import adapter
 from civiccases.streaming import streams
 from helpers import AS_OF, complaint, make_model
@@ -81,3 +82,60 @@ def test_citizens_are_not_gathered(spark):
     res = intake.file_complaints(m, adapter.filing_requests(spark, SF), keep=lambda rows: kept.append(rows) or rows)
     assert len(kept) == 2 and "reject_reason" in kept[0].columns and "complaint_no" in kept[1].columns
     assert res.rejects.count() == rejects.count()
+
+
+def test_audit_deals_its_keys_by_their_number(spark, monkeypatch):
+    """As many parts as the keys need, no count of unique keys before the shuffle; hot and rare keys, chunk by chunk."""
+    rows = [complaint(id=i % 390, department_id=3 if i % 10 else i, is_anonymous=i % 390 == 7) for i in range(400)]
+    notes = [dict(id=i, complaint_id=7 if i % 4 else 10_000 + i, citizen_id=1 if i % 3 else None, channel="sms", message="m")
+             for i in range(600)]
+    votes = [dict(id=i, complaint_id=None if i % 5 == 0 else 1, voter_ip=None if i % 7 == 0 else f"v{i % 50}") for i in range(100)]
+    m = make_model(spark, complaints=rows, notifications=notes, upvotes=votes)
+    whole = sorted(quality.constraint_audit(m).collect())
+    got = {r[:3]: r["n_violations"] for r in whole}
+    assert got["complaints", "unique", "id"] == 10
+    assert got["complaints", "foreign_key:departments", "department_id"] == sum(i > 10 or i == 0 for i in range(0, 400, 10))
+    assert got["notifications", "foreign_key:complaints", "complaint_id"] == 150
+    assert got["notifications", "anonymity_leak", "citizen_id"] == sum(1 for i in range(600) if i % 4 and i % 3)
+    pairs = [(1, f"v{i % 50}") for i in range(100) if i % 5 and i % 7]
+    assert got["upvotes", "unique", "complaint_id,voter_ip"] == sum(pairs.count(p) > 1 for p in set(pairs))
+
+    monkeypatch.setattr(quality, "TASK_KEYS", 100)
+    monkeypatch.setattr(quality, "CHUNK_ROWS", 30)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20")
+    try:
+        assert sorted(quality.constraint_audit(m).collect()) == whole
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    plan = quality.constraint_audit(m)._jdf.queryExecution().executedPlan().toString()
+    deals = [line for line in plan.splitlines() if "Exchange hashpartitioning(space#" in line and "number#" in line]
+    most = 400 * 7 + 600 * 4 + 100 + sum(2 * getattr(m, t).count() for t in ("districts", "departments"))
+    assert len(deals) == 1 and int(deals[0].split(", REPARTITION")[0].rsplit(", ", 1)[1].rstrip(")")) >= most // 100
+    below = plan[plan.index(deals[0]) + len(deals[0]):plan.index("MapInArrow")]
+    assert "Aggregate" not in below
+
+
+def test_numbered_rows_are_dealt_by_their_number(spark, monkeypatch):
+    """The same numbers from more tasks than the session's; nothing is dealt where the number is not read."""
+    df = spark.range(3000).select(F.col("id"), F.timestamp_seconds(F.col("id") * 977 % 90_000).cast("timestamp_ntz").alias("ts"))
+    plain = global_rank(df, bucket_of("ts"), ["ts", "id"], "n")
+    monkeypatch.setattr(slices, "PART_ROWS", 100)
+    dealt = global_rank(df, bucket_of("ts"), ["ts", "id"], "n", n_rows=3000)
+    assert sorted(dealt.collect()) == sorted(plain.collect())
+    plan = dealt._jdf.queryExecution().executedPlan().toString()
+    assert [line for line in plan.splitlines() if "hashpartitioning(_bucket" in line and ", 30)" in line]
+    assert "Repartition" not in _plan(dealt.select("id", "ts"))
+
+
+def test_the_adapters_large_joins_follow_their_rows(spark, monkeypatch):
+    """Timeline, notifications and complaints are the same rows when they are dealt into many parts."""
+    def all_rows():
+        m = adapter.load_testdata_model(spark, SF)
+        return [sorted(map(str, getattr(m, t).collect())) for t in ("complaints", "timeline", "notifications")], m
+    plain, m = all_rows()
+    assert [m.rows(t) >= len(rows) > 0 for t, rows in zip(("complaints", "timeline", "notifications"), plain)] == [True] * 3
+    assert m.replace(timeline=m.timeline.limit(3)).rows("timeline") == 3
+    monkeypatch.setattr(slices, "PART_ROWS", 100)
+    dealt, m = all_rows()
+    assert dealt == plain
+    assert "RepartitionByExpression [o_orderkey" in _plan(m.timeline) and "RepartitionByExpression [o_orderkey" in _plan(m.notifications)
