@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 import re
 from collections import defaultdict
@@ -10,7 +11,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from civiccases.llm import suffix_dedup
+from civiccases.llm import queries, suffix_dedup
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -71,6 +72,40 @@ def test_passages_of_the_table(spark, docs):
     assert {i: t for i, t in got.items() if t} == {i: t for i, t in want.items() if t.strip()}
 
 
+def test_query_shows_what_is_left(spark, tmp_path):
+    """op5's ``text``: no planted run of 400 bytes and more is left, clean and null rows stay as they are."""
+    rng = random.Random(5)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefgé") for _ in range(rng.randint(3, 9))) for _ in range(n))
+    long, short = [prose(n) for n in (90, 120, 200)], [prose(n)[:200] for n in (52, 60)]
+    assert all(len(p.encode()) >= 400 for p in long) and all(len(p.encode()) < 400 for p in short)
+    rows = [(i, f"{prose(30)}|{p}|{prose(30)}") for i, p in enumerate([*long, *long, *short, *short, "", ""])]
+    rows += [(50, None), (51, ""), (51, ""), (None, "é" * 900), (52, prose(500))]
+    (spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], SCHEMA).repartition(3)
+     .write.parquet(str(tmp_path / "documents.parquet")))
+    found = queries.op5_repeated_passages(spark, str(tmp_path))
+    assert found.columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"]
+    got = defaultdict(list)
+    for r in found.collect():
+        got[r["doc_id"]].append((r["n_removed"], r["text"]))
+        assert r["n_bytes"] - r["n_removed"] == len(r["text"].encode())
+        assert r["kept_sha256"] == hashlib.sha256(r["text"].encode()).hexdigest()
+    assert sum(map(len, got.values())) == len(rows) and got[51] == [(0, ""), (0, "")] and got[None] == [(1800, "")]
+    for i, t in rows:
+        cut = [p for p in long if i is not None and p in (t or "")]
+        if cut:  # the bars beside it are part of both copies
+            assert got[i] == [(len(cut[0].encode()) + 2, t.replace(f"|{cut[0]}|", ""))]
+        elif i not in (None, 51):
+            assert got[i] == [(0, t or "")]
+
+
+def test_query_leaves_a_character_cut_in_part(spark):
+    shared = "xyz" * 3 + "".join(chr(0x3400 + k) for k in range(200))  # ends of the run share the first byte of a character
+    docs = spark.createDataFrame([(1, "a" + shared + "\u00e9"), (2, "b" + shared + "\u00ea")], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in suffix_dedup.repeat_table(docs, with_text=True).collect()}
+    assert {i: (r["n_removed"], r["text"]) for i, r in got.items()} == {1: (610, "aé"), 2: (610, "bê")}
+    assert got[1]["kept_sha256"] == hashlib.sha256(b"a\xa9").hexdigest()
+
+
 def test_word_codes_follow_words_alone(monkeypatch):
     rng = random.Random(3)
     words = ["a", "bb", "ccc", "é", "日本", "x" * 300]
