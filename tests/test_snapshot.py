@@ -83,3 +83,47 @@ def test_years_are_pruned(spark, stored):
     assert lookups.track_report(back).count() == lookups.track_report(m).count()
     sinks.write_snapshot(m.replace(complaints=m.complaints.where("district_id = 3")), out)
     assert load_model(spark, out, m.as_of).complaints.select("district_id").distinct().count() == 1
+
+
+def shuffle_files(spark) -> int:
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return sum(files.apply(i).getName().startswith("shuffle_") for i in range(files.size()))
+
+
+def test_a_written_table_leaves_no_shuffle_files(spark):
+    from civiccases.session import FREE_CONF
+    m, before, set_to = adapter.load_testdata_model(spark, SF), shuffle_files(spark), spark.conf.get(FREE_CONF, None)
+    sinks.write_snapshot(m, run_dir(spark, "test-freed"))
+    assert shuffle_files(spark) <= before and spark.conf.get(FREE_CONF, None) == set_to
+
+
+def test_descriptions_move_in_turns(spark, monkeypatch):
+    """The same rows, repeated and empty keys included; a turn shuffles the texts of its own keys only."""
+    from civiccases.sources.scratch import Scratch
+    m = adapter.load_testdata_model(spark, SF)
+    brief, described = m.brief()
+    brief = brief.withColumn("_doc", F.when(F.col("id") % 10 != 0, F.col("_doc"))).unionByName(brief.where("id % 7 = 0"))
+    rows = described(brief).select(*m.complaints.columns)
+    odd = m.replace(complaints=rows)
+    odd.extra |= {"described": (brief, described), "described_by": "_doc"}
+    odd.extra["rows"]["complaints"] = rows.count
+    monkeypatch.setattr(sinks, "TURN_ROWS", 100)
+    scratch = Scratch(spark, "test-turns")
+    turns = list(sinks._turns(odd, scratch))
+    assert len(turns) == sinks.TURNS and min(t.count() for t in turns) > 0
+    plan = turns[3]._jdf.queryExecution().optimizedPlan().toString()
+    assert any("Filter" in line and "doc_id" in line and "xxhash64" in line for line in plan.splitlines())
+    out = sinks.write_snapshot(odd, run_dir(spark, "test-turns"), files_hint=3)
+    back = load_model(spark, out, m.as_of).complaints.drop("created_year")
+    assert sorted(map(str, back.collect())) == sorted(map(str, rows.collect()))
+    few = odd.replace(complaints=m.complaints.where("district_id = 3"))  # no texts of their own: all at once, and no old rows stay
+    sinks.write_snapshot(few, out)
+    assert load_model(spark, out, m.as_of).complaints.select("district_id").distinct().count() == 1
+    scratch.drop()
+
+
+def test_filters_are_as_large_as_their_row_groups_need(spark, tmp_path):
+    m = adapter.load_testdata_model(spark, SF)
+    out = sinks.write_snapshot(m, str(tmp_path / "s"))
+    files = [f for f in (tmp_path / "s" / "citizens").glob("*.parquet")]
+    assert out and files and sum(f.stat().st_size for f in files) < 200_000
