@@ -8,6 +8,7 @@ against the snapshot (SURVEY 4.2 item 5).
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -46,14 +47,15 @@ def _checked_updates(m: Model, updates: DataFrame) -> DataFrame:
     complaint's stored status, officer and time of resolution: the one join with the complaints that all outputs read.
 
     Unknown officers are found among the distinct officers of the updates, so a
-    busy officer is one row before any join.
+    busy officer is one row before any join.  They are joined first: what the
+    complaints add is moved by no further join.
     """
     known = m.complaints.select(F.col("id").alias("_known"), F.col("status").alias("_base_status"),
                                 F.col("assigned_to").alias("_assigned"), F.col("resolved_at").alias("_base_resolved"))
     strangers = (updates.select(F.col("officer_id").alias("_stranger")).where("_stranger is not null").distinct()
                  .join(m.officers.select(F.col("id").alias("_oid")), F.col("_stranger") == F.col("_oid"), "left_anti"))
-    u = (updates.join(known, F.col("complaint_id") == F.col("_known"), "left")
-         .join(strangers, F.col("officer_id") == F.col("_stranger"), "left"))
+    u = (updates.join(strangers, F.col("officer_id") == F.col("_stranger"), "left")
+         .join(known, F.col("complaint_id") == F.col("_known"), "left"))
     return u.withColumn("reason", first_reason((~F.col("status").isin(*SETTABLE_STATUSES) |
                                                 F.col("status").isNull(), INVALID_STATUS),
                                                (F.col("_known").isNull(), NOT_FOUND),
@@ -74,8 +76,13 @@ def status_changes(updates_ok: DataFrame) -> DataFrame:
         F.coalesce(F.max(F.when(F.col("status") == "resolved", F.col("ts"))), F.max("_base_resolved")).alias("new_resolved_at"))
 
 
-def apply_status_updates(m: Model, updates: DataFrame) -> StatusResult:
+def apply_status_updates(m: Model, updates: DataFrame, keep: Callable[[DataFrame], DataFrame] | None = None,
+                         keep_log: Callable[[DataFrame], DataFrame] | None = None) -> StatusResult:
+    """All outputs read the checked updates, the log several times: ``keep`` may store them, computed once, or
+    ``keep_log`` what the log reads of them, where nothing else is wanted."""
     checked = _checked_updates(m, updates)
+    if keep is not None:
+        checked = keep(checked)
     ok = checked.filter(F.col("reason").isNull()).drop("reason")
     rejects = checked.filter(F.col("reason").isNotNull()).select("update_id", "reason")
     changed = status_changes(ok).select(F.col("complaint_id").alias("id"), F.col("new_status").alias("status"),
@@ -92,19 +99,21 @@ def apply_status_updates(m: Model, updates: DataFrame) -> StatusResult:
                     .drop("_cid", "_s", "_u", "_r"))
     handler = ok.select("complaint_id", "status", "note", F.col("officer_id").alias("updated_by"),
                         F.col("ts").alias("created_at"), "update_id", F.lit("handler").alias("origin"))
-    trigger = status_change_log(ok)
+    trigger = status_change_log(ok, keep_log)
     return StatusResult(changed=changed, snapshot=snapshot, timeline=handler.unionByName(trigger), rejects=rejects)
 
 
 # ------------------------------------------------------------------ J-14
 
-def status_change_log(u: DataFrame) -> DataFrame:
+def status_change_log(u: DataFrame, keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Trigger rows of checked updates: one whose status IS DISTINCT FROM the one before it.
 
     The status before the first update of a batch is the snapshot's; the
     trigger logs the complaint's ``assigned_to`` (unchanged by status updates).
     """
-    # lag per complaint, split by day so a complaint with a huge history is not one task
+    if keep is not None:
+        u = keep(u.select("update_id", "complaint_id", "status", "ts", "_base_status", "_assigned"))
+    # lag per complaint, one with a huge history split by day so that it is not one task
     u = bucketed_lag(u, "complaint_id", F.date_trunc("day", "ts"), ["ts", "update_id"], "status", "_prev",
                      F.col("_base_status"))
     return (u.filter(~F.col("status").eqNullSafe(F.col("_prev")))

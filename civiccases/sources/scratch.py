@@ -19,15 +19,17 @@ CODEC = "zstd"
 
 
 class Scratch:
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root, self.tables = spark, scratch_path(spark, "kept", f"{name}-{uuid.uuid4().hex[:12]}"), 0
+    def __init__(self, spark: SparkSession, name: str, root: str | None = None):
+        """Below ``root``, where a repeated run replaces what it left, or else in a fresh folder."""
+        self.spark, self.tables = spark, 0
+        self.root = f"{root}/{name}" if root else scratch_path(spark, "kept", f"{name}-{uuid.uuid4().hex[:12]}")
 
     def keep(self, rows: DataFrame, **by: Column) -> DataFrame:
         """``rows`` as a stored table, in folders by the columns ``by``, which are added."""
         path, self.tables = f"{self.root}/{self.tables}", self.tables + 1
         rows = rows.withColumns(by) if by else rows
         with freed_shuffles(rows.sparkSession):
-            out = rows.write.option("compression", CODEC)
+            out = rows.write.mode("overwrite").option("partitionOverwriteMode", "static").option("compression", CODEC)
             (out.partitionBy(*by) if by else out).parquet(path)
         return rows.sparkSession.read.schema(rows.schema).parquet(path)
 

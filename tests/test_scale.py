@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 from datetime import datetime, timedelta
+from pathlib import Path
 
+import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from civiccases.operators import intake, lookups, quality
+from civiccases.operators import intake, lifecycle, lookups, quality
 from civiccases.plans import slices
 from civiccases.plans.ranking import bucket_of, global_rank
+from civiccases.plans.sequences import bucketed_lag
+from civiccases.session import scratch_path
 from civiccases.sources import adapter
 from civiccases.streaming import streams
 from helpers import AS_OF, complaint, make_model
@@ -139,3 +144,66 @@ def test_the_adapters_large_joins_follow_their_rows(spark, monkeypatch):
     dealt, m = all_rows()
     assert dealt == plain
     assert "RepartitionByExpression [o_orderkey" in _plan(m.timeline) and "RepartitionByExpression [o_orderkey" in _plan(m.notifications)
+
+
+def _shuffled(df) -> int:
+    """Rows that the exchanges of a plan wrote when it ran."""
+    df.collect()
+    nodes, found, seen = [df._jdf.queryExecution().executedPlan()], 0, set()
+    while nodes:
+        node = nodes.pop()
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            nodes.append(node.executedPlan())
+        elif "QueryStage" in node.getClass().getSimpleName():
+            nodes.append(node.plan())
+        elif name != "ReusedExchange":
+            if name == "Exchange" and node.id() not in seen:
+                found += node.metrics().apply("shuffleRecordsWritten").value()
+                seen.add(node.id())
+            children = node.children()
+            nodes += [children.apply(i) for i in range(children.size())]
+    return found
+
+
+def test_a_lag_shuffles_its_rows_once(spark):
+    """Updates nearly one a (complaint, day): no count, last value or carry of each of these is shuffled."""
+    df = spark.range(4000).select("id", (F.col("id") % 200).alias("k"), (F.col("id") % 3).cast("string").alias("v"),
+                                  F.timestamp_seconds(F.col("id") * 30_000).cast("timestamp_ntz").alias("ts"))
+    got = bucketed_lag(df, "k", F.date_trunc("day", "ts"), ["ts", "id"], "v", "prev", F.lit("base"))
+    assert 4000 <= _shuffled(got) <= 4000 + 2 * 8 * 200
+    w = Window.partitionBy("k").orderBy("ts", "id")
+    want = df.withColumn("prev", F.when(F.row_number().over(w) == 1, F.lit("base")).otherwise(F.lag("v").over(w)))
+    assert sorted(got.select("id", "prev").collect()) == sorted(want.select("id", "prev").collect())
+
+
+@pytest.mark.parametrize("busiest", [1, 2, 100])
+def test_only_busy_keys_are_cut(spark, monkeypatch, busiest):
+    """Keys of all sizes, null ones and null times among them; those past the largest ones looked at are one cell."""
+    monkeypatch.setattr(slices, "MAX_BUSY", busiest)
+    df = spark.range(3000).select("id", F.when(F.col("id") % 7 != 0, F.floor(F.sqrt(F.col("id") % 50))).alias("k"),
+                                  (F.col("id") % 3).cast("string").alias("v"),
+                                  F.when(F.col("id") % 11 != 0, F.timestamp_seconds(F.col("id") * 977 % 400_000))
+                                   .cast("timestamp_ntz").alias("ts"))
+    got = bucketed_lag(df, "k", F.date_trunc("day", "ts"), ["ts", "id"], "v", "prev", F.lit("base"), slice_rows=100)
+    w = Window.partitionBy("k").orderBy("ts", "id")
+    want = df.withColumn("prev", F.when(F.row_number().over(w) == 1, F.lit("base")).otherwise(F.lag("v").over(w)))
+    assert sorted(got.select("id", "prev").collect()) == sorted(want.select("id", "prev").collect())
+
+
+def _shuffle_files(spark) -> int:
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return sum(files.apply(i).getName().startswith("shuffle_") for i in range(files.size()))
+
+
+def test_the_change_log_keeps_only_what_it_reads(spark):
+    """When the query is there, no shuffle file of its making is, and one table: the checked updates it reads."""
+    from civiccases.registry import QUERIES
+    kept = Path(scratch_path(spark, "kept"))
+    had, before = {*kept.glob("*")}, _shuffle_files(spark)
+    log = QUERIES["status_change_log"](spark, SF)
+    assert _shuffle_files(spark) <= before
+    assert [p.name.rsplit("-", 1)[0] for p in {*kept.glob("*")} - had] == ["status-checked"]
+    m, updates = adapter.load_testdata_model(spark, SF), adapter.status_updates(spark, SF)
+    want = lifecycle.apply_status_updates(m, updates).timeline.where("origin = 'trigger'")
+    assert sorted(map(str, log.collect())) == sorted(map(str, want.collect()))
