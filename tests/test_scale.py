@@ -207,3 +207,29 @@ def test_the_change_log_keeps_only_what_it_reads(spark):
     m, updates = adapter.load_testdata_model(spark, SF), adapter.status_updates(spark, SF)
     want = lifecycle.apply_status_updates(m, updates).timeline.where("origin = 'trigger'")
     assert sorted(map(str, log.collect())) == sorted(map(str, want.collect()))
+
+
+def test_the_status_stream_leaves_its_outputs_only(spark):
+    """No shuffle files of its commands, no second copy of the landed rows, none of the checked updates; same rows as the batch."""
+    from civiccases.registry import QUERIES
+    runs, kept = Path(scratch_path(spark, "streams")), Path(scratch_path(spark, "kept"))
+    had, before = {*runs.glob("status-*")} | {*kept.glob("*")}, _shuffle_files(spark)
+    got = QUERIES["stream_status_changes"](spark, SF)
+    assert _shuffle_files(spark) <= before and not {*kept.glob("*")} - had
+    (root,) = {*runs.glob("status-*")} - had
+    assert not [p for p in root.rglob("*.parquet") if p.relative_to(root).parts[0] not in ("landing", "out")]
+    want = QUERIES["apply_status_updates"](spark, SF)
+    assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect()))
+    log = spark.read.parquet(f"{root}/out/timeline").where("origin = 'trigger'")
+    assert log.count() == QUERIES["status_change_log"](spark, SF).count()
+
+
+def test_a_repeated_batch_replaces_what_it_kept(spark, tmp_path):
+    from civiccases.sources.scratch import Scratch
+    for n in (5, 3):
+        again = Scratch(spark, "batch_id=0", str(tmp_path))
+        assert again.keep(spark.range(n)).count() == n
+    assert sorted(r["id"] for r in spark.read.parquet(str(tmp_path / "batch_id=0" / "0")).collect()) == [0, 1, 2]
+    again.drop()
+    again.drop()
+    assert not [*tmp_path.iterdir()]
